@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from rollcall.llm.language import op2_language_id
+from rollcall.llm.packing import op9_packing
 from rollcall.llm.quality import op4_quality_rules
 
 QUERIES = {
+    "op2_language_id": op2_language_id,
     "op4_quality_rules": op4_quality_rules,
+    "op9_packing": op9_packing,
 }
 ORACLES: dict[str, str] = {}
