@@ -29,6 +29,8 @@ WINDOW = 5
 RULES = ("symbols", "dup_lines", "word_length")
 #: A host has a bad name for a rule if its shrunk failure rate is at least this.
 HOST_RATE = 0.5
+#: Parts into which the documents of each host are dealt to meet their host's verdict.
+SALTS = 32
 
 
 def repeated_words(words: list[bytes], window: int = WINDOW) -> int:
@@ -99,22 +101,16 @@ def host_rates(judged_docs: DataFrame, rules: tuple[str, ...] = RULES) -> DataFr
     The prior's mean is the failure rate of all documents; its strength follows by moments from how
     much more the hosts' rates vary than documents drawn with that rate would make them vary.
     """
-    counts = judged_docs.groupBy("host").agg(F.count("*").alias("n_docs"), *(F.count_if(f"fail_{r}").alias(f"failed_{r}") for r in rules))
+    counts = checkpointed(judged_docs.groupBy("host").agg(F.count("*").alias("n_docs"), *(F.count_if(f"fail_{r}").alias(f"failed_{r}") for r in rules)))
     n = F.col("n_docs")
-    mean = {r: F.sum(f"failed_{r}") / F.sum(n) for r in rules}
-    means = counts.agg(F.avg(1 / n).alias("inverse_n"), *(mean[r].alias(f"mean_{r}") for r in rules))
-    spread = counts.crossJoin(F.broadcast(means)).agg(  # one row
-        F.first("inverse_n").alias("inverse_n"),
-        *(F.first(f"mean_{r}").alias(f"mean_{r}") for r in rules),
-        *(F.avg(F.pow(F.col(f"failed_{r}") / n - F.col(f"mean_{r}"), F.lit(2))).alias(f"var_{r}") for r in rules),
-    )
-    rates = counts.crossJoin(F.broadcast(spread))
+    overall = counts.agg(F.coalesce(F.avg(1 / n), F.lit(1.0)).alias("inverse_n"), *(F.coalesce(F.sum(f"failed_{r}") / F.sum(n), F.lit(0.0)).alias(r) for r in rules)).first()
+    apart = counts.agg(*(F.coalesce(F.avg(F.pow(F.col(f"failed_{r}") / n - overall[r], F.lit(2))), F.lit(0.0)).alias(r) for r in rules)).first()
+    rates = {}
     for r in rules:
-        unit = F.col(f"mean_{r}") * (1 - F.col(f"mean_{r}"))
-        between = F.greatest(F.col(f"var_{r}") - unit * F.col("inverse_n"), F.lit(1e-6))
-        strength = F.greatest(unit / between - 1, F.lit(1.0))
-        rates = rates.withColumn(f"rate_{r}", (F.col(f"failed_{r}") + F.col(f"mean_{r}") * strength) / (n + strength))
-    return rates.select("host", "n_docs", *(f"rate_{r}" for r in rules))
+        unit = overall[r] * (1 - overall[r])
+        strength = max(unit / max(apart[r] - unit * overall["inverse_n"], 1e-6) - 1, 1.0)
+        rates[f"rate_{r}"] = (F.col(f"failed_{r}") + overall[r] * strength) / (n + strength)
+    return counts.select("host", "n_docs", *(c.alias(k) for k, c in rates.items()))
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", host_rate: float = HOST_RATE) -> DataFrame:
@@ -125,7 +121,9 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     stays, whatever its host is like.
     """
     rows = checkpointed(judged(document_measures(docs, id_col, text_col, host_col)))
-    joined = rows.join(host_rates(rows), "host", "left")
+    salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))  # a host may have a third of all documents
+    dealt = rows.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+    joined = dealt.join(host_rates(rows).withColumn("salt", salt), ["host", "salt"], "left")
     broken = sum((F.col(f"fail_{r}").cast("int") for r in RULES), F.lit(0))
     shared = F.lit(False)
     for r in RULES:
