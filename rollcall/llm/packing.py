@@ -14,6 +14,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -28,37 +29,79 @@ OPEN_WINDOWS = 64
 END_ID = 2
 #: Sequence ids of windows that were merged across partitions start here; below, the high half is the partition.
 MERGED_FROM = 1 << 62
-#: Words whose ids a Python worker remembers at most.
-REMEMBERED_WORDS = 300_000
+#: Words whose ids a Python worker remembers at most; only speed depends on it.
+REMEMBERED_WORDS = 800_000
+#: Pieces that are tokenized as one text.
+JOINED = 64
+WORD_END = "</w>"
+#: Fixed value: the pattern by which the tokenizer splits a text after lower-casing it, here for either case.
+PIECE = r"'[sS]|'[tT]|'[rR][eE]|'[vV][eE]|'[mM]|'[lL][lL]|'[dD]|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
+#: A letter whose lower case is not a letter alone.
+ODD_LETTER = "\u0130"
 
 
 class WordIds:
     """Token ids of whole texts, from the ids of their words.
 
-    For tokenizers that never join anything across white space; each distinct word is tokenized once.
+    The tokenizer never joins anything across white space, nor the pieces of ``PIECE``; each distinct piece is tokenized once.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.split = regex.compile(PIECE).findall
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith(WORD_END)]] = True
         self.forget()
 
     def forget(self) -> None:
         self.known: dict[bytes, int] = {}
+        self.pieces: dict[str, list[int]] = {}
         self.starts, self.lengths, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
+    def whole(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn_pieces(self, fresh: list[str]) -> None:
+        groups = [fresh[at : at + JOINED] for at in range(0, len(fresh), JOINED)]
+        for group, ids in zip(groups, self.whole([" ".join(g) for g in groups]), strict=True):
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) == len(group) and cuts[-1] == len(ids):
+                at = 0
+                for piece, end in zip(group, cuts.tolist(), strict=True):
+                    self.pieces[piece], at = ids[at:end], end
+            else:
+                self.pieces.update(zip(group, self.whole(group), strict=True))
+
     def learn(self, words: set[bytes]) -> None:
         fresh = list(words)
-        lists = [e.ids for e in self.tokenizer.encode_batch([w.decode("utf-8") for w in fresh], add_special_tokens=False)]
-        lengths = np.fromiter(map(len, lists), np.int64, len(lists))
+        split: list[list[str]] = []
+        for w in fresh:
+            text = w.decode("utf-8")
+            if text.isascii():
+                split.append(self.split(text.lower()))
+            elif ODD_LETTER in text or not is_normalized("NFC", text):
+                split.append([text])
+            else:
+                split.append(self.split(text))
+        self.learn_pieces(list({p for ps in split for p in ps if p not in self.pieces}))
+        flat: list[int] = []
+        ends = []
+        for ps in split:
+            for p in ps:
+                flat += self.pieces[p]
+            ends.append(len(flat))
         base = len(self.known)
-        self.known.update((w, base + i) for i, w in enumerate(fresh))
-        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(lengths) - lengths])
-        self.lengths = np.concatenate([self.lengths, lengths])
-        self.ids = np.concatenate([self.ids, np.fromiter((i for x in lists for i in x), np.uint32, int(lengths.sum()))])
+        self.known.update(zip(fresh, range(base, base + len(fresh)), strict=True))
+        bounds = np.array([0, *ends], np.int64)
+        self.starts = np.concatenate([self.starts, len(self.ids) + bounds[:-1]])
+        self.lengths = np.concatenate([self.lengths, np.diff(bounds)])
+        self.ids = np.concatenate([self.ids, np.array(flat, np.uint32)])
 
     def encode(self, texts: list[bytes], end_id: int) -> list[np.ndarray]:
         """The ids of each text and the end id, as unsigned 32-bit integers."""
