@@ -2,13 +2,24 @@
 
 from __future__ import annotations
 
+from rollcall.llm import line_dedup
+from rollcall.llm.embedding_dedup import op6_embedding_near_dedup
+from rollcall.llm.extraction import op5_html_extraction
 from rollcall.llm.language import op2_language_id
+from rollcall.llm.licenses import op7_license_scan
+from rollcall.llm.line_dedup import op3_line_dedup
+from rollcall.llm.minhash import op8_minhash_near_dedup
 from rollcall.llm.packing import op9_packing
 from rollcall.llm.quality import op4_quality_rules
 
 QUERIES = {
     "op2_language_id": op2_language_id,
+    "op3_line_dedup": op3_line_dedup,
     "op4_quality_rules": op4_quality_rules,
+    "op5_html_extraction": op5_html_extraction,
+    "op6_embedding_near_dedup": op6_embedding_near_dedup,
+    "op7_license_scan": op7_license_scan,
+    "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_packing": op9_packing,
 }
-ORACLES: dict[str, str] = {}
+ORACLES = {"op3_line_dedup": line_dedup.SQL}
