@@ -12,6 +12,7 @@ packed row by row; an empty table gives an empty result.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from unicodedata import is_normalized
@@ -30,16 +31,31 @@ END_ID = 2
 #: Sequence ids of windows that were merged across partitions start here; below, the high half is the partition.
 MERGED_FROM = 1 << 62
 #: Words whose ids a Python worker remembers at most; only speed depends on it.
-REMEMBERED_WORDS = 800_000
+REMEMBERED_WORDS = 1_200_000
+REMEMBERED_PIECES = 150_000
 #: Pieces that are tokenized as one text.
 JOINED = 64
 WORD_END = "</w>"
 #: Fixed value: the pattern by which the tokenizer splits a text after lower-casing it, here for either case.
 PIECE = r"'[sS]|'[tT]|'[rR][eE]|'[vV][eE]|'[mM]|'[lL][lL]|'[dD]|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
+#: A mark that ends a word and is followed by white space is a piece of its own.
+LONE_MARK = re.compile(rb"(?<=[a-z0-9])([.,])(?=[ \n])")
 #: A letter whose lower case is not a letter alone.
 ODD_LETTER = "\u0130"
 
 
+class Numbered(dict):
+    """Numbers words as they come; ``fresh`` has those that are new."""
+
+    def __init__(self):
+        self.fresh: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        self.fresh.append(word)
+        return n
+
+
 class WordIds:
     """Token ids of whole texts, from the ids of their words.
 
@@ -60,7 +76,7 @@ class WordIds:
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[bytes, int] = {}
+        self.known = Numbered()
         self.pieces: dict[str, list[int]] = {}
         self.starts, self.lengths, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
@@ -78,27 +94,23 @@ class WordIds:
             else:
                 self.pieces.update(zip(group, self.whole(group), strict=True))
 
-    def learn(self, words: set[bytes]) -> None:
-        fresh = list(words)
+    def learn(self, fresh: list[bytes]) -> None:
+        """Adds the ids of new words, in the order of their numbers."""
+        if len(self.pieces) > REMEMBERED_PIECES:
+            self.pieces = {}
         split: list[list[str]] = []
         for w in fresh:
             text = w.decode("utf-8")
-            if text.isascii():
-                split.append(self.split(text.lower()))
-            elif ODD_LETTER in text or not is_normalized("NFC", text):
-                split.append([text])
-            else:
-                split.append(self.split(text))
+            odd = not text.isascii() and (ODD_LETTER in text or not is_normalized("NFC", text))
+            split.append([text] if odd else self.split(text))
         self.learn_pieces(list({p for ps in split for p in ps if p not in self.pieces}))
         flat: list[int] = []
-        ends = []
+        ends = [0]
         for ps in split:
             for p in ps:
                 flat += self.pieces[p]
             ends.append(len(flat))
-        base = len(self.known)
-        self.known.update(zip(fresh, range(base, base + len(fresh)), strict=True))
-        bounds = np.array([0, *ends], np.int64)
+        bounds = np.array(ends, np.int64)
         self.starts = np.concatenate([self.starts, len(self.ids) + bounds[:-1]])
         self.lengths = np.concatenate([self.lengths, np.diff(bounds)])
         self.ids = np.concatenate([self.ids, np.array(flat, np.uint32)])
@@ -107,11 +119,13 @@ class WordIds:
         """The ids of each text and the end id, as unsigned 32-bit integers."""
         if len(self.known) > REMEMBERED_WORDS:
             self.forget()
-        split = [t.split() for t in texts]
-        self.learn({w for words in split for w in words if w not in self.known})
+        number = self.known.__getitem__
+        split = [LONE_MARK.sub(rb" \1 ", t.lower()).split() for t in texts]
+        numbers = [np.fromiter(map(number, words), np.int64, len(words)) for words in split]
+        self.learn(self.known.fresh)
+        self.known.fresh = []
         found = []
-        for words in split:
-            at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        for at in numbers:
             lengths = self.lengths[at]
             ends = np.cumsum(lengths)
             n = int(ends[-1]) if len(ends) else 0
