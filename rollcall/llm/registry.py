@@ -11,8 +11,10 @@ from rollcall.llm.line_dedup import op3_line_dedup
 from rollcall.llm.minhash import op8_minhash_near_dedup
 from rollcall.llm.packing import op9_packing
 from rollcall.llm.quality import op4_quality_rules
+from rollcall.llm.substring_dedup import op1_suffix_array_dedup
 
 QUERIES = {
+    "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op2_language_id": op2_language_id,
     "op3_line_dedup": op3_line_dedup,
     "op4_quality_rules": op4_quality_rules,
