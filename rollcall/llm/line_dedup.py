@@ -5,11 +5,11 @@ edit of it, judged on the input; the earliest stays. Lines are compared without
 lines of fewer than ``min_chars`` code points always stay.
 
 Equal lines become one distinct line with its first place. Two lines within one edit agree in the first
-or the second half, whichever the edit isn't in; distinct lines that share such a half with another emit the
-variants of the other half, itself and with one character deleted, as hashed keys. Equal keys meet: lines of
-one length under the place of the deletion, and lines of neighbouring lengths. Distinct lines under one key differ by one
-character at most, so that no key is shared by more lines than there are places and characters. What meets is verified
-by its edit distance.
+or the second half, whichever the edit isn't in. Distinct lines that share such a half with another take the other half apart
+into pieces, and emit for each piece its variants, the piece itself and with one character deleted, as keys hashed with all
+that is outside the piece. Equal keys meet: of lines of one length under the place of the deletion, and of
+neighbouring lengths. Lines under one key differ by one character at most, so that no key is shared by more
+distinct lines than a piece has places and the text has characters. What meets is verified by its edit distance.
 
 Nulls and edges: a null text has no lines and stays null; rows with a null id stay as they are; rows that repeat an id
 and text are equal and neither is earlier; an empty table gives an empty result.
@@ -17,7 +17,7 @@ and text are equal and neither is earlier; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rollcall.llm.frames import written
@@ -26,6 +26,8 @@ MIN_CHARS = 20
 BLANKS = " \t\r"
 #: Edits that two lines may be apart; the halves and variants are made for one.
 EDITS = 1
+#: Pieces into which the half with the edit is taken apart.
+PIECES = 8
 
 
 def lines_of(text: str | Column) -> Column:
@@ -50,21 +52,31 @@ def half_keys(line: Column, n: Column) -> list[Column]:
     return [F.xxhash64(F.lit(half), n - longer, cut(line, n, n - longer, half)[0]) for longer in (0, 1) for half in (0, 1)]
 
 
-def variants(key: Column, rest: Column, longer: Column) -> Column:
-    """(key, kind) of all variants within one edit: kind 0 for one length, 1 for the shorter and 2 for the longer line of a pair."""
-    n = F.char_length(rest)
-    places = F.sequence(F.lit(1), n)
+def pieces(key: Column, rest: Column, shorter: Column, longer: Column) -> Column:
+    """(key, piece) of every piece of a half that has ``shorter`` characters in the shorter line of the pair."""
+
+    def one(j: Column) -> Column:
+        begin, end = (j * shorter / PIECES).cast("int"), ((j + 1) * shorter / PIECES).cast("int")
+        before, after = F.substring(rest, F.lit(1), begin), F.substring(rest, end + longer + 1, shorter - end)
+        return F.struct(F.xxhash64(key, j, before, after).alias("key"), F.substring(rest, begin + 1, end + longer - begin).alias("piece"))
+
+    return F.transform(F.sequence(F.lit(0), F.lit(PIECES - 1)), one)
+
+
+def variants(key: Column, piece: Column, longer: Column) -> Column:
+    """(v, kind) of all variants within one edit: kind 0 for lines of one length, 1 for the shorter and 2 for the longer line of a pair."""
+    n = F.char_length(piece)
+    places = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
 
     def without(p: Column) -> Column:
-        return F.concat(F.substring(rest, F.lit(1), p - 1), F.substring(rest, p + 1, n))
+        return F.concat(F.substring(piece, F.lit(1), p - 1), F.substring(piece, p + 1, n))
 
     def entry(k: Column, kind: int) -> Column:
         return F.struct(k.alias("v"), F.lit(kind).alias("kind"))
 
     same = F.transform(places, lambda p: entry(F.xxhash64(key, F.lit(0), p, without(p)), 0))
-    shorter = F.array(entry(F.xxhash64(key, F.lit(1), rest), 1))
-    longest = F.array_distinct(F.transform(places, lambda p: entry(F.xxhash64(key, F.lit(1), without(p)), 2)))
-    return F.when(longer, longest).when(n == 0, shorter).otherwise(F.concat(same, shorter))
+    longest = F.transform(places, lambda p: entry(F.xxhash64(key, F.lit(1), without(p)), 2))
+    return F.when(longer, longest).otherwise(F.concat(same, F.array(entry(F.xxhash64(key, F.lit(1), piece), 1))))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
@@ -75,32 +87,35 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keys = half_keys(F.col("line"), F.col("n"))
     hashed = long.select("doc_id", "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), *(k.alias(f"k{i}") for i, k in enumerate(keys)))
     place = F.struct("doc_id", "pos")
-    distinct = written(hashed.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("times"), *(F.first(f"k{i}").alias(f"k{i}") for i in range(4))))
+    firsts = hashed.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("times"), *(F.first(f"k{i}").alias(f"k{i}") for i in range(4)))
+    distinct = written(firsts.select(*(F.when(F.col("times") > 1, F.col(h)).alias(h) for h in ("h1", "h2")), F.col("first.doc_id").alias("doc_id"), F.col("first.pos").alias("pos"), "k0", "k1", "k2", "k3"))
 
-    repeated = distinct.where("times > 1").select("h1", "h2", "first")
+    repeated = distinct.where("h1 IS NOT NULL").select("h1", "h2", F.struct("doc_id", "pos").alias("first"))
     again = hashed.select("doc_id", "pos", "h1", "h2").join(repeated, ["h1", "h2"]).where(F.col("first") < place).select("doc_id", "pos")
 
-    halves = distinct.select("h1", "first", F.posexplode(F.array(*(f"k{i}" for i in range(4)))).alias("which", "key"))
-    met = halves.groupBy("key").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo < hi").select("key")
-    offered = halves.join(met, "key").groupBy(F.col("first.doc_id").alias("doc_id")).agg(F.collect_list(F.struct("first.pos", "which", "key")).alias("offers"))
+    halves = distinct.select("doc_id", "pos", F.posexplode(F.array("k0", "k1", "k2", "k3")).alias("which", "key"))
+    met = halves.groupBy("key").count().where("count > 1").select("key")
+    offered = halves.select("key", "doc_id", (F.col("pos").cast("long") * 4 + F.col("which")).alias("at")).join(met, "key").groupBy("doc_id").agg(F.collect_list(F.struct("at", "key")).alias("offers"))
     every = lines_of("text")
     taken = texts.join(offered, "doc_id").select("doc_id", "offers", every.alias("every"))
-    offers = taken.select("doc_id", F.explode(F.transform("offers", lambda o: F.struct(o["pos"].alias("pos"), o["which"].alias("which"), o["key"].alias("key"), stripped(F.get("every", o["pos"])).alias("line")))).alias("o"))
-    offers = offers.select("doc_id", "o.pos", "o.which", "o.key", "o.line", F.char_length("o.line").alias("n"))
-    longer = F.col("which") >= 2
-    shorter_n = F.col("n") - longer.cast("int")
-    rest = F.when(F.col("which") % 2 == 0, cut(F.col("line"), F.col("n"), shorter_n, 0)[1]).otherwise(cut(F.col("line"), F.col("n"), shorter_n, 1)[1])
-    emitted = offers.select("doc_id", "pos", F.explode(variants(F.col("key"), rest, longer)).alias("x")).select("doc_id", "pos", "x.v", "x.kind")
-    earliest = emitted.groupBy("v").agg(F.min(F.when(F.col("kind") != 2, place)).alias("same"), F.min(F.when(F.col("kind") == 2, place)).alias("longer"), F.count("*").alias("times")).where("times > 1")
-    witness = F.when(F.col("kind") == 1, F.col("longer")).otherwise(F.col("same"))
-    pairs = emitted.join(earliest, "v").select("doc_id", "pos", witness.alias("w")).where(F.col("w") < place)
-    pairs = pairs.groupBy("doc_id", "pos").agg(F.min("w").alias("w")).select("doc_id", "pos", F.col("w.doc_id").alias("w_doc"), F.col("w.pos").alias("w_pos"))
-    own = texts.join(pairs.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "w_doc", "w_pos")).alias("p")), "doc_id").select("doc_id", "p", every.alias("every"))
-    own = own.select("doc_id", F.explode(F.transform("p", lambda x: F.struct(x["pos"].alias("pos"), x["w_doc"].alias("w_doc"), x["w_pos"].alias("w_pos"), stripped(F.get("every", x["pos"])).alias("line")))).alias("x")).select("doc_id", "x.*")
-    asked = own.groupBy(F.col("w_doc")).agg(F.collect_list(F.struct("doc_id", "pos", "w_pos", "line")).alias("p"))
-    both = texts.join(asked, F.col("w_doc") == texts["doc_id"]).select("p", every.alias("every"))
-    both = both.select(F.explode(F.transform("p", lambda x: F.struct(x["doc_id"].alias("doc_id"), x["pos"].alias("pos"), x["line"].alias("line"), stripped(F.get("every", x["w_pos"])).alias("other")))).alias("x")).select("x.*")
-    near = both.where(F.levenshtein("line", "other", EDITS) >= 0).select("doc_id", "pos")
+    offers = taken.select("doc_id", F.explode(F.transform("offers", lambda o: F.struct(o["at"].alias("at"), o["key"].alias("key"), stripped(F.get("every", (o["at"] / 4).cast("int"))).alias("line")))).alias("o"))
+    offers = offers.select("doc_id", (F.col("o.at") / 4).cast("int").alias("pos"), (F.col("o.at") % 4).cast("int").alias("which"), "o.key", "o.line")
+    longer = (F.col("which") >= 2).cast("int")
+    n = F.char_length("line")
+    first = ((n - longer) / 2).cast("int")
+    in_first = F.col("which") % 2 == 0
+    rest = F.when(in_first, cut(F.col("line"), n, n - longer, 0)[1]).otherwise(cut(F.col("line"), n, n - longer, 1)[1])
+    parts = offers.select("doc_id", "pos", "key", longer.alias("longer"), F.when(in_first, first).otherwise(n - longer - first).alias("shorter"), rest.alias("rest"))
+    parts = parts.select("doc_id", "pos", "longer", F.explode(pieces(F.col("key"), F.col("rest"), F.col("shorter"), F.col("longer"))).alias("p"))
+    emitted = parts.select("doc_id", "pos", F.col("p.piece").alias("piece"), F.explode(variants(F.col("p.key"), F.col("p.piece"), F.col("longer") == 1)).alias("x"))
+    emitted = emitted.select("doc_id", "pos", "piece", "x.v", "x.kind")
+    under = Window.partitionBy("v")
+    witness = F.struct("doc_id", "pos", "piece")
+    same = F.min(F.when(F.col("kind") != 2, witness)).over(under)
+    longest = F.min(F.when(F.col("kind") == 2, witness)).over(under)
+    pairs = emitted.select("doc_id", "pos", "piece", F.when(F.col("kind") == 1, longest).otherwise(same).alias("w"))
+    pairs = pairs.where((F.col("w.doc_id") < F.col("doc_id")) | ((F.col("w.doc_id") == F.col("doc_id")) & (F.col("w.pos") < F.col("pos"))))
+    near = pairs.where(F.levenshtein("piece", "w.piece", EDITS) >= 0).select("doc_id", "pos")
 
     gone = again.union(near).groupBy("doc_id").agg(F.collect_set("pos").alias("gone"))
     left = texts.join(gone, "doc_id", "left").withColumn("every", every)
