@@ -5,9 +5,10 @@ only the two low bits are kept, packed into longs, and the similarity of a candi
 estimated from bit counts, corrected for chance collisions. Whatever may reach the threshold is
 confirmed on the full sets.
 
-No group of documents is ever paired with itself as a whole. Equal sets are one class. In a first round each
-class meets the most popular member of its buckets; then only those pairs are left that share a bucket and
-aren't connected yet. A pair at the threshold shares no bucket with a probability of about 7e-9.
+No group of documents becomes rows of pairs. Equal sets are one class. In a first round each class meets the most
+popular member of its buckets. Then only clusters are left whose members buckets connect but links don't yet; their members
+meet in tiles, inside tasks, which return the links that connect them. A pair at the threshold shares no bucket with a
+probability of about 7e-9.
 
 Nulls and edges: a document without words or text is empty and links with nothing; one with a null id
 too, and its component is null; rows that repeat an id share its component; an empty table gives an
@@ -31,6 +32,8 @@ BANDS, ROWS = 32, 5
 MINIMA = BANDS * ROWS
 BITS = 2
 LONGS = MINIMA * BITS // 64
+#: Classes in a tile of a cluster.
+TILE = 256
 #: By how much the estimate of a pair at the threshold may fall short: six standard deviations.
 MARGIN = 0.2
 _RANDOM = np.random.default_rng(20)
@@ -132,16 +135,67 @@ def star_pairs(met: DataFrame) -> DataFrame:
     return best.select(F.col("rep").alias("a"), (-F.col("pivot.minus")).alias("b"))
 
 
-def open_pairs(met: DataFrame, reached: DataFrame) -> DataFrame:
-    """Pairs of classes that share a bucket and lie in different components."""
-    placed = met.select("key", "rep").join(reached.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("c"))
-    torn = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-    left = written(placed.join(torn, "key").select("key", "rep", "c"))
-    parts = left.select("key", "c").distinct()
-    across = parts.withColumnRenamed("c", "ca").join(parts.withColumnRenamed("c", "cb"), "key").where("ca < cb")
-    a = left.select("key", F.col("c").alias("ca"), F.col("rep").alias("a"))
-    b = left.select("key", F.col("c").alias("cb"), F.col("rep").alias("b"))
-    return across.join(a, ["key", "ca"]).join(b, ["key", "cb"]).select("a", "b").distinct()
+def open_clusters(met: DataFrame, reached: DataFrame) -> DataFrame:
+    """(cluster, rep, c, tiles) of the classes whose cluster, all that shared buckets connect, isn't one component c yet."""
+    least = met.groupBy("key").agg(F.min("rep").alias("least"))
+    clusters = components(met.join(least, "key").select("rep", "least"), "rep", "least")
+    placed = clusters.select(F.col("node").alias("rep"), F.col("component").alias("cluster")).join(reached.withColumnRenamed("node", "rep"), "rep", "left")
+    placed = placed.select("cluster", "rep", F.coalesce("component", "rep").alias("c"))
+    torn = placed.groupBy("cluster").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.ceil(F.count("*") / TILE).cast("int").alias("tiles")).where("lo < hi")
+    return placed.join(torn.select("cluster", "tiles"), "cluster")
+
+
+def cluster_links(opened: DataFrame, classes: DataFrame, texts: DataFrame, percent: int, low: float) -> DataFrame:
+    """Links (a, b) that connect whatever belongs together in the open clusters.
+
+    A cluster's members are dealt to tiles, and each pair of tiles meets in one task. That compares the packed signatures,
+    and confirms likely pairs on the full sets, best estimates first, unless they are connected already.
+    """
+    full = opened.join(classes.select("rep", "signature"), "rep").join(texts.withColumnRenamed("doc_id", "rep"), "rep")
+    tile = F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
+    dealt = full.withColumn("tile", tile).withColumn("other", other)
+    dealt = dealt.select("cluster", F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi"), "tile", "rep", "c", "signature", "body")
+
+    def linked(rows: pa.Table) -> pa.Table:
+        order = np.argsort(rows.column("rep").to_numpy())
+        rows = rows.take(pa.array(order))
+        reps, tiles = rows.column("rep").to_pylist(), rows.column("tile").to_numpy()
+        lo, hi = rows.column("lo")[0].as_py(), rows.column("hi")[0].as_py()
+        packs = np.array(rows.column("signature").to_pylist(), np.int64).view(np.uint64).reshape(-1, LONGS)
+        names, c = np.unique(rows.column("c").to_numpy(), return_inverse=True)
+        parent = list(range(len(names)))
+        bodies, sets = rows.column("body"), {}
+
+        def root(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        def of(k: int) -> np.ndarray:
+            if k not in sets:
+                sets[k] = shingle_sets([bodies[k].as_py()])[0]
+            return sets[k]
+
+        most = int((1 - low) * (1 - 2.0**-BITS) * MINIMA)  # minima that may differ
+        near = []
+        for i in np.flatnonzero(tiles == lo).tolist():
+            x = packs ^ packs[i]
+            differ = np.bitwise_count((x | (x >> np.uint64(1))) & np.uint64(0x5555555555555555)).sum(axis=1, dtype=np.int64)
+            js = np.flatnonzero((tiles == hi) & (differ <= most) & (c != c[i]) & ((lo != hi) | (np.arange(len(reps)) > i)))
+            near += [(d, i, j) for d, j in zip(differ[js].tolist(), js.tolist(), strict=True)]
+        found = []
+        for _, i, j in sorted(near):
+            ci, cj = root(c[i]), root(c[j])
+            if ci != cj:
+                a, b = of(i), of(j)
+                n = shared(a, b)
+                if 100 * n >= percent * (len(a) + len(b) - n):
+                    parent[max(ci, cj)] = min(ci, cj)
+                    found.append((reps[i], reps[j]))
+        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+    return dealt.groupBy("cluster", "lo", "hi").applyInArrow(linked, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, margin: float = MARGIN) -> DataFrame:
@@ -165,7 +219,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return pairs.where(estimate("s_a", "s_b") >= low).select("a", "b")
 
     first = checkpointed(confirmed(likely(star_pairs(met)), texts, percent))
-    second = checkpointed(confirmed(likely(open_pairs(met, components(first))), texts, percent))
+    second = checkpointed(cluster_links(open_clusters(met, components(first)), classes, texts, percent, low))
     reached = components(first.union(second))
     of_class = classes.select("d1", "d2", "rep").join(reached, F.col("rep") == F.col("node"), "left").select("d1", "d2", F.coalesce("component", "rep").alias("component"))
     known = usable.select("doc_id", "n_shingles", "d1", "d2").join(of_class, ["d1", "d2"]).select("doc_id", "n_shingles", "component")
