@@ -79,8 +79,8 @@ def variants(key: Column, piece: Column, longer: Column) -> Column:
     return F.when(longer, longest).otherwise(F.concat(same, F.array(entry(F.xxhash64(key, F.lit(1), piece), 1))))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
-    """One row per document: id, text (the lines that stay), n_lines and n_removed."""
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document: id, text (the lines that stay), n_lines, n_removed and the columns to carry along."""
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     placed = texts.where("doc_id IS NOT NULL").select("doc_id", F.posexplode(lines_of("text")).alias("pos", "raw")).select("doc_id", "pos", stripped(F.col("raw")).alias("line"))
     long = placed.withColumn("n", F.char_length("line")).where(F.col("n") >= min_chars)
@@ -118,11 +118,14 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     near = pairs.where(F.levenshtein("piece", "w.piece", EDITS) >= 0).select("doc_id", "pos")
 
     gone = again.union(near).groupBy("doc_id").agg(F.collect_set("pos").alias("gone"))
-    left = texts.join(gone, "doc_id", "left").withColumn("every", every)
+    carried = {c: f"carried_{k}" for k, c in enumerate(carry)}
+    whole = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *(F.col(c).alias(k) for c, k in carried.items()))
+    left = whole.join(gone, "doc_id", "left").withColumn("every", every)
     kept = F.filter("every", lambda x, i: ~F.array_contains("gone", i))
     return left.select(
         F.col("doc_id").alias(id_col), F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias(text_col),
         F.coalesce(F.size("every"), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.when(F.col("gone").isNull(), F.lit(0)).otherwise(F.size("gone")), F.lit(0)).cast("long").alias("n_removed"),
+        *(F.col(k).alias(c) for c, k in carried.items()),
     )
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from rollcall.llm import line_dedup
+from rollcall.llm.byte_bpe import op10_byte_bpe
 from rollcall.llm.embedding_dedup import op6_embedding_near_dedup
 from rollcall.llm.extraction import op5_html_extraction
 from rollcall.llm.language import op2_language_id
@@ -23,5 +25,7 @@ QUERIES = {
     "op7_license_scan": op7_license_scan,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_packing": op9_packing,
+    "op10_byte_bpe": op10_byte_bpe,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES = {"op3_line_dedup": line_dedup.SQL}

@@ -147,8 +147,9 @@ class Chunk:
     """The documents of a chunk, in a fixed order."""
 
     def __init__(self, held: pa.Table, buckets: int):
-        rows = sorted(zip(held.column("doc_id").to_pylist(), held.column("body").to_pylist(), strict=True), key=lambda r: (r[0], r[1] or b""))
-        self.ids, self.texts, self.buckets = [r[0] for r in rows], [r[1] for r in rows], buckets
+        rows = sorted(zip(*(held.column(c).to_pylist() for c in ("doc_id", "body", "extra")), strict=True), key=lambda r: (r[0], r[1] or b"", r[2]))
+        self.ids, self.texts, self.extras = ([r[k] for r in rows] for k in range(3))
+        self.buckets = buckets
         self.doc, self.first, self.last, self.place, hashes = runs([t or b"" for t in self.texts])
         keys = ((hashes >> np.uint64(32)) % np.uint64(buckets)) << np.uint64(32) | (hashes & np.uint64(0xFFFFFFFF))
         self.keys, self.back = np.unique(keys, return_inverse=True)
@@ -272,12 +273,15 @@ def answered(rows: pa.Table) -> pa.Table:
     return _table(out, _ROUTED_SCHEMA)
 
 
-def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, kept (the text's remaining bytes, null for a null text), n_bytes, and spans, the (begin, end) byte stretches that go. Ids are integers."""
+def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), whole_characters: bool = False) -> DataFrame:
+    """Per row: doc_id, kept (the text's remaining bytes, null for a null text), n_bytes, spans (the (begin, end) byte
+    stretches that go), and extra, the columns to carry along as JSON. With ``whole_characters`` a character
+    that loses a byte isn't kept in part. Ids are integers."""
+    extra = F.to_json(F.struct(*carry)) if carry else F.lit("")
     body = F.encode(F.col(text_col), "UTF-8")
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     chunks, buckets = (max(LEAST_PARTS, math.ceil(total / size)) for size in (CHUNK_BYTES, BUCKET_BYTES))
-    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), body.alias("body"))
+    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), body.alias("body"), extra.alias("extra"))
     texts = texts.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks)))
 
     def announce(held: pa.Table) -> pa.Table:
@@ -302,26 +306,35 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         if held.num_rows:
             chunk = Chunk(held, buckets)
             gone = chunk.removed(flags_of(told, _FLAGS), flags_of(told, _BITS))
-            for d, (doc_id, text) in enumerate(zip(chunk.ids, chunk.texts, strict=True)):
+            for d, (doc_id, text, carried) in enumerate(zip(chunk.ids, chunk.texts, chunk.extras, strict=True)):
                 spans = cut(text, gone[d]) if d in gone else []
                 kept = text
                 if spans:
                     edges = [0, *(x for s in spans for x in s), len(text)]
                     kept = b"".join(text[a:e] for a, e in zip(edges[::2], edges[1::2], strict=True))
-                out.append((doc_id, kept, len(text or b""), [{"begin": a, "end": e} for a, e in spans]))
+                    kept = kept.decode("utf-8", "ignore").encode() if whole_characters else kept
+                out.append((doc_id, kept, len(text or b""), [{"begin": a, "end": e} for a, e in spans], carried))
         return _table(out, result)
 
-    result = pa.schema([("doc_id", pa.int64()), ("kept", pa.binary()), ("n_bytes", pa.int64()), ("spans", pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())])))])
+    result = pa.schema([("doc_id", pa.int64()), ("kept", pa.binary()), ("n_bytes", pa.int64()), ("spans", pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))), ("extra", pa.string())])
     by_chunk = texts.groupBy("chunk")
     flags = by_chunk.applyInArrow(announce, _ROUTED).groupBy("bucket").applyInArrow(shared_minimizers, _ROUTED)
     sent = by_chunk.cogroup(flags.groupBy("chunk")).applyInArrow(send, _ROUTED)
     bits = sent.groupBy("bucket").applyInArrow(answered, _ROUTED)
     told = flags.union(bits).groupBy("chunk")
-    found = by_chunk.cogroup(told).applyInArrow(finish, "doc_id long, kept binary, n_bytes long, spans array<struct<begin:long,end:long>>")
-    alone = docs.where(F.col(id_col).isNull()).select(F.lit(None).cast("long").alias("doc_id"), body.alias("kept"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"), F.array().cast("array<struct<begin:long,end:long>>").alias("spans"))
+    found = by_chunk.cogroup(told).applyInArrow(finish, "doc_id long, kept binary, n_bytes long, spans array<struct<begin:long,end:long>>, extra string")
+    alone = docs.where(F.col(id_col).isNull()).select(F.lit(None).cast("long").alias("doc_id"), body.alias("kept"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"), F.array().cast("array<struct<begin:long,end:long>>").alias("spans"), extra.alias("extra"))
     return found.unionByName(alone)
 
 
+def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` without the repeated stretches in their texts; a character that loses a byte goes as a whole."""
+    others = tuple(c for c in docs.columns if c not in (id_col, text_col))
+    found = removed_spans(docs, id_col, text_col, others, whole_characters=True)
+    opened = found.select(F.col("doc_id").cast(docs.schema[id_col].dataType).alias(id_col), F.col("kept").cast("string").alias(text_col), F.from_json("extra", docs.select(*others).schema).alias("extra"))
+    return opened.select(*(F.col(c) if c in (id_col, text_col) else F.col("extra")[c].alias(c) for c in docs.columns))
+
+
 def op1_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:
     """All of ``documents``; what is kept as its SHA-256."""
     from rollcall.llm.frames import table
