@@ -15,6 +15,11 @@ DIGITS, LIMB = 78, 26
 ZERO_ADDRESS = "0x" + "0" * 40
 
 
+def bound(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often it stands in the expression."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def canonical(value: Column) -> Column:
     """Without leading zeros; at least one digit stays, and a sign."""
     return F.regexp_replace(F.regexp_replace(value, r"^(-?)0+(?=\d)", "$1"), "^-0$", "0")
@@ -51,30 +56,43 @@ def limbs(value: Column) -> list[Column]:
 def joined(high: Column, middle: Column, low: Column) -> Column:
     """The canonical text of limbs that may each have up to 38 digits."""
 
-    def split(total: Column) -> tuple[Column, Column]:
-        text = F.lpad(total.cast("string"), 38, "0")
-        return F.substring(text, 1, 38 - LIMB).cast("decimal(38,0)"), F.substring(text, 39 - LIMB, LIMB)
+    def padded(total: Column) -> Column:
+        return F.lpad(total.cast("decimal(38,0)").cast("string"), 38, "0")
+
+    def carry(text: Column) -> Column:
+        return F.substring(text, 1, 38 - LIMB).cast("decimal(38,0)")
+
+    def rest(text: Column) -> Column:
+        return F.substring(text, 39 - LIMB, LIMB)
+
+    def with_middle(low_text: Column) -> Column:
+        return bound(padded(middle + carry(low_text)), lambda m: canonical(F.concat((high + carry(m)).cast("decimal(38,0)").cast("string"), rest(m), rest(low_text))))
+
+    return bound(padded(low), with_middle)
+
 
-    carry, low_text = split(low)
-    carry, middle_text = split((middle + carry).cast("decimal(38,0)"))
-    return canonical(F.concat((high + carry).cast("decimal(38,0)").cast("string"), middle_text, low_text))
+def _limb_struct(value: Column) -> Column:
+    return F.struct(*(x.alias(n) for x, n in zip(limbs(value), "hml", strict=True)))
 
 
 def added(a: Column, b: Column) -> Column:
     """Sum of two unsigned numbers."""
-    return joined(*((x + y).cast("decimal(38,0)") for x, y in zip(limbs(a), limbs(b), strict=True)))
+    return bound(F.struct(_limb_struct(a).alias("a"), _limb_struct(b).alias("b")), lambda s: joined(*((s["a"][n] + s["b"][n]).cast("decimal(38,0)") for n in "hml")))
 
 
 def _difference(a: Column, b: Column) -> Column:
     """a - b for a >= b."""
     base = F.lit("1" + "0" * LIMB).cast("decimal(38,0)")
-    (ah, am, al), (bh, bm, bl) = limbs(a), limbs(b)
-    low = (al - bl).cast("decimal(38,0)")
-    borrow = F.when(low < 0, 1).otherwise(0)
-    middle = (am - bm - borrow).cast("decimal(38,0)")
-    borrow_more = F.when(middle < 0, 1).otherwise(0)
-    high = (ah - bh - borrow_more).cast("decimal(38,0)")
-    return joined(high, F.when(middle < 0, middle + base).otherwise(middle).cast("decimal(38,0)"), F.when(low < 0, low + base).otherwise(low).cast("decimal(38,0)"))
+
+    def up(x: Column) -> Column:
+        return F.when(x < 0, x + base).otherwise(x).cast("decimal(38,0)")
+
+    def minus(s: Column) -> Column:
+        low = (s["a"]["l"] - s["b"]["l"]).cast("decimal(38,0)")
+        middle = (s["a"]["m"] - s["b"]["m"] - F.when(low < 0, 1).otherwise(0)).cast("decimal(38,0)")
+        return bound(middle, lambda m: joined((s["a"]["h"] - s["b"]["h"] - F.when(m < 0, 1).otherwise(0)).cast("decimal(38,0)"), up(m), up(low)))
+
+    return bound(F.struct(_limb_struct(a).alias("a"), _limb_struct(b).alias("b")), minus)
 
 
 def compared(a: Column, b: Column) -> Column:
@@ -83,30 +101,38 @@ def compared(a: Column, b: Column) -> Column:
     return F.when(ka < kb, -1).when(ka > kb, 1).otherwise(0)
 
 
+def _pair(a: Column, b: Column, use) -> Column:
+    return bound(F.struct(a.alias("a"), b.alias("b")), lambda s: use(s["a"], s["b"]))
+
+
 def subtracted(a: Column, b: Column) -> Column:
     """a - b, signed, of unsigned numbers."""
-    return F.when(compared(a, b) >= 0, _difference(a, b)).otherwise(F.concat(F.lit("-"), _difference(b, a)))
+    return _pair(a, b, lambda x, y: F.when(compared(x, y) >= 0, _difference(x, y)).otherwise(F.concat(F.lit("-"), _difference(y, x))))
 
 
 def saturating_sub(a: Column, b: Column) -> Column:
-    return F.when(compared(a, b) >= 0, _difference(a, b)).otherwise(F.lit("0"))
+    return _pair(a, b, lambda x, y: F.when(compared(x, y) >= 0, _difference(x, y)).otherwise(F.lit("0")))
 
 
 def signed_added(a: Column, b: Column) -> Column:
     """Sum of two signed numbers."""
-    na, nb, ma, mb = is_negative(a), is_negative(b), magnitude(a), magnitude(b)
-    same = F.when(na, F.concat(F.lit("-"), added(ma, mb))).otherwise(added(ma, mb))
-    return F.when(na == nb, same).when(na, subtracted(mb, ma)).otherwise(subtracted(ma, mb))
+
+    def summed(x: Column, y: Column) -> Column:
+        nx, ny, mx, my = is_negative(x), is_negative(y), magnitude(x), magnitude(y)
+        return F.when(nx & ny, F.concat(F.lit("-"), added(mx, my))).when(nx, subtracted(my, mx)).when(ny, subtracted(mx, my)).otherwise(added(mx, my))
+
+    return _pair(a, b, summed)
 
 
 def total(value: Column) -> Column:
     """Aggregate: the exact sum of signed numbers; null without rows."""
     negative = is_negative(value)
+    parts = {f"{n}{k}": F.coalesce(F.sum(F.when(chosen, x)), F.lit(0)).cast("decimal(38,0)") for k, chosen in (("p", ~negative), ("n", negative)) for n, x in zip("hml", limbs(value), strict=True)}
 
-    def side(chosen: Column) -> Column:
-        return joined(*(F.coalesce(F.sum(F.when(chosen, x)), F.lit(0)).cast("decimal(38,0)") for x in limbs(value)))
+    def net(s: Column) -> Column:
+        return subtracted(*(joined(*(s[f"{n}{k}"] for n in "hml")) for k in "pn"))
 
-    return F.when(F.count(value) > 0, subtracted(side(~negative), side(negative)))
+    return F.when(F.count(value) > 0, bound(F.struct(*(c.alias(k) for k, c in parts.items())), net))
 
 
 @F.pandas_udf(T.StringType())
