@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 #: Views for the SQL of every query.
 SQL = """
 proposal AS (
-  SELECT CAST(o_orderkey AS BIGINT) AS proposal_id, CAST(o_custkey AS BIGINT) AS proposer, o_orderstatus AS state, CAST(epoch_ms(o_orderdate) AS BIGINT) AS created,
+  SELECT CAST(o_orderkey AS BIGINT) AS proposal_id, CAST(o_custkey AS BIGINT) AS proposer, o_orderstatus AS state, CAST(epoch_us(o_orderdate) // 1000 AS BIGINT) AS created,
     o_orderpriority AS mode, CAST(o_orderkey % 3 AS BIGINT) AS chain_id, CAST(floor(o_totalprice) AS BIGINT) AS quorum FROM orders
 ), vote AS (
   SELECT CAST(l_orderkey AS BIGINT) AS proposal_id, CAST(l_suppkey AS BIGINT) AS voter, CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS support,
-    l_linestatus = 'F' AS with_params, CAST(floor(l_quantity) AS BIGINT) AS weight, CAST(l_linenumber AS BIGINT) AS log_index, CAST(epoch_ms(l_shipdate) AS BIGINT) AS cast_ms FROM lineitem
+    l_linestatus = 'F' AS with_params, CAST(floor(l_quantity) AS BIGINT) AS weight, CAST(l_linenumber AS BIGINT) AS log_index, CAST(epoch_us(l_shipdate) // 1000 AS BIGINT) AS cast_ms FROM lineitem
 ), durable AS (SELECT * FROM vote WHERE log_index <= 3
 ), overlay AS (SELECT * FROM vote WHERE log_index >= 3
 ), overlay_only AS (SELECT o.* FROM overlay o WHERE NOT EXISTS (SELECT 1 FROM durable d WHERE d.proposal_id = o.proposal_id AND d.log_index = o.log_index)
@@ -26,7 +26,7 @@ proposal AS (
   SELECT account, power + 1000 AS power, scope, segment FROM contributor WHERE account % 7 = 0
   UNION ALL SELECT account + 1000000000, power, scope, segment FROM contributor WHERE account % 11 = 0
 ), logged AS (
-  SELECT CAST(event_id AS BIGINT) AS pos, CAST(user_id AS BIGINT) AS delegator, event_type AS kind, CAST(epoch_ms(ts) AS BIGINT) AS at_ms, CAST(floor(value) AS BIGINT) AS value, props FROM events
+  SELECT CAST(event_id AS BIGINT) AS pos, CAST(user_id AS BIGINT) AS delegator, event_type AS kind, CAST(epoch_us(ts) // 1000 AS BIGINT) AS at_ms, CAST(floor(value) AS BIGINT) AS value, props FROM events
 )"""
 
 
