@@ -6,8 +6,8 @@ lines of fewer than ``min_chars`` code points always stay.
 
 Equal lines become one distinct line with its first place. Two lines within one edit agree in the first
 or the second half, whichever the edit isn't in. Distinct lines that share such a half with another take the other half apart
-into pieces, and emit for each piece its variants, the piece itself and with one character deleted, as keys hashed with all
-that is outside the piece. Equal keys meet: of lines of one length under the place of the deletion, and of
+into pieces. Those that agree in all but one piece emit the variants of that, itself and with one character deleted, as keys
+hashed with all that is outside. Equal keys meet: of lines of one length under the place of the deletion, and of
 neighbouring lengths. Lines under one key differ by one character at most, so that no key is shared by more
 distinct lines than a piece has places and the text has characters. What meets is verified by its edit distance.
 
@@ -106,8 +106,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     in_first = F.col("which") % 2 == 0
     rest = F.when(in_first, cut(F.col("line"), n, n - longer, 0)[1]).otherwise(cut(F.col("line"), n, n - longer, 1)[1])
     parts = offers.select("doc_id", "pos", "key", longer.alias("longer"), F.when(in_first, first).otherwise(n - longer - first).alias("shorter"), rest.alias("rest"))
-    parts = parts.select("doc_id", "pos", "longer", F.explode(pieces(F.col("key"), F.col("rest"), F.col("shorter"), F.col("longer"))).alias("p"))
-    emitted = parts.select("doc_id", "pos", F.col("p.piece").alias("piece"), F.explode(variants(F.col("p.key"), F.col("p.piece"), F.col("longer") == 1)).alias("x"))
+    parts = parts.select("doc_id", "pos", "longer", F.explode(pieces(F.col("key"), F.col("rest"), F.col("shorter"), F.col("longer"))).alias("p")).select("doc_id", "pos", "longer", "p.key", "p.piece")
+    around = parts.groupBy("key").count().where("count > 1").select("key")  # all but the piece is the same
+    parts = parts.join(around, "key")
+    emitted = parts.select("doc_id", "pos", "piece", F.explode(variants(F.col("key"), F.col("piece"), F.col("longer") == 1)).alias("x"))
     emitted = emitted.select("doc_id", "pos", "piece", "x.v", "x.kind")
     under = Window.partitionBy("v")
     witness = F.struct("doc_id", "pos", "piece")
@@ -120,7 +122,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     gone = again.union(near).groupBy("doc_id").agg(F.collect_set("pos").alias("gone"))
     carried = {c: f"carried_{k}" for k, c in enumerate(carry)}
     whole = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *(F.col(c).alias(k) for c, k in carried.items()))
-    left = whole.join(gone, "doc_id", "left").withColumn("every", every)
+    with_id = whole.where("doc_id IS NOT NULL").join(gone, "doc_id", "left")  # the same shuffle of the texts as above
+    left = with_id.unionByName(whole.where("doc_id IS NULL").withColumn("gone", F.lit(None).cast("array<int>"))).withColumn("every", every)
     kept = F.filter("every", lambda x, i: ~F.array_contains("gone", i))
     return left.select(
         F.col("doc_id").alias(id_col), F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias(text_col),
