@@ -123,7 +123,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     carried = {c: f"carried_{k}" for k, c in enumerate(carry)}
     whole = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *(F.col(c).alias(k) for c, k in carried.items()))
     with_id = whole.where("doc_id IS NOT NULL").join(gone, "doc_id", "left")  # the same shuffle of the texts as above
-    left = with_id.unionByName(whole.where("doc_id IS NULL").withColumn("gone", F.lit(None).cast("array<int>"))).withColumn("every", every)
+    left = whole.where("doc_id IS NULL").withColumn("gone", F.lit(None).cast("array<int>")).unionByName(with_id).withColumn("every", every)
     kept = F.filter("every", lambda x, i: ~F.array_contains("gone", i))
     return left.select(
         F.col("doc_id").alias(id_col), F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias(text_col),
