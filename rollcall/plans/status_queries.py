@@ -1 +1,203 @@
-"""."""
+"""Queries of status, audits, presentation and backfills."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from rollcall.functions import descriptions, scalars
+from rollcall.operators import filters, status
+from rollcall.plans import analogues as a
+from rollcall.plans.entities import totals
+from rollcall.plans.registry import query
+from rollcall.streaming.state import rate_and_eta
+
+SYNC = """, point AS (SELECT delegator, CASE WHEN delegator % 9 <> 0 THEN max(pos) END AS processed, CASE WHEN delegator % 7 <> 0 THEN max(pos) + delegator % 3 * 100 - (delegator % 5 // 4) * 100000 END AS target FROM logged GROUP BY delegator)
+"""
+
+
+def checkpoints(spark, d):
+    """A checkpoint for each delegator, some without heights or targets and some with negative targets."""
+    m, k = F.max("pos"), F.col("delegator")
+    grouped = a.logged(spark, d).groupBy("delegator").agg(m.alias("m"))
+    target = F.col("m") + k % 3 * 100 - F.floor(k % 5 / 4) * 100_000
+    return grouped.select("delegator", F.when(k % 9 != 0, F.col("m")).alias("processed"), F.when(k % 7 != 0, target).cast("long").alias("target"))
+
+
+@query("SELECT * FROM (WITH" + SYNC.replace(",", " ", 1) + """SELECT delegator, CASE WHEN target IS NULL THEN NULL WHEN target <= 0 THEN 100.0::DOUBLE WHEN processed IS NULL THEN 0.0::DOUBLE ELSE least(processed::DOUBLE / target::DOUBLE * 100.0::DOUBLE, 100.0::DOUBLE) END AS synced,
+  coalesce(processed >= target, false) AS is_synced FROM point)""")
+def sts_indexer(spark, d):
+    c = checkpoints(spark, d)
+    return c.select("delegator", status.synced_percentage(F.col("processed"), F.col("target")).alias("synced"), status.is_synced(F.col("processed"), F.col("target")).alias("is_synced"))
+
+
+@query("SELECT * FROM (WITH" + SYNC.replace(",", " ", 1) + """, x AS (SELECT delegator, target - 50 + 1 AS total, greatest(0, least(processed - 50 + 1, target - 50 + 1)) AS done FROM point WHERE target IS NOT NULL)
+  SELECT delegator, CASE WHEN total <= 0 THEN 0 ELSE total - coalesce(done, 0) END AS remaining, CASE WHEN total <= 0 THEN 100.0::DOUBLE ELSE least(coalesce(done, 0)::DOUBLE / total::DOUBLE * 100.0::DOUBLE, 100.0::DOUBLE) END AS percentage
+  FROM (SELECT delegator, total, CASE WHEN done IS NULL OR (SELECT processed FROM point p WHERE p.delegator = x.delegator) IS NULL THEN 0 ELSE done END AS done FROM x))""")
+def sts_range_progress(spark, d):
+    c = checkpoints(spark, d).where("target IS NOT NULL")
+    remaining, percentage = status.range_progress(F.col("processed"), F.lit(50).cast("long"), F.col("target"))
+    return c.select("delegator", remaining.alias("remaining"), percentage.alias("percentage"))
+
+
+@query("SELECT proposal_id, CAST(least(greatest(floor(proposal_id * 10000.0::DOUBLE / quorum::DOUBLE + 0.5::DOUBLE), 0), 10000) AS BIGINT) AS points FROM proposal WHERE quorum > 0")
+def sts_sync_basis_points(spark, d):
+    return a.proposals(spark, d).where("quorum > 0").select("proposal_id", status.basis_points(F.col("proposal_id"), F.col("quorum")).alias("points"))
+
+
+@query("SELECT pos, value >= 15 AND pos % 3 > 0 AS stalled, CASE WHEN kind = 'error' THEN 'provider' WHEN kind = 'click' THEN 'database' ELSE 'unknown' END AS class FROM logged")
+def sts_stall(spark, d):
+    kind = F.when(F.col("kind").rlike("(?i)error"), "provider").when(F.col("kind").rlike("(?i)click"), "database").otherwise("unknown")
+    return a.logged(spark, d).select("pos", status.stalled(F.col("value"), F.col("pos") % 3).alias("stalled"), kind.alias("class"))
+
+
+@query("""SELECT coalesce(c.account, l.account) AS account, c.power AS indexed, l.power AS on_chain, CASE WHEN c.power IS NULL THEN 'missing' WHEN l.power IS NULL THEN 'unexpected' WHEN c.power > l.power THEN 'higher' WHEN c.power < l.power THEN 'lower' ELSE 'equal' END AS status
+FROM contributor c FULL JOIN live l ON c.account = l.account""")
+def aud_power(spark, d):
+    return status.power_audit(a.contributors(spark, d), a.live_contributors(spark, d), "account", "power")
+
+
+@query("""SELECT pos, CASE WHEN chain IS NULL THEN 'unverified' WHEN i = chain AND t = chain THEN 'all-agree' WHEN i = chain THEN 'third-party-differs' WHEN t = chain THEN 'index-differs' WHEN i = t THEN 'chain-differs' ELSE 'all-differ' END AS conclusion
+FROM (SELECT pos, value % 2 AS i, pos % 3 AS t, CASE WHEN kind <> 'error' THEN delegator % 3 END AS chain FROM logged)""")
+def aud_three_way(spark, d):
+    chain = F.when(F.col("kind") != "error", F.col("delegator") % 3)
+    return a.logged(spark, d).select("pos", status.audit_conclusion(F.col("value") % 2, F.col("pos") % 3, chain).alias("conclusion"))
+
+
+@query("SELECT coalesce(x.kind, y.kind) AS kind, CASE WHEN y.n IS NULL THEN 'missing' WHEN x.n IS NULL THEN 'unexpected' WHEN x.n = y.n THEN 'matched' ELSE 'mismatched' END AS status FROM (SELECT kind, count(*) AS n FROM logged WHERE pos % 2 = 0 GROUP BY kind) x FULL JOIN (SELECT kind, count(*) AS n FROM logged WHERE pos % 2 = 1 AND kind <> 'error' GROUP BY kind) y ON x.kind = y.kind")
+def aud_parity(spark, d):
+    rows = a.logged(spark, d)
+    x = rows.where("pos % 2 = 0").groupBy("kind").agg(F.count("*").alias("x"))
+    y = rows.where("pos % 2 = 1 AND kind <> 'error'").groupBy("kind").agg(F.count("*").alias("y"))
+    verdict = F.when(F.col("y").isNull(), "missing").when(F.col("x").isNull(), "unexpected").when(F.col("x") == F.col("y"), "matched").otherwise("mismatched")
+    return x.join(y, "kind", "full").select("kind", verdict.alias("status"))
+
+
+@query()
+def agg_table_digest(spark, d):
+    return status.table_digest(a.proposals(spark, d))
+
+
+@query("SELECT proposer, CASE WHEN count(*) FILTER (WHERE state = 'P') > 0 THEN 'full' WHEN count(*) FILTER (WHERE state = 'O') > 1 THEN 'partial' ELSE 'none' END AS support FROM proposal GROUP BY proposer")
+def aud_compat(spark, d):
+    support = F.when(F.count_if(F.col("state") == "P") > 0, "full").when(F.count_if(F.col("state") == "O") > 1, "partial").otherwise("none")
+    return a.proposals(spark, d).groupBy("proposer").agg(support.alias("support"))
+
+
+@query("""SELECT proposal_id, current_votes, quorum % 60 <> 0 AND current_votes >= quorum % 60 AS reached FROM (SELECT p.proposal_id, p.quorum, CASE WHEN p.chain_id = 0 THEN coalesce(f, 0) WHEN p.chain_id = 1 THEN coalesce(f, 0) + coalesce(g, 0) ELSE coalesce(f, 0) + coalesce(ab, 0) END AS current_votes
+FROM proposal p LEFT JOIN (SELECT proposal_id, CAST(sum(weight) FILTER (WHERE support = 1) AS BIGINT) AS f, CAST(sum(weight) FILTER (WHERE support = 0) AS BIGINT) AS g, CAST(sum(weight) FILTER (WHERE support = 2) AS BIGINT) AS ab FROM vote GROUP BY proposal_id) v USING (proposal_id))""")
+def web_quorum(spark, d):
+    mode = F.when(F.col("chain_id") == 0, "support=bravo&quorum=for").when(F.col("chain_id") == 1, "quorum=For, against").otherwise("quorum=for,for")
+    v = a.votes(spark, d).groupBy("proposal_id").agg(*totals())
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    joined = a.proposals(spark, d).join(v, "proposal_id", "left")
+    counted = joined.withColumn("current_votes", status.quorum_votes(mode, zero(F.col("votes_for")), zero(F.col("votes_against")), zero(F.col("votes_abstain"))))
+    return counted.select("proposal_id", "current_votes", status.quorum_reached(F.col("current_votes"), F.col("quorum") % 60).alias("reached"))
+
+
+@query("SELECT account, floor(abs(power) * 10000 // t.total)::DOUBLE / 100.0::DOUBLE AS share FROM contributor, (SELECT CAST(sum(abs(power)) AS BIGINT) AS total FROM contributor) t")
+def web_power_share(spark, d):
+    c = a.contributors(spark, d)
+    total = c.agg(F.sum(F.abs("power"))).first()[0]
+    return c.select("account", status.power_share(F.abs("power"), F.lit(total)).alias("share"))
+
+
+@query("SELECT voter, count(DISTINCT proposal_id) * 100.0::DOUBLE / 10.0::DOUBLE AS participation FROM vote WHERE proposal_id IN (SELECT proposal_id FROM proposal WHERE EXISTS (SELECT 1 FROM vote v WHERE v.proposal_id = proposal.proposal_id) ORDER BY created DESC, proposal_id DESC LIMIT 10) GROUP BY voter")
+def web_participation(spark, d):
+    voted = filters.exists(a.proposals(spark, d), a.votes(spark, d).select(F.col("proposal_id").alias("pid")), {"proposal_id": "pid"})
+    return status.participation(voted, a.votes(spark, d), 10).select("voter", F.col("participation").cast("double").alias("participation"))
+
+
+@query("SELECT c.account, coalesce(nullif(p.f, 0), p.n, 0) AS n FROM contributor c LEFT JOIN (SELECT proposer, count(*) FILTER (WHERE state = 'F') AS f, count(*) AS n FROM proposal GROUP BY proposer) p ON p.proposer = c.account")
+def web_counts(spark, d):
+    p = a.proposals(spark, d).groupBy("proposer").agg(F.count_if(F.col("state") == "F").alias("f"), F.count("*").alias("n"))
+    return a.contributors(spark, d).join(p, F.col("account") == F.col("proposer"), "left").select("account", F.coalesce(F.nullif("f", F.lit(0)), "n", F.lit(0)).cast("long").alias("n"))
+
+
+@query("SELECT account, power, row_number() OVER (ORDER BY power DESC NULLS LAST, account) AS rank FROM (SELECT c.account, max(p.quorum) AS power FROM contributor c LEFT JOIN proposal p ON p.proposer = c.account GROUP BY c.account) ORDER BY rank LIMIT 40")
+def web_members(spark, d):
+    power = a.proposals(spark, d).groupBy(F.col("proposer").alias("account")).agg(F.max("quorum").alias("power"))
+    members = a.contributors(spark, d).select("account").join(power, "account", "left")
+    top = filters.page(filters.ordered(members, ["power_DESC_NULLS_LAST"], tie="account"), 0, 40)
+    return status.ranked(top, "power", "account").select("account", "power", F.col("rank").cast("long").alias("rank"))
+
+
+@query("SELECT part, round(value / sum(value) OVER () * 1000000)::BIGINT AS millionths FROM (SELECT CAST(p_partkey AS BIGINT) AS part, CAST(p_size * floor(p_retailprice) AS BIGINT) AS value FROM part)")
+def web_treasury(spark, d):
+    p = a.table(spark, d, "part").select(F.col("p_partkey").cast("long").alias("part"), F.col("p_size").cast("double").alias("balance"), F.floor("p_retailprice").cast("double").alias("price"), F.lit(0.0).alias("change"))
+    return status.treasury(p, "balance", "price", "change").select("part", F.round(F.col("share") * 1_000_000).cast("long").alias("millionths"))
+
+
+@query("""SELECT * FROM (WITH RECURSIVE n AS (SELECT conv_id * 1000 + turn AS id, CASE WHEN turn > 0 THEN conv_id * 1000 + (turn - 1) // 2 END AS parent FROM (SELECT DISTINCT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn FROM conversations)),
+t AS (SELECT id, 0 AS depth FROM n WHERE parent IS NULL OR parent NOT IN (SELECT id FROM n) UNION ALL SELECT n.id, t.depth + 1 FROM n JOIN t ON n.parent = t.id) SELECT id, depth FROM t)""", views=False)
+def web_comment_tree(spark, d):
+    turns = a.table(spark, d, "conversations").select(F.col("conv_id").cast("long").alias("c"), F.col("turn").cast("long").alias("t")).distinct()
+    nodes = turns.select((F.col("c") * 1000 + F.col("t")).alias("id"), F.when(F.col("t") > 0, F.col("c") * 1000 + F.floor((F.col("t") - 1) / 2)).alias("parent"))
+    return status.comment_tree(nodes, "id", "parent").select("id", "depth")
+
+
+@query("SELECT pos, CASE WHEN kind <> 'error' THEN 'found' WHEN value < 30 THEN 'indexing' WHEN value < 60 THEN 'problem' ELSE 'not-found' END AS state FROM logged")
+def web_missing_state(spark, d):
+    state = F.when(F.col("kind") != "error", "found").when(F.col("value") < 30, "indexing").when(F.col("value") < 60, "problem").otherwise("not-found")
+    return a.logged(spark, d).select("pos", state.alias("state"))
+
+
+@query()
+def bkf_titles(spark, d):
+    """Documents whose stored title (here the first 50 characters) differs from the one that is computed now."""
+    rows = a.table(spark, d, "documents").select("doc_id", F.left("text", F.lit(50)).alias("stored"), descriptions.title("text").alias("title"))
+    return rows.where(~F.col("stored").eqNullSafe(F.col("title"))).select("doc_id", "title")
+
+
+@query("SELECT p.proposal_id, c.segment FROM proposal p JOIN contributor c ON c.account = p.proposer WHERE c.segment IS DISTINCT FROM p.mode")
+def bkf_reference(spark, d):
+    c = a.contributors(spark, d).select("account", "segment")
+    return a.proposals(spark, d).join(c, F.col("account") == F.col("proposer")).where(~F.col("segment").eqNullSafe(F.col("mode"))).select("proposal_id", "segment")
+
+
+@query("SELECT p.proposal_id, coalesce(CASE WHEN p.chain_id <> 2 THEN p.created END, v.first_ms) AS created FROM proposal p LEFT JOIN (SELECT proposal_id, min(cast_ms) AS first_ms FROM vote GROUP BY proposal_id) v USING (proposal_id) WHERE p.proposal_id <= 4000")
+def bkf_timestamps(spark, d):
+    first = a.votes(spark, d).groupBy("proposal_id").agg(F.min("cast_ms").alias("first_ms"))
+    rows = a.proposals(spark, d).where("proposal_id <= 4000").join(first, "proposal_id", "left")
+    return rows.select("proposal_id", F.coalesce(F.when(F.col("chain_id") != 2, F.col("created")), "first_ms").alias("created"))
+
+
+@query("SELECT proposal_id FROM proposal p WHERE EXISTS (SELECT 1 FROM durable d WHERE d.proposal_id = p.proposal_id) AND NOT EXISTS (SELECT 1 FROM overlay_only o WHERE o.proposal_id = p.proposal_id)")
+def bkf_timelock(spark, d):
+    from rollcall.plans.entities import overlay_only
+
+    queued = filters.exists(a.proposals(spark, d), a.durable_votes(spark, d).select(F.col("proposal_id").alias("pid")), {"proposal_id": "pid"})
+    return filters.missing(queued, overlay_only(spark, d).select(F.col("proposal_id").alias("pid")), {"proposal_id": "pid"}).select("proposal_id")
+
+
+@query("SELECT DISTINCT proposer AS account FROM proposal WHERE proposer NOT IN (SELECT account FROM contributor WHERE scope < 20)")
+def bkf_profiles(spark, d):
+    known = a.contributors(spark, d).where("scope < 20").select("account")
+    return a.proposals(spark, d).select(F.col("proposer").alias("account")).distinct().join(known, "account", "left_anti")
+
+
+@query("SELECT c.account, CASE WHEN l.account IS NULL THEN c.power ELSE l.power END AS power, CASE WHEN l.account IS NOT NULL THEN CAST(l.power <> 0 AS INTEGER) - CAST(c.power <> 0 AS INTEGER) ELSE 0 END AS effective FROM contributor c LEFT JOIN live l USING (account)")
+def bkf_balance_edges(spark, d):
+    live = a.live_contributors(spark, d).select("account", F.col("power").alias("balance"))
+    effective = F.when(F.col("balance").isNotNull(), (F.col("balance") != 0).cast("int") - (F.col("power") != 0).cast("int")).otherwise(0)
+    return a.contributors(spark, d).join(live, "account", "left").select("account", F.coalesce("balance", "power").alias("power"), effective.alias("effective"))
+
+
+@query("SELECT delegator, pos, value, value - coalesce(lag(value) OVER (PARTITION BY delegator ORDER BY pos), 0) AS delta FROM logged")
+def bkf_checkpoints(spark, d):
+    from pyspark.sql import Window
+
+    before = F.lag("value", 1, 0).over(Window.partitionBy("delegator").orderBy("pos"))
+    return a.logged(spark, d).select("delegator", "pos", "value", (F.col("value") - before).alias("delta"))
+
+
+@query("SELECT delegator, dh::DOUBLE / dt::DOUBLE AS rate FROM (SELECT delegator, pos - lag(pos) OVER w AS dh, at_ms - lag(at_ms) OVER w AS dt, row_number() OVER (PARTITION BY delegator ORDER BY at_ms DESC) AS k FROM logged WINDOW w AS (PARTITION BY delegator ORDER BY at_ms)) WHERE k = 1 AND dt > 0")
+def win_rate_eta(spark, d):
+    rows = a.logged(spark, d).withColumn("target", F.lit(100_000).cast("long"))
+    return rate_and_eta(rows, "delegator", "at_ms", "pos", "target").where("rate IS NOT NULL").select("delegator", "rate")
+
+
+@query("SELECT doc_id, CAST(length(text) AS BIGINT) AS n FROM documents WHERE text ILIKE '%license%'")
+def fn_body_tags(spark, d):
+    rows = a.table(spark, d, "documents").where(scalars.contains_ci(F.col("text"), "license", escaped=True))
+    tagged = rows.withColumn("tagged", F.concat(F.lit("<discussion> "), F.char_length("text").cast("string"), F.lit(" </discussion>rest")))
+    return tagged.select("doc_id", descriptions.tag(F.col("tagged"), "discussion").cast("long").alias("n"))

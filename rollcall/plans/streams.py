@@ -1 +1,112 @@
-"""."""
+"""Queries of block-height streaming state."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from rollcall.plans import analogues as a
+from rollcall.plans.registry import query
+from rollcall.plans.status_queries import SYNC, checkpoints
+from rollcall.streaming import state
+
+
+@query("SELECT delegator, max(pos) AS processed_height, max(pos) + 1 AS next_block, max(pos) + 10 AS target_height, CAST(NULL AS VARCHAR) AS last_error FROM logged GROUP BY delegator")
+def str_checkpoint(spark, d):
+    commits = a.logged(spark, d).select("delegator", F.col("pos").alias("processed_height"), (F.col("pos") + 1).alias("next_block"), (F.col("pos") + 10).alias("target_height"), F.lit(None).cast("string").alias("last_error"))
+    stale = commits.where("processed_height < 300").withColumn("last_error", F.lit("timeout"))
+    return state.advanced(stale, commits, ["delegator"])
+
+
+@query("SELECT * FROM (WITH" + SYNC.replace(",", " ", 1) + "SELECT delegator, processed + 1 AS from_block, least(processed + 40, target) AS to_block FROM point WHERE processed + 1 <= target)")
+def str_next_range(spark, d):
+    found = checkpoints(spark, d).select("delegator", state.next_range(F.col("processed") + 1, F.col("target"), 40).alias("r"))
+    return found.where("r IS NOT NULL").select("delegator", "r.from_block", "r.to_block")
+
+
+@query("SELECT delegator, greatest(min(pos) + 1, max(pos) - 29) AS from_block, max(pos) AS to_block FROM logged GROUP BY delegator HAVING max(pos) > min(pos)")
+def str_tail_tumbling(spark, d):
+    ends = a.logged(spark, d).groupBy("delegator").agg(F.min("pos").alias("lo"), F.max("pos").alias("hi"))
+    return ends.select("delegator", state.tail_window(F.col("hi"), F.col("lo"), 30).alias("r")).where("r IS NOT NULL").select("delegator", "r.from_block", "r.to_block")
+
+
+@query("SELECT * FROM (WITH" + SYNC.replace(",", " ", 1) + "SELECT delegator, target + 1 AS from_block, target + 5 AS to_block FROM point WHERE processed >= target)")
+def str_prov_tail(spark, d):
+    c = checkpoints(spark, d).select("delegator", state.provisional_range(F.col("processed"), F.col("target"), F.col("target") + 5).alias("r"))
+    return c.where("r IS NOT NULL").select("delegator", "r.from_block", "r.to_block")
+
+
+@query("SELECT DISTINCT delegator, kind FROM logged")
+def str_replay(spark, d):
+    """A log that is read twice counts once."""
+    rows = a.logged(spark, d).select("delegator", "kind")
+    return rows.unionByName(rows).dropDuplicates(["delegator", "kind"])
+
+
+@query("SELECT pos, CASE WHEN pos <= 600 THEN 'finalized' ELSE 'available' END AS status FROM logged")
+def str_promotion(spark, d):
+    from rollcall.operators.overlay import finalized
+
+    return finalized(a.logged(spark, d).withColumn("status", F.lit("available")), 600, "pos").select("pos", "status")
+
+
+@query("SELECT pos, CASE WHEN pos > 600 AND kind = 'view' THEN 'invalid' ELSE 'available' END AS status FROM logged")
+def str_retraction(spark, d):
+    from rollcall.operators.overlay import rolled_back
+
+    rows = a.logged(spark, d).withColumns({"status": F.lit("available"), "reason": F.lit(None).cast("string")})
+    return rolled_back(rows, (F.col("pos") > 600) & (F.col("kind") == "view"), "reorg").select("pos", "status")
+
+
+@query("""SELECT pos FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY value, at_ms, pos) AS k FROM (SELECT *, delegator % 3 AS q FROM logged)) WHERE k <= 30 ORDER BY k > 10, value, at_ms, pos LIMIT 30""")
+def str_claim(spark, d):
+    tasks = a.logged(spark, d).withColumn("q", F.col("delegator") % 3)
+    return state.claimed(tasks, "q", 30, due="value", updated="at_ms", ident="pos").select("pos")
+
+
+@query("SELECT DISTINCT c.account FROM contributor c WHERE NOT EXISTS (SELECT 1 FROM proposal p WHERE p.proposer = c.account) AND NOT EXISTS (SELECT 1 FROM live l WHERE l.account = c.account)")
+def str_coverage_repair(spark, d):
+    proposers = a.proposals(spark, d).select(F.col("proposer").alias("account"))
+    return state.uncovered(a.contributors(spark, d).select("account"), "account", proposers, a.live_contributors(spark, d))
+
+
+@query("SELECT pos, CASE WHEN value >= 20 AND kind <> 'error' THEN 'exhausted' ELSE 'pending' END AS status, CASE WHEN value >= 20 AND kind <> 'error' THEN at_ms ELSE at_ms + 60000 END AS next_run_at FROM logged")
+def str_fail_policy(spark, d):
+    tasks = a.logged(spark, d).withColumns({"attempts": F.col("value"), "error": F.when(F.col("kind") == "error", "RPC: block not found"), "next_run_at": F.col("at_ms"), "status": F.lit("running")})
+    return state.failed(tasks, 20, F.lit(60_000)).select("pos", "status", "next_run_at")
+
+
+@query("SELECT pos, at_ms + 1000 * (1 + value % 5) AS next_run_at FROM logged WHERE kind = 'error'")
+def str_timers(spark, d):
+    return a.logged(spark, d).where("kind = 'error'").select("pos", (F.col("at_ms") + 1000 * (1 + F.col("value") % 5)).alias("next_run_at"))
+
+
+@query("SELECT delegator, min(at_ms) AS first_at, max(at_ms) AS last_at, count(*) AS n_events, max(at_ms) + 5000 AS next_run_at FROM logged GROUP BY delegator")
+def str_debounce(spark, d):
+    return state.debounced(a.logged(spark, d), "delegator", "at_ms", 5000)
+
+
+@query("SELECT delegator, arg_max(kind, pos) AS kind FROM logged GROUP BY delegator")
+def str_late(spark, d):
+    """Late rows are folded by position, so that their arrival doesn't matter."""
+    rows = a.logged(spark, d)
+    return rows.where("pos % 7 <> 0").unionByName(rows.where("pos % 7 = 0")).groupBy("delegator").agg(F.max_by("kind", "pos").alias("kind"))
+
+
+@query()
+def str_adaptive(spark, d):
+    """The chunk sizes that a fixed run of chunks leads to."""
+    sizer, rows = state.ChunkSizer(1000), []
+    for k, (n, read, local) in enumerate([(50, 0.5, 0.5), (40, 0.4, 0.2), (9000, 1, 1), (10, 12, 1), (20, 0.1, 0.1), (30, 0.1, 0.1)]):
+        reason = sizer.record(n, read, local)
+        rows.append((k, sizer.size, reason))
+    return spark.createDataFrame(rows, "chunk long, size long, reason string")
+
+
+@query()
+def str_stateful_fold(spark, d):
+    """The delegations after the log came in two parts, the later one first."""
+    from rollcall.operators.folds import delegation_fold, mappings
+    from rollcall.plans.projections import delegation_log
+
+    log = delegation_log(spark, d)
+    return mappings(delegation_fold(log.where("pos % 2 = 1").unionByName(log.where("pos % 2 = 0")), zero="zero")).select("delegator", "delegate", F.col("power").cast("long").alias("power"))
