@@ -25,7 +25,7 @@ BUCKETS = 1 << 16
 #: Rank of a pair that doesn't merge.
 NEVER = 2**31 - 1
 #: Documents of the sample, at most, and the words taken from it; only speed depends on them.
-SAMPLED, REMEMBERED = 4000, 60_000
+SAMPLED, REMEMBERED = 4000, 150_000
 
 
 def default_ranks() -> str:
@@ -105,7 +105,7 @@ def folded(word: Column, ranks: Column) -> Column:
 
 def encoded_word(word: Column, ranks: Column) -> Column:
     """The ids of a word: its own, or those of its folded bytes."""
-    return F.coalesce(F.when(looked_up(ranks, word).isNotNull(), F.array(looked_up(ranks, word))), folded(word, ranks))
+    return bound(looked_up(ranks, word), lambda own: F.when(own.isNotNull(), F.array(own)).otherwise(folded(word, ranks)))
 
 
 def words_of(text: Column, pattern: str) -> Column:
@@ -116,7 +116,7 @@ def frequent_words(docs: DataFrame, text_col: str, ranks: Column, pattern: str)
     """The most frequent words of a sample of the documents, folded; at most REMEMBERED."""
     sample = docs.select(text_col).limit(SAMPLED)
     counted = sample.select(F.explode(words_of(F.col(text_col), pattern)).alias("w")).groupBy("w").count().orderBy(F.desc("count"), "w").limit(REMEMBERED)
-    rows = counted.select(F.hex(F.encode("w", "UTF-8")).alias("w")).select("w", encoded_word(F.col("w"), ranks).alias("ids")).collect()
+    rows = counted.select(F.hex(F.encode("w", "UTF-8")).alias("w")).select("w", bound(ranks, lambda r: encoded_word(F.col("w"), r)).alias("ids")).collect()
     return {r["w"]: r["ids"] for r in rows}
 
 
@@ -124,12 +124,13 @@ def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """Per row: id and ids, the token ids of the whole text. The vocabulary is read by the driver."""
     ranks, pattern = bucketed(read_ranks(ranks_path or default_ranks()), "int"), pattern or default_pattern()
     known = bucketed(frequent_words(docs, text_col, ranks, pattern), "array<int>")
+    words = F.transform(words_of(F.col(text_col), pattern), lambda w: F.hex(F.encode(w, "UTF-8")))
 
-    def ids(w: Column) -> Column:
-        return F.coalesce(looked_up(known, w), encoded_word(w, ranks))
+    def encoded(held: Column) -> Column:
+        return F.flatten(F.transform(words, lambda w: F.coalesce(looked_up(held["known"], w), encoded_word(w, held["ranks"]))))
 
-    words = F.transform(words_of(F.col(text_col), pattern), lambda w: F.hex(F.encode(w, "UTF-8")))
-    return docs.select(F.col(id_col), F.flatten(F.transform(words, ids)).alias("ids"))
+    # one literal, bound once: each copy of it would go into every task
+    return docs.select(F.col(id_col), bound(F.struct(ranks.alias("ranks"), known.alias("known")), encoded).alias("ids"))
 
 
 def decoded(ids: Column, ranks_path: str | None = None) -> Column:
