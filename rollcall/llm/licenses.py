@@ -142,20 +142,4 @@ def op7_license_scan(spark, sf_dir: str) -> DataFrame:
     """All of ``documents``."""
     from rollcall.llm.frames import table
 
-    return scan_licenses(table(spark, sf_dir, "documents"))
-
-
-#: The base columns and the labels that follow from them, in DuckDB SQL; the notices' labels and scores are tested apart.
-BASE_SQL = r"""
-WITH w AS (
-  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS t FROM documents
-), p AS (
-  SELECT doc_id, t, i, CASE WHEN t[i] = 'mit' AND t[i + 1] = 'license' THEN 'mit' WHEN t[i] = 'apache' AND t[i + 1] = 'license' THEN 'apache'
-    WHEN t[i] = 'general' AND t[i + 1] = 'public' AND t[i + 2] = 'license' THEN 'gpl' END AS label
-  FROM (SELECT doc_id, t, unnest(range(1, len(t) + 1)) AS i FROM w)
-)
-SELECT w.doc_id, len(w.t)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word, coalesce(base_labels, '') AS base_labels
-FROM w LEFT JOIN (
-  SELECT doc_id, count(*) AS n, min(i) - 1 AS first_word, max(i) - 1 AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM p WHERE label IS NOT NULL GROUP BY doc_id
-) USING (doc_id)
-"""
+    return scan_licenses(table(spark, sf_dir, "documents")).drop("spans")

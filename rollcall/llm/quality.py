@@ -138,4 +138,4 @@ def op4_quality_rules(spark, sf_dir: str) -> DataFrame:
     """The rules over all of ``documents``."""
     from rollcall.llm.frames import table
 
-    return quality_rules(table(spark, sf_dir, "documents"))
+    return quality_rules(table(spark, sf_dir, "documents")).drop(*(f"rate_{r}" for r in RULES))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from rollcall.llm import line_dedup
 from rollcall.llm.byte_bpe import op10_byte_bpe
 from rollcall.llm.embedding_dedup import op6_embedding_near_dedup
 from rollcall.llm.extraction import op5_html_extraction
@@ -11,6 +10,7 @@ from rollcall.llm.language import op2_language_id
 from rollcall.llm.licenses import op7_license_scan
 from rollcall.llm.line_dedup import op3_line_dedup
 from rollcall.llm.minhash import op8_minhash_near_dedup
+from rollcall.llm.oracles import ORACLES as ORACLES
 from rollcall.llm.packing import op9_packing
 from rollcall.llm.quality import op4_quality_rules
 from rollcall.llm.substring_dedup import op1_suffix_array_dedup
@@ -28,4 +28,3 @@ QUERIES = {
     "op10_byte_bpe": op10_byte_bpe,
     "pipeline": corpus_pipeline.run,
 }
-ORACLES = {"op3_line_dedup": line_dedup.SQL}
