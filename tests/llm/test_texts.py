@@ -1,6 +1,5 @@
 """The operators on texts against plain Python, over a table with every awkward row."""
 
-import hashlib
 import random
 import re
 import zlib
@@ -8,6 +7,8 @@ from collections import Counter, defaultdict
 
 import pytest
 
+import brute
+
 WORDS = "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua".split()
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, word string, key string, v int"
 
@@ -54,20 +55,7 @@ def as_multiset(rows):
 def test_substrings(docs, rows, empty):
     from rollcall.llm.substring_dedup import removed_spans
 
-    seen, expected = defaultdict(lambda: float("inf")), []
-    for i, t, *_ in rows:
-        b = (t or "").encode()
-        for k in range(len(b) - 49):
-            if i is not None:
-                seen[b[k : k + 50]] = min(seen[b[k : k + 50]], i)
-    for i, t, *_ in rows:
-        b = (t or "").encode()
-        gone = bytearray(len(b))
-        for k in range(len(b) - 49):
-            if i is not None and seen[b[k : k + 50]] < i:
-                gone[k : k + 50] = b"\1" * 50
-        spans = [(m.start(), m.end()) for m in re.finditer(b"\1+", bytes(gone))]
-        expected.append((i, None if t is None else bytes(c for c, g in zip(b, gone, strict=True) if not g), len(b), tuple(spans)))
+    expected = brute.substrings(rows)
     found = [(r.doc_id, None if r.kept is None else bytes(r.kept), r.n_bytes, tuple(map(tuple, r.spans))) for r in removed_spans(docs).collect()]
     assert Counter(found) == Counter(expected)
     assert sum(len(e[3]) for e in expected) > 10
@@ -96,35 +84,12 @@ def test_dedup_substrings_keeps_columns_and_characters(docs, spark):
     assert [tuple(r) for r in dedup_substrings(two).orderBy("doc_id").collect()] == [(1, "é" * 40, None), (2, "xy", "b")]
 
 
-def levenshtein(a, b):
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        new = [i]
-        for j, y in enumerate(b, 1):
-            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
-        row = new
-    return row[-1]
-
-
 def test_lines(docs, rows, empty):
     from rollcall.llm.line_dedup import dedup_lines
 
-    lines = [(i, p, x.strip(" \t\r")) for i, t, *_ in rows if t is not None and i is not None for p, x in enumerate(t.split("\n"))]
-    first = {}
-    for i, p, x in lines:
-        if len(x) >= 20:
-            first[x] = min(first.get(x, (i, p)), (i, p))
-    earliest = {x: min([at, *(b for y, b in first.items() if y != x and b < at and abs(len(x) - len(y)) <= 1 and sum(1 for u, v in zip(x, y) if u != v) < max(len(x), len(y)) and levenshtein(x, y) <= 1)]) for x, at in first.items()}
-    expected = []
-    for i, t, *_ in rows:
-        if t is None or i is None:
-            expected.append((i, t, 0 if t is None else len(t.split("\n")), 0))
-            continue
-        kept = [x for p, x in enumerate(t.split("\n")) if x.strip(" \t\r") not in earliest or earliest[x.strip(" \t\r")] >= (i, p)]
-        n = len(t.split("\n"))
-        expected.append((i, "\n".join(kept), n, n - len(kept)))
+    expected = [(i, t, n, k) for i, t, _, n, k in brute.lines([(r[0], r[1], r[3]) for r in rows])]
     found = [(r.doc_id, r.text, r.n_lines, r.n_removed) for r in dedup_lines(docs).collect()]
-    assert Counter(found) == Counter(expected)
+    assert Counter(found) == Counter(expected) and sum(e[3] for e in expected) > 3
     assert dedup_lines(empty).collect() == []
 
 
@@ -139,24 +104,17 @@ def test_lines_within_one_edit(spark):
         texts += [line, line[:at] + line[at + 1 :], line[:at] + "#" + line[at:], line[:at] + "#" + line[at + 1 :], line[:at] + "##" + line[at:]]
     r.shuffle(texts)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    expected = {i: any(levenshtein(t, texts[j]) <= 1 for j in range(i)) for i, t in enumerate(texts)}
+    expected = {i: any(brute.levenshtein(t, texts[j]) <= 1 for j in range(i)) for i, t in enumerate(texts)}
     assert {r.doc_id: r.n_removed == 1 for r in dedup_lines(df).collect()} == expected
 
 
 def test_quality(docs, rows, empty):
     from rollcall.llm.quality import quality_rules
 
-    def measured(t):
-        words = re.findall(r"[^\x20\x09-\x0D]+", t)
-        windows = Counter(tuple(words[k : k + 5]) for k in range(len(words) - 4))
-        hit = {k + d for k in range(len(words) - 4) if windows[tuple(words[k : k + 5])] > 1 for d in range(5)}
-        lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
-        return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(hit)
-
     expected = []
     for i, t, *_ in rows:
-        m = measured(t or "")
-        expected.append((i, *m, m[0] < 10 or 100 * m[4] > 20 * m[0]))
+        m = brute.measures(t or "")
+        expected.append((i, *m[:5], m[0] < 10 or 100 * m[4] > 20 * m[0]))
     found = quality_rules(docs).collect()
     assert Counter(tuple(r)[:7] for r in found) == Counter(expected)
     assert all(not (r.base_failed and r.kept) for r in found) and all(r.kept for r in found if not r.base_failed and r.n_soft_failures == 0)
@@ -196,33 +154,12 @@ def test_notices(spark):
     assert all(NOTICES[k][0] in found[k] for k, _ in full) and found[90] == [""]
 
 
-def shingles(t):
-    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
-    return {tuple(words[k : k + 5]) for k in range(len(words) - 4)} if len(words) >= 5 else {tuple(words)} if words else set()
-
-
-def reached(nodes, links):
-    parent = {n: n for n in nodes}
-
-    def root(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    for a, b in links:
-        x, y = root(a), root(b)
-        parent[max(x, y)] = min(x, y)
-    return {n: root(n) for n in nodes}
-
-
 @pytest.mark.parametrize("percent", [80, 85])
 def test_near_duplicates(docs, rows, empty, percent):
     from rollcall.llm.minhash import near_duplicates
 
-    sets = {i: shingles(t) for i, t, *_ in rows if i is not None}
-    linked = [(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
-    component = reached(sets, linked)
-    expected = [(i, len(shingles(t)), None if i is None else component[i], i is None or component[i] == i) for i, t, *_ in rows]
+    component, linked = brute.near_components(rows, percent)
+    expected = [(i, len(brute.shingles(t)), None if i is None else component[i], i is None or component[i] == i) for i, t, *_ in rows]
     assert as_multiset(near_duplicates(docs, percent=percent).collect()) == Counter(expected)
     assert len(linked) > 10 and near_duplicates(empty).collect() == []
 
@@ -238,8 +175,7 @@ def test_near_duplicates_in_a_large_loose_group(spark, monkeypatch):
         for _ in range(r.randrange(1, 6)):
             words[r.randrange(len(words))] = f"w{r.randrange(1000)}"
         texts.append(" ".join(words))
-    sets = {i: shingles(t) for i, t in enumerate(texts)}
-    component = reached(sets, [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])])
+    component, _ = brute.near_components(list(enumerate(texts)), 85)
     monkeypatch.setattr(m, "TILE", 16)
     found = m.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), percent=85).collect()
     assert {x.doc_id: x.component_id for x in found} == component and 1 < len(set(component.values())) < 90
@@ -316,15 +252,36 @@ def test_byte_bpe(docs, rows, empty):
     assert encode_texts(empty).collect() == []
 
 
-def test_pipeline_stages(spark, docs):
+def test_pipeline(spark, docs, rows):
+    """All stages against plain versions of them, down to the token ids."""
+    import numpy as np
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
     import corpus_pipeline as c
 
-    columns, now = list(c.COLUMNS), docs.select(*c.COLUMNS)
-    sizes = []
-    for name, stage in c.STAGES:
-        now = spark.createDataFrame(stage(spark, now, "").collect() or [], None) if name == c.STAGES[-1][0] else stage(spark, now, "")
-        sizes.append(now.count())
-        if name != c.STAGES[-1][0]:
-            assert now.columns == columns
-    assert sizes[0] < docs.count() and sizes[1] == sizes[0] and sizes[2] < sizes[1] and sizes[3] == sizes[2]
-    assert hashlib.sha256(b"").hexdigest()
+    now = docs.where("doc_id IS NOT NULL").select(*c.COLUMNS)
+    expected = brute.quality([(r[0], r[1], r[3]) for r in rows if r[0] is not None])
+    for name, stage in c.STAGES[:-1]:
+        now = stage(spark, now, "")
+        assert now.columns == list(c.COLUMNS)
+        now = now.checkpoint()
+        if name == "line_dedup":
+            expected = [(i, t, s) for i, t, s, *_ in brute.lines(expected)]
+        elif name == "minhash_near_dedup":
+            component, _ = brute.near_components(expected, 80)
+            expected = [r for r in expected if component[r[0]] == r[0]]
+        elif name == "suffix_array_dedup":
+            kept = {i: b for i, b, *_ in brute.substrings(expected)}
+            expected = [(i, kept[i].decode("utf-8", "ignore"), s) for i, _, s in expected]
+        assert Counter((r.doc_id, r.text, r.source) for r in now.collect()) == Counter(expected), name
+        assert all(r.n_chars == len(r.text) for r in now.collect()) or name == "quality_rules"
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    held = defaultdict(list)
+    for p in c.STAGES[-1][1](spark, now, "").collect():
+        held[p.doc_id].append((p.start, bytes(p.ids)))
+    copies = Counter(i for i, *_ in expected)
+    for i, t, _ in expected:
+        whole = np.array([*tokenizer.encode(t, add_special_tokens=False).ids, 2], "<u4").tobytes()
+        assert sum(len(b) for _, b in held[i]) == copies[i] * len(whole) and all(whole[4 * a : 4 * a + len(b)] == b for a, b in held[i])
+    assert set(held) == set(copies) and len(copies) < len(rows) - 10
