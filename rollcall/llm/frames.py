@@ -45,9 +45,10 @@ def utf8(column: str) -> F.Column:
 
 
 def rows_of(batches: Iterable[pa.RecordBatch], *names: str) -> Iterator[tuple]:
-    """The rows of some columns as Python values."""
+    """The rows of some columns as Python values, a few at a time."""
     for batch in batches:
-        yield from zip(*(batch.column(n).to_pylist() for n in names), strict=True)
+        for at in range(0, batch.num_rows, 256):
+            yield from zip(*(batch.column(n).slice(at, 256).to_pylist() for n in names), strict=True)
 
 
 def emitted(rows: Iterable[tuple], schema: pa.Schema, size: int = 4096) -> Iterator[pa.RecordBatch]:

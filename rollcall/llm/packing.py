@@ -31,8 +31,8 @@ END_ID = 2
 #: Sequence ids of windows that were merged across partitions start here; below, the high half is the partition.
 MERGED_FROM = 1 << 62
 #: Words whose ids a Python worker remembers at most; only speed depends on it.
-REMEMBERED_WORDS = 1_200_000
-REMEMBERED_PIECES = 150_000
+REMEMBERED_WORDS = 400_000
+REMEMBERED_PIECES = 100_000
 #: Pieces that are tokenized as one text.
 JOINED = 64
 WORD_END = "</w>"
