@@ -31,8 +31,8 @@ END_ID = 2
 #: Sequence ids of windows that were merged across partitions start here; below, the high half is the partition.
 MERGED_FROM = 1 << 62
 #: Words whose ids a Python worker remembers at most; only speed depends on it.
-REMEMBERED_WORDS = 400_000
-REMEMBERED_PIECES = 100_000
+REMEMBERED_WORDS = 800_000
+REMEMBERED_PIECES = 150_000
 #: Pieces that are tokenized as one text.
 JOINED = 64
 WORD_END = "</w>"
@@ -237,6 +237,7 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, id_col: str =
                     for doc_id, tokens in zip(ids[at : at + 256], encode(texts[at : at + 256].to_pylist(), end_id), strict=True):
                         for window in packer.place(doc_id, tokens):
                             yield from pieces(window)
+            word_ids(path).forget()  # the worker's memory is for other tasks now
             for window in packer.merged():
                 yield from pieces(window, left=sum(len(p[3]) for p in window) < capacity)
 
