@@ -23,7 +23,8 @@ def coverage(segments: DataFrame, scope: list[str], selector: list[str], end: st
 def range_progress(processed: Column, start: Column, target: Column) -> tuple[Column, Column]:
     """Blocks that remain of a configured range, and the percentage that is done."""
     total = target - start + 1
-    done = F.coalesce(F.greatest(F.lit(0).cast("long"), F.least(processed - start + 1, total)), F.lit(0).cast("long"))
+    none = F.lit(0).cast("long")  # greatest and least skip nulls
+    done = F.when(processed.isNull(), none).otherwise(F.greatest(none, F.least(processed - start + 1, total)))
     empty = total <= 0
     return F.when(empty, F.lit(0).cast("long")).otherwise(total - done), F.when(empty, 100.0).otherwise(F.least(done.cast("double") / F.nullif(total, F.lit(0).cast("long")).cast("double") * 100.0, F.lit(100.0)))
 

@@ -175,7 +175,7 @@ def fn_keccak(spark, d):
     return a.table(spark, d, "benchmark").select("item_id", keccak_hex("text").alias("hash"))
 
 
-@query("""SELECT account, CASE WHEN power >= 1000 THEN regexp_replace(regexp_replace(printf('%.2f', round(power / 1000.0, 2)), '0+$', ''), '\\.$', '') || 'K' ELSE CAST(power AS VARCHAR) END AS shown FROM contributor WHERE power >= 0""")
+@query("""SELECT account, CASE WHEN power >= 1000 THEN regexp_replace(regexp_replace(CAST((power + 5) // 10 // 100 AS VARCHAR) || '.' || lpad(CAST((power + 5) // 10 % 100 AS VARCHAR), 2, '0'), '0+$', ''), '\\.$', '') || 'K' ELSE CAST(power AS VARCHAR) END AS shown FROM contributor WHERE power >= 0""")
 def fn_display_number(spark, d):
     return a.contributors(spark, d).where("power >= 0").select("account", scalars.display_number(F.col("power").cast("double")).alias("shown"))
 

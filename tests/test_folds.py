@@ -89,3 +89,9 @@ def test_zero_denominators(spark):
     assert [r.share for r in status.treasury(df, "balance", "price", "change").collect()] == [0.0, 0.0]
     digests = {tuple(status.table_digest(df.orderBy(F.col("k").desc() if d else F.col("k"))).first()) for d in (0, 1)}
     assert len(digests) == 1
+
+
+def test_no_progress_without_a_height(spark):
+    df = spark.createDataFrame([(None, 10, 20), (12, 10, 20), (30, 10, 20), (5, 10, 9)], "p long, s long, t long")
+    remaining, done = status.range_progress(F.col("p"), F.col("s"), F.col("t"))
+    assert [tuple(r) for r in df.select(remaining, F.round(done, 1)).collect()] == [(11, 0.0), (8, 27.3), (0, 100.0), (0, 100.0)]
