@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 LENGTH = 50
 QGRAM = 24
 #: Bytes of text in a chunk, and in a hash bucket's share of the corpus; but there are at least LEAST_PARTS of either.
-CHUNK_BYTES, BUCKET_BYTES, LEAST_PARTS = 8 << 20, 64 << 20, 64
+CHUNK_BYTES, BUCKET_BYTES, LEAST_PARTS = 4 << 20, 12 << 20, 64
 #: Occurrences from which on a minimizer's strings are dealt by their own hash.
 FREQUENT = 2000
 BATCH = 1 << 20
@@ -78,11 +78,14 @@ def runs(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
             hashes = qgram_hashes(joined)
             keys = (hashes & _HIGH) | np.arange(len(hashes), dtype=np.uint64)
             places = (window_minima(keys, LENGTH - QGRAM + 1) & np.uint64(0xFFFFFFFF)).astype(np.int64)
-            ends = np.cumsum([len(t) for t in some])
-            starts = ends - [len(t) for t in some]
-            window = np.arange(len(places))
-            doc = np.searchsorted(ends, window, side="right")
-            inside = window + LENGTH <= ends[doc]
+            sizes = np.array([len(t) for t in some])
+            ends = np.cumsum(sizes)
+            starts = ends - sizes
+            doc = np.repeat(np.arange(len(some)), sizes)[: len(places)]
+            inside = np.zeros(len(joined), bool)
+            for a, n in zip(starts.tolist(), sizes.tolist(), strict=True):
+                inside[a : max(a, a + n - LENGTH + 1)] = True
+            inside = inside[: len(places)]
             new = inside.copy()
             new[1:] &= (places[1:] != places[:-1]) | (doc[1:] != doc[:-1]) | ~inside[:-1]
             first = np.flatnonzero(new)
@@ -180,20 +183,20 @@ class Chunk:
         return found
 
     def removed(self, flags: dict[int, bytes], answers: dict[int, bytes]) -> dict[int, np.ndarray]:
-        """Of each document with hits, the starts of its strings that a smaller document has."""
-        starts: dict[int, list[int]] = {}
+        """Of each document with hits, (first, end) of the starts of its strings that a smaller document has."""
+        starts: dict[int, list[tuple[int, int]]] = {}
         for b, pieces in self.strings(flags).items():
             bits = np.unpackbits(np.frombuffer(answers[b], np.uint8))
             at = 0
             for whole, (_, least, places) in pieces.items():
                 n = len(whole) - LENGTH + 1
-                elsewhere = np.flatnonzero(bits[at : at + n]).tolist()
+                elsewhere = stretches(bits[at : at + n])
                 at += n
                 for d, i in places:
                     if self.ids[d] > self.ids[least]:
-                        starts.setdefault(d, []).extend(range(i, i + n))
+                        starts.setdefault(d, []).append((i, i + n))
                     elif elsewhere:
-                        starts.setdefault(d, []).extend([i + x for x in elsewhere])
+                        starts.setdefault(d, []).extend([(i + a, i + e) for a, e in elsewhere])
         return {d: np.array(x, np.int64) for d, x in starts.items()}
 
 
@@ -205,14 +208,18 @@ def slices(values: np.ndarray) -> Iterator[tuple[int, int, int]]:
             yield int(values[a]), a, e
 
 
+def stretches(flags: np.ndarray) -> list[tuple[int, int]]:
+    """(begin, end) of the stretches that are set."""
+    turns = np.flatnonzero(np.diff(flags != 0, prepend=False, append=False))
+    return list(zip(turns[::2].tolist(), turns[1::2].tolist(), strict=True))
+
+
 def cut(text: bytes, starts: np.ndarray) -> list[tuple[int, int]]:
-    """The maximal stretches that the strings at ``starts`` cover."""
+    """The maximal stretches that strings cover; of their starts (first, end) are given."""
     edges = np.zeros(len(text) + 1, np.int32)
-    np.add.at(edges, starts, 1)
-    np.add.at(edges, starts + LENGTH, -1)
-    covered = np.concatenate([[0], (np.cumsum(edges)[:-1] > 0).astype(np.int8), [0]])
-    turns = np.flatnonzero(np.diff(covered))
-    return list(zip(turns[::2].tolist(), turns[1::2].tolist(), strict=True))
+    np.add.at(edges, starts[:, 0], 1)
+    np.add.at(edges, starts[:, 1] + LENGTH - 1, -1)
+    return stretches(np.cumsum(edges)[:-1])
 
 
 _ROUTED = "chunk long, bucket int, kind int, a binary, b binary, c binary"
@@ -264,12 +271,17 @@ def answered(rows: pa.Table) -> pa.Table:
     mixed = [k for ks in by_gram.values() if len(ks) > 1 for k in sorted(ks)]
     if mixed:
         best = dict(zip(mixed, smallest_documents([pieces[k] for k in mixed], np.array(docs)[mixed]), strict=True))
+    lengths, smallest, refined = np.array([len(p) - LENGTH + 1 for p in pieces]), np.array(docs), np.zeros(len(pieces), bool)
+    refined[mixed] = True
     bucket, out = rows.column("bucket")[0].as_py(), []
     for chunk, own, ids in zip(chunks, sent, least, strict=True):
-        bits = []
-        for k, doc in zip(own, np.frombuffer(ids, np.int64).tolist(), strict=True):
-            bits.append(best[k] < doc if k in best else np.full(len(pieces[k]) - LENGTH + 1, docs[k] < doc))
-        out.append((chunk, bucket, _BITS, np.packbits(np.concatenate(bits)).tobytes(), None, None))
+        its = np.frombuffer(ids, np.int64)
+        sizes = lengths[own]
+        bits = np.repeat(smallest[own] < its, sizes)
+        ends = np.cumsum(sizes)
+        for at in np.flatnonzero(refined[own]).tolist():
+            bits[ends[at] - sizes[at] : ends[at]] = best[own[at]] < its[at]
+        out.append((chunk, bucket, _BITS, np.packbits(bits).tobytes(), None, None))
     return _table(out, _ROUTED_SCHEMA)
 
 
