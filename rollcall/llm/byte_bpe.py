@@ -1,31 +1,42 @@
-"""Byte-level BPE encoding and decoding by higher-order functions.
+"""Byte-level BPE encoding and decoding.
 
-A text is split by the tokenizer's pattern. The bytes of a word are folded: the neighbouring pair whose
-concatenation has the lowest rank is merged, the leftmost of equals, until no pair has a rank. The ranks are a
-literal map, held in buckets by hash so that a look-up doesn't scan. The distinct words that are frequent in a
-bounded sample of the documents are folded once and become a literal map too; every other word is folded
-where it stands, so that results don't depend on the sample. Decoding concatenates the tokens' bytes.
+Texts are split in Arrow tasks by the tokenizer's pattern; words that are tokens have their rank for an id. The other
+distinct words are counted over all documents, and the most frequent ones, at most ``REMEMBERED``, are encoded once by
+higher-order functions: of the neighbouring pairs of a word's bytes the one whose concatenation has the lowest rank is merged,
+the leftmost of equals, until no pair has a rank. The ranks are a literal map, held in buckets by hash so that a look-up
+doesn't scan. The ids of these words are broadcast; any other word is folded in the same way where it stands, so that results
+don't depend on what is remembered. Decoding concatenates the tokens' bytes.
 
 Nulls and edges: a null or empty text has no tokens and decodes to nothing; null and repeated ids are kept row
-by row; an empty table gives an empty result. Byte strings are handled as hexadecimal strings.
+by row; an empty table gives an empty result. The ranks must hold each single byte. Byte strings are handled as hexadecimal strings.
 """
 
 from __future__ import annotations
 
 import base64
 import json
+from collections import Counter
+from collections.abc import Iterator
+from struct import pack
 
+import numpy as np
+import pyarrow as pa
+import regex
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Unicode's white space, for a class of Java's patterns.
-WHITE = r"\x09-\x0D\x20\x85\xA0  -     　"
+from rollcall.llm.frames import written
+
 BUCKETS = 1 << 16
 #: Rank of a pair that doesn't merge.
 NEVER = 2**31 - 1
-#: Documents of the sample, at most, and the words taken from it; only speed depends on them.
-SAMPLED, REMEMBERED = 4000, 150_000
+#: Words whose ids are broadcast, at most, and their bytes, at most; only speed depends on them.
+REMEMBERED, WORD_BYTES = 600_000, 64
+#: Distinct stretches of text that a task holds before it empties its memory.
+HELD = 250_000
+#: Stands for a word that is folded later.
+HOLE = pack("<i", -1)
 
 
 def default_ranks() -> str:
@@ -46,11 +57,6 @@ def read_ranks(path: str) -> dict[str, int]:
         return {base64.b64decode(a).hex().upper(): int(b) for a, b in (x.split() for x in f if x.strip())}
 
 
-def java_pattern(pattern: str) -> str:
-    """The pattern with Unicode's white space spelled out, as Java's own is ASCII only."""
-    return pattern.replace(r"[^\s", f"[^{WHITE}").replace(r"\S", f"[^{WHITE}]").replace(r"\s", f"[{WHITE}]")
-
-
 def bucketed(entries: dict[str, object], value_type: str) -> Column:
     """A literal array of small maps: the map of a key is at its hash."""
     held: list[dict] = [{} for _ in range(BUCKETS)]
@@ -69,68 +75,189 @@ def bound(value: Column, use) -> Column:
 
 
 def folded(word: Column, ranks: Column) -> Column:
-    """The token ids of one word in hexadecimal, by merging its bytes."""
-    n = (F.length(word) / 2).cast("int")
-    parts = F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(word, 2 * i - 1, F.lit(2)))
+    """The token ids of one word of two bytes or more in hexadecimal, by merging its bytes.
 
-    def rank(a: Column, b: Column) -> Column:
-        return F.coalesce(looked_up(ranks, F.concat(a, b)), F.lit(NEVER))
-
-    def begin(ps: Column) -> Column:
-        return F.struct(ps.alias("parts"), F.transform(F.slice(ps, F.lit(1), n - 1), lambda p, i: rank(p, F.get(ps, i + 1))).alias("next"))
-
-    def merged(s: Column, k: Column) -> Column:
-        """Parts k and k + 1, from 1, as one, and the ranks of its two neighbourhoods."""
-        ps, ranked = s["parts"], s["next"]
+    What is folded are the neighbouring pairs: the rank of the whole, where it starts, where its second part does, and its end.
+    """
+    n = (F.length(word) / 2).cast("int")
 
-        def around(both: Column) -> Column:
-            left = F.when(k > 1, F.array(rank(F.get(ps, k - 2), both)))
-            right = F.when(k + 1 < F.size(ps), F.array(rank(both, F.get(ps, k + 1))))
-            none = F.array().cast("array<int>")
-            return F.struct(
-                F.concat(F.slice(ps, F.lit(1), k - 1), F.array(both), F.slice(ps, k + 2, F.size(ps))).alias("parts"),
-                F.concat(F.slice(ranked, F.lit(1), F.greatest(k - 2, F.lit(0))), F.coalesce(left, none), F.coalesce(right, none), F.slice(ranked, k + 2, F.size(ranked))).alias("next"),
-            )
+    def token(start: Column, end: Column) -> Column:
+        return looked_up(ranks, F.substring(word, 2 * start + 1, 2 * (end - start)))
 
-        return bound(F.concat(F.get(ps, k - 1), F.get(ps, k)), around)
+    def pair(start: Column, middle: Column, end: Column) -> Column:
+        return F.struct(F.coalesce(token(start, end), F.lit(NEVER)).alias("rank"), start.alias("start"), middle.alias("middle"), end.alias("end"))
 
-    def step(s: Column, _: Column) -> Column:
-        return bound(
-            F.coalesce(F.array_min(s["next"]), F.lit(NEVER)),
-            lambda least: F.when(least == NEVER, s).otherwise(bound(F.array_position(s["next"], least).cast("int"), lambda k: merged(s, k))),
+    def merged(pairs: Column, best: Column) -> Column:
+        """``best`` as one part: it goes, and its two neighbours are pairs with the new part."""
+        return F.transform(
+            F.filter(pairs, lambda p: p["start"] != best["start"]),
+            lambda p: F.when(p["middle"] == best["start"], pair(p["start"], p["middle"], best["end"])).when(p["start"] == best["middle"], pair(best["start"], p["middle"], p["end"])).otherwise(p),
         )
 
-    return F.aggregate(F.sequence(F.lit(2), n), begin(parts), step, lambda s: F.transform(s["parts"], lambda p: looked_up(ranks, p)))
-
-
-def encoded_word(word: Column, ranks: Column) -> Column:
-    """The ids of a word: its own, or those of its folded bytes."""
-    return bound(looked_up(ranks, word), lambda own: F.when(own.isNotNull(), F.array(own)).otherwise(folded(word, ranks)))
-
-
-def words_of(text: Column, pattern: str) -> Column:
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(java_pattern(pattern)), F.lit(0))
-
-
-def frequent_words(docs: DataFrame, text_col: str, ranks: Column, pattern: str) -> dict[str, list[int]]:
-    """The most frequent words of a sample of the documents, folded; at most REMEMBERED."""
-    sample = docs.select(text_col).limit(SAMPLED)
-    counted = sample.select(F.explode(words_of(F.col(text_col), pattern)).alias("w")).groupBy("w").count().orderBy(F.desc("count"), "w").limit(REMEMBERED)
-    rows = counted.select(F.hex(F.encode("w", "UTF-8")).alias("w")).select("w", bound(ranks, lambda r: encoded_word(F.col("w"), r)).alias("ids")).collect()
-    return {r["w"]: r["ids"] for r in rows}
+    def step(pairs: Column, _: Column) -> Column:
+        return bound(F.array_min(pairs), lambda best: F.when(best["rank"] < NEVER, merged(pairs, best)).otherwise(pairs))
+
+    def tokens(pairs: Column) -> Column:
+        last = F.get(pairs, F.size(pairs) - 1)
+        return F.concat(F.transform(pairs, lambda p: token(p["start"], p["middle"])), F.array(F.coalesce(token(last["middle"], last["end"]), looked_up(ranks, word))))
+
+    first = F.transform(F.sequence(F.lit(0), n - 2), lambda i: pair(i, i + 1, i + 2))
+    return F.aggregate(F.sequence(F.lit(2), n), first, step, tokens)
+
+
+class Texts:
+    """Splits texts into stretches that the pattern never looks across.
+
+    For the default pattern these begin at single spaces between other characters; for any other a stretch is the text.
+    """
+
+    def __init__(self, pattern: str):
+        self.words, self.spaced = regex.compile(pattern).findall, pattern == default_pattern()
+
+    def stretches(self, text: str) -> tuple[list[str], str]:
+        """The stretches and the white space after them."""
+        if not self.spaced or "\0" in text:
+            return [text], ""
+        body = text.rstrip(" \t\r\n")
+        return body.replace(" ", "\0 ").split("\0"), text[len(body) :]
+
+
+def odd(stretch: str) -> bool:
+    """Whether white space meets other white space at the ends of a stretch, so that it can't be split alone."""
+    return stretch[-1:].isspace() or stretch[:1] == " " and (len(stretch) < 2 or stretch[1].isspace())
+
+
+class OddSpaces(Exception):
+    """A text has to be split as a whole."""
+
+
+class Ids(dict):
+    """Ids by stretch, as little-endian integers. Words without known ids leave a hole and go to ``later``."""
+
+    def __init__(self, known: dict[str, bytes], texts: Texts):
+        super().__init__()
+        self.known, self.texts, self.later = known, texts, []
+
+    def of_words(self, text: str) -> tuple[bytes, bool]:
+        before, ids = len(self.later), []
+        for w in self.texts.words(text):
+            i = self.known.get(w)
+            if i is None:
+                self.later.append(w)
+                i = HOLE
+            ids.append(i)
+        return b"".join(ids), len(self.later) == before
+
+    def __missing__(self, stretch: str) -> bytes:
+        if odd(stretch):
+            raise OddSpaces
+        ids, whole = self.of_words(stretch)
+        if whole:
+            self[stretch] = ids
+        return ids
+
+    def of_text(self, text: str) -> bytes:
+        stretches, rest = self.texts.stretches(text)
+        if len(stretches) > 1:
+            before = len(self.later)
+            try:
+                return b"".join([*map(self.__getitem__, stretches), self.of_words(rest)[0]])
+            except OddSpaces:
+                del self.later[before:]
+        return self.of_words(text)[0]
+
+
+def segments(raw: list[bytes], later: list[str]) -> pa.Array:
+    """Per text: its runs of known ids, each with the word that comes after it, if any, in hexadecimal."""
+    ids = np.frombuffer(b"".join(raw), np.int32)
+    ends = np.cumsum([len(r) // 4 for r in raw])
+    holes = np.flatnonzero(ids == -1)
+    cuts = np.concatenate([ends - np.searchsorted(holes, ends), holes - np.arange(len(holes))])
+    order = np.argsort(np.concatenate([ends, holes]), kind="stable")  # the end of a text comes before a hole at the same place
+    words = np.array([None] * len(ends) + [w.encode("utf-8").hex().upper() for w in later], object)[order]
+    runs = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], cuts[order]]).astype(np.int32)), pa.array(ids[ids != -1]))
+    bounds = np.concatenate([[0], np.searchsorted(holes, ends) + np.arange(1, len(ends) + 1)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(bounds), pa.StructArray.from_arrays([runs, pa.array(words, pa.string())], ["run", "word"]))
+
+
+def frequent_words(texts: DataFrame, ranks: dict[str, int], pattern: str) -> DataFrame:
+    """The most frequent words of all texts that are not tokens themselves: word in hexadecimal; at most REMEMBERED."""
+    known = texts.sparkSession.sparkContext.broadcast(token_words(ranks))
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split, tokens = Texts(pattern), known.value
+        stretches: Counter[str] = Counter()
+
+        def emptied() -> Iterator[pa.RecordBatch]:
+            words: Counter[str] = Counter()
+            for s, n in stretches.items():
+                for w in split.words(s):
+                    if w not in tokens and len(w) <= WORD_BYTES:
+                        words[w] += n
+            stretches.clear()
+            found = list(words)
+            for at in range(0, len(found), 20_000):
+                some = found[at : at + 20_000]
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.string()), pa.array([words[w] for w in some], pa.int64())], ["word", "n"])
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                for text in batch.column("text").slice(at, 256).to_pylist():
+                    stretches.update(split.stretches(text)[0])
+                if len(stretches) > HELD:
+                    yield from emptied()
+        yield from emptied()
+
+    counts = written(texts.select("text").mapInArrow(counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.octet_length("word") <= WORD_BYTES))
+    level = F.floor(8 * F.log2("n"))
+    least, total = 1 << 20, 0
+    for r in counts.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():  # some hundred rows
+        total += r["count"]
+        if total > REMEMBERED:
+            break
+        least = r["level"]
+    return counts.where(level >= least).select(F.hex(F.encode("word", "UTF-8")).alias("word"))
+
+
+def token_words(ranks: dict[str, int]) -> dict[str, bytes]:
+    """Ids of the tokens that are texts."""
+    found = {}
+    for token, rank in ranks.items():
+        try:
+            found[bytes.fromhex(token).decode("utf-8")] = pack("<i", rank)
+        except UnicodeDecodeError:
+            continue
+    return found
 
 
 def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks_path: str | None = None, pattern: str | None = None) -> DataFrame:
     """Per row: id and ids, the token ids of the whole text. The vocabulary is read by the driver."""
-    ranks, pattern = bucketed(read_ranks(ranks_path or default_ranks()), "int"), pattern or default_pattern()
-    known = bucketed(frequent_words(docs, text_col, ranks, pattern), "array<int>")
-    words = F.transform(words_of(F.col(text_col), pattern), lambda w: F.hex(F.encode(w, "UTF-8")))
-
-    def encoded(held: Column) -> Column:
-        return F.flatten(F.transform(words, lambda w: F.coalesce(looked_up(held["known"], w), encoded_word(w, held["ranks"]))))
-
+    spark, ranks, pattern = docs.sparkSession, read_ranks(ranks_path or default_ranks()), pattern or default_pattern()
+    held = bucketed(ranks, "int")
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    frequent = frequent_words(texts, ranks, pattern).repartition(tasks).select("word", bound(held, lambda r: folded(F.col("word"), r)).alias("ids")).toArrow()
+    known = token_words(ranks)
+    for batch in frequent.to_batches():
+        for word, ids in zip(batch.column("word").to_pylist(), batch.column("ids").to_pylist(), strict=True):
+            known[bytes.fromhex(word).decode("utf-8")] = pack(f"<{len(ids)}i", *ids)
+    shared = spark.sparkContext.broadcast(known)
+
+    def looked_up_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = Ids(shared.value, Texts(pattern))
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                raw = [ids.of_text(t) for t in batch.column("text").slice(at, 256).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(at, 256), segments(raw, ids.later)], ["id", "segments"])
+                ids.later = []
+                if len(ids) > HELD:
+                    ids.clear()
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    split = texts.mapInArrow(looked_up_texts, f"id {kind}, segments array<struct<run: array<int>, word: string>>")
     # one literal, bound once: each copy of it would go into every task
-    return docs.select(F.col(id_col), bound(F.struct(ranks.alias("ranks"), known.alias("known")), encoded).alias("ids"))
+    ids = bound(held, lambda r: F.flatten(F.transform("segments", lambda s: F.when(s["word"].isNull(), s["run"]).otherwise(F.concat(s["run"], folded(s["word"], r))))))
+    return split.select(F.col("id").alias(id_col), ids.alias("ids"))
 
 
 def decoded(ids: Column, ranks_path: str | None = None) -> Column:
@@ -145,5 +272,5 @@ def op10_byte_bpe(spark, sf_dir: str) -> DataFrame:
     from rollcall.llm.frames import table
 
     encoded = encode_texts(table(spark, sf_dir, "documents"))
-    text = F.array_join(F.transform("ids", lambda i: i.cast("string")), " ")
+    text = F.array_join(F.col("ids").cast("array<string>"), " ")
     return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.encode(text, "UTF-8"), 256).alias("ids_sha256"), F.sha2(decoded(F.col("ids")), 256).alias("decoded_sha256"))
