@@ -230,21 +230,42 @@ def token_words(ranks: dict[str, int]) -> dict[str, bytes]:
     return found
 
 
+def packed(table: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+_KNOWN: list = [None, {}]
+
+
+def known_words(value: tuple[dict[str, bytes], bytes]) -> dict[str, bytes]:
+    """Ids of tokens and remembered words; made once per Python worker."""
+    if _KNOWN[0] is not value:
+        tokens, raw = value
+        known = dict(tokens)
+        for batch in pa.ipc.open_stream(raw):
+            ids = batch.column("ids")
+            ends, held = (ids.offsets.to_numpy() * 4).tolist(), memoryview(np.ascontiguousarray(ids.values.to_numpy())).cast("B")
+            for k, word in enumerate(batch.column("text").to_pylist()):
+                known[word] = bytes(held[ends[k] : ends[k + 1]])
+        _KNOWN[:] = [value, known]
+    return _KNOWN[1]
+
+
 def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks_path: str | None = None, pattern: str | None = None) -> DataFrame:
     """Per row: id and ids, the token ids of the whole text. The vocabulary is read by the driver."""
     spark, ranks, pattern = docs.sparkSession, read_ranks(ranks_path or default_ranks()), pattern or default_pattern()
     held = bucketed(ranks, "int")
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    frequent = frequent_words(texts, ranks, pattern).repartition(tasks).select("word", bound(held, lambda r: folded(F.col("word"), r)).alias("ids")).toArrow()
-    known = token_words(ranks)
-    for batch in frequent.to_batches():
-        for word, ids in zip(batch.column("word").to_pylist(), batch.column("ids").to_pylist(), strict=True):
-            known[bytes.fromhex(word).decode("utf-8")] = pack(f"<{len(ids)}i", *ids)
-    shared = spark.sparkContext.broadcast(known)
+    frequent = frequent_words(texts, ranks, pattern).repartition(tasks)
+    encoded = frequent.select(F.decode(F.unhex("word"), "UTF-8").alias("text"), bound(held, lambda r: folded(F.col("word"), r)).alias("ids")).toArrow()
+    shared = spark.sparkContext.broadcast((token_words(ranks), packed(encoded)))
 
     def looked_up_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = Ids(shared.value, Texts(pattern))
+        ids = Ids(known_words(shared.value), Texts(pattern))
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 raw = [ids.of_text(t) for t in batch.column("text").slice(at, 256).to_pylist()]
