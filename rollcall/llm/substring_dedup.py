@@ -187,11 +187,11 @@ class Chunk:
         starts: dict[int, list[tuple[int, int]]] = {}
         for b, pieces in self.strings(flags).items():
             bits = np.unpackbits(np.frombuffer(answers[b], np.uint8))
-            at = 0
-            for whole, (_, least, places) in pieces.items():
-                n = len(whole) - LENGTH + 1
-                elsewhere = stretches(bits[at : at + n])
-                at += n
+            sizes = np.array([len(p) - LENGTH + 1 for p in pieces], np.int64)
+            ends, before = np.cumsum(sizes), np.concatenate([[0], np.cumsum(bits, dtype=np.int64)])
+            marked = before[ends] - before[ends - sizes]
+            for (_, least, places), end, n, m in zip(pieces.values(), ends.tolist(), sizes.tolist(), marked.tolist(), strict=True):
+                elsewhere = stretches(bits[end - n : end]) if 0 < m < n else [(0, n)] if m else []
                 for d, i in places:
                     if self.ids[d] > self.ids[least]:
                         starts.setdefault(d, []).append((i, i + n))
