@@ -159,7 +159,7 @@ class Chunk:
 
     def announced(self) -> Iterator[tuple[int, bytes, bytes]]:
         """Per bucket: the hashes, and of each in how many documents it is here, up to 255."""
-        by_doc = np.unique(np.stack([self.back, self.doc]), axis=1)[0] if len(self.back) else self.back
+        by_doc = np.unique(self.back.astype(np.int64) * len(self.ids) + self.doc) // len(self.ids) if len(self.back) else self.back
         n = np.minimum(np.bincount(by_doc, minlength=len(self.keys)), 255).astype(np.uint8)
         of, low = (self.keys >> np.uint64(32)).astype(np.int64), self.keys.astype(np.uint32)
         for b, a, e in slices(of):
