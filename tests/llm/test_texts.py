@@ -285,3 +285,22 @@ def test_pipeline(spark, docs, rows):
         whole = np.array([*tokenizer.encode(t, add_special_tokens=False).ids, 2], "<u4").tobytes()
         assert sum(len(b) for _, b in held[i]) == copies[i] * len(whole) and all(whole[4 * a : 4 * a + len(b)] == b for a, b in held[i])
     assert set(held) == set(copies) and len(copies) < len(rows) - 10
+
+
+def test_byte_bpe_stretches():
+    """Split at single spaces or not, a text has the same words."""
+    import random
+
+    import public_tokenizers as p
+    import regex
+
+    from rollcall.llm.byte_bpe import HOLE, Ids, Texts, segments
+
+    rng = random.Random(5)
+    parts = ["a", "the", "Zebra", "日本", " ", "  ", "   ", "\n", "\t", "\x1c", "\x85", "　", ".", "'s", "1", "!?", "\0", " b", "😀"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(3000)] + ["", " ", "a ", "x\n"]
+    ids = Ids({}, Texts(p.PATTERN))
+    raw = [ids.of_text(t) for t in texts]
+    found = [[bytes.fromhex(s["word"]).decode() for s in row if s["word"] is not None] for row in segments(raw, ids.later).to_pylist()]
+    assert set(b"".join(raw)) <= set(HOLE)
+    assert found == [regex.findall(p.PATTERN, t) for t in texts]
