@@ -2,8 +2,9 @@
 
 The index holds, for every template (a notice or a bare phrase), the words that matter and their
 positions. A file's licence words are found once, with their positions. Their document frequencies give the
-IDF by which a file looks up its rarest licence words. The templates posted under those are aligned by
-relative position, and one that aligns well enough must also hold its key phrases word by word.
+IDF by which every notice is posted under its own rarest words: one more place than a notice that aligns may miss.
+The notices of which a file holds such a word, and enough words in all, are aligned by relative position, and one
+that aligns well enough must also hold its key phrases word by word.
 
 Nulls and edges: a null or empty text has no words, no labels and score 0; null and repeated ids are
 kept row by row; an empty table gives an empty result.
@@ -11,6 +12,7 @@ kept row by row; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 import re
 from functools import reduce
 
@@ -33,7 +35,7 @@ NOTICES = (
 )
 #: Words too common to be posted, unless a phrase needs them.
 COMMON = frozenset("a an and any are as at be by can for if in is it may of on or that the this to was with you not".split())
-#: Rarest licence words of a file that are looked up.
+#: Read by the SQL in oracles.py only, which looks up so many of a file's rarest licence words.
 LOOKED_UP = 8
 #: Share of a notice's posted words that must align.
 ALIGNED = 0.7
@@ -49,6 +51,17 @@ def postings(notice: str, keys: tuple[str, ...]) -> list[tuple[str, int]]:
     return [(w, i) for i, w in enumerate(words(notice)) if w in needed or w not in COMMON]
 
 
+def aligned_from(n: int) -> int:
+    """How many of a notice's n posted words must align at least."""
+    return math.ceil(ALIGNED * n)
+
+
+def rarest(posted: list[tuple[str, int]], often: dict[str, int]) -> list[str]:
+    """Words of the rarest places of a notice, one more than may miss: whatever aligns holds one of them."""
+    places = sorted(posted, key=lambda p: (often.get(p[0], 0), p))
+    return sorted({w for w, _ in places[: len(posted) - aligned_from(len(posted)) + 1]})
+
+
 def vocabulary() -> list[str]:
     found = {w for p in PHRASES for w in words(p)}
     return sorted(found.union(*({w for w, _ in postings(t, k)} for _, t, k in NOTICES)))
@@ -99,30 +112,26 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     held = written(licence_words(docs, id_col, text_col))
     seen = held.where(F.size("hits") > 0).select(F.explode(F.array_distinct(F.transform("hits", lambda h: h["w"]))).alias("w")).groupBy("w").count()
     often = {r["w"]: r["count"] for r in seen.collect()}  # the vocabulary at most
-    by_rarity = sorted(vocabulary(), key=lambda w: (often.get(w, 0), w))
-    ranked = F.array(*map(F.lit, by_rarity))
-    rare = F.slice(F.array_intersect(ranked, F.transform("hits", lambda h: h["w"])), 1, LOOKED_UP)
-
     base = {p: places(p) for p in PHRASES}
-    with_base = held.withColumns({f"at_{k}": base[p] for k, p in enumerate(PHRASES)} | {"rare": rare})
+    with_base = held.withColumns({f"at_{k}": base[p] for k, p in enumerate(PHRASES)} | {"own": F.array_distinct(F.transform("hits", lambda h: h["w"]))})
     notices = []
     for label, text, keys in NOTICES:
         posted = postings(text, keys)
-        own = F.array(*map(F.lit, sorted({w for w, _ in posted})))
         offsets = F.flatten(F.array(*(postings_of(w, i) for w, i in posted)))
         key_ok = F.lit(True)
         for k in keys:
             key_ok = key_ok & (F.size(places(k)) > 0)
-        looked_up = F.arrays_overlap("rare", own)
-        best = F.when(looked_up, most_common(offsets))
-        notices.append((label, len(posted), looked_up, best, key_ok))
+        held_words = F.filter(F.array(*(F.lit(w) for w, _ in posted)), lambda w: F.array_contains("own", w))
+        tried = F.arrays_overlap("own", F.array(*map(F.lit, rarest(posted, often)))) & (F.size(held_words) >= aligned_from(len(posted))) & key_ok
+        best = F.when(tried, most_common(offsets))
+        notices.append((label, len(posted), best))
     found = F.array(
         *(
-            F.when(up & key & (best["votes"] >= ALIGNED * n), F.struct(F.lit(label).alias("label"), best["at"].alias("at"), (best["votes"] / n).alias("share")))
-            for label, n, up, best, key in notices
+            F.when(best["votes"] >= aligned_from(n), F.struct(F.lit(label).alias("label"), best["at"].alias("at"), (best["votes"] / n).alias("share")))
+            for label, n, best in notices
         )
     )
-    scanned = with_base.withColumn("notices", F.when(F.size("rare") >= 2, F.filter(found, lambda x: x.isNotNull())))
+    scanned = with_base.withColumn("notices", F.when(F.size("own") > 0, F.filter(found, lambda x: x.isNotNull())))
     all_at = F.flatten(F.array(*(F.col(f"at_{k}") for k in range(len(PHRASES)))))
     base_labels = F.filter(F.array(*(F.when(F.size(f"at_{k}") > 0, F.lit(label)) for k, label in enumerate(PHRASES.values()))), lambda x: x.isNotNull())
     noticed = F.coalesce(F.transform("notices", lambda x: x["label"]), F.array().cast("array<string>"))
