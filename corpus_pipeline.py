@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rollcall.llm.frames import table, written
-from rollcall.llm.line_dedup import dedup_lines
+from rollcall.llm.line_dedup import MIN_COPY, dedup_lines
 from rollcall.llm.minhash import near_duplicates
 from rollcall.llm.packing import pack_documents
 from rollcall.llm.quality import quality_rules
@@ -32,7 +32,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the lines that stand earlier in the corpus."""
-    found = dedup_lines(docs, carry=("lang", "source"))
+    found = dedup_lines(docs, carry=("lang", "source"), min_copy=MIN_COPY)
     return found.select("doc_id", "text", "lang", "source", F.char_length("text").cast("long").alias("n_chars"))
 
 

@@ -1,8 +1,8 @@
 """Line dedup by a deletion-neighbourhood join, by DataFrame functions only.
 
 A line goes if an earlier line of the corpus (by document id, then place) equals it or lies within one
-edit of it, judged on the input; the earliest stays. Lines are compared without surrounding blanks, and
-lines of fewer than ``min_chars`` code points always stay.
+edit of it, judged on the input; the earliest stays. Lines are compared without surrounding blanks. Copies go from
+``min_copy`` code points on, variants from ``min_chars`` on; empty and shorter lines always stay.
 
 Equal lines become one distinct line with its first place. Two lines within one edit agree in the first
 or the second half, whichever the edit isn't in. Distinct lines that share such a half with another take the other half apart
@@ -22,7 +22,10 @@ from pyspark.sql import functions as F
 
 from rollcall.llm.frames import written
 
+#: Least code points of lines whose variants go.
 MIN_CHARS = 20
+#: Least code points of lines whose copies go, in the query and the pipeline: all that aren't blank.
+MIN_COPY = 1
 BLANKS = " \t\r"
 #: Edits that two lines may be apart; the halves and variants are made for one.
 EDITS = 1
@@ -79,13 +82,14 @@ def variants(key: Column, piece: Column, longer: Column) -> Column:
     return F.when(longer, longest).otherwise(F.concat(same, F.array(entry(F.xxhash64(key, F.lit(1), piece), 1))))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, carry: tuple[str, ...] = ()) -> DataFrame:
-    """One row per document: id, text (the lines that stay), n_lines, n_removed and the columns to carry along."""
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, carry: tuple[str, ...] = (), min_copy: int | None = None) -> DataFrame:
+    """One row per document: id, text (the lines that stay), n_lines, n_removed and the columns to carry along. Without ``min_copy``, copies go from ``min_chars`` on as well."""
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     placed = texts.where("doc_id IS NOT NULL").select("doc_id", F.posexplode(lines_of("text")).alias("pos", "raw")).select("doc_id", "pos", stripped(F.col("raw")).alias("line"))
-    long = placed.withColumn("n", F.char_length("line")).where(F.col("n") >= min_chars)
-    keys = half_keys(F.col("line"), F.col("n"))
-    hashed = long.select("doc_id", "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), *(k.alias(f"k{i}") for i, k in enumerate(keys)))
+    least = min_chars if min_copy is None else min_copy
+    compared = placed.withColumn("n", F.char_length("line")).where(F.col("n") >= least)
+    keys = [F.when(F.col("n") >= min_chars, k) for k in half_keys(F.col("line"), F.col("n"))]
+    hashed = compared.select("doc_id", "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), *(k.alias(f"k{i}") for i, k in enumerate(keys)))
     place = F.struct("doc_id", "pos")
     firsts = hashed.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("times"), *(F.first(f"k{i}").alias(f"k{i}") for i in range(4)))
     distinct = written(firsts.select(*(F.when(F.col("times") > 1, F.col(h)).alias(h) for h in ("h1", "h2")), F.col("first.doc_id").alias("doc_id"), F.col("first.pos").alias("pos"), "k0", "k1", "k2", "k3"))
@@ -93,7 +97,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     repeated = distinct.where("h1 IS NOT NULL").select("h1", "h2", F.struct("doc_id", "pos").alias("first"))
     again = hashed.select("doc_id", "pos", "h1", "h2").join(repeated, ["h1", "h2"]).where(F.col("first") < place).select("doc_id", "pos")
 
-    halves = distinct.select("doc_id", "pos", F.posexplode(F.array("k0", "k1", "k2", "k3")).alias("which", "key"))
+    halves = distinct.select("doc_id", "pos", F.posexplode(F.array("k0", "k1", "k2", "k3")).alias("which", "key")).where("key IS NOT NULL")
     met = halves.groupBy("key").count().where("count > 1").select("key")
     offered = halves.select("key", "doc_id", (F.col("pos").cast("long") * 4 + F.col("which")).alias("at")).join(met, "key").groupBy("doc_id").agg(F.collect_list(F.struct("at", "key")).alias("offers"))
     every = lines_of("text")
@@ -136,7 +140,7 @@ def op3_line_dedup(spark, sf_dir: str) -> DataFrame:
     """All of ``documents``."""
     from rollcall.llm.frames import table
 
-    return dedup_lines(table(spark, sf_dir, "documents"))
+    return dedup_lines(table(spark, sf_dir, "documents"), min_copy=MIN_COPY)
 
 
 #: The same in DuckDB SQL, by the plain neighbourhood of whole lines.

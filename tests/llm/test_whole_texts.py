@@ -35,3 +35,26 @@ def test_every_notice_of_a_file_is_tried(spark):
     assert [(r.doc_id, r.labels) for r in out] == [e[:2] for e in expected]
     assert [r.score for r in out] == pytest.approx([e[2] for e in expected])
     assert out[0].labels == "apache,bsd,gpl,isc,mit,mpl" and out[1].labels == "mit,mpl"
+
+
+def test_copies_of_short_lines_go(spark, tmp_path):
+    """From one code point on, in the query and in the pipeline's stage; variants only of longer lines."""
+    import brute
+    import corpus_pipeline
+    from rollcall.llm.line_dedup import op3_line_dedup
+
+    texts = ["# 目录\n这是一个完整的句子。\n\nx", " 这是一个完整的句子。\t\nshort\n \nx\nshort", "shord\nshort\n\n", "This is a line of more than 20\nshort", "This is a line of more than 2O\nx\n", None, ""]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    near = {i: (t, n, k) for i, t, _, n, k in brute.lines([(i, t, "s") for i, t in enumerate(texts)])}
+    seen, expected = set(), {}
+    for i, t in enumerate(texts):
+        kept, out = near[i][0], []
+        for x in [] if kept is None else kept.split("\n"):
+            if not (0 < len(y := x.strip(" \t\r")) < 20 and y in seen):
+                out.append(x)
+            seen.add(y)
+        expected[i] = None if t is None else "\n".join(out)
+    assert expected[1] == "short\n " and expected[2] == "shord\n\n" and expected[3].startswith("This") and expected[4] == ""
+    assert {r.doc_id: r.text for r in op3_line_dedup(spark, str(tmp_path)).collect()} == expected
+    assert {r.doc_id: r.text for r in corpus_pipeline.line_stage(spark, docs, "").collect()} == expected
