@@ -225,8 +225,9 @@ def jn_update_from(spark, d):
 
 @query("""SELECT l.pos, min(s.segment) AS segment FROM logged l JOIN (SELECT range AS segment, range * 1000 AS first, range * 1000 + 1199 AS last FROM range(0, 20)) s ON l.pos BETWEEN s.first AND s.last GROUP BY l.pos""")
 def jn_range_segment(spark, d):
-    """Segments overlap; each position takes the first that holds it. Both sides meet by bucket, not by a range join."""
-    s = spark.range(20).select(F.col("id").alias("segment"), (F.col("id") * 1000).alias("first"), (F.col("id") * 1000 + 1199).alias("last"))
+    """Segments overlap and reach to the greatest position; each position takes the first that holds it. Both sides meet by bucket, not by a range join."""
+    last = a.logged(spark, d).agg(F.max("pos")).first()[0]  # one number
+    s = spark.range(0 if last is None else last // 1000 + 1).select(F.col("id").alias("segment"), (F.col("id") * 1000).alias("first"), (F.col("id") * 1000 + 1199).alias("last"))
     s = s.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("first") / 1000), F.floor(F.col("last") / 1000))))
     logs = a.logged(spark, d).select("pos", F.floor(F.col("pos") / 1000).alias("bucket"))
     return logs.join(s, "bucket").where("pos BETWEEN first AND last").groupBy("pos").agg(F.min("segment").alias("segment"))

@@ -157,7 +157,7 @@ def bkf_reference(spark, d):
 @query("SELECT p.proposal_id, coalesce(CASE WHEN p.chain_id <> 2 THEN p.created END, v.first_ms) AS created FROM proposal p LEFT JOIN (SELECT proposal_id, min(cast_ms) AS first_ms FROM vote GROUP BY proposal_id) v USING (proposal_id) WHERE p.proposal_id <= 4000")
 def bkf_timestamps(spark, d):
     first = a.votes(spark, d).groupBy("proposal_id").agg(F.min("cast_ms").alias("first_ms"))
-    rows = a.proposals(spark, d).where("proposal_id <= 4000").join(first, "proposal_id", "left")
+    rows = a.proposals(spark, d).join(first, "proposal_id", "left")
     return rows.select("proposal_id", F.coalesce(F.when(F.col("chain_id") != 2, F.col("created")), "first_ms").alias("created"))
 
 
