@@ -1,42 +1,46 @@
 """Byte-level BPE encoding and decoding.
 
-Texts are split in Arrow tasks by the tokenizer's pattern; words that are tokens have their rank for an id. The other
-distinct words are counted over all documents, and the most frequent ones, at most ``REMEMBERED``, are encoded once by
-higher-order functions: of the neighbouring pairs of a word's bytes the one whose concatenation has the lowest rank is merged,
-the leftmost of equals, until no pair has a rank. The ranks are a literal map, held in buckets by hash so that a look-up
-doesn't scan. The ids of these words are broadcast; any other word is folded in the same way where it stands, so that results
-don't depend on what is remembered. Decoding concatenates the tokens' bytes.
+Texts are split in Arrow tasks by the tokenizer's pattern. Bytes that stand together in no token never merge, so words are
+cut there into blocks. Each task numbers the distinct blocks of its texts, a chunk at a time, and keeps its documents as block
+numbers. The distinct blocks of all chunks meet by a shuffle, and each is encoded once by higher-order functions over its
+bytes: of the neighbouring pairs of parts the one whose concatenation has the lowest rank is merged, the leftmost of equals,
+until no pair has a rank. The ranks are a literal table, in slots by hash so that a look-up doesn't scan. The ids go back
+to the chunks that have the block. Decoding concatenates the tokens' bytes.
 
 Nulls and edges: a null or empty text has no tokens and decodes to nothing; null and repeated ids are kept row
-by row; an empty table gives an empty result. The ranks must hold each single byte. Byte strings are handled as hexadecimal strings.
+by row; an empty table gives an empty result. The ranks must hold each single byte. The time of a block of n bytes grows
+with n times the number of its different merges; blocks are short unless a run of letters has no end.
 """
 
 from __future__ import annotations
 
 import base64
 import json
-from collections import Counter
-from collections.abc import Iterator
-from struct import pack
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rollcall.llm.frames import written
+from rollcall.llm.frames import arrow_type
 
-BUCKETS = 1 << 16
+SLOTS = 1 << 17
 #: Rank of a pair that doesn't merge.
 NEVER = 2**31 - 1
-#: Words whose ids are broadcast, at most, and their bytes, at most; only speed depends on them.
-REMEMBERED, WORD_BYTES = 600_000, 64
-#: Distinct stretches of text that a task holds before it empties its memory.
-HELD = 250_000
-#: Stands for a word that is folded later.
-HOLE = pack("<i", -1)
+#: Pairs from which on all occurrences of the best pair are merged at once.
+MANY = 32
+#: Distinct blocks and characters of text of a chunk, at most (the text that reaches them is its last).
+CHUNK_BLOCKS, CHUNK_CHARS = 400_000, 64 << 20
+#: Distinct stretches of text that a task holds before it empties its memory, and the longest; only speed depends on them.
+HELD, HELD_CHARS = 250_000, 64
+#: Texts that travel together.
+TEXTS = 256
+#: In the packed numbers: two more 16-bit parts follow.
+LARGE = 0xFFFF
 
 
 def default_ranks() -> str:
@@ -51,58 +55,99 @@ def default_pattern() -> str:
     return public_tokenizers.PATTERN
 
 
-def read_ranks(path: str) -> dict[str, int]:
-    """Rank by the token's bytes in upper-case hexadecimal."""
+def read_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
-        return {base64.b64decode(a).hex().upper(): int(b) for a, b in (x.split() for x in f if x.strip())}
+        return {base64.b64decode(a): int(b) for a, b in (x.split() for x in f if x.strip())}
 
 
-def bucketed(entries: dict[str, object], value_type: str) -> Column:
-    """A literal array of small maps: the map of a key is at its hash."""
-    held: list[dict] = [{} for _ in range(BUCKETS)]
-    for k, v in entries.items():
-        held[xxhash.xxh64_intdigest(k.encode(), seed=42) % BUCKETS][k] = v
-    return F.from_json(F.lit(json.dumps(held, separators=(",", ":"), ensure_ascii=False)), f"array<map<string,{value_type}>>")
+def literal(value: object, kind: str) -> Column:
+    """A constant from JSON, in which bytes are base64."""
+    return F.from_json(F.lit(json.dumps(value, separators=(",", ":"))), kind)
 
 
-def looked_up(held: Column, key: Column) -> Column:
-    return F.get(held, F.xxhash64(key).bitwiseAND(F.lit(BUCKETS - 1)).cast("int"))[key]
+def rank_table(ranks: dict[bytes, int]) -> Column:
+    """A literal array of slots: the token and rank of a key are in the slot of its hash."""
+    held: list[list] = [[] for _ in range(SLOTS)]
+    for token, rank in ranks.items():
+        held[xxhash.xxh64_intdigest(token, seed=42) % SLOTS].append({"t": base64.b64encode(token).decode(), "r": rank})
+    return literal(held, "array<array<struct<t:binary,r:int>>>")
+
 
+def looked_up(table: Column, key: Column) -> Column:
+    slot = F.get(table, F.xxhash64(key).bitwiseAND(F.lit(SLOTS - 1)).cast("int"))
+    return F.get(F.filter(slot, lambda e: e["t"] == key), 0)["r"]
 
-def bound(value: Column, use) -> Column:
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use`` of a value that is computed once."""
     return F.get(F.transform(F.array(value), use), 0)
 
 
-def folded(word: Column, ranks: Column) -> Column:
-    """The token ids of one word of two bytes or more in hexadecimal, by merging its bytes.
+def folded(word: Column, table: Column) -> Column:
+    """The token ids of a block of two bytes or more, by merging its bytes.
 
     What is folded are the neighbouring pairs: the rank of the whole, where it starts, where its second part does, and its end.
+    Merges of one pair at several places at once are the same as one after the other if no pair that a merge makes on the
+    way has a lower rank; where one has, only the leftmost is merged.
     """
-    n = (F.length(word) / 2).cast("int")
 
     def token(start: Column, end: Column) -> Column:
-        return looked_up(ranks, F.substring(word, 2 * start + 1, 2 * (end - start)))
+        return looked_up(table, F.substring(word, start + 1, end - start))
+
+    def rank(start: Column, end: Column) -> Column:
+        return F.coalesce(token(start, end), F.lit(NEVER))
 
     def pair(start: Column, middle: Column, end: Column) -> Column:
-        return F.struct(F.coalesce(token(start, end), F.lit(NEVER)).alias("rank"), start.alias("start"), middle.alias("middle"), end.alias("end"))
+        return F.struct(rank(start, end).alias("rank"), start.alias("start"), middle.alias("middle"), end.alias("end"))
+
+    def state(pairs: Column) -> Column:
+        return bound(pairs, lambda p: F.struct(F.array_min(p).alias("best"), p.alias("pairs")))
+
+    def leftmost(s: Column) -> Column:
+        best = s["best"]
+        others = F.filter(s["pairs"], lambda p: p["start"] != best["start"])
+        return F.transform(others, lambda p: F.when(p["middle"] == best["start"], pair(p["start"], p["middle"], best["end"])).when(p["start"] == best["middle"], pair(best["start"], p["middle"], p["end"])).otherwise(p))
+
+    def everywhere(s: Column, marks: Column) -> Column:
+        """All places that ``marks`` has a 1 at, never two neighbours; an empty array if that isn't the same as one by one."""
+        pairs = s["pairs"]
 
-    def merged(pairs: Column, best: Column) -> Column:
-        """``best`` as one part: it goes, and its two neighbours are pairs with the new part."""
-        return F.transform(
-            F.filter(pairs, lambda p: p["start"] != best["start"]),
-            lambda p: F.when(p["middle"] == best["start"], pair(p["start"], p["middle"], best["end"])).when(p["start"] == best["middle"], pair(best["start"], p["middle"], p["end"])).otherwise(p),
-        )
+        def marked(i: Column) -> Column:
+            return F.coalesce(F.get(marks, i) == "1", F.lit(False))
 
-    def step(pairs: Column, _: Column) -> Column:
-        return bound(F.array_min(pairs), lambda best: F.when(best["rank"] < NEVER, merged(pairs, best)).otherwise(pairs))
+        def after(p: Column, i: Column) -> Column:
+            start = F.when(marked(i - 1), F.get(pairs, i - 1)["start"]).otherwise(p["start"])
+            end = F.when(marked(i + 1), F.get(pairs, i + 1)["end"]).otherwise(p["end"])
+            return F.when(marked(i), F.lit(None)).when(marked(i - 1) | marked(i + 1), pair(start, p["middle"], end)).otherwise(p)
 
-    def tokens(pairs: Column) -> Column:
+        def on_the_way(p: Column, i: Column) -> Column:
+            """The rank of the new part with the old one after it."""
+            return F.when(marked(i) & F.get(pairs, i + 1).isNotNull(), rank(p["start"], F.get(pairs, i + 1)["end"])).otherwise(F.lit(NEVER))
+
+        def checked(made: Column) -> Column:
+            lowest = F.least(F.coalesce(F.array_min(made)["rank"], F.lit(NEVER)), F.array_min(F.transform(pairs, on_the_way)))
+            return F.when(lowest > s["best"]["rank"], made).otherwise(F.slice(made, 1, 0))
+
+        return bound(F.filter(F.transform(pairs, after), lambda p: p.isNotNull()), checked)
+
+    def at_once(s: Column) -> Column:
+        flags = F.array_join(F.transform(s["pairs"], lambda p: F.when(p["rank"] == s["best"]["rank"], "1").otherwise("0")), "")
+        marks = F.split(F.replace(flags, F.lit("11"), F.lit("10")), "")
+        made = bound(marks, lambda m: everywhere(s, m))
+        return bound(made, lambda m: F.when(F.size(m) > 0, m).otherwise(leftmost(s)))
+
+    def step(s: Column, _: Column) -> Column:
+        done = s["best"].isNull() | (s["best"]["rank"] == NEVER)
+        return F.when(done, s).otherwise(state(F.when(F.size(s["pairs"]) < MANY, leftmost(s)).otherwise(at_once(s))))
+
+    def tokens(s: Column) -> Column:
+        pairs = s["pairs"]
         last = F.get(pairs, F.size(pairs) - 1)
-        return F.concat(F.transform(pairs, lambda p: token(p["start"], p["middle"])), F.array(F.coalesce(token(last["middle"], last["end"]), looked_up(ranks, word))))
+        return F.concat(F.transform(pairs, lambda p: token(p["start"], p["middle"])), F.array(F.coalesce(token(last["middle"], last["end"]), looked_up(table, word))))
 
+    n = F.octet_length(word)
     first = F.transform(F.sequence(F.lit(0), n - 2), lambda i: pair(i, i + 1, i + 2))
-    return F.aggregate(F.sequence(F.lit(2), n), first, step, tokens)
+    return F.aggregate(F.sequence(F.lit(2), n), state(first), step, tokens)
 
 
 class Texts:
@@ -131,161 +176,192 @@ class OddSpaces(Exception):
     """A text has to be split as a whole."""
 
 
-class Ids(dict):
-    """Ids by stretch, as little-endian integers. Words without known ids leave a hole and go to ``later``."""
+class Blocks(dict):
+    """Block numbers (as 32-bit integers) by stretch. ``numbers`` has the distinct blocks in the order of their numbers."""
 
-    def __init__(self, known: dict[str, bytes], texts: Texts):
+    def __init__(self, texts: Texts, tokens: dict[bytes, int]):
         super().__init__()
-        self.known, self.texts, self.later = known, texts, []
-
-    def of_words(self, text: str) -> tuple[bytes, bool]:
-        before, ids = len(self.later), []
+        self.texts, self.tokens = texts, tokens
+        self.joins = bytearray(1 << 16)
+        for t in tokens:
+            for a, b in zip(t, t[1:]):
+                self.joins[a << 8 | b] = 1
+        self.forget()
+
+    def forget(self) -> None:
+        self.clear()
+        self.numbers: dict[bytes, int] = {}
+        self.words: dict[str, bytes] = {}
+
+    def blocks(self, word: bytes) -> list[bytes]:
+        if word in self.tokens:
+            return [word]
+        joins = self.joins
+        cuts = [k for k, (a, b) in enumerate(zip(word, word[1:]), 1) if not joins[a << 8 | b]]
+        return [word[a:e] for a, e in zip([0, *cuts], [*cuts, len(word)])] if cuts else [word]
+
+    def of_words(self, text: str) -> bytes:
+        found, known, numbers = [], self.words, self.numbers
         for w in self.texts.words(text):
-            i = self.known.get(w)
-            if i is None:
-                self.later.append(w)
-                i = HOLE
-            ids.append(i)
-        return b"".join(ids), len(self.later) == before
+            n = known.get(w)
+            if n is None:
+                n = np.array([numbers.setdefault(b, len(numbers)) for b in self.blocks(w.encode("utf-8"))], np.int32).tobytes()
+                if len(w) <= HELD_CHARS:
+                    known[w] = n
+            found.append(n)
+        return b"".join(found)
 
     def __missing__(self, stretch: str) -> bytes:
         if odd(stretch):
             raise OddSpaces
-        ids, whole = self.of_words(stretch)
-        if whole:
-            self[stretch] = ids
-        return ids
+        n = self.of_words(stretch)
+        if len(stretch) <= HELD_CHARS:
+            self[stretch] = n
+        return n
 
     def of_text(self, text: str) -> bytes:
         stretches, rest = self.texts.stretches(text)
         if len(stretches) > 1:
-            before = len(self.later)
             try:
-                return b"".join([*map(self.__getitem__, stretches), self.of_words(rest)[0]])
+                return b"".join([*map(self.__getitem__, stretches), self.of_words(rest)])
             except OddSpaces:
-                del self.later[before:]
-        return self.of_words(text)[0]
-
-
-def segments(raw: list[bytes], later: list[str]) -> pa.Array:
-    """Per text: its runs of known ids, each with the word that comes after it, if any, in hexadecimal."""
-    ids = np.frombuffer(b"".join(raw), np.int32)
-    ends = np.cumsum([len(r) // 4 for r in raw])
-    holes = np.flatnonzero(ids == -1)
-    cuts = np.concatenate([ends - np.searchsorted(holes, ends), holes - np.arange(len(holes))])
-    order = np.argsort(np.concatenate([ends, holes]), kind="stable")  # the end of a text comes before a hole at the same place
-    words = np.array([None] * len(ends) + [w.encode("utf-8").hex().upper() for w in later], object)[order]
-    runs = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], cuts[order]]).astype(np.int32)), pa.array(ids[ids != -1]))
-    bounds = np.concatenate([[0], np.searchsorted(holes, ends) + np.arange(1, len(ends) + 1)]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(bounds), pa.StructArray.from_arrays([runs, pa.array(words, pa.string())], ["run", "word"]))
-
-
-def frequent_words(texts: DataFrame, ranks: dict[str, int], pattern: str) -> DataFrame:
-    """The most frequent words of all texts that are not tokens themselves: word in hexadecimal; at most REMEMBERED."""
-    known = texts.sparkSession.sparkContext.broadcast(token_words(ranks))
-
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, tokens = Texts(pattern), known.value
-        stretches: Counter[str] = Counter()
-
-        def emptied() -> Iterator[pa.RecordBatch]:
-            words: Counter[str] = Counter()
-            for s, n in stretches.items():
-                for w in split.words(s):
-                    if w not in tokens and len(w) <= WORD_BYTES:
-                        words[w] += n
-            stretches.clear()
-            found = list(words)
-            for at in range(0, len(found), 20_000):
-                some = found[at : at + 20_000]
-                yield pa.RecordBatch.from_arrays([pa.array(some, pa.string()), pa.array([words[w] for w in some], pa.int64())], ["word", "n"])
+                pass
+        return self.of_words(text)
 
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                for text in batch.column("text").slice(at, 256).to_pylist():
-                    stretches.update(split.stretches(text)[0])
-                if len(stretches) > HELD:
-                    yield from emptied()
-        yield from emptied()
-
-    counts = written(texts.select("text").mapInArrow(counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.octet_length("word") <= WORD_BYTES))
-    level = F.floor(8 * F.log2("n"))
-    least, total = 1 << 20, 0
-    for r in counts.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():  # some hundred rows
-        total += r["count"]
-        if total > REMEMBERED:
-            break
-        least = r["level"]
-    return counts.where(level >= least).select(F.hex(F.encode("word", "UTF-8")).alias("word"))
-
-
-def token_words(ranks: dict[str, int]) -> dict[str, bytes]:
-    """Ids of the tokens that are texts."""
-    found = {}
-    for token, rank in ranks.items():
-        try:
-            found[bytes.fromhex(token).decode("utf-8")] = pack("<i", rank)
-        except UnicodeDecodeError:
-            continue
-    return found
+
+def packed(numbers: np.ndarray) -> bytes:
+    """Numbers below 2^30, compressed."""
+    large = numbers >= LARGE
+    at = np.arange(len(numbers)) + 2 * (np.cumsum(large) - large)
+    parts = np.empty(len(numbers) + 2 * int(large.sum()), np.uint16)
+    parts[at] = np.minimum(numbers, LARGE)
+    parts[at[large] + 1] = numbers[large] & 0x7FFF
+    parts[at[large] + 2] = numbers[large] >> 15
+    planes = parts.view(np.uint8).reshape(-1, 2).T.tobytes()
+    return len(planes).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    planes = pa.decompress(raw[8:], int.from_bytes(raw[:8], "little"), codec="zstd", asbytes=True)
+    parts = np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(2, -1).T).view(np.uint16).ravel().astype(np.int64)
+    large = np.flatnonzero(parts == LARGE)
+    parts[large] = parts[large + 1] | parts[large + 2] << 15
+    keep = np.ones(len(parts), bool)
+    keep[large + 1] = keep[large + 2] = False
+    return parts[keep]
 
 
-def packed(table: pa.Table) -> bytes:
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema) as out:
-        out.write_table(table)
-    return sink.getvalue().to_pybytes()
+def joined(words: list[bytes]) -> bytes:
+    """Byte strings and their lengths, compressed."""
+    sizes = np.array([len(w) for w in words], np.uint32).tobytes()
+    raw = len(words).to_bytes(8, "little") + sizes + b"".join(words)
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
 
-_KNOWN: list = [None, {}]
+def parted(raw: bytes) -> list[bytes]:
+    raw = pa.decompress(raw[8:], int.from_bytes(raw[:8], "little"), codec="zstd", asbytes=True)
+    n = int.from_bytes(raw[:8], "little")
+    ends = (8 + 4 * n + np.cumsum(np.frombuffer(raw, np.uint32, n, 8), dtype=np.int64)).tolist()
+    return [raw[a:e] for a, e in zip([8 + 4 * n, *ends[:-1]], ends)]
 
 
-def known_words(value: tuple[dict[str, bytes], bytes]) -> dict[str, bytes]:
-    """Ids of tokens and remembered words; made once per Python worker."""
-    if _KNOWN[0] is not value:
-        tokens, raw = value
-        known = dict(tokens)
-        for batch in pa.ipc.open_stream(raw):
-            ids = batch.column("ids")
-            ends, held = (ids.offsets.to_numpy() * 4).tolist(), memoryview(np.ascontiguousarray(ids.values.to_numpy())).cast("B")
-            for k, word in enumerate(batch.column("text").to_pylist()):
-                known[word] = bytes(held[ends[k] : ends[k + 1]])
-        _KNOWN[:] = [value, known]
-    return _KNOWN[1]
+def gathered(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of some stretches, one after the other."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - ends + sizes, sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
 
 
 def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks_path: str | None = None, pattern: str | None = None) -> DataFrame:
     """Per row: id and ids, the token ids of the whole text. The vocabulary is read by the driver."""
-    spark, ranks, pattern = docs.sparkSession, read_ranks(ranks_path or default_ranks()), pattern or default_pattern()
-    held = bucketed(ranks, "int")
-    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    frequent = frequent_words(texts, ranks, pattern).repartition(tasks)
-    encoded = frequent.select(F.decode(F.unhex("word"), "UTF-8").alias("text"), bound(held, lambda r: folded(F.col("word"), r)).alias("ids")).toArrow()
-    shared = spark.sparkContext.broadcast((token_words(ranks), packed(encoded)))
+    ranks, pattern = read_ranks(ranks_path or default_ranks()), pattern or default_pattern()
+    kind, id_type = docs.schema[id_col].dataType.simpleString(), arrow_type(docs, id_col)
+    vocabulary = docs.sparkSession.sparkContext.broadcast(ranks)  # a fixed file
+    chunk_schema = pa.schema([("chunk", pa.int64()), ("doc_ids", pa.list_(id_type)), ("sizes", pa.list_(pa.int32())), ("numbers", pa.binary()), ("words", pa.binary())])
+
+    def chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Per row some documents of a chunk, or all its distinct blocks."""
+        blocks, part, count, chars = Blocks(Texts(pattern), vocabulary.value), TaskContext.get().partitionId(), 0, 0
+
+        def row(doc_ids: list | None, sizes: list | None, numbers: bytes | None, words: bytes | None) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(((part << 24) + count, doc_ids, sizes, numbers, words), chunk_schema)], schema=chunk_schema)
 
-    def looked_up_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = Ids(known_words(shared.value), Texts(pattern))
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                raw = [ids.of_text(t) for t in batch.column("text").slice(at, 256).to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(at, 256), segments(raw, ids.later)], ["id", "segments"])
-                ids.later = []
-                if len(ids) > HELD:
-                    ids.clear()
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    split = texts.mapInArrow(looked_up_texts, f"id {kind}, segments array<struct<run: array<int>, word: string>>")
+            at = 0
+            while at < batch.num_rows:
+                end, size = at, 0
+                found = []
+                while end < min(at + TEXTS, batch.num_rows) and size < CHUNK_CHARS:
+                    text = batch.column("text")[end].as_py()
+                    size += len(text)
+                    found.append(blocks.of_text(text))
+                    end += 1
+                yield row(batch.column("id").slice(at, end - at).to_pylist(), [len(f) // 4 for f in found], packed(np.frombuffer(b"".join(found), np.int32)), None)
+                at, chars = end, chars + size
+                if len(blocks) > HELD:
+                    blocks.clear()
+                if len(blocks.numbers) >= CHUNK_BLOCKS or chars >= CHUNK_CHARS:
+                    yield row(None, None, None, joined(list(blocks.numbers)))
+                    blocks.forget()
+                    count, chars = count + 1, 0
+        if blocks.numbers:
+            yield row(None, None, None, joined(list(blocks.numbers)))
+
+    def words_of(held: pa.Table) -> pa.Table:
+        """The distinct blocks of a chunk that aren't tokens, with their numbers."""
+        words = [w for raw in held.column("words").to_pylist() if raw is not None for w in parted(raw)]
+        tokens = vocabulary.value
+        found = [(w, n) for n, w in enumerate(words) if w not in tokens]
+        chunk = np.full(len(found), held.column("chunk")[0].as_py(), np.int64)
+        return pa.table({"chunk": chunk, "n": pa.array([n for _, n in found], pa.int32()), "word": pa.array([w for w, _ in found], pa.binary())})
+
+    def finish(held: pa.Table, told: pa.Table) -> pa.Table:
+        words = [w for raw in held.column("words").to_pylist() if raw is not None for w in parted(raw)]
+        at, tokens = told.column("n").to_numpy(), vocabulary.value
+        ids = told.column("ids").combine_chunks()
+        ids = pa.concat_arrays(ids.chunks) if isinstance(ids, pa.ChunkedArray) else ids
+        flat, offsets = ids.values.to_numpy(), ids.offsets.to_numpy().astype(np.int64)
+        own = np.array([tokens.get(w, -1) for w in words], np.int32)
+        starts, sizes = len(flat) + np.arange(len(words)), np.ones(len(words), np.int64)
+        starts[at], sizes[at] = offsets[:-1], np.diff(offsets)
+        flat = np.concatenate([flat, own])
+        doc_ids, found = [], []
+        for some, lengths, raw in zip(*(held.column(c).to_pylist() for c in ("doc_ids", "sizes", "numbers"))):
+            if raw is None:
+                continue
+            numbers = unpacked(raw)
+            taken = sizes[numbers]
+            ends = np.concatenate([[0], np.cumsum(taken)])[np.cumsum([0, *lengths])]
+            found.append(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat[gathered(starts[numbers], taken)])))
+            doc_ids += some
+        return pa.Table.from_arrays([pa.array(doc_ids, id_type), pa.chunked_array(found, pa.list_(pa.int32()))], ["id", "ids"])
+
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    chunks = texts.mapInArrow(chunked, f"chunk long, doc_ids array<{kind}>, sizes array<int>, numbers binary, words binary").groupBy("chunk")  # one shuffle for both uses
+    words = chunks.applyInArrow(words_of, "chunk long, n int, word binary")
+    same = Window.partitionBy("word").orderBy("chunk")
     # one literal, bound once: each copy of it would go into every task
-    ids = bound(held, lambda r: F.flatten(F.transform("segments", lambda s: F.when(s["word"].isNull(), s["run"]).otherwise(F.concat(s["run"], folded(s["word"], r))))))
-    return split.select(F.col("id").alias(id_col), ids.alias("ids"))
+    once = words.withColumn("first", F.row_number().over(same) == 1).withColumn("ids", F.when(F.col("first"), bound(rank_table(ranks), lambda t: folded(F.col("word"), t))))
+    told = once.select("chunk", "n", F.first("ids", ignorenulls=True).over(same).alias("ids"))
+    return chunks.cogroup(told.groupBy("chunk")).applyInArrow(finish, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
+
+
+def concatenated(pieces: Column, step: int = 64) -> Column:
+    """All pieces of binary in one, by blocks of blocks, so that long arrays aren't copied again for each piece."""
+
+    def in_one(some: Column) -> Column:
+        return F.aggregate(some, F.lit(b""), lambda s, x: F.concat(s, x))
+
+    def blocks(some: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), ((F.size(some) - 1) / step).cast("int")), lambda k: in_one(F.slice(some, k * step + 1, F.lit(step))))
+
+    return bound(pieces, lambda p: F.when(F.size(p) == 0, F.lit(b"")).otherwise(bound(blocks(p), lambda q: in_one(blocks(q)))))
 
 
 def decoded(ids: Column, ranks_path: str | None = None) -> Column:
     """The bytes of token ids."""
-    by_rank = {r: h for h, r in read_ranks(ranks_path or default_ranks()).items()}
-    tokens = F.from_json(F.lit(json.dumps([by_rank.get(r) for r in range(max(by_rank) + 1)], separators=(",", ":"))), "array<string>")
-    return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(tokens, i)), ""))
+    by_rank = {r: t for t, r in read_ranks(ranks_path or default_ranks()).items()}
+    tokens = literal([base64.b64encode(by_rank[r]).decode() if r in by_rank else None for r in range(max(by_rank) + 1)], "array<binary>")
+    return concatenated(F.transform(ids, lambda i: F.get(tokens, i)))
 
 
 def op10_byte_bpe(spark, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,9 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or a temporary one where that is unset (tests)."""
+    """The folder that all executors share: ``spark.checkpoint.dir``; where that is unset, a local session gets a temporary one."""
     sc = spark.sparkContext
     at = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not at and not sc.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     at = at or tempfile.mkdtemp(prefix="checkpoints")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(at)
@@ -44,6 +47,11 @@ def utf8(column: str) -> F.Column:
     return F.encode(F.coalesce(F.col(column), F.lit("")), "UTF-8")
 
 
+def arrow_type(df: DataFrame, column: str) -> pa.DataType:
+    """The type that a column has in Arrow tasks."""
+    return to_arrow_type(df.schema[column].dataType)
+
+
 def rows_of(batches: Iterable[pa.RecordBatch], *names: str) -> Iterator[tuple]:
     """The rows of some columns as Python values, a few at a time."""
     for batch in batches:

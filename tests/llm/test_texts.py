@@ -239,14 +239,13 @@ def test_byte_bpe(docs, rows, empty):
 
     from rollcall.llm.byte_bpe import decoded, encode_texts
 
-    short = docs.where("length(text) < 2000 OR text IS NULL")
     with open(p.path("byte_bpe_50k.tiktoken"), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     known = tiktoken.Encoding("own", pat_str=p.PATTERN, mergeable_ranks=ranks, special_tokens={})
     texts = {i: t or "" for i, t, *_ in rows}
-    out = encode_texts(short)
+    out = encode_texts(docs)
     found = out.select("doc_id", "ids", decoded(out.ids).alias("bytes")).collect()
-    assert len(found) > 40
+    assert len(found) == len(rows)
     for r in found:
         assert r.ids == known.encode_ordinary(texts[r.doc_id] if r.doc_id is not None else texts[5]) and bytes(r.bytes).decode() == (texts[r.doc_id] if r.doc_id is not None else texts[5])
     assert encode_texts(empty).collect() == []
@@ -287,20 +286,42 @@ def test_pipeline(spark, docs, rows):
     assert set(held) == set(copies) and len(copies) < len(rows) - 10
 
 
-def test_byte_bpe_stretches():
-    """Split at single spaces or not, a text has the same words."""
-    import random
+def test_byte_bpe_of_long_runs_and_awkward_texts(spark):
+    """Runs that the pattern doesn't split, and random texts of awkward characters, as the tiktoken library encodes them."""
+    import base64
+
+    import public_tokenizers as p
+    import tiktoken
+
+    from rollcall.llm.byte_bpe import decoded, encode_texts
 
+    with open(p.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    known = tiktoken.Encoding("own", pat_str=p.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    r = random.Random(7)
+    parts = ["a", "b", "the", "ing", "Zebra", "é", "日本", " ", "  ", "   ", "\n", "\t", "\x1c", "\x85", "　", ".", "'s", "1", "!?", "\0", " b", "😀", "aaaa"]
+    texts = ["".join(chr(r.randrange(0x4E00, 0x9FA5)) for _ in range(30_000)), "a" * 9001, "ab" * 2000, "aaab" * 500, "".join(r.choice("abcdefgh") for _ in range(1500)), "", " ", "a ", "x\n"]
+    texts += ["".join(r.choice(parts) for _ in range(r.randrange(60))) for _ in range(1500)]
+    out = encode_texts(spark.createDataFrame(list(enumerate(texts)), "doc_id string, text string").repartition(3))
+    found = {int(x.doc_id): (x.ids, bytes(x.b).decode()) for x in out.select("doc_id", "ids", decoded(out.ids).alias("b")).collect()}
+    assert found == {k: (known.encode_ordinary(t), t) for k, t in enumerate(texts)}
+
+
+def test_byte_bpe_stretches():
+    """Split at single spaces or not, a text has the same words; packed numbers come back."""
+    import numpy as np
     import public_tokenizers as p
     import regex
 
-    from rollcall.llm.byte_bpe import HOLE, Ids, Texts, segments
+    from rollcall.llm.byte_bpe import Blocks, Texts, packed, read_ranks, unpacked
 
     rng = random.Random(5)
     parts = ["a", "the", "Zebra", "日本", " ", "  ", "   ", "\n", "\t", "\x1c", "\x85", "　", ".", "'s", "1", "!?", "\0", " b", "😀"]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(3000)] + ["", " ", "a ", "x\n"]
-    ids = Ids({}, Texts(p.PATTERN))
-    raw = [ids.of_text(t) for t in texts]
-    found = [[bytes.fromhex(s["word"]).decode() for s in row if s["word"] is not None] for row in segments(raw, ids.later).to_pylist()]
-    assert set(b"".join(raw)) <= set(HOLE)
-    assert found == [regex.findall(p.PATTERN, t) for t in texts]
+    blocks = Blocks(Texts(p.PATTERN), read_ranks(p.path("byte_bpe_50k.tiktoken")))
+    for t in texts:
+        numbers = np.frombuffer(blocks.of_text(t), np.int32)
+        own = list(blocks.numbers)
+        assert [own[n] for n in numbers] == [b for w in regex.findall(p.PATTERN, t) for b in blocks.blocks(w.encode())]
+    some = np.array([0, 65534, 65535, 65536, 1, (1 << 30) - 1, 32767, 98303], np.int32)
+    assert unpacked(packed(some)).tolist() == some.tolist() and len(unpacked(packed(some[:0]))) == 0
