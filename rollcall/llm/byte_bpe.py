@@ -16,7 +16,8 @@ from __future__ import annotations
 
 import base64
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,9 @@ MANY = 32
 #: Distinct blocks and characters of text of a chunk, at most (the text that reaches them is its last).
 CHUNK_BLOCKS, CHUNK_CHARS = 400_000, 64 << 20
 #: Distinct stretches of text that a task holds before it empties its memory, and the longest; only speed depends on them.
-HELD, HELD_CHARS = 250_000, 64
+HELD, HELD_CHARS = 400_000, 64
+#: Below this, str.isalpha and the pattern agree on what a letter is.
+KNOWN_LETTERS = "\u0250"
 #: Texts that travel together.
 TEXTS = 256
 #: In the packed numbers: two more 16-bit parts follow.
@@ -176,50 +179,57 @@ class OddSpaces(Exception):
     """A text has to be split as a whole."""
 
 
+def gathered(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of some stretches, one after the other."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - ends + sizes, sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
+class Numbered(dict):
+    """Numbers words as they come, as 32-bit integers; ``fresh`` has those that are new."""
+
+    def __init__(self):
+        self.fresh: list[str] = []
+
+    def __missing__(self, word: str) -> bytes:
+        self[word] = n = pack("<i", len(self))
+        self.fresh.append(word)
+        return n
+
+
 class Blocks(dict):
-    """Block numbers (as 32-bit integers) by stretch. ``numbers`` has the distinct blocks in the order of their numbers."""
+    """Word numbers by stretch, and the blocks of words. ``numbers`` has the distinct blocks in the order of their numbers."""
 
-    def __init__(self, texts: Texts, tokens: dict[bytes, int]):
+    def __init__(self, texts: Texts, tokens: Iterable[bytes]):
         super().__init__()
-        self.texts, self.tokens = texts, tokens
-        self.joins = bytearray(1 << 16)
+        self.texts = texts
+        self.joins = np.zeros(1 << 16, bool)
         for t in tokens:
             for a, b in zip(t, t[1:]):
-                self.joins[a << 8 | b] = 1
+                self.joins[a << 8 | b] = True
         self.forget()
 
     def forget(self) -> None:
         self.clear()
-        self.numbers: dict[bytes, int] = {}
-        self.words: dict[str, bytes] = {}
-
-    def blocks(self, word: bytes) -> list[bytes]:
-        if word in self.tokens:
-            return [word]
-        joins = self.joins
-        cuts = [k for k, (a, b) in enumerate(zip(word, word[1:]), 1) if not joins[a << 8 | b]]
-        return [word[a:e] for a, e in zip([0, *cuts], [*cuts, len(word)])] if cuts else [word]
+        self.words, self.numbers = Numbered(), {}
+        self.starts, self.sizes, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
     def of_words(self, text: str) -> bytes:
-        found, known, numbers = [], self.words, self.numbers
-        for w in self.texts.words(text):
-            n = known.get(w)
-            if n is None:
-                n = np.array([numbers.setdefault(b, len(numbers)) for b in self.blocks(w.encode("utf-8"))], np.int32).tobytes()
-                if len(w) <= HELD_CHARS:
-                    known[w] = n
-            found.append(n)
-        return b"".join(found)
+        return b"".join(map(self.words.__getitem__, self.texts.words(text)))
 
     def __missing__(self, stretch: str) -> bytes:
-        if odd(stretch):
+        if self.texts.spaced and (stretch[1:] if stretch[:1] == " " else stretch).isalpha() and max(stretch) < KNOWN_LETTERS:
+            n = self.words[stretch]  # letters, perhaps after one space, are a word
+        elif odd(stretch):
             raise OddSpaces
-        n = self.of_words(stretch)
+        else:
+            n = self.of_words(stretch)
         if len(stretch) <= HELD_CHARS:
             self[stretch] = n
         return n
 
     def of_text(self, text: str) -> bytes:
+        """The numbers of a text's words."""
         stretches, rest = self.texts.stretches(text)
         if len(stretches) > 1:
             try:
@@ -228,22 +238,55 @@ class Blocks(dict):
                 pass
         return self.of_words(text)
 
+    def learn(self) -> None:
+        """Cuts the new words into blocks, between bytes that stand together in no token."""
+        words = [w.encode("utf-8") for w in self.words.fresh]
+        self.words.fresh = []
+        if not words:
+            return
+        raw = b"".join(words)
+        held = np.frombuffer(raw, np.uint8).astype(np.int64)
+        ends = np.cumsum([len(w) for w in words])
+        starts = ends - [len(w) for w in words]
+        begins = np.ones(len(held), bool)
+        begins[1:] = ~self.joins[held[:-1] << 8 | held[1:]]
+        begins[starts] = True
+        at = np.flatnonzero(begins)
+        blocks = map(raw.__getitem__, map(slice, at.tolist(), [*at[1:].tolist(), len(raw)]))
+        numbers = self.numbers
+        own = np.fromiter((numbers.setdefault(b, len(numbers)) for b in blocks), np.int32, len(at))
+        first = np.searchsorted(at, starts)
+        self.starts = np.concatenate([self.starts, len(self.flat) + first])
+        self.sizes = np.concatenate([self.sizes, np.diff([*first, len(at)])])
+        self.flat = np.concatenate([self.flat, own])
+
+    def of_texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The block numbers of some texts, and how many each text has."""
+        found = [self.of_text(t) for t in texts]
+        self.learn()
+        words = np.frombuffer(b"".join(found), np.int32)
+        sizes = self.sizes[words]
+        bounds = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum([0, *(len(f) // 4 for f in found)])]
+        return self.flat[gathered(self.starts[words], sizes)], np.diff(bounds)
+
 
 def packed(numbers: np.ndarray) -> bytes:
-    """Numbers below 2^30, compressed."""
+    """Numbers below 2^30, compressed: as 16-bit parts, the high bytes first and then the low ones of each high byte."""
     large = numbers >= LARGE
     at = np.arange(len(numbers)) + 2 * (np.cumsum(large) - large)
     parts = np.empty(len(numbers) + 2 * int(large.sum()), np.uint16)
     parts[at] = np.minimum(numbers, LARGE)
     parts[at[large] + 1] = numbers[large] & 0x7FFF
     parts[at[large] + 2] = numbers[large] >> 15
-    planes = parts.view(np.uint8).reshape(-1, 2).T.tobytes()
-    return len(planes).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
+    high = (parts >> 8).astype(np.uint8)
+    raw = high.tobytes() + parts.astype(np.uint8)[np.argsort(high, kind="stable")].tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
 
 def unpacked(raw: bytes) -> np.ndarray:
-    planes = pa.decompress(raw[8:], int.from_bytes(raw[:8], "little"), codec="zstd", asbytes=True)
-    parts = np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(2, -1).T).view(np.uint16).ravel().astype(np.int64)
+    high, low = np.frombuffer(pa.decompress(raw[8:], int.from_bytes(raw[:8], "little"), codec="zstd", asbytes=True), np.uint8).reshape(2, -1)
+    parts = high.astype(np.int64) << 8
+    parts[np.argsort(high, kind="stable")] |= low
     large = np.flatnonzero(parts == LARGE)
     parts[large] = parts[large + 1] | parts[large + 2] << 15
     keep = np.ones(len(parts), bool)
@@ -265,10 +308,9 @@ def parted(raw: bytes) -> list[bytes]:
     return [raw[a:e] for a, e in zip([8 + 4 * n, *ends[:-1]], ends)]
 
 
-def gathered(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The places of some stretches, one after the other."""
-    ends = np.cumsum(sizes)
-    return np.repeat(starts - ends + sizes, sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
+def in_bytes(ids: Column) -> Column:
+    """Ids as four bytes each, so that they take less room on their way."""
+    return F.unhex(F.array_join(F.transform(ids, lambda i: F.lpad(F.hex(i), 8, "0")), ""))
 
 
 def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks_path: str | None = None, pattern: str | None = None) -> DataFrame:
@@ -288,15 +330,10 @@ def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for batch in batches:
             at = 0
             while at < batch.num_rows:
-                end, size = at, 0
-                found = []
-                while end < min(at + TEXTS, batch.num_rows) and size < CHUNK_CHARS:
-                    text = batch.column("text")[end].as_py()
-                    size += len(text)
-                    found.append(blocks.of_text(text))
-                    end += 1
-                yield row(batch.column("id").slice(at, end - at).to_pylist(), [len(f) // 4 for f in found], packed(np.frombuffer(b"".join(found), np.int32)), None)
-                at, chars = end, chars + size
+                some = batch.slice(at, TEXTS)
+                numbers, sizes = blocks.of_texts(texts := some.column("text").to_pylist())
+                yield row(some.column("id").to_pylist(), sizes.tolist(), packed(numbers), None)
+                at, chars = at + TEXTS, chars + sum(map(len, texts))
                 if len(blocks) > HELD:
                     blocks.clear()
                 if len(blocks.numbers) >= CHUNK_BLOCKS or chars >= CHUNK_CHARS:
@@ -317,9 +354,8 @@ def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def finish(held: pa.Table, told: pa.Table) -> pa.Table:
         words = [w for raw in held.column("words").to_pylist() if raw is not None for w in parted(raw)]
         at, tokens = told.column("n").to_numpy(), vocabulary.value
-        ids = told.column("ids").combine_chunks()
-        ids = pa.concat_arrays(ids.chunks) if isinstance(ids, pa.ChunkedArray) else ids
-        flat, offsets = ids.values.to_numpy(), ids.offsets.to_numpy().astype(np.int64)
+        ids = told.column("ids").to_pylist()
+        flat, offsets = np.frombuffer(b"".join(ids), ">i4").astype(np.int32), np.cumsum([0, *(len(i) // 4 for i in ids)])
         own = np.array([tokens.get(w, -1) for w in words], np.int32)
         starts, sizes = len(flat) + np.arange(len(words)), np.ones(len(words), np.int64)
         starts[at], sizes[at] = offsets[:-1], np.diff(offsets)
@@ -340,7 +376,7 @@ def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     words = chunks.applyInArrow(words_of, "chunk long, n int, word binary")
     same = Window.partitionBy("word").orderBy("chunk")
     # one literal, bound once: each copy of it would go into every task
-    once = words.withColumn("first", F.row_number().over(same) == 1).withColumn("ids", F.when(F.col("first"), bound(rank_table(ranks), lambda t: folded(F.col("word"), t))))
+    once = words.withColumn("first", F.row_number().over(same) == 1).withColumn("ids", F.when(F.col("first"), bound(rank_table(ranks), lambda t: in_bytes(folded(F.col("word"), t)))))
     told = once.select("chunk", "n", F.first("ids", ignorenulls=True).over(same).alias("ids"))
     return chunks.cogroup(told.groupBy("chunk")).applyInArrow(finish, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
 

@@ -319,9 +319,11 @@ def test_byte_bpe_stretches():
     parts = ["a", "the", "Zebra", "日本", " ", "  ", "   ", "\n", "\t", "\x1c", "\x85", "　", ".", "'s", "1", "!?", "\0", " b", "😀"]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(3000)] + ["", " ", "a ", "x\n"]
     blocks = Blocks(Texts(p.PATTERN), read_ranks(p.path("byte_bpe_50k.tiktoken")))
-    for t in texts:
-        numbers = np.frombuffer(blocks.of_text(t), np.int32)
-        own = list(blocks.numbers)
-        assert [own[n] for n in numbers] == [b for w in regex.findall(p.PATTERN, t) for b in blocks.blocks(w.encode())]
+    numbers, sizes = blocks.of_texts(texts)
+    own, ends = list(blocks.numbers), np.cumsum(sizes).tolist()
+    for t, a, e in zip(texts, [0, *ends], ends):
+        assert b"".join(own[n] for n in numbers[a:e]) == t.encode()
+        words = np.frombuffer(blocks.of_text(t), np.int32)
+        assert [b"".join(own[n] for n in blocks.flat[blocks.starts[w] : blocks.starts[w] + blocks.sizes[w]]).decode() for w in words] == regex.findall(p.PATTERN, t)
     some = np.array([0, 65534, 65535, 65536, 1, (1 << 30) - 1, 32767, 98303], np.int32)
     assert unpacked(packed(some)).tolist() == some.tolist() and len(unpacked(packed(some[:0]))) == 0
