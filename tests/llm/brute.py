@@ -1,5 +1,6 @@
 """Plain versions of the pipeline's stages, on lists of (doc_id, text, source)."""
 
+import hashlib
 import re
 from collections import Counter, defaultdict
 
@@ -42,20 +43,26 @@ def quality(rows):
     return [r for r in rows if r[0] in good]
 
 
-def lines(rows):
+def digest(t):
+    return 0 if t is None else int(hashlib.md5(t.encode()).hexdigest()[:15], 16)
+
+
+def lines(rows, min_copy=1, min_chars=20):
     """(doc_id, text, source, n_lines, n_removed)"""
     strip = lambda x: x.strip(" \t\r")
     first = {}
     for i, t, _ in rows:
         for p, x in enumerate((t or "").split("\n") if i is not None else []):
-            if len(strip(x)) >= 20:
-                first[strip(x)] = min(first.get(strip(x), (i, p)), (i, p))
+            if len(strip(x)) >= min_copy:
+                at = (i, digest(t), p)
+                first[strip(x)] = min(first.get(strip(x), at), at)
+    long = {x: at for x, at in first.items() if len(x) >= min_chars}
     near = lambda x, y: abs(len(x) - len(y)) <= 1 and (x[: len(x) // 2 - 1] == y[: len(x) // 2 - 1] or x[-(len(x) // 2 - 1) :] == y[-(len(x) // 2 - 1) :]) and levenshtein(x, y) <= 1
-    earliest = {x: min([at, *(b for y, b in first.items() if b < at and near(x, y))]) for x, at in first.items()}
+    earliest = {x: min([at, *(b for y, b in long.items() if x in long and b < at and near(x, y))]) for x, at in first.items()}
     out = []
     for i, t, s in rows:
         every = [] if t is None else t.split("\n")
-        kept = [x for p, x in enumerate(every) if i is None or strip(x) not in earliest or earliest[strip(x)] >= (i, p)]
+        kept = [x for p, x in enumerate(every) if i is None or strip(x) not in earliest or earliest[strip(x)] >= (i, digest(t), p)]
         out.append((i, None if t is None else "\n".join(kept), s, len(every), len(every) - len(kept)))
     return out
 

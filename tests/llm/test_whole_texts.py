@@ -46,15 +46,37 @@ def test_copies_of_short_lines_go(spark, tmp_path):
     texts = ["# 目录\n这是一个完整的句子。\n\nx", " 这是一个完整的句子。\t\nshort\n \nx\nshort", "shord\nshort\n\n", "This is a line of more than 20\nshort", "This is a line of more than 2O\nx\n", None, ""]
     docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
     docs.write.parquet(str(tmp_path / "documents.parquet"))
-    near = {i: (t, n, k) for i, t, _, n, k in brute.lines([(i, t, "s") for i, t in enumerate(texts)])}
-    seen, expected = set(), {}
-    for i, t in enumerate(texts):
-        kept, out = near[i][0], []
-        for x in [] if kept is None else kept.split("\n"):
-            if not (0 < len(y := x.strip(" \t\r")) < 20 and y in seen):
-                out.append(x)
-            seen.add(y)
-        expected[i] = None if t is None else "\n".join(out)
+    expected = {i: t for i, t, *_ in brute.lines([(i, t, "s") for i, t in enumerate(texts)])}
     assert expected[1] == "short\n " and expected[2] == "shord\n\n" and expected[3].startswith("This") and expected[4] == ""
     assert {r.doc_id: r.text for r in op3_line_dedup(spark, str(tmp_path)).collect()} == expected
     assert {r.doc_id: r.text for r in corpus_pipeline.line_stage(spark, docs, "").collect()} == expected
+
+
+def test_rows_that_repeat_an_id_keep_their_own_lines(spark):
+    """By the operator, a plain version and the SQL: lines belong to rows, not to ids."""
+    import brute
+    import duckdb
+    from rollcall.llm.line_dedup import SQL, dedup_lines
+
+    long = "a line that is long enough to have variants"
+    rows = [(1, long), (2, "unique alpha, which is a long line too\nsecond unique line of this row"), (2, f"{long}\nsecond unique\nthird of all"), (2, f"{long}!\nx\nx"), (3, "x\nfourth"), (3, "fourth\nx"), (3, "fourth\nx"), (None, long), (4, None), (4, ""), (4, long[:-1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = sorted(map(tuple, dedup_lines(docs).collect()), key=str)
+    assert found == sorted(((i, t, n, k) for i, t, _, n, k in brute.lines([(*r, "s") for r in rows])), key=str)
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas().astype({"doc_id": "Int64"}))
+    assert found == sorted(con.execute(SQL).fetchall(), key=str)
+    assert (2, rows[1][1], 2, 0) in found
+
+
+def test_long_lines_that_differ_by_a_character(spark):
+    """Long pieces are taken apart again, and whole lines are compared."""
+    import random
+
+    from rollcall.llm.line_dedup import dedup_lines
+
+    r = random.Random(2)
+    line = "".join(r.choice("abcdefgh ") for _ in range(40_000)).strip()
+    texts = [line, line[:7] + "é" + line[8:], line[:39_000] + line[39_001:], line[:20_000] + "xx" + line[20_000:], line[:20_000] + "x" + line[20_000:]]
+    found = {x.doc_id: x.n_removed for x in dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert found == {0: 0, 1: 1, 2: 1, 3: 0, 4: 1}
