@@ -5,6 +5,8 @@ its rest is placed best-fit. When no open window has room and no more may be ope
 topped up from the document's head and emitted. At its end a partition merges its open windows, and what
 is left of each partition (less than one window) is merged across partitions by running totals.
 
+A window is only emitted full, as documents may be cut freely, so that no window but the last has padding.
+
 Nulls and edges: a null text is an empty document and holds only the end id; null and repeated ids are
 packed row by row; an empty table gives an empty result.
 """
@@ -23,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rollcall.llm.frames import emitted, utf8, written
+from rollcall.llm.frames import arrow_type, emitted, utf8, written
 
 CAPACITY = 4096
 OPEN_WINDOWS = 64
@@ -60,6 +62,7 @@ class WordIds:
     """Token ids of whole texts, from the ids of their words.
 
     The tokenizer never joins anything across white space, nor the pieces of ``PIECE``; each distinct piece is tokenized once.
+    Texts that hold a special token's string, in whatever case, are tokenized whole: the library takes it for the token.
     """
 
     def __init__(self, path: str):
@@ -68,7 +71,7 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.special = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.split = regex.compile(PIECE).findall
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -120,7 +123,11 @@ class WordIds:
         if len(self.known) > REMEMBERED_WORDS:
             self.forget()
         number = self.known.__getitem__
-        split = [LONE_MARK.sub(rb" \1 ", t.lower()).split() for t in texts]
+        lowered = [t.lower() for t in texts]
+        whole = [k for k, t in enumerate(lowered) if any(x in t for x in self.special)]
+        for k in whole:
+            lowered[k] = b""
+        split = [LONE_MARK.sub(rb" \1 ", t).split() for t in lowered]
         numbers = [np.fromiter(map(number, words), np.int64, len(words)) for words in split]
         self.learn(self.known.fresh)
         self.known.fresh = []
@@ -133,6 +140,8 @@ class WordIds:
             ids[:n] = self.ids[np.repeat(self.starts[at] - ends + lengths, lengths) + np.arange(n)]
             ids[n] = end_id
             found.append(ids)
+        for k in whole:
+            found[k] = np.array([*self.whole([texts[k].decode("utf-8")])[0], end_id], np.uint32)
         return found
 
 
@@ -212,7 +221,7 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, id_col: str =
     """
     path, kind = tokenizer or default_tokenizer(), docs.schema[id_col].dataType.simpleString()
     schema = pa.schema(
-        [("doc_id", {"int": pa.int32(), "string": pa.string()}.get(kind, pa.int64()))]
+        [("doc_id", arrow_type(docs, id_col))]
         + [(n, pa.int64()) for n in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")]
         + [("part", pa.int64()), ("ids", pa.binary())]
     )
