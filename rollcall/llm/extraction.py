@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rollcall.llm.frames import emitted, rows_of
+from rollcall.llm.frames import arrow_type, emitted, rows_of
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?>[^>"']+|"[^"]*"|'[^']*'|["'])*+)>|<[!?][^>]*>""", re.S)
 ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
@@ -225,7 +225,7 @@ def main_text(page: str | None) -> str:
 def extract_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", url_col: str = "url") -> DataFrame:
     """Per row: id, url, text and n_chars (code points)."""
     kind = pages.schema[id_col].dataType.simpleString()
-    schema = pa.schema([("page_id", {"int": pa.int32(), "string": pa.string()}.get(kind, pa.int64())), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
+    schema = pa.schema([("page_id", arrow_type(pages, id_col)), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
 
     def extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = ((i, u, main_text(h)) for i, u, h in rows_of(batches, "page_id", "url", "html"))

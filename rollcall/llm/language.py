@@ -5,16 +5,16 @@ spherical k-means; a text takes the language of the centroid with the highest co
 farther from its centroid than almost all training texts is marked as rejected.
 
 The model is fitted on a bounded sample: the ``PER_LANGUAGE`` labelled training rows of each language that come
-first by a hash of their id. Prediction reads every whole text.
+first by a hash of their id and then of their text. Each language is clustered in a task of its own. Prediction reads every whole text.
 
 Nulls and edges: a text that is null or has no letter gets ``und`` and score 0; so does every text if no
-row can be learned from; rows without a language are not learned from; repeated rows get equal answers; a null id is held for
+row can be learned from; rows without a language are not learned from; repeated rows get equal answers and are learned once; a null id is held for
 training like the text 'null' would be and predicted like any other; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,12 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rollcall.llm.frames import emitted, rows_of
+from rollcall.llm.frames import arrow_type, emitted, rows_of, written
 
 #: Training rows of one language, at most.
 PER_LANGUAGE = 400
-#: Languages that are learned at most; with more distinct labels than this the fit stops with an error.
-MOST_LANGUAGES = 400
 CENTROIDS = 4
 BITS = 12
 #: Share of the training texts that lie beyond the distance at which a text is rejected.
@@ -95,25 +93,11 @@ def clustered(rows: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return centroids
 
 
-def fit(samples: Iterable[tuple[str, str]], k: int = CENTROIDS) -> Model:
-    """The model of (language, text) pairs; it is small, whatever the corpus."""
-    by: dict[str, list[str]] = {}
-    for lang, text in samples:
-        by.setdefault(lang, []).append(text)
-    if not by:
-        return Model([], np.zeros((0, 1 << BITS), np.float32), np.zeros(0), np.ones(1 << BITS, np.float32))
-    counts = {lang: trigram_counts(sorted(texts)) for lang, texts in sorted(by.items())}
-    n = sum(map(len, counts.values()))
-    idf = np.log((1 + n) / (1 + sum((c > 0).sum(axis=0) for c in counts.values()))).astype(np.float32) + 1
-    languages, centroids, limits = [], [], []
-    for lang, c in counts.items():
-        rows = weighted(c, idf)
-        own = clustered(rows, k)
-        limit = float(np.quantile((rows @ own.T).max(axis=1), REJECTED_SHARE))
-        languages += [lang] * len(own)
-        limits += [limit] * len(own)
-        centroids.append(own)
-    return Model(languages, np.concatenate(centroids).astype(np.float32), np.array(limits), idf)
+def centroids(counts: np.ndarray, idf: np.ndarray, k: int = CENTROIDS) -> tuple[np.ndarray, float]:
+    """The centroids of one language's training texts, and the least cosine of a text that isn't rejected."""
+    rows = weighted(counts, idf)
+    own = clustered(rows, k).astype(np.float32)
+    return own, float(np.quantile((rows @ own.T).max(axis=1), REJECTED_SHARE))
 
 
 def held_out(id_col: str) -> F.Column:
@@ -121,24 +105,49 @@ def held_out(id_col: str) -> F.Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def training_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int) -> DataFrame:
+    """(lang, text) of at most ``per_language`` rows of each language; rows that repeat an id and a text count once. No text of a held-out row is read."""
+    text = F.col(text_col)
+    usable = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & text.isNotNull())
+    usable = usable.select(F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col).cast("string")).alias("place"), F.xxhash64(F.col(id_col).cast("string"), text).alias("key"), text.alias("text"))
+    first = Window.partitionBy("lang").orderBy("place", "key")
+    keys = usable.select("lang", "place", "key").withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= per_language).select("lang", "key").distinct()
+    return usable.join(written(keys), ["lang", "key"], "left_semi").groupBy("lang", "key").agg(F.first("text").alias("text"))
+
+
 def language_model(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> Model:
-    """Fits on at most ``per_language`` rows of each language. No text of a held-out row is read."""
-    usable = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    first = Window.partitionBy(lang_col).orderBy(F.xxhash64(F.col(id_col).cast("string")), id_col)
-    chosen = usable.select(id_col, lang_col).withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= per_language).select(id_col).distinct()
-    ids = [r[0] for r in chosen.limit(per_language * MOST_LANGUAGES + 1).collect()]
-    if len(ids) > per_language * MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    picked = docs.sparkSession.createDataFrame([(i,) for i in ids], docs.select(id_col).schema)
-    rows = usable.join(F.broadcast(picked), id_col, "left_semi").select(lang_col, text_col)
-    return fit((lang, text) for lang, text in rows.toLocalIterator() if has_letter(text))
+    """Fits on at most ``per_language`` rows of each language. Texts stay in tasks; the driver gets document frequencies and centroids."""
+
+    def counted(rows: pa.Table) -> pa.Table:
+        lang, texts = rows.column("lang")[0].as_py(), sorted(t for t in rows.column("text").to_pylist() if has_letter(t))
+        found = [(np.flatnonzero(c), c[c > 0]) for t in texts for c in trigram_counts([t])]
+        return pa.table({"lang": pa.array([lang] * len(found), pa.string()), "nth": pa.array(range(len(found)), pa.int32()), "codes": pa.array([a.tolist() for a, _ in found], pa.list_(pa.int32())), "n": pa.array([n.tolist() for _, n in found], pa.list_(pa.float32()))})
+
+    counts = written(training_rows(docs, id_col, text_col, lang_col, per_language).groupBy("lang").applyInArrow(counted, "lang string, nth int, codes array<int>, n array<float>"))
+    often = np.zeros(1 << BITS)
+    for r in counts.select(F.explode("codes").alias("code")).groupBy("code").count().collect():  # 2^BITS rows at most
+        often[r["code"]] = r["count"]
+    idf = (np.log((1 + counts.count()) / (1 + often)) + 1).astype(np.float32)
+
+    def learned(rows: pa.Table) -> pa.Table:
+        dense = np.zeros((rows.num_rows, 1 << BITS), np.float32)
+        for k, codes, n in sorted(zip(*(rows.column(c).to_pylist() for c in ("nth", "codes", "n")), strict=True)):
+            dense[k, codes] = n
+        own, limit = centroids(dense, idf)
+        return pa.table({"lang": [rows.column("lang")[0].as_py()], "limit": [limit], "centroids": [own.tobytes()]})
+
+    found = sorted(counts.groupBy("lang").applyInArrow(learned, "lang string, limit double, centroids binary").collect())  # CENTROIDS rows of a fixed size for each language
+    own = [np.frombuffer(r["centroids"], np.float32).reshape(-1, 1 << BITS) for r in found]
+    languages = [r["lang"] for r, c in zip(found, own, strict=True) for _ in c]
+    limits = [r["limit"] for r, c in zip(found, own, strict=True) for _ in c]
+    return Model(languages, np.concatenate([np.zeros((0, 1 << BITS), np.float32), *own]), np.array(limits), idf)
 
 
 def identify_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", model: Model | None = None) -> DataFrame:
     """Per row: id, held_out, lang_pred, score and rejected. Predictions see nothing but the text."""
     model = model or language_model(docs, id_col, text_col, lang_col)
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = pa.schema([("doc_id", {"int": pa.int32(), "string": pa.string()}.get(kind, pa.int64())), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64()), ("rejected", pa.bool_())])
+    schema = pa.schema([("doc_id", arrow_type(docs, id_col)), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64()), ("rejected", pa.bool_())])
 
     def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:

@@ -213,6 +213,87 @@ def test_packing(docs, rows, empty):
     assert pack_documents(empty).collect() == []
 
 
+def test_packing_of_special_strings(spark):
+    """As the library tokenizes them by default: a special token's string is the token, in that case only."""
+    import numpy as np
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from rollcall.llm.packing import pack_documents
+
+    tokenizer, r = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), random.Random(5)
+    parts = ["<|startoftext|>", "<|endoftext|>", "<|EndOfText|>", "<|endof", "text|>", " ", "Word", "é", "İ", ".", "\n", "it's", "9"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randrange(12))) for _ in range(600)]
+    held = defaultdict(list)
+    for p in pack_documents(spark.createDataFrame([(float(k), t) for k, t in enumerate(texts)], "doc_id double, text string")).collect():
+        held[p.doc_id].append((p.start, bytes(p.ids)))
+    for k, t in enumerate(texts):
+        assert b"".join(b for _, b in sorted(held[k])) == np.array([*tokenizer.encode(t, add_special_tokens=False).ids, 2], "<u4").tobytes(), t
+
+
+def plain_languages(rows, k):
+    """Language and score of each text, by dictionaries: TF-IDF trigrams, k-means by cosine, nearest centroid. ``rows``: (text, language to learn or None)."""
+    import math
+
+    def counts(text):
+        raw = [b if b > 127 or chr(b).isalpha() else 32 for b in f" {text.lower()} ".encode()]
+        return Counter(((a << 16 | b << 8 | c) * 2654435761 % 2**32) >> 20 for a, b, c in zip(raw, raw[1:], raw[2:]) if (a, b, c) != (32, 32, 32))
+
+    def unit(v):
+        size = math.sqrt(sum(x * x for x in v.values()))
+        return {c: x / size for c, x in v.items()}
+
+    dot = lambda v, w: sum(x * w.get(c, 0) for c, x in v.items())
+    by = defaultdict(list)
+    for t, lang in sorted(rows, key=lambda r: r[0]):
+        if lang:
+            by[lang].append(counts(t))
+    n, often = sum(map(len, by.values())), Counter(c for cs in by.values() for x in cs for c in x)
+    weigh = lambda c: unit({x: math.log1p(y) * (math.log((1 + n) / (1 + often[x])) + 1) for x, y in c.items()})
+    model = []
+    for lang, cs in by.items():
+        vectors = [weigh(c) for c in cs]
+        own = [vectors[0]]
+        while len(own) < min(k, len(vectors)):
+            own.append(min(vectors, key=lambda v: max(dot(v, w) for w in own)))
+        for _ in range(12):
+            near = [max(range(len(own)), key=lambda c: dot(v, own[c])) for v in vectors]
+            for c in range(len(own)):
+                mine = [v for v, at in zip(vectors, near, strict=True) if at == c]
+                if mine:
+                    total = Counter()
+                    for v in mine:
+                        total.update(v)
+                    own[c] = unit(total)
+        model += [(lang, w) for w in own]
+    return [max(((dot(weigh(counts(t)), w), lang) for lang, w in model)) for t, _ in rows]
+
+
+def test_languages_as_plain_centroids(spark):
+    from rollcall.llm.language import CENTROIDS, identify_language
+
+    r = random.Random(12)
+    lexicon = {f"l{k:03}": ["".join(r.choice("aeiouäöxyzbdfgklmnprst") for _ in range(r.randrange(2, 9))) for _ in range(25)] for k in range(3)}
+    rows = [(k, " ".join(r.choice(lexicon[lang]) for _ in range(r.randrange(3, 60))), lang) for k, lang in enumerate(r.choice(list(lexicon)) for _ in range(90))]
+    learned = lambda k: zlib.crc32(str(k).encode()) % 3 != 1
+    expected = plain_languages([(t, lang if learned(k) else None) for k, t, lang in rows], CENTROIDS)
+    found = {x.doc_id: x for x in identify_language(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)).collect()}
+    for (k, _, _), (score, lang) in zip(rows, expected, strict=True):
+        assert found[k].lang_pred == lang and found[k].score == pytest.approx(score, abs=2e-3)
+
+
+def test_training_rows_are_bounded(spark):
+    """Rows are bounded, not ids; more labels than any bound are learned; a null id is for training."""
+    from rollcall.llm.language import language_model, training_rows
+
+    i = next(k for k in range(20) if zlib.crc32(str(k).encode()) % 3 != 1)
+    rows = [(i, f"many texts of one id {k}", "aa") for k in range(60)] + [(i, "the same row", "bb")] * 50 + [(None, "without an id", "cc")] + [(i, f"label {k}", f"l{k}") for k in range(450)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    n = Counter(x.lang for x in training_rows(docs, "doc_id", "text", "lang", 20).collect())
+    assert n["aa"] == 20 and n["bb"] == 1 and n["cc"] == 1 and len(n) == 453
+    assert len(set(language_model(docs, per_language=20).languages)) == 453
+
+
 def test_language(docs, empty, spark, sf_dir):
     from rollcall.llm.frames import table
     from rollcall.llm.language import has_letter, identify_language
