@@ -1,8 +1,9 @@
 """Main text of web pages by tree scoring.
 
-Each paragraph passes points for its length and its commas to its ancestors, halved from level to level
-and discounted by the share of its text that is in links. The container with most points is kept, with
-those of its siblings that score like main text; boilerplate inside is left out. The text comes out by blocks.
+Each paragraph passes points for its length and its commas to its ancestors, halved from level to level (whole to an
+article or main element) and discounted by the share of its text that is in links. The container with most points is kept, with
+those of its siblings that don't read like menus. Left out are elements that are no text by their tag or role, and those whose whole
+class name or id says so, unless they hold an article, the main element or half of the page's points. The text comes out by blocks.
 
 Nulls and edges: a null or empty html, or one without main text, gives an empty text; malformed, cut off
 and deeply nested markup is read as far as it goes; repeated rows and null ids are kept row by row.
@@ -23,6 +24,7 @@ from rollcall.llm.frames import arrow_type, emitted, rows_of
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?>[^>"']+|"[^"]*"|'[^']*'|["'])*+)>|<[!?][^>]*>""", re.S)
 ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 RAW_TEXT = frozenset("script style title textarea xmp iframe noembed noframes".split())
+RAW_END = {t: re.compile(f"</{t}", re.I | re.A) for t in RAW_TEXT}
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 PARAGRAPH = frozenset("p pre td blockquote dd".split())
@@ -36,44 +38,57 @@ CLOSES = {
     "th": (frozenset(["td", "th"]), frozenset(["tr", "table"])),
     "option": (frozenset(["option"]), frozenset(["select"])),
 }
-BOILERPLATE_TAGS = frozenset("head script style title textarea xmp iframe noembed noframes noscript template svg canvas object nav header footer aside form button select menu dialog".split())
+BOILERPLATE_TAGS = frozenset("head script style title textarea xmp iframe noembed noframes noscript template svg canvas object nav header footer aside button select menu dialog".split())
 BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
+#: Words that make a class name or id one of boilerplate, if all its other words are of the second list.
 BOILERPLATE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertisements advertising banner banners sponsor sponsored sponsors promo promos promotion cookie cookies consent gdpr notice notices "
     "sidebar sidebars aside comment comments commentlist disqus reply replies respond menu menus nav navbar navigation breadcrumb breadcrumbs footer header masthead topbar toolbar share sharing "
     "social related recommended widget widgets popup modal overlay newsletter subscribe subscription signup login pagination pager paywall skip hidden".split()
 )
-NEVER_BY_WORD = frozenset("html body main".split())
+PLACE_WORDS = frozenset(
+    "site page post posts entry article articles story stories global top bottom left right primary secondary upper lower inner outer area list section box bar block container wrapper wrap content "
+    "item items link links form button buttons icons unit slot text body title thread reader user info module region column col main js mobile desktop sticky fixed google you may like also more by for".split()
+)
+ARTICLE_WORDS = frozenset("comment comments reply replies ad ads advert sponsored related promo".split())
+CONTENT = frozenset("article main".split())
+PAGE = frozenset("#root html body".split())
+HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 WORDS = re.compile(r"[a-z]+")
+#: What a suspect element's points count for its ancestors.
+DISCOUNT = 0.25
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "boiler", "score", "n_text", "n_link")
+    __slots__ = ("tag", "parent", "children", "boiler", "suspect", "points", "held", "score", "n_text", "n_link")
 
-    def __init__(self, tag: str, parent: Node | None, boiler: bool = False):
-        self.tag, self.parent, self.boiler, self.children = tag, parent, boiler, []
-        self.score, self.n_text, self.n_link = 0.0, 0, 0
+    def __init__(self, tag: str, parent: Node | None, boiler: bool = False, suspect: bool = False):
+        self.tag, self.parent, self.boiler, self.suspect, self.children = tag, parent, boiler, suspect, []
+        self.points, self.held, self.score, self.n_text, self.n_link = 0.0, 0.0, 0.0, 0, 0
 
 
-def is_boilerplate(tag: str, attributes: str) -> bool:
-    """By the tag, its role, whether it is hidden, and the words of its class and id."""
+def judged(tag: str, attributes: str) -> tuple[bool, bool]:
+    """Whether an element is boilerplate by its tag, role or hiding, and whether its class names, id or tag make it suspect."""
     if tag in BOILERPLATE_TAGS:
-        return True
-    if not attributes.strip() or tag in NEVER_BY_WORD:
-        return False
+        return True, False
+    suspect = tag == "form"
+    if not attributes.strip() or tag in PAGE or tag == "main":
+        return False, suspect
     found = {k.lower(): v.strip("\"'").lower() for k, v in ATTRIBUTE.findall(attributes)}
     if "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", ""):
-        return True
-    if BOILERPLATE_ROLES.intersection(found.get("role", "").split()):
-        return True
-    words = set(WORDS.findall(found.get("class", "") + " " + found.get("id", "")))
-    return bool(words & ({"comment", "comments", "reply", "replies", "ad", "ads", "advert", "sponsored", "related"} if tag == "article" else BOILERPLATE_WORDS))
+        return True, False
+    roles = BOILERPLATE_ROLES.intersection(found.get("role", "").split())
+    known = ARTICLE_WORDS if tag == "article" else BOILERPLATE_WORDS
+    for name in (found.get("class", "") + " " + found.get("id", "")).split():
+        words = set(WORDS.findall(name))
+        suspect = suspect or bool(words & known) and words <= known | PLACE_WORDS
+    return bool(roles - {"form"}), suspect or "form" in roles
 
 
 def parsed(page: str) -> Node:
     """The tree of a page, with the boilerplate marked; white space and references are still as in the page."""
     root = Node("#root", None)
-    here, at, raw = root, 0, page.lower()
+    here, at = root, 0
     while True:
         found = TAG.search(page, at)
         if found is None:
@@ -116,11 +131,12 @@ def parsed(page: str) -> Node:
         if tag in VOID:
             here.children.append(Node(tag, here))
             continue
-        node = Node(tag, here, here.boiler or is_boilerplate(tag, found[3]))
+        boiler, suspect = judged(tag, found[3])
+        node = Node(tag, here, here.boiler or boiler, suspect)
         here.children.append(node)
         if tag in RAW_TEXT:
-            end = raw.find(f"</{tag}", at)
-            close = page.find(">", end) if end >= 0 else -1
+            end = RAW_END[tag].search(page, at)
+            close = page.find(">", end.start()) if end else -1
             at = close + 1 if close >= 0 else len(page)
         elif not found[3].endswith("/"):
             here = node
@@ -165,40 +181,67 @@ def density(node: Node) -> float:
     return node.n_link / node.n_text if node.n_text else 0.0
 
 
+def settle(nodes: list[Node]) -> None:
+    """Suspect elements become boilerplate, with all that is in them, unless they hold an article that is not suspect itself, main or half of the page's points."""
+    holds = set()
+    for node in reversed(nodes):
+        node.held += node.points
+        if node.parent is not None:
+            node.parent.held += node.held
+            if node.tag in CONTENT and not node.suspect or node in holds:
+                holds.add(node.parent)
+    for node in nodes:  # parents first
+        node.boiler = node.parent is not None and node.parent.boiler or node.suspect and node not in holds and 2 * node.held < nodes[0].held
+
+
 def main_nodes(root: Node) -> list[Node]:
-    """The best container and those of its siblings that score like it, in page order."""
+    """The best container and those of its siblings that read like it, in page order."""
     nodes = list(walked(root))
     measure(nodes)
     for node in nodes:
         if node.tag in PARAGRAPH or node.tag not in INLINE and any(isinstance(c, str) and c.strip() for c in node.children):
             text = " ".join(own_text(node).split())
-            points = (1 + text.count(",") + min(len(text) / 100, 3.0)) * (1 - density(node)) if text else 0.0
-            up = node.parent if node.tag in PARAGRAPH else node
-            while up is not None and points > 0.01:
-                up.score += points
-                up, points = up.parent, points / 2
-    best = max(nodes, key=lambda n: n.score * (1 - density(n)))
+            node.points = (1 + text.count(",") + min(len(text) / 100, 3.0)) * (1 - density(node)) if text else 0.0
+    settle(nodes)
+    nodes = [n for n in nodes if not n.boiler]
+    for node in nodes:
+        up, points, whole = node.parent if node.tag in PARAGRAPH else node, node.points, node.points
+        while up is not None and whole > 0:
+            if up.suspect:
+                points, whole = points * DISCOUNT, whole * DISCOUNT
+            up.score += whole if up.tag in CONTENT else points
+            up, points = up.parent, points / 2
+    if not nodes:
+        return []
+    best = max(reversed(nodes), key=lambda n: n.score * (1 - density(n)))  # the innermost of equals
     if best.score <= 0:
         return [n for n in nodes if n.tag == "body"][:1] or [root]
-    up = best
-    while up is not None and up.tag not in ("article", "main"):
-        up = up.parent
-    best = up or best
-    if best.parent is None or best.tag in ("article", "main", "body", "html"):
-        kept = [best]
-        if best.tag == "article" and best.parent is not None:
-            kept = [c for c in best.parent.children if c is best or isinstance(c, Node) and c.tag == "article" and not c.boiler and c.score >= 0.2 * best.score]
-        return kept
-    least = max(10.0, 0.2 * best.score)
+    if best.tag == "main":
+        inner = [n for n in nodes if n.tag == "article" and n.score >= 0.75 * best.score and within(n, best)]
+        best = inner[-1] if inner else best
+    if best.parent is None or best.tag in PAGE or best.tag == "main":
+        return [best]
+    if best.tag == "article":
+        return [c for c in best.parent.children if c is best or isinstance(c, Node) and c.tag == "article" and not c.boiler and c.score >= 0.2 * best.score]
+    least = 0.1 * best.score if best.parent.tag in PAGE else 0.0
 
     def joins(node: Node) -> bool:
-        return node is best or node.score >= least or (node.tag in PARAGRAPH or re.fullmatch("h[1-6]", node.tag) is not None) and node.n_text > 0 and density(node) < 0.25
+        if node is best or node.tag in HEADING or node.score >= 0.2 * best.score:
+            return True
+        return node.n_text > 0 and density(node) < 0.25 and (node.tag in PARAGRAPH or node.score >= least)
 
     return [c for c in best.parent.children if isinstance(c, Node) and not c.boiler and joins(c)]
 
 
-def is_link_list(node: Node) -> bool:
-    return node.tag in ("ul", "ol", "dl") and density(node) > 0.7 and sum(isinstance(c, Node) for c in node.children) > 1
+def within(node: Node, other: Node) -> bool:
+    while node is not None and node is not other:
+        node = node.parent
+    return node is other
+
+
+def is_menu(node: Node) -> bool:
+    """A list of links straight in a page; what stands in a container is kept."""
+    return node.tag in ("ul", "ol", "dl") and node.parent is not None and node.parent.tag in PAGE and density(node) > 0.7 and sum(isinstance(c, Node) for c in node.children) > 1
 
 
 def main_text(page: str | None) -> str:
@@ -215,7 +258,7 @@ def main_text(page: str | None) -> str:
             blocks.append([])
         elif node.tag == "br" or node.tag == "wbr":
             blocks[-1].append(" " if node.tag == "br" else "")
-        elif not node.boiler and not is_link_list(node):
+        elif not node.boiler and not is_menu(node):
             inner = list(reversed(node.children))
             held += inner if node.tag in INLINE else [None, *inner, None]
     lines = (" ".join(html.unescape("".join(b)).split()) for b in blocks)

@@ -77,3 +77,133 @@ def test_odd_pages(spark):
     found = {r.page_id: (r.text, r.n_chars) for r in extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert found[1] == ("", 0) == found[2] == found[8] and found[3] == ("plain, text only", 16) and found[4][0] == "cut off, here" and found[5][0] == "deep, text" and found[6][0] == "a b c\na b c" and found[None][0] == "x, y"
     assert extract_text(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
+
+
+LONG = "This is a sentence of the article, with a comma, and with some more words so that it is a real paragraph of it."
+
+
+@pytest.mark.parametrize(
+    ("body", "expected"),
+    [
+        ("İ" * 200 + "<script>var a = '<p>';</SCRIPT ><article><p>{0}</p><p>{1}</p></article>", [LONG, "Second, short."]),
+        ("<div class='content with-sidebar'><article><p>{0}</p><p>{1}</p></article></div><div class=sidebar><p>a, b, c</p></div>", [LONG, "Second, short."]),
+        ("<article class='post has-comments'><p>{0}</p><p>{1}</p></article><footer>About, us, and, more</footer><div class=comments-area><p>First, really, and more words!</p></div>", [LONG, "Second, short."]),
+        ("<article><p>{0}</p><h2>References</h2><ol><li><a href=/a>A first source</a></li><li><a href=/b>A second source</a></li></ol></article>", [LONG, "References", "A first source", "A second source"]),
+        ("<article><p>{0}</p><section class='related-work'><h2>Related work</h2><p>{1}</p></section></article>", [LONG, "Related work", "Second, short."]),
+        ("<form id=aspnet><div class=main-menu><a href=/a>A</a> <a href=/b>B</a></div><div id=text><p>{0}</p><p>{1}</p></div></form>", [LONG, "Second, short."]),
+        ("<div id=text><section><p>{0}</p><p>{0}</p></section><section><p>{1}</p></section><table><tr><td>cell</td></tr></table><ul><li>item</li></ul></div><ul><li><a href=/>Home</a></li><li><a href=/x>Other</a></li></ul>", [LONG, LONG, "Second, short.", "cell", "item"]),
+        ("<div class=cookie-notice><p>We use cookies, as you know, and more.</p></div><div class='post'><p>{0}</p><div class='share-links'><a href=/x>Tweet</a></div><p>{1}</p></div>", [LONG, "Second, short."]),
+    ],
+)
+def test_containers_by_score(body, expected):
+    found = main_text(page(body.format(LONG, "Second, short.")))
+    assert found.removeprefix("İ" * 200 + "\n").split("\n") == expected
+
+
+class PlainTree:
+    """The scoring written plainly, over the standard library's parser, for well-formed pages."""
+
+    def __init__(self, text):
+        from html.parser import HTMLParser
+
+        from rollcall.llm import extraction as e
+
+        self.e = e
+        self.root = here = {"tag": "#root", "up": None, "kids": [], "boiler": False, "suspect": False}
+
+        class Parser(HTMLParser):
+            def handle_starttag(self, tag, attrs):
+                nonlocal here
+                boiler, suspect = e.judged(tag, " ".join(f'{k}="{v}"' for k, v in attrs))
+                node = {"tag": tag, "up": here, "kids": [], "boiler": boiler or here["boiler"], "suspect": suspect}
+                here["kids"].append(node)
+                here = node
+
+            def handle_endtag(self, tag):
+                nonlocal here
+                here = here["up"]
+
+            def handle_data(self, data):
+                here["kids"].append(data)
+
+        Parser().feed(text)
+
+    def nodes(self, node=None):
+        node = node or self.root
+        if not node["boiler"]:
+            yield node
+            for k in node["kids"]:
+                if isinstance(k, dict):
+                    yield from self.nodes(k)
+
+    def letters(self, node, linked=False):
+        """(all, in links)"""
+        linked = linked or node["tag"] == "a"
+        found = [0, 0]
+        for k in node["kids"]:
+            n = self.letters(k, linked) if isinstance(k, dict) and not k["boiler"] else (0, 0) if isinstance(k, dict) else (len("".join(k.split())), len("".join(k.split())) * linked)
+            found = [found[0] + n[0], found[1] + n[1]]
+        return found
+
+    def density(self, node):
+        n, links = self.letters(node, any(u["tag"] == "a" for u in self.above(node)))
+        return links / n if n else 0
+
+    def above(self, node):
+        while node["up"]:
+            node = node["up"]
+            yield node
+
+    def own(self, node):
+        return " ".join(k if isinstance(k, str) else self.own(k) for k in node["kids"] if isinstance(k, str) or k["tag"] in self.e.INLINE and not k["boiler"])
+
+    def points(self, node):
+        e = self.e
+        if not (node["tag"] in e.PARAGRAPH or node["tag"] not in e.INLINE and any(isinstance(k, str) and k.strip() for k in node["kids"])):
+            return 0
+        text = " ".join(self.own(node).split())
+        return (1 + text.count(",") + min(len(text) / 100, 3)) * (1 - self.density(node)) if text else 0
+
+    def main(self):
+        e = self.e
+        points = {id(n): self.points(n) for n in self.nodes()}
+        held = lambda n: sum(points[id(x)] for x in self.nodes(n))
+        total = held(self.root)
+        out = [n for n in self.nodes() if n["suspect"] and not any(x["tag"] in e.CONTENT and not x["suspect"] for x in self.nodes(n) if x is not n) and 2 * held(n) < total]
+        for n in out:
+            for x in list(self.nodes(n)):
+                x["boiler"] = True
+        nodes = list(self.nodes())
+        score = {id(n): 0.0 for n in nodes}
+        for n in nodes:
+            p = points[id(n)]
+            chain = [*([] if n["tag"] in e.PARAGRAPH else [n]), *self.above(n)]
+            for level, up in enumerate(chain):
+                worth = p * e.DISCOUNT ** sum(u["suspect"] for u in chain[: level + 1])
+                score[id(up)] += worth if up["tag"] in e.CONTENT else worth / 2**level
+        return nodes, score
+
+
+def test_scores_as_a_plain_version(spark):
+    """Scores of random well-formed pages, and what is left out."""
+    from rollcall.llm import extraction as e
+
+    r = random.Random(9)
+
+    def made(depth):
+        kids = []
+        for _ in range(r.randrange(1, 4)):
+            kind = r.choice(["p", "p", "p", "div", "div", "section", "article", "ul", "nav", "form", "aside", "text"])
+            name = r.choice(["", "", "", ' class="content"', ' class="sidebar"', ' id="comments"', ' class="post has-comments"', ' class="main-nav"'])
+            words = " ".join(r.choice(["one", "two,", "three", "<a href='/x'>link</a>", "<b>bold</b>"]) for _ in range(r.randrange(1, 40)))
+            kids.append(words if kind == "text" else f"<p>{words}</p>" if kind == "p" or depth == 0 else f"<{kind}{name}>{made(depth - 1)}</{kind}>")
+        return "".join(kids)
+
+    for _ in range(150):
+        text = f"<html><body>{made(4)}</body></html>"
+        plain_nodes, scores = PlainTree(text).main()
+        root = e.parsed(text)
+        e.main_nodes(root)
+        nodes = [n for n in e.walked(root) if not n.boiler]
+        assert [n.tag for n in nodes] == [n["tag"] for n in plain_nodes]
+        assert [n.score for n in nodes] == pytest.approx([scores[id(n)] for n in plain_nodes], abs=1e-6)
