@@ -11,8 +11,8 @@ meet in tiles, inside tasks, which return the links that connect them. A pair at
 probability of about 7e-9.
 
 Nulls and edges: a document without words or text is empty and links with nothing; one with a null id
-too, and its component is null; rows that repeat an id share its component; an empty table gives an
-empty result.
+too, and its component is null; rows that repeat an id are judged by their own texts, where the id is one node of the
+graph; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -67,26 +67,31 @@ def band_keys(least: np.ndarray) -> list[int]:
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Per row: doc_id, n_shingles, a digest of the set (d1, d2), the packed signature and the band keys."""
+    """Per row: doc_id, text_key, n_shingles, a digest of the set (d1, d2), the packed signature and the band keys."""
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
             for batch in batches:
                 for at in range(0, batch.num_rows, 64):
-                    some = list(rows_of([batch.slice(at, 64)], "doc_id", "body"))
-                    for (doc_id, _), s in zip(some, shingle_sets([r[1] for r in some]), strict=True):
+                    some = list(rows_of([batch.slice(at, 64)], "doc_id", "text_key", "body"))
+                    for (doc_id, text_key, _), s in zip(some, shingle_sets([r[2] for r in some]), strict=True):
                         if len(s):
                             least = minima(s)
                             digest = (int(x.sum(dtype=np.uint64).astype(np.int64)) for x in (mixed(s), mixed(s ^ np.uint64(0x5851F42D4C957F2D))))
-                            yield doc_id, len(s), *digest, packed(least), band_keys(least)
+                            yield doc_id, text_key, len(s), *digest, packed(least), band_keys(least)
                         else:
-                            yield doc_id, 0, 0, 0, None, None
+                            yield doc_id, text_key, 0, 0, 0, None, None
 
         return emitted(rows(), schema, 2048)
 
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("signature", pa.list_(pa.int64())), ("bands", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("n_shingles", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("signature", pa.list_(pa.int64())), ("bands", pa.list_(pa.int64()))])
+    return keyed_texts(docs, id_col, text_col).mapInArrow(signed, "doc_id long, text_key long, n_shingles long, d1 long, d2 long, signature array<long>, bands array<long>")
+
+
+def keyed_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, text_key, body): rows that repeat an id are told apart by a hash of the text."""
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("body"))
-    return chosen.mapInArrow(signed, "doc_id long, n_shingles long, d1 long, d2 long, signature array<long>, bands array<long>")
+    return chosen.select("doc_id", F.xxhash64("body").alias("text_key"), "body")
 
 
 def estimate(a: str, b: str) -> Column:
@@ -151,7 +156,7 @@ def cluster_links(opened: DataFrame, classes: DataFrame, texts: DataFrame, perce
     A cluster's members are dealt to tiles, and each pair of tiles meets in one task. That compares the packed signatures,
     and confirms likely pairs on the full sets, best estimates first, unless they are connected already.
     """
-    full = opened.join(classes.select("rep", "signature"), "rep").join(texts.withColumnRenamed("doc_id", "rep"), "rep")
+    full = opened.join(classes.select("rep", "text_key", "signature"), "rep").join(texts.withColumnRenamed("doc_id", "rep"), ["rep", "text_key"])
     tile = F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
     dealt = full.withColumn("tile", tile).withColumn("other", other)
@@ -205,12 +210,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     signed = written(signatures(docs, id_col, text_col))
     usable = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = written(usable.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature"), F.first("bands").alias("bands")))
+    classes = written(usable.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "text_key")).alias("rep"), F.first("signature").alias("signature"), F.first("bands").alias("bands")).select("d1", "d2", F.col("rep.doc_id").alias("rep"), "rep.text_key", "signature", "bands"))
     in_bands = classes.select("rep", F.explode("bands").alias("key"))
     filled = in_bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     met = written(in_bands.join(filled, "key").select("key", "rep", "n"))
-    taking_part = met.select(F.col("rep").alias("doc_id")).distinct()
-    texts = written(docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("body")).join(taking_part, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    taking_part = met.select("rep").distinct().join(classes.select("rep", "text_key"), "rep").select(F.col("rep").alias("doc_id"), "text_key")
+    texts = written(keyed_texts(docs, id_col, text_col).join(taking_part, ["doc_id", "text_key"], "left_semi").dropDuplicates(["doc_id", "text_key"]))
     low = percent / 100 - margin
 
     def likely(pairs: DataFrame) -> DataFrame:

@@ -3,14 +3,23 @@
 from __future__ import annotations
 
 import numpy as np
+import xxhash
 
 WORDS = 5
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Words whose hashes a Python worker remembers at most; only speed depends on it.
+REMEMBERED = 500_000
+
+
+class _Hashes(dict):
+    """64-bit hashes by word."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = h = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
+_HASHES = _Hashes()
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -22,28 +31,13 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(28))
 
 
-def powers(n: int) -> list[np.ndarray]:
-    """Powers of the base and of its inverse, up to n."""
-    if len(_POWERS[0]) < n:
-        size = max(n, 1 << 20)
-        for k, base in enumerate((_BASE, _INVERSE)):
-            run = np.full(size, base, np.uint64)
-            run[0] = 1
-            _POWERS[k] = np.multiply.accumulate(run)
-    return _POWERS
-
-
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """The hashes of all words of the texts, A-Z lower-cased, and where each text's words begin and end."""
-    joined = np.frombuffer(b"\n".join([*texts, b""]).lower(), np.uint8)
-    power, inverse = powers(len(joined) + 1)
-    space = _SPACE[joined]
-    edges = np.flatnonzero(np.diff(np.concatenate([[True], space]).astype(np.int8)))
-    starts, ends = edges[::2], edges[1::2]
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((joined.astype(np.uint64) + np.uint64(1)) * power[: len(joined)], dtype=np.uint64)])
-    hashes = mixed((sums[ends] - sums[starts]) * inverse[starts])
-    offsets = np.cumsum([0, *(len(t) + 1 for t in texts)])
-    return hashes, np.searchsorted(starts, offsets)
+    if len(_HASHES) > REMEMBERED:
+        _HASHES.clear()
+    hash_of = _HASHES.__getitem__
+    found = [np.fromiter(map(hash_of, words), np.uint64, len(words)) for words in (t.lower().split() for t in texts)]  # bytes split at ASCII white space
+    return np.concatenate([np.zeros(0, np.uint64), *found]), np.cumsum([0, *map(len, found)])
 
 
 def shingle_sets(texts: list[bytes], n: int = WORDS) -> list[np.ndarray]:

@@ -164,6 +164,29 @@ def test_near_duplicates(docs, rows, empty, percent):
     assert len(linked) > 10 and near_duplicates(empty).collect() == []
 
 
+def test_words_that_a_polynomial_confuses_stay_apart(spark):
+    """The two complementary Thue-Morse words have the same polynomial modulo 2^64."""
+    from rollcall.llm.minhash import near_duplicates
+
+    for n in (10, 11, 12):
+        one = "".join("ab"[k.bit_count() % 2] for k in range(1 << n))
+        two = one.translate(str.maketrans("ab", "ba"))
+        rows = [(1, f"{one} {one} x {one} y {one}"), (2, f"{two} {two} x {two} y {two}")]
+        found = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert {r.doc_id: r.component_id for r in found} == {1: 1, 2: 2}
+
+
+def test_near_duplicates_of_rows_that_repeat_an_id(spark):
+    """Each by its own text; the id is one node."""
+    from rollcall.llm.minhash import near_duplicates
+
+    r = random.Random(4)
+    a, b = sentence(r, 90), sentence(r, 90)
+    rows = [(2, a), (2, b), (3, edited(r, a)), (4, edited(r, b)), (5, sentence(r, 90))]
+    found = Counter((x.doc_id, x.component_id) for x in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert found == {(2, 2): 2, (3, 2): 1, (4, 2): 1, (5, 5): 1}
+
+
 def test_near_duplicates_in_a_large_loose_group(spark, monkeypatch):
     from rollcall.llm import minhash as m
 
