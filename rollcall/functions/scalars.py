@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Seconds per block of the known chains.
@@ -101,6 +101,13 @@ def fnv1a(text: Column) -> Column:
     )
 
 
+def sampled(items: DataFrame, order: str, text: Column, first: int, more: int, seed: str = "sample") -> DataFrame:
+    """The first items in order and ``more`` of the others, those with the least seeded hash; a sampling operator."""
+    head = items.orderBy(order).limit(first)
+    rest = items.join(F.broadcast(head.select(order)), order, "left_anti").withColumn("_score", fnv1a(F.concat(F.lit(f"{seed}:"), text)))
+    return head.unionByName(rest.orderBy("_score", order).limit(more).drop("_score"))
+
+
 def cache_outcome(hits: Column, missing: Column) -> Column:
     """How a log query met its cache, by its numbers of hit and missing ranges."""
     return (

@@ -125,14 +125,57 @@ def signed_added(a: Column, b: Column) -> Column:
 
 
 def total(value: Column) -> Column:
-    """Aggregate: the exact sum of signed numbers; null without rows."""
-    negative = is_negative(value)
-    parts = {f"{n}{k}": F.coalesce(F.sum(F.when(chosen, x)), F.lit(0)).cast("decimal(38,0)") for k, chosen in (("p", ~negative), ("n", negative)) for n, x in zip("hml", limbs(value), strict=True)}
+    """Aggregate: the exact sum of signed numbers; null without rows. Three sums of signed limbs; the sign is settled once."""
+    sign = F.when(value.startswith("-"), F.lit(-1)).otherwise(F.lit(1)).cast("decimal(1,0)")
+    parts = F.struct(*(F.sum((x.cast("decimal(27,0)") * sign).cast("decimal(28,0)")).cast("decimal(38,0)").alias(n) for n, x in zip("hml", limbs(value), strict=True)))
+    base = F.lit("1" + "0" * LIMB).cast("decimal(38,0)")
+
+    def down(x: Column) -> Column:
+        """x / base, rounded down, from the digits: a decimal quotient would be rounded."""
+        digits = F.lpad(F.abs(x).cast("string"), 38, "0")
+        high = F.substring(digits, 1, 38 - LIMB).cast("decimal(38,0)")
+        return F.when(x < 0, -(high + (F.substring(digits, 39 - LIMB, LIMB) != "0" * LIMB).cast("int"))).otherwise(high).cast("decimal(38,0)")
+
+    def settled(s: Column) -> Column:
+        """The lower limbs from 0 to base; the highest has the sign."""
+
+        def with_low(k: Column) -> Column:
+            low, middle = (s["l"] - k * base).cast("decimal(38,0)"), (s["m"] + k).cast("decimal(38,0)")
+            return bound(down(middle), lambda q: F.struct((s["h"] + q).cast("decimal(38,0)").alias("h"), (middle - q * base).cast("decimal(38,0)").alias("m"), low.alias("l")))
+
+        return bound(down(s["l"]), with_low)
+
+    def text(s: Column) -> Column:
+        minus = F.struct(*((-s[n]).cast("decimal(38,0)").alias(n) for n in "hml"))
+        shown = lambda n: joined(n["h"], n["m"], n["l"])
+        return bound(settled(s), lambda n: F.when(n["h"] < 0, F.concat(F.lit("-"), bound(minus, lambda m: bound(settled(m), shown)))).otherwise(shown(n)))
+
+    return F.when(F.count(value) > 0, bound(parts, text))
+
+
+_PART = 15
+
+
+def from_hex(word: Column) -> Column:
+    """Decimal text of 64 hexadecimal digits, by built-in functions: four 64-bit parts times powers, in limbs of 15 digits."""
+    short = F.conv(F.substring(word, 49, 16), 16, 10)
+
+    def summed(parts: Column) -> Column:
+        limbs_ = []
+        for j in range(4):
+            terms = [F.get(parts, F.lit(3 - k)) * F.lit(str((1 << 64 * k) // 10 ** (_PART * j) % (10**_PART if j < 3 else 10**38))).cast("decimal(15,0)") for k in range(4) if (1 << 64 * k) >= 10 ** (_PART * j)]
+            limbs_.append(sum(terms[1:], terms[0]).cast("decimal(38,0)"))
+
+        def carried(k: int, low: list[Column], over: Column | None) -> Column:
+            total = limbs_[k] if over is None else (limbs_[k] + over).cast("decimal(38,0)")
+            if k == 3:
+                return canonical(F.concat(total.cast("string"), *low))
+            return bound(F.lpad(total.cast("string"), 38, "0"), lambda t: carried(k + 1, [F.substring(t, 39 - _PART, _PART), *low], F.substring(t, 1, 38 - _PART).cast("decimal(38,0)")))
 
-    def net(s: Column) -> Column:
-        return subtracted(*(joined(*(s[f"{n}{k}"] for n in "hml")) for k in "pn"))
+        return carried(0, [], None)
 
-    return F.when(F.count(value) > 0, bound(F.struct(*(c.alias(k) for k, c in parts.items())), net))
+    parts = F.array(*(F.conv(F.substring(word, 1 + 16 * k, 16), 16, 10).cast("decimal(20,0)") for k in range(4)))
+    return F.when(F.substring(word, 1, 48) == "0" * 48, short).otherwise(bound(parts, summed))
 
 
 @F.pandas_udf(T.StringType())

@@ -5,10 +5,11 @@ from __future__ import annotations
 import json
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rollcall.functions import u256
 from rollcall.functions.keccak import keccak256
 from rollcall.functions.scalars import seconds_to_millis
 
@@ -162,10 +163,9 @@ def deduplicated(rows: DataFrame, key: str = "id") -> DataFrame:
 
 def one_chain(rows: DataFrame, column: str = "chain_id") -> DataFrame:
     """The rows, if they share one chain; checked by an aggregate of one row."""
-    bounds = rows.agg(F.min(column), F.max(column)).first()
-    if bounds[0] != bounds[1]:
-        raise ValueError(f"rows of chains {bounds[0]} to {bounds[1]}")
-    return rows
+    bounds = rows.agg(F.min(column).alias("_lo"), F.max(column).alias("_hi"))  # one row
+    checked = F.when(F.col("_lo") != F.col("_hi"), F.raise_error(F.concat_ws(" ", F.lit("rows of chains"), "_lo", F.lit("to"), "_hi"))).otherwise(F.col(column))
+    return rows.join(F.broadcast(bounds)).select(*(checked.alias(c) if c == column else F.col(c) for c in rows.columns))
 
 
 def routed(logs: DataFrame, contracts: DataFrame) -> DataFrame:
@@ -181,6 +181,60 @@ def decoded(routed_logs: DataFrame) -> DataFrame:
     return routed_logs.withColumn("payload", F.when(F.col("event_name").isNotNull(), abi_json("topics", "data")))
 
 
+def has_arrays(signature: str) -> bool:
+    return any(kind.endswith("[]") for _, kind, _ in parameters(signature))
+
+
+def event_struct(signature: str, topics: Column, data: Column) -> Column:
+    """The parameters of an event without arrays by built-in functions: a struct as :func:`payload_type`, null if the log is cut short."""
+
+    def value(kind: str, word: Column) -> Column:
+        if kind == "address":
+            return F.concat(F.lit("0x"), F.substring(word, 25, 40))
+        if kind == "bytes32":
+            return F.concat(F.lit("0x"), word)
+        return F.conv(F.substring(word, 63, 2), 16, 10).cast("int") if kind == "uint8" else u256.from_hex(word)
+
+    def small(start: Column) -> Column:
+        """A length or an offset in bytes; one that is no such thing is beyond any data."""
+        word = F.substring(data, start, F.lit(64))
+        return F.when(F.substring(word, 1, 50) == "0" * 50, F.conv(F.substring(word, 51, 14), 16, 10).cast("long")).otherwise(F.lit(1 << 40))
+
+    fields, fits, head, topic = [], [], 0, 1
+    nft = F.size(topics) == 4 if signature.startswith("Transfer(") else F.lit(False)
+    for name, kind, indexed in parameters(signature):
+        if indexed:
+            fields.append(value(kind, F.substring(F.get(topics, F.lit(topic)), 3, 64)).alias(name))
+            topic += 1
+            continue
+        own = 3 + 64 * head
+        head += 1
+        if kind in ("string", "bytes"):
+            start = F.lit(3).cast("long") + 2 * small(F.lit(own))
+            size = small(start.cast("int"))
+            raw = F.substring(data, (start + 64).cast("int"), (2 * size).cast("int"))
+            fields.append((F.make_valid_utf8(F.unhex(raw).cast("string")) if kind == "string" else F.concat(F.lit("0x"), raw)).alias(name))
+            fits.append(start + 64 + 2 * size <= F.length(data) + 1)
+        elif signature.startswith("Transfer("):
+            fields.append(F.when(nft, value(kind, F.substring(F.get(topics, F.lit(3)), 3, 64))).otherwise(value(kind, F.substring(data, own, 64))).alias(name))
+        else:
+            fields.append(value(kind, F.substring(data, own, 64)).alias(name))
+    if signature.startswith("Transfer("):
+        fields.append(F.when(nft, "erc721").otherwise("erc20").alias("standard"))
+    whole = (F.size(topics) >= topic) & (nft | (F.length(data) >= 2 + 64 * head))
+    for f in fits:
+        whole = whole & f
+    return F.when(whole, F.struct(*fields))
+
+
+def with_event(routed_logs: DataFrame, signature: str) -> DataFrame:
+    """The logs of one signature that can be read, with the struct ``event``; arrays are read by the Python decoder."""
+    name = signature[: signature.index("(")]
+    rows = routed_logs.where(F.col("event_name") == name)
+    found = F.from_json(abi_json("topics", "data"), payload_type(signature)) if has_arrays(signature) else event_struct(signature, F.col("topics"), F.col("data"))
+    return rows.withColumn("event", found).where("event IS NOT NULL")
+
+
 def events_of(decoded_logs: DataFrame, signature: str) -> DataFrame:
     """The events of one signature, with typed columns."""
     name = signature[: signature.index("(")]

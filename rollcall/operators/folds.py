@@ -6,9 +6,12 @@ Everything is recomputed from the log, so that replays, late rows and chunk boun
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from rollcall.functions.u256 import ZERO_ADDRESS
 
@@ -108,24 +111,33 @@ def rolling_match(changes: DataFrame, votes: DataFrame, keys: list[str] = ["cont
         votes.select(*keys, "log_index", F.lit(None).cast("string").alias("delegator"), F.lit(None).cast("string").alias("from_delegate"), F.lit(None).cast("string").alias("to_delegate"), "delegate", "delta")
     )
 
-    def matched(rows: pd.DataFrame) -> pd.DataFrame:
-        open_sides, found = [], []
-        for r in rows.sort_values("log_index", kind="stable").itertuples():
-            if r.delegate is None or pd.isna(r.delegate):
-                if r.from_delegate != r.to_delegate:
-                    open_sides.append({"row": r, "from": r.from_delegate, "to": r.to_delegate})
-                continue
-            first, second = ("from", "to") if r.delta.startswith("-") and r.delta.strip("-0") else ("to", "from")
-            hit = next(((s, o) for s in (first, second) for o in reversed(open_sides) if o[s] == r.delegate), None)
-            if hit:
-                side, o = hit
-                o[side] = None
-                found.append((*(getattr(r, k) for k in keys), r.log_index, o["row"].log_index, side, o["row"].delegator, o["row"].from_delegate, o["row"].to_delegate, r.delta))
-        names = [*keys, "log_index", "change_log_index", "side", "delegator", "from_delegate", "to_delegate", "delta"]
-        return pd.DataFrame(found, columns=names)
-
+    names = both.columns
     kinds = ", ".join(f"`{k}` {changes.schema[k].dataType.simpleString()}" for k in keys)
-    return both.groupBy(*keys).applyInPandas(matched, f"{kinds}, log_index long, change_log_index long, side string, delegator string, from_delegate string, to_delegate string, delta string")
+    out = f"{kinds}, log_index long, change_log_index long, side string, delegator string, from_delegate string, to_delegate string, delta string"
+    schema = pa.schema([*((k, to_arrow_type(changes.schema[k].dataType)) for k in keys), ("log_index", pa.int64()), ("change_log_index", pa.int64()), *((c, pa.string()) for c in ("side", "delegator", "from_delegate", "to_delegate", "delta"))])
+
+    def matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Transactions come one after the other, each in the order of its logs; only the one at hand is kept."""
+        last, sides = None, []
+        for batch in batches:
+            found = []
+            for row in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+                key, (at, delegator, source, target, delegate, delta) = row[: len(keys)], row[len(keys) :]
+                if key != last:
+                    last, sides = key, []
+                if delegate is None:
+                    if source != target:
+                        sides.append([source, target, at, delegator, source, target])
+                    continue
+                order = (0, 1) if delta.startswith("-") and delta.strip("-0") else (1, 0)
+                hit = next(((k, o) for k in order for o in reversed(sides) if o[k] == delegate), None)
+                if hit:
+                    k, o = hit
+                    o[k] = None
+                    found.append((*key, at, o[2], ("from", "to")[k], *o[3:], delta))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found) if found else [[]] * len(schema), schema, strict=True)], schema=schema)
+
+    return both.repartition(*keys).sortWithinPartitions(*keys, "log_index").mapInArrow(matched, out)
 
 
 def power_checkpoints(votes: DataFrame, changes: DataFrame, transfers: DataFrame, tx: list[str]) -> DataFrame:
@@ -141,6 +153,56 @@ def first_seen(rows: DataFrame, account: str, pos: str = "pos") -> DataFrame:
     return rows.groupBy(account).agg(F.min(pos).alias("first_seen"))
 
 
+def spread_timeline(rows: DataFrame, scope: list[str], pos: str, counts: dict[str, Column], width: int = 10_000) -> DataFrame:
+    """As :func:`timeline` for counts, where a scope may hold a large share of all rows: totals by ranges of ``width`` positions first.
+
+    A window runs within one range; another adds up the ranges, of which there are as many as positions / width.
+    """
+    marked = rows.withColumn("_range", F.floor(F.col(pos) / width)).withColumns({k: F.when(c, 1).otherwise(0).cast("long") for k, c in counts.items()})
+    by = Window.partitionBy(*scope).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = marked.groupBy(*scope, "_range").agg(*(F.sum(k).alias(f"_{k}") for k in counts)).withColumns({f"_{k}": F.coalesce(F.sum(f"_{k}").over(by), F.lit(0)) for k in counts})
+    within = Window.partitionBy(*scope, "_range").orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
+    local = marked.withColumns({k: F.sum(k).over(within) for k in counts})
+    return local.join(before, [*scope, "_range"]).select(*rows.columns, *((F.col(k) + F.col(f"_{k}")).alias(k) for k in counts))
+
+
+def spread_previous(rows: DataFrame, scope: list[str], pos: str, value: str, name: str, width: int = 10_000) -> DataFrame:
+    """Each row's value before it in its scope, where a scope may hold a large share of all rows: within ranges of positions, and then from the range before."""
+    marked = rows.withColumn("_range", F.floor(F.col(pos) / width))
+    last = marked.groupBy(*scope, "_range").agg(F.max_by(value, pos).alias("_last"))
+    last = last.withColumn("_before", F.lag("_last").over(Window.partitionBy(*scope).orderBy("_range"))).drop("_last")
+    within = Window.partitionBy(*scope, "_range").orderBy(pos)
+    local = marked.withColumns({"_first": F.row_number().over(within) == 1, "_own": F.lag(value).over(within)})
+    return local.join(last, [*scope, "_range"]).select(*rows.columns, F.when(F.col("_first"), F.col("_before")).otherwise(F.col("_own")).alias(name))
+
+
+PARAMETERS = {"VotingDelaySet": "voting_delay", "VotingPeriodSet": "voting_period", "ProposalThresholdSet": "proposal_threshold", "QuorumNumeratorUpdated": "quorum_numerator", "LateQuorumVoteExtensionSet": "late_quorum_extension", "TimelockChange": "timelock"}
+
+
+def parameter_changes(events: DataFrame) -> DataFrame:
+    """Typed rows of the six parameter events. ``events``: id, event_name, old_value, new_value, as the events tell them."""
+    name = F.lit(None).cast("string")
+    for event, parameter in PARAMETERS.items():
+        name = F.when(F.col("event_name") == event, parameter).otherwise(name)
+    return events.withColumn("parameter", name).where("parameter IS NOT NULL").select("id", "event_name", "parameter", "old_value", "new_value")
+
+
+def transfer_deltas(transfers: DataFrame, zero: str = ZERO_ADDRESS) -> DataFrame:
+    """Two rows of the delegation log for each transfer: the sender's loss and the receiver's gain; one ERC-721 token counts as 1.
+
+    ``transfers``: pos, from, to, value, standard.
+    """
+    unit = F.when(F.col("standard") == "erc721", F.lit(1).cast(transfers.schema["value"].dataType)).otherwise(F.col("value"))
+    side = lambda who, k, delta: F.struct(F.col(who).alias("delegator"), F.struct("pos", F.lit(k).alias("side")).alias("pos"), delta.alias("delta"))
+    both = transfers.select(F.explode(F.array(side("from", 0, -unit), side("to", 1, unit))).alias("m")).select("m.*")
+    return both.where(F.col("delegator") != zero).select("delegator", "pos", F.lit("delta").alias("kind"), F.lit(None).cast("string").alias("from_delegate"), F.lit(None).cast("string").alias("to_delegate"), "delta")
+
+
+def vote_signals(votes: DataFrame, voter: str, at: str, tx: str, pos: str) -> DataFrame:
+    """Per voter: its greatest vote time, the transaction that wrote last, and how many votes it cast."""
+    return votes.groupBy(voter).agg(F.max(at).alias("last_vote"), F.max_by(tx, pos).alias("last_tx"), F.count("*").alias("n"))
+
+
 def timeline(rows: DataFrame, scope: list[str], pos: str, counts: dict[str, Column], sums: dict[str, Column] | None = None) -> DataFrame:
     """Running counts and sums of a scope at every event."""
     w = Window.partitionBy(*scope).orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,18 +68,18 @@ def ranked(rows: DataFrame, power: str, ident: str, scope: list[str] = []) -> Da
 def participation(proposals: DataFrame, votes: DataFrame, last: int, ident: str = "proposal_id", created: str = "created", voter: str = "voter") -> DataFrame:
     """Per voter: the percentage of the newest ``last`` proposals that it voted on."""
     newest = proposals.orderBy(F.desc(created), F.desc(ident)).limit(last).select(ident)
-    n = newest.count()
-    took = votes.join(F.broadcast(newest), ident, "left_semi").select(voter, ident).distinct()
-    return took.groupBy(voter).agg((F.count("*") * 100.0 / max(1, n)).alias("participation"))
+    counted = newest.withColumn("_n", F.count("*").over(Window.partitionBy(F.lit(0))))  # ``last`` rows at most
+    took = votes.join(F.broadcast(counted), ident).select(voter, ident, "_n").distinct()
+    return took.groupBy(voter).agg((F.count("*") * 100.0 / F.max("_n")).alias("participation"))
 
 
 def treasury(assets: DataFrame, balance: str, price: str, change: str) -> DataFrame:
     """Each asset's value and its share of the portfolio (by balances if nothing has a price), with the value's change."""
     value = F.coalesce(F.col(balance) * F.col(price), F.lit(0.0))
     valued = assets.withColumn("value", value).withColumn("change_value", F.coalesce(F.col(change) * F.col(balance), F.lit(0.0)))
-    totals = valued.agg(F.sum(balance).alias("b"), F.sum("value").alias("v")).first()
-    base, total = (F.col(balance), totals["b"]) if not totals["v"] else (F.col("value"), totals["v"])
-    return valued.withColumn("share", base / F.lit(total) if total else F.lit(0.0))
+    totals = valued.agg(F.coalesce(F.sum(balance), F.lit(0.0)).alias("_b"), F.coalesce(F.sum("value"), F.lit(0.0)).alias("_v"))  # one row
+    share = F.when(F.col("_v") != 0, F.col("value") / F.nullif("_v", F.lit(0.0))).when(F.col("_b") != 0, F.col(balance) / F.nullif("_b", F.lit(0.0))).otherwise(0.0)
+    return valued.join(F.broadcast(totals)).withColumn("share", share).drop("_b", "_v")
 
 
 def audit_conclusion(indexed: Column, third: Column, chain: Column) -> Column:
@@ -102,20 +104,35 @@ def table_digest(rows: DataFrame) -> DataFrame:
     return rows.agg(F.count("*").alias("rows"), F.concat_ws("-", *(F.sum(part(k)).cast("string") for k in range(4))).alias("digest"))
 
 
-def comment_tree(comments: DataFrame, ident: str, parent: str, levels: int = 64) -> DataFrame:
-    """Depth and path of every comment, level by level; comments without a known parent are roots.
+def comment_tree(comments: DataFrame, ident: str, parent: str) -> DataFrame:
+    """Depth and root of every comment; comments without a known parent are roots, and so are those on cycles and below them.
 
-    Those that no root reaches after ``levels`` levels lie on cycles and become roots themselves.
+    By pointer doubling: each round every comment learns of an ancestor twice as far away, so that a thread of any length takes
+    the logarithm of its length in rounds. Each round is checkpointed. Once only comments that no root reaches go on, as
+    many rounds as there are comments' bits have passed.
     """
     from rollcall.operators.filters import missing
 
     nodes = comments.select(F.col(ident).alias("id"), F.col(parent).alias("parent"))
-    level = missing(nodes, nodes.select(F.col("id").alias("known")), {"parent": "known"}).select("id", F.lit(0).alias("depth"), F.array("id").alias("path"))
-    found = level
-    for depth in range(1, levels):
-        level = nodes.join(level.select(F.col("id").alias("parent"), "path"), "parent").select("id", F.lit(depth).alias("depth"), F.concat("path", F.array("id")).alias("path"))
-        if level.isEmpty():
+    roots = missing(nodes, nodes.select(F.col("id").alias("known")), {"parent": "known"}).select("id")
+    up = nodes.join(roots.withColumn("is_root", F.lit(True)), "id", "left")
+    # steps to the ancestor ``at``; a root stays where it is
+    now = _kept(up.select("id", F.when(F.col("is_root"), F.col("id")).otherwise(F.col("parent")).alias("at"), F.when(F.col("is_root"), 0).otherwise(1).cast("long").alias("steps"), F.coalesce("is_root", F.lit(False)).alias("done")))
+    rounds = max(1, now.count()).bit_length() + 1
+    for _ in range(rounds):
+        if now.where("NOT done").isEmpty():
             break
-        found = found.union(level)
-    rest = nodes.join(found.select("id"), "id", "left_anti").select("id", F.lit(0).alias("depth"), F.array("id").alias("path"))
-    return found.union(rest)
+        there = now.select(F.col("id").alias("at"), F.col("at").alias("_at"), F.col("steps").alias("_steps"), F.col("done").alias("_done"))
+        now = _kept(now.where("done").unionByName(now.where("NOT done").drop("done").join(there, "at").select("id", F.col("_at").alias("at"), (F.col("steps") + F.col("_steps")).alias("steps"), F.col("_done").alias("done"))))
+    return now.select("id", F.when(F.col("done"), F.col("steps")).otherwise(F.lit(0)).cast("int").alias("depth"), F.when(F.col("done"), F.col("at")).otherwise(F.col("id")).alias("root"))
+
+
+def _kept(rows: DataFrame) -> DataFrame:
+    """Rows computed once, in the folder that all executors share."""
+    spark = rows.sparkSession
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if spark.sparkContext.getCheckpointDir() is None:
+        if at is None and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(at or tempfile.mkdtemp(prefix="checkpoints"))
+    return rows.checkpoint()

@@ -67,3 +67,15 @@ def unwrapped_pages(pages: DataFrame, payload: str = "payload") -> DataFrame:
 def heads(logs: DataFrame, finality: str = "finality", block: str = "block_number") -> DataFrame:
     """The highest block of each finality."""
     return logs.groupBy(finality).agg(F.max(block).alias("head"))
+
+
+def provisional_scan(logs: DataFrame, ranges: DataFrame, finality: str, block: str = "block_number") -> DataFrame:
+    """Logs of one finality within the asked ranges (from_block, to_block: few rows that don't overlap), each with the range that it fills."""
+    asked = F.broadcast(ranges.select("from_block", "to_block"))
+    return logs.where(F.col("finality") == finality).join(asked, F.col(block).between(F.col("from_block"), F.col("to_block")))
+
+
+def coverage_segments(scanned: DataFrame, ranges: DataFrame, block: str = "block_number") -> DataFrame:
+    """What each asked range is covered by: its rows, and its last block with one."""
+    found = scanned.groupBy("from_block", "to_block").agg(F.count("*").alias("rows"), F.max(block).alias("anchor"))
+    return ranges.select("from_block", "to_block").join(found, ["from_block", "to_block"], "left").withColumn("rows", F.coalesce("rows", F.lit(0)).cast("long"))

@@ -39,7 +39,8 @@ class ChunkSizer:
     size: int
     least: int = 100
     most: int = 10_000
-    full_hit_floor: int = 100
+    full_hit_floor: int = 1_000
+    fast_fill_s: float = 3.0
     slow_s: float = 10.0
     fast_s: float = 1.0
     dense_rows: int = 5_000
@@ -60,7 +61,7 @@ class ChunkSizer:
             self.stable = self.unstable = 0
             self.halved(self.full_hit_floor if local_s > self.slow_s >= read_s and only_hits else self.least)
             return "slow_local_processing" if local_s > self.slow_s else "high_query_duration" if read_s > self.slow_s else "dense_rows"
-        if fills and not fast:
+        if fills and read_s > self.fast_fill_s:
             self.stable, self.unstable = 0, self.unstable + 1
             if self.unstable < self.unstable_to_shrink:
                 return "slow_cache_fill_hold"
