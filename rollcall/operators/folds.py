@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from rollcall.functions.u256 import ZERO_ADDRESS
+from rollcall.functions.u256 import ZERO_ADDRESS, subtracted
 
 POSITION = ("block_number", "transaction_index", "log_index")
 
@@ -148,6 +148,12 @@ def power_checkpoints(votes: DataFrame, changes: DataFrame, transfers: DataFrame
     return joined.withColumn("delta", F.col("new_votes") - F.col("previous_votes")).withColumn("cause", cause).drop("_changed", "_moved")
 
 
+def value_checkpoints(rows: DataFrame, account: str, pos: str, value: str) -> DataFrame:
+    """Refreshed values (unsigned decimal text) with the value before and the signed difference."""
+    before = F.coalesce(F.lag(value).over(Window.partitionBy(account).orderBy(pos)), F.lit("0"))
+    return rows.withColumn("previous", before).withColumn("delta", subtracted(F.col(value), F.col("previous")))
+
+
 def first_seen(rows: DataFrame, account: str, pos: str = "pos") -> DataFrame:
     """Each account with the position at which it was first seen."""
     return rows.groupBy(account).agg(F.min(pos).alias("first_seen"))

@@ -56,3 +56,9 @@ def rolled_back(overlay: DataFrame, scope: Column, reason: str) -> DataFrame:
     """Available rows of a scope become invalid, with a reason."""
     hit = (F.col("status") == "available") & scope
     return overlay.withColumns({"status": F.when(hit, "invalid").otherwise(F.col("status")), "reason": F.when(hit, F.lit(reason)).otherwise(F.col("reason"))})
+
+
+def delegated_power(edges: DataFrame, balances: DataFrame) -> DataFrame:
+    """What delegates get from refreshed balances: the sum over their delegators. ``edges``: delegate, delegator; ``balances``: account, balance."""
+    known = balances.select(F.col("account").alias("delegator"), "balance")
+    return edges.join(known, "delegator").groupBy("delegate").agg(F.sum("balance").alias("power_of_delegators"))

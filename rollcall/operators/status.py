@@ -104,6 +104,33 @@ def table_digest(rows: DataFrame) -> DataFrame:
     return rows.agg(F.count("*").alias("rows"), F.concat_ws("-", *(F.sum(part(k)).cast("string") for k in range(4))).alias("digest"))
 
 
+def profile_count(rolled_out: Column) -> Column:
+    """Aggregate: the number of profiles, once any of a scope says that counts are in use."""
+    return F.when(F.bool_or(rolled_out), F.count("*"))
+
+
+def parity(expected: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
+    """Tables against each other, a row for each: by the number of rows and a digest that doesn't depend on their order."""
+
+    def digested(rows: DataFrame, name: str) -> DataFrame:
+        content = F.xxhash64(*sorted(c for c in rows.columns if c not in keys))
+        return rows.groupBy(*keys).agg(F.struct(F.count("*").alias("rows"), F.bit_xor(content).alias("xor"), F.sum(content.cast("decimal(20,0)")).alias("sum")).alias(name))
+
+    both = digested(expected, "_a").join(digested(found, "_b"), keys, "full")
+    verdict = F.when(F.col("_b").isNull(), "missing").when(F.col("_a").isNull(), "unexpected").when(F.col("_a") == F.col("_b"), "matched").otherwise("mismatched")
+    return both.select(*keys, verdict.alias("status"))
+
+
+def ranked_overall(rows: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
+    """The place of every row from 1 on, without a window over all: sorted ranges, and how many rows the ranges before hold."""
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = rows.repartitionByRange(tasks, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    placed = _kept(placed.withColumns({"_range": F.shiftright("_at", 33), "_nth": F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))}).drop("_at"))
+    sizes = placed.groupBy("_range").agg(F.count("*").alias("_n"))  # a row for each range
+    before = sizes.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))
+    return placed.join(F.broadcast(before), "_range").select(*rows.columns, (F.col("_nth") + F.col("_before") + 1).alias(name))
+
+
 def comment_tree(comments: DataFrame, ident: str, parent: str) -> DataFrame:
     """Depth and root of every comment; comments without a known parent are roots, and so are those on cycles and below them.
 

@@ -70,11 +70,6 @@ def fn_u256_normalize(spark, d):
     return c.select("account", u256.canonical(F.col("text")).alias("power"), u256.compact_amount(u256.canonical(F.col("text")), 3).alias("compact"), u256.is_nonzero(F.col("text")).alias("nonzero"), u256.is_negative(F.col("text")).alias("negative"))
 
 
-@query("SELECT proposal_id, state, chain_id FROM proposal WHERE chain_id = 1 AND proposer % 5 = 0")
-def flt_scope_implicit(spark, d):
-    return filters.scoped(a.proposals(spark, d), chain_id=1).where("proposer % 5 = 0").select("proposal_id", "state", "chain_id")
-
-
 @query("SELECT proposal_id, state, chain_id FROM proposal WHERE chain_id = 2 AND state = 'F'")
 def flt_scope_explicit(spark, d):
     return a.proposals(spark, d).where(filters.condition({"chain_id_eq": 2, "state_eq": "F", "proposer_eq": None})).select("proposal_id", "state", "chain_id")
@@ -186,12 +181,6 @@ def jn_lateral_agg(spark, d):
     return a.proposals(spark, d).join(v, "proposal_id", "left").select("proposal_id", F.coalesce("n", F.lit(0)).cast("long").alias("n"), "last_ms")
 
 
-@query("SELECT c.account, c.power, p.proposal_id FROM contributor c JOIN proposal p ON p.proposer = c.account WHERE c.account % 97 = 0")
-def jn_lateral_lookup(spark, d):
-    asked = a.contributors(spark, d).where("account % 97 = 0").select("account", "power")
-    return a.proposals(spark, d).join(asked, F.col("proposer") == F.col("account")).select("account", "power", "proposal_id")
-
-
 @query("SELECT proposal_id, voter, log_index, weight FROM overlay_only")
 def jn_anti_not_exists(spark, d):
     return overlay_only(spark, d).select("proposal_id", "voter", "log_index", "weight")
@@ -202,13 +191,6 @@ def jn_semi_exists(spark, d):
     return filters.exists(a.contributors(spark, d), a.proposals(spark, d).where("state = 'P'").select("proposer"), {"account": "proposer"}).select("account", "scope")
 
 
-@query("SELECT c.account, c.power, t.total FROM contributor c, (SELECT CAST(sum(power) AS BIGINT) AS total FROM contributor) t")
-def jn_cross_scalar(spark, d):
-    c = a.contributors(spark, d)
-    total = c.agg(F.sum("power")).first()[0]  # one number
-    return c.select("account", "power", F.lit(total).cast("long").alias("total"))
-
-
 @query("SELECT p.proposal_id, q.log_index AS queued, x.log_index AS executed FROM proposal p JOIN durable q ON q.proposal_id = p.proposal_id AND q.log_index = 1 LEFT JOIN overlay x ON x.proposal_id = q.proposal_id AND x.voter IS NOT DISTINCT FROM q.voter")
 def jn_inner_multi(spark, d):
     q = a.durable_votes(spark, d).where("log_index = 1").select(F.col("proposal_id").alias("qp"), F.col("voter").alias("qv"), F.col("log_index").alias("queued"))
@@ -223,16 +205,6 @@ def jn_update_from(spark, d):
     return overlay.patched(a.contributors(spark, d), live, ["account"], ["power"]).select("account", "power")
 
 
-@query("""SELECT l.pos, min(s.segment) AS segment FROM logged l JOIN (SELECT range AS segment, range * 1000 AS first, range * 1000 + 1199 AS last FROM range(0, 20)) s ON l.pos BETWEEN s.first AND s.last GROUP BY l.pos""")
-def jn_range_segment(spark, d):
-    """Segments overlap and reach to the greatest position; each position takes the first that holds it. Both sides meet by bucket, not by a range join."""
-    last = a.logged(spark, d).agg(F.max("pos")).first()[0]  # one number
-    s = spark.range(0 if last is None else last // 1000 + 1).select(F.col("id").alias("segment"), (F.col("id") * 1000).alias("first"), (F.col("id") * 1000 + 1199).alias("last"))
-    s = s.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("first") / 1000), F.floor(F.col("last") / 1000))))
-    logs = a.logged(spark, d).select("pos", F.floor(F.col("pos") / 1000).alias("bucket"))
-    return logs.join(s, "bucket").where("pos BETWEEN first AND last").groupBy("pos").agg(F.min("segment").alias("segment"))
-
-
 @query("SELECT pos, delegator, value, last_value(CASE WHEN kind = 'signup' OR kind = 'purchase' THEN kind END IGNORE NULLS) OVER (PARTITION BY delegator ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS mapping FROM logged")
 def jn_asof_current(spark, d):
     w = Window.partitionBy("delegator").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
@@ -376,13 +348,6 @@ def win_count_total(spark, d):
     return c.join(c.groupBy("scope").agg(F.count("*").alias("total")), "scope").select("account", "scope", "total")
 
 
-@query("SELECT account, power, row_number() OVER (ORDER BY power DESC, account) AS rank FROM contributor ORDER BY rank LIMIT 50")
-def win_rank_members(spark, d):
-    """The first 50 are taken before they are ranked."""
-    top = a.contributors(spark, d).orderBy(F.desc("power"), "account").limit(50)
-    return ranked(top, "power", "account").select("account", "power", F.col("rank").cast("long").alias("rank"))
-
-
 @query("SELECT delegator, arg_max(kind, pos) AS state FROM logged GROUP BY delegator")
 def win_latest_epoch(spark, d):
     return a.logged(spark, d).groupBy("delegator").agg(F.max_by("kind", "pos").alias("state"))
@@ -429,16 +394,6 @@ def topk_exact_merge(spark, d):
     return filters.page(filters.ordered(resolved_contributors(spark, d), ["power_DESC_NULLS_LAST"], tie="account"), 0, 30).select("account", "power")
 
 
-@query("SELECT lower(segment) AS segment, min(account) AS account FROM contributor GROUP BY 1")
-def topk_infinite_page(spark, d):
-    return a.contributors(spark, d).groupBy(F.lower("segment").alias("segment")).agg(F.min("account").alias("account"))
-
-
-@query("SELECT proposal_id, voter, weight, cast_ms, log_index FROM vote ORDER BY weight DESC, cast_ms DESC, proposal_id, log_index, voter LIMIT 200")
-def ord_votes_client(spark, d):
-    return a.votes(spark, d).orderBy(F.desc("weight"), F.desc("cast_ms"), "proposal_id", "log_index", "voter").limit(200).select("proposal_id", "voter", "weight", "cast_ms", "log_index")
-
-
 @query("SELECT proposal_id, voter, log_index, weight FROM durable UNION ALL SELECT proposal_id, voter, log_index, weight FROM overlay_only")
 def set_union_all_overlay(spark, d):
     return all_votes(spark, d).select("proposal_id", "voter", "log_index", "weight")
@@ -494,12 +449,6 @@ def ovl_metrics(spark, d):
     return resolved_contributors(spark, d).groupBy("scope").agg(F.count("*").alias("n"), F.sum("power").alias("power"))
 
 
-@query("SELECT c.account, c.power, s.s_balance AS delegated FROM contributor c JOIN (SELECT CAST(s_suppkey AS BIGINT) AS account, CAST(floor(s_acctbal) AS BIGINT) AS s_balance FROM supplier) s USING (account)")
-def ovl_live_power(spark, d):
-    s = a.table(spark, d, "supplier").select(F.col("s_suppkey").cast("long").alias("account"), a.whole("s_acctbal").alias("delegated"))
-    return a.contributors(spark, d).join(s, "account").select("account", "power", "delegated")
-
-
 @query("SELECT account, CASE WHEN account <= 700 THEN 'finalized' ELSE 'available' END AS status FROM live")
 def ovl_finalize(spark, d):
     return overlay.finalized(a.live_contributors(spark, d), 700, "account").select("account", "status")

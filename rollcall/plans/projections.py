@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from rollcall.functions import descriptions, scalars, u256
-from rollcall.functions.keccak import keccak_hex
 from rollcall.operators import decode, folds
 from rollcall.plans import analogues as a
 from rollcall.plans.registry import query
@@ -73,36 +71,6 @@ def dec_dedup_conflict(spark, d):
     return decode.deduplicated(rows).select("delegator", "kind")
 
 
-@query("SELECT pos FROM logged WHERE kind <> 'error'")
-def dec_removed(spark, d):
-    return a.logged(spark, d).where(F.col("kind") != "error").select("pos")
-
-
-@query("SELECT pos, CASE delegator % 3 WHEN 0 THEN 'governor' WHEN 1 THEN 'token' END AS role FROM logged")
-def dec_route(spark, d):
-    roles = spark.createDataFrame([(0, "governor"), (1, "token")], "slot long, role string")
-    return a.logged(spark, d).withColumn("slot", F.col("delegator") % 3).join(F.broadcast(roles), "slot", "left").select("pos", "role")
-
-
-def _calls(spark, d):
-    """Transfer logs that the events stand for, as contracts would emit them."""
-    word = lambda c: F.concat(F.lit("0x"), F.lpad(F.lower(F.hex(c)), 64, "0"))
-    topics = F.array(F.lit(decode.topic0(decode.EVENTS["token"][2])), word(F.col("delegator")), word(F.col("pos")))
-    return a.logged(spark, d).select("pos", "delegator", "value", topics.alias("topics"), word(F.col("value")).alias("data"))
-
-
-@query("SELECT pos, '0x' || lpad(lower(to_hex(delegator)), 40, '0') AS sender, '0x' || lpad(lower(to_hex(pos)), 40, '0') AS receiver, CAST(value AS VARCHAR) AS value, 'erc20' AS standard FROM logged")
-def dec_token(spark, d):
-    found = _calls(spark, d).withColumn("event", F.from_json(decode.abi_json("topics", "data"), decode.payload_type(decode.EVENTS["token"][2])))
-    return found.select("pos", F.col("event.from").alias("sender"), F.col("event.to").alias("receiver"), F.col("event.value").alias("value"), F.col("event.standard").alias("standard"))
-
-
-@query("SELECT pos, delegator, CASE WHEN kind = 'click' THEN 'click' END AS event_name FROM logged")
-def dec_unsupported(spark, d):
-    known = spark.createDataFrame([("click", "click")], "kind string, event_name string")
-    return a.logged(spark, d).join(F.broadcast(known), "kind", "left").select("pos", "delegator", "event_name")
-
-
 @query("SELECT count(*) AS n, 1 AS chains FROM logged")
 def dec_chain_uniform(spark, d):
     rows = decode.one_chain(a.logged(spark, d).withColumn("chain_id", F.lit(1)))
@@ -170,21 +138,6 @@ def fn_strip_markup(spark, d):
     return a.table(spark, d, "pages").select("page_id", descriptions.plain_text("html").alias("text"))
 
 
-@query()
-def fn_keccak(spark, d):
-    return a.table(spark, d, "benchmark").select("item_id", keccak_hex("text").alias("hash"))
-
-
-@query("""SELECT account, CASE WHEN power >= 1000 THEN regexp_replace(regexp_replace(CAST((power + 5) // 10 // 100 AS VARCHAR) || '.' || lpad(CAST((power + 5) // 10 % 100 AS VARCHAR), 2, '0'), '0+$', ''), '\\.$', '') || 'K' ELSE CAST(power AS VARCHAR) END AS shown FROM contributor WHERE power >= 0""")
-def fn_display_number(spark, d):
-    return a.contributors(spark, d).where("power >= 0").select("account", scalars.display_number(F.col("power").cast("double")).alias("shown"))
-
-
-@query("SELECT proposal_id, proposer, state, 'created' AS kind FROM proposal")
-def prj_proposal_created(spark, d):
-    return a.proposals(spark, d).select("proposal_id", "proposer", "state", F.lit("created").alias("kind"))
-
-
 @query("SELECT proposal_id, CAST(proposal_id AS VARCHAR) || ':action:' || CAST(i AS VARCHAR) AS id, CASE i WHEN 0 THEN state ELSE mode END AS target FROM proposal, (SELECT unnest([0, 1]) AS i)")
 def prj_proposal_actions(spark, d):
     acts = a.proposals(spark, d).select("proposal_id", F.posexplode(F.arrays_zip(F.array("state", "mode").alias("targets"))).alias("i", "x"))
@@ -196,13 +149,6 @@ def prj_state_epochs(spark, d):
     return folds.state_epochs(a.logged(spark, d), "delegator", "kind").select("delegator", "pos", "kind", "until")
 
 
-@query("SELECT coalesce(p.proposal_id, v.proposal_id) AS proposal_id, p.state, p.proposal_id IS NULL AS stub FROM (SELECT * FROM proposal WHERE chain_id <> 0) p FULL JOIN (SELECT DISTINCT proposal_id FROM vote) v USING (proposal_id)")
-def prj_lifecycle_stub(spark, d):
-    p = a.proposals(spark, d).where("chain_id <> 0").select("proposal_id", "state", F.lit(False).alias("stub"))
-    v = a.votes(spark, d).select("proposal_id").distinct()
-    return p.join(v, "proposal_id", "full").select("proposal_id", "state", F.coalesce("stub", F.lit(True)).alias("stub"))
-
-
 FOLD = """SELECT delegator, arg_max(kind, pos) AS kind, arg_min(kind, pos) FILTER (WHERE kind <> 'view') AS first_kind, max(value) AS value, CAST(sum(value) AS BIGINT) AS total FROM logged GROUP BY delegator"""
 
 
@@ -218,13 +164,6 @@ def prj_deadline_ext(spark, d):
     return folds.deadline_extensions(rows, "delegator", "value", "ends").select("delegator", "pos", "value", "previous_deadline")
 
 
-@query("SELECT pos, kind AS parameter, CAST(value AS VARCHAR) AS new_value, CAST(lag(value) OVER (PARTITION BY kind ORDER BY pos) AS VARCHAR) AS old_value FROM logged WHERE kind IN ('click', 'view')")
-def prj_param_change(spark, d):
-    w = Window.partitionBy("kind").orderBy("pos")
-    kinds = [a.logged(spark, d).where(F.col("kind") == k) for k in ("click", "view")]
-    return kinds[0].unionByName(kinds[1]).select("pos", F.col("kind").alias("parameter"), F.col("value").cast("string").alias("new_value"), F.lag("value").over(w).cast("string").alias("old_value"))
-
-
 @query("SELECT proposal_id, voter, weight, CASE WHEN with_params THEN 'vote-cast-with-params' ELSE 'vote-cast' END AS type FROM vote")
 def prj_vote_unify(spark, d):
     v = a.votes(spark, d)
@@ -232,11 +171,6 @@ def prj_vote_unify(spark, d):
     return tagged(v.where("NOT with_params"), "vote-cast").unionByName(tagged(v.where("with_params"), "vote-cast-with-params"))
 
 
-@query("SELECT voter, max(cast_ms) AS last_vote, count(*) AS n FROM vote GROUP BY voter")
-def fld_vote_signal(spark, d):
-    return a.votes(spark, d).groupBy("voter").agg(F.max("cast_ms").alias("last_vote"), F.count("*").alias("n"))
-
-
 def delegation_log(spark, d):
     """signup, purchase and error change the delegate (error: to none), view and click move power."""
     rows = a.logged(spark, d)
@@ -288,13 +222,6 @@ def fld_delegate_delta(spark, d):
     return folds.mappings(folded(spark, d)).groupBy("delegate").agg(F.sum("power").cast("long").alias("power"))
 
 
-@query("SELECT account, CAST(sum(delta) AS BIGINT) AS balance FROM (SELECT delegator AS account, -value AS delta FROM logged UNION ALL SELECT pos % 50, value FROM logged) GROUP BY account")
-def fld_transfer_delta(spark, d):
-    rows = a.logged(spark, d)
-    moves = F.explode(F.array(F.struct(F.col("delegator").alias("account"), (-F.col("value")).alias("delta")), F.struct((F.col("pos") % 50).alias("account"), F.col("value").alias("delta"))))
-    return rows.select(moves.alias("m")).groupBy("m.account").agg(F.sum("m.delta").alias("balance"))
-
-
 @query()
 def fld_rolling_match(spark, d):
     rows = delegation_log(spark, d).select(F.lit("set").alias("contract_set_id"), F.floor(F.col("pos") / 20).cast("string").alias("transaction_hash"), F.col("pos").alias("log_index"), "*")
@@ -322,11 +249,6 @@ def fld_profile_insert(spark, d):
     return a.contributors(spark, d).select(F.lower("segment").alias("delegate")).distinct()
 
 
-@query("SELECT scope, CASE WHEN bool_or(power > 9900) THEN count(*) END AS profiles FROM contributor GROUP BY scope")
-def fld_profile_sync(spark, d):
-    return a.contributors(spark, d).groupBy("scope").agg(F.when(F.bool_or(F.col("power") > 9900), F.count("*")).alias("profiles"))
-
-
 @query("SELECT delegator, max(CASE kind WHEN 'signup' THEN 1 WHEN 'purchase' THEN 2 ELSE 0 END) AS state, CAST(sum(value) AS BIGINT) AS calls, arg_max(kind, pos) AS last_kind FROM logged GROUP BY delegator")
 def fld_timelock_op(spark, d):
     rank = F.when(F.col("kind") == "signup", 1).when(F.col("kind") == "purchase", 2).otherwise(0)
@@ -339,11 +261,6 @@ def fld_timelock_call(spark, d):
     return folds.merged(a.logged(spark, d), ["delegator", "kind"], overwrite=["props"], keep=[], greatest=["value"])
 
 
-@query("SELECT pos, at_ms // 1000 + 86400 AS ready_at FROM logged WHERE kind = 'signup'")
-def prj_timelock_ready(spark, d):
-    return a.logged(spark, d).where("kind = 'signup'").select("pos", (F.floor(F.col("at_ms") / 1000) + 86_400).alias("ready_at"))
-
-
 @query("SELECT v.proposal_id, v.log_index, v.voter, o.weight AS linked FROM durable v LEFT JOIN overlay o ON o.proposal_id = v.proposal_id AND o.voter = v.voter AND o.support = v.support AND o.with_params = v.with_params AND o.log_index = v.log_index AND o.cast_ms = v.cast_ms AND o.weight = v.weight")
 def jn_timelock_link(spark, d):
     keys = ["proposal_id", "voter", "support", "with_params", "log_index", "cast_ms", "weight"]
@@ -355,8 +272,3 @@ def jn_timelock_link(spark, d):
 def fld_metric_timeline(spark, d):
     rows = folds.timeline(a.logged(spark, d), ["delegator"], "pos", {"views": F.col("kind") == "view"}, {"total": F.col("value")})
     return rows.select("delegator", "pos", "views", "total")
-
-
-@query("SELECT kind, pos, count(*) OVER (PARTITION BY kind ORDER BY pos) AS n FROM logged")
-def agg_metric_event_rows(spark, d):
-    return folds.timeline(a.logged(spark, d), ["kind"], "pos", {"n": F.lit(True)}).select("kind", "pos", "n")

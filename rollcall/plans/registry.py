@@ -24,9 +24,14 @@ def query(sql: str | None = None, views: bool = True) -> Callable:
     return register
 
 
+def query_sql(name: str) -> str:
+    """The SQL of another query, which has the same rows."""
+    return ORACLES[name]
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Proposals with their vote totals, overlay resolved, filtered, ordered and paged."""
     return QUERIES["proposals_page"](spark, sf_dir)
 
 
-from rollcall.plans import entities, projections, status_queries, streams  # noqa: E402, F401  they register themselves
+from rollcall.plans import contracts, entities, projections, status_queries, streams  # noqa: E402, F401  they register themselves

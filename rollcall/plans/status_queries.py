@@ -63,15 +63,6 @@ def aud_three_way(spark, d):
     return a.logged(spark, d).select("pos", status.audit_conclusion(F.col("value") % 2, F.col("pos") % 3, chain).alias("conclusion"))
 
 
-@query("SELECT coalesce(x.kind, y.kind) AS kind, CASE WHEN y.n IS NULL THEN 'missing' WHEN x.n IS NULL THEN 'unexpected' WHEN x.n = y.n THEN 'matched' ELSE 'mismatched' END AS status FROM (SELECT kind, count(*) AS n FROM logged WHERE pos % 2 = 0 GROUP BY kind) x FULL JOIN (SELECT kind, count(*) AS n FROM logged WHERE pos % 2 = 1 AND kind <> 'error' GROUP BY kind) y ON x.kind = y.kind")
-def aud_parity(spark, d):
-    rows = a.logged(spark, d)
-    x = rows.where("pos % 2 = 0").groupBy("kind").agg(F.count("*").alias("x"))
-    y = rows.where("pos % 2 = 1 AND kind <> 'error'").groupBy("kind").agg(F.count("*").alias("y"))
-    verdict = F.when(F.col("y").isNull(), "missing").when(F.col("x").isNull(), "unexpected").when(F.col("x") == F.col("y"), "matched").otherwise("mismatched")
-    return x.join(y, "kind", "full").select("kind", verdict.alias("status"))
-
-
 @query()
 def agg_table_digest(spark, d):
     return status.table_digest(a.proposals(spark, d))
@@ -94,13 +85,6 @@ def web_quorum(spark, d):
     return counted.select("proposal_id", "current_votes", status.quorum_reached(F.col("current_votes"), F.col("quorum") % 60).alias("reached"))
 
 
-@query("SELECT account, floor(abs(power) * 10000 // t.total)::DOUBLE / 100.0::DOUBLE AS share FROM contributor, (SELECT CAST(sum(abs(power)) AS BIGINT) AS total FROM contributor) t")
-def web_power_share(spark, d):
-    c = a.contributors(spark, d)
-    total = c.agg(F.sum(F.abs("power"))).first()[0]
-    return c.select("account", status.power_share(F.abs("power"), F.lit(total)).alias("share"))
-
-
 @query("SELECT voter, count(DISTINCT proposal_id) * 100.0::DOUBLE / 10.0::DOUBLE AS participation FROM vote WHERE proposal_id IN (SELECT proposal_id FROM proposal WHERE EXISTS (SELECT 1 FROM vote v WHERE v.proposal_id = proposal.proposal_id) ORDER BY created DESC, proposal_id DESC LIMIT 10) GROUP BY voter")
 def web_participation(spark, d):
     voted = filters.exists(a.proposals(spark, d), a.votes(spark, d).select(F.col("proposal_id").alias("pid")), {"proposal_id": "pid"})
@@ -127,14 +111,6 @@ def web_treasury(spark, d):
     return status.treasury(p, "balance", "price", "change").select("part", F.round(F.col("share") * 1_000_000).cast("long").alias("millionths"))
 
 
-@query("""SELECT * FROM (WITH RECURSIVE n AS (SELECT conv_id * 1000 + turn AS id, CASE WHEN turn > 0 THEN conv_id * 1000 + (turn - 1) // 2 END AS parent FROM (SELECT DISTINCT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn FROM conversations)),
-t AS (SELECT id, 0 AS depth FROM n WHERE parent IS NULL OR parent NOT IN (SELECT id FROM n) UNION ALL SELECT n.id, t.depth + 1 FROM n JOIN t ON n.parent = t.id) SELECT id, depth FROM t)""", views=False)
-def web_comment_tree(spark, d):
-    turns = a.table(spark, d, "conversations").select(F.col("conv_id").cast("long").alias("c"), F.col("turn").cast("long").alias("t")).distinct()
-    nodes = turns.select((F.col("c") * 1000 + F.col("t")).alias("id"), F.when(F.col("t") > 0, F.col("c") * 1000 + F.floor((F.col("t") - 1) / 2)).alias("parent"))
-    return status.comment_tree(nodes, "id", "parent").select("id", "depth")
-
-
 @query("SELECT pos, CASE WHEN kind <> 'error' THEN 'found' WHEN value < 30 THEN 'indexing' WHEN value < 60 THEN 'problem' ELSE 'not-found' END AS state FROM logged")
 def web_missing_state(spark, d):
     state = F.when(F.col("kind") != "error", "found").when(F.col("value") < 30, "indexing").when(F.col("value") < 60, "problem").otherwise("not-found")
@@ -154,13 +130,6 @@ def bkf_reference(spark, d):
     return a.proposals(spark, d).join(c, F.col("account") == F.col("proposer")).where(~F.col("segment").eqNullSafe(F.col("mode"))).select("proposal_id", "segment")
 
 
-@query("SELECT p.proposal_id, coalesce(CASE WHEN p.chain_id <> 2 THEN p.created END, v.first_ms) AS created FROM proposal p LEFT JOIN (SELECT proposal_id, min(cast_ms) AS first_ms FROM vote GROUP BY proposal_id) v USING (proposal_id) WHERE p.proposal_id <= 4000")
-def bkf_timestamps(spark, d):
-    first = a.votes(spark, d).groupBy("proposal_id").agg(F.min("cast_ms").alias("first_ms"))
-    rows = a.proposals(spark, d).join(first, "proposal_id", "left")
-    return rows.select("proposal_id", F.coalesce(F.when(F.col("chain_id") != 2, F.col("created")), "first_ms").alias("created"))
-
-
 @query("SELECT proposal_id FROM proposal p WHERE EXISTS (SELECT 1 FROM durable d WHERE d.proposal_id = p.proposal_id) AND NOT EXISTS (SELECT 1 FROM overlay_only o WHERE o.proposal_id = p.proposal_id)")
 def bkf_timelock(spark, d):
     from rollcall.plans.entities import overlay_only
@@ -182,22 +151,7 @@ def bkf_balance_edges(spark, d):
     return a.contributors(spark, d).join(live, "account", "left").select("account", F.coalesce("balance", "power").alias("power"), effective.alias("effective"))
 
 
-@query("SELECT delegator, pos, value, value - coalesce(lag(value) OVER (PARTITION BY delegator ORDER BY pos), 0) AS delta FROM logged")
-def bkf_checkpoints(spark, d):
-    from pyspark.sql import Window
-
-    before = F.lag("value", 1, 0).over(Window.partitionBy("delegator").orderBy("pos"))
-    return a.logged(spark, d).select("delegator", "pos", "value", (F.col("value") - before).alias("delta"))
-
-
 @query("SELECT delegator, dh::DOUBLE / dt::DOUBLE AS rate FROM (SELECT delegator, pos - lag(pos) OVER w AS dh, at_ms - lag(at_ms) OVER w AS dt, row_number() OVER (PARTITION BY delegator ORDER BY at_ms DESC) AS k FROM logged WINDOW w AS (PARTITION BY delegator ORDER BY at_ms)) WHERE k = 1 AND dt > 0")
 def win_rate_eta(spark, d):
     rows = a.logged(spark, d).withColumn("target", F.lit(100_000).cast("long"))
     return rate_and_eta(rows, "delegator", "at_ms", "pos", "target").where("rate IS NOT NULL").select("delegator", "rate")
-
-
-@query("SELECT doc_id, CAST(length(text) AS BIGINT) AS n FROM documents WHERE text ILIKE '%license%'")
-def fn_body_tags(spark, d):
-    rows = a.table(spark, d, "documents").where(scalars.contains_ci(F.col("text"), "license", escaped=True))
-    tagged = rows.withColumn("tagged", F.concat(F.lit("<discussion> "), F.char_length("text").cast("string"), F.lit(" </discussion>rest")))
-    return tagged.select("doc_id", descriptions.tag(F.col("tagged"), "discussion").cast("long").alias("n"))

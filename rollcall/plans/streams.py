@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rollcall.plans import analogues as a
-from rollcall.plans.registry import query
+from rollcall.plans.registry import query, query_sql
 from rollcall.plans.status_queries import SYNC, checkpoints
 from rollcall.streaming import state
 
@@ -75,11 +75,6 @@ def str_fail_policy(spark, d):
     return state.failed(tasks, 20, F.lit(60_000)).select("pos", "status", "next_run_at")
 
 
-@query("SELECT pos, at_ms + 1000 * (1 + value % 5) AS next_run_at FROM logged WHERE kind = 'error'")
-def str_timers(spark, d):
-    return a.logged(spark, d).where("kind = 'error'").select("pos", (F.col("at_ms") + 1000 * (1 + F.col("value") % 5)).alias("next_run_at"))
-
-
 @query("SELECT delegator, min(at_ms) AS first_at, max(at_ms) AS last_at, count(*) AS n_events, max(at_ms) + 5000 AS next_run_at FROM logged GROUP BY delegator")
 def str_debounce(spark, d):
     return state.debounced(a.logged(spark, d), "delegator", "at_ms", 5000)
@@ -92,17 +87,7 @@ def str_late(spark, d):
     return rows.where("pos % 7 <> 0").unionByName(rows.where("pos % 7 = 0")).groupBy("delegator").agg(F.max_by("kind", "pos").alias("kind"))
 
 
-@query()
-def str_adaptive(spark, d):
-    """The chunk sizes that a fixed run of chunks leads to."""
-    sizer, rows = state.ChunkSizer(1000), []
-    for k, (n, read, local) in enumerate([(50, 0.5, 0.5), (40, 0.4, 0.2), (9000, 1, 1), (10, 12, 1), (20, 0.1, 0.1), (30, 0.1, 0.1)]):
-        reason = sizer.record(n, read, local)
-        rows.append((k, sizer.size, reason))
-    return spark.createDataFrame(rows, "chunk long, size long, reason string")
-
-
-@query()
+@query(query_sql("fld_mapping_snapshot"), views=False)
 def str_stateful_fold(spark, d):
     """The delegations after the log came in two parts, the later one first."""
     from rollcall.operators.folds import delegation_fold, mappings

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -104,6 +105,32 @@ def failed(tasks: DataFrame, max_attempts: int, backoff: Column) -> DataFrame:
     return tasks.withColumns({"status": F.when(done, "exhausted").otherwise("pending"), "next_run_at": F.when(done, F.col("next_run_at")).otherwise(F.col("next_run_at") + backoff)})
 
 
+def rescheduled(tasks: DataFrame, now: Column, max_attempts: int, lease_ms: int, base_ms: int = 1000, most_ms: int = 60_000) -> DataFrame:
+    """Tasks after a look at the clock. ``tasks``: attempts, status, at_ms, locked_at.
+
+    A failed task waits ``base_ms``, twice as long after each attempt and ``most_ms`` at most, or is exhausted; a running one whose lock
+    is older than its lease is pending again at once; others have no next run.
+    """
+    wait = F.least(F.lit(base_ms) * F.pow(F.lit(2), F.least(F.col("attempts"), F.lit(10))), F.lit(most_ms)).cast("long")
+    failed_now, stale = F.col("status") == "failed", (F.col("status") == "running") & (now - F.col("locked_at") > lease_ms)
+    spent = failed_now & (F.col("attempts") >= max_attempts)
+    status = F.when(spent, "exhausted").when(failed_now | stale, "pending").otherwise(F.col("status"))
+    return tasks.withColumns({"next_run_at": F.when(spent, F.lit(None)).when(failed_now, F.col("at_ms") + wait).when(stale, F.col("at_ms")), "status": status})
+
+
+def chunk_sizes(chunks: DataFrame, key: str, pos: str, size: int) -> DataFrame:
+    """The chunk size of each key after its chunks, in order. ``chunks``: key, pos, read_s, local_s, rows."""
+    kind = chunks.schema[key].dataType.simpleString()
+
+    def sized(rows: pd.DataFrame) -> pd.DataFrame:
+        sizer = ChunkSizer(size)
+        for r in rows.sort_values(pos).itertuples():
+            sizer.record(r.rows, r.read_s, r.local_s)
+        return pd.DataFrame({key: [rows[key].iloc[0]], "size": [sizer.size]})
+
+    return chunks.groupBy(key).applyInPandas(sized, f"`{key}` {kind}, size long")
+
+
 def uncovered(accounts: DataFrame, key: str, *others: DataFrame) -> DataFrame:
     """Accounts without a row in any of the other tables."""
     for other in others:

@@ -58,6 +58,51 @@ def test_rolling_match_consumes(spark):
     assert [tuple(r) for r in found] == [(3, 2, "from"), (4, 2, "to"), (5, 1, "to")]
 
 
+def test_rolling_match_as_one_by_one(spark):
+    """Random transactions against the rules, one votes change after the other."""
+    r = random.Random(8)
+    changes, votes, expected = [], [], []
+    for tx in range(60):
+        held = []
+        for at in range(r.randrange(2, 14)):
+            if r.random() < 0.5:
+                row = ("s", f"t{tx}", at, f"a{r.randrange(4)}", r.choice("xyz"), r.choice("xyz"))
+                changes.append(row)
+                held.append({"row": row, "from": row[4], "to": row[5], "live": row[4] != row[5]})
+                continue
+            who, delta = r.choice("xyz"), str(r.randrange(-3, 4))
+            votes.append(("s", f"t{tx}", at, who, delta))
+            found = None
+            for side in ("from", "to") if int(delta) < 0 else ("to", "from"):
+                for h in reversed(held):
+                    if found is None and h["live"] and h[side] == who:
+                        found = (side, h)
+            if found:
+                side, h = found
+                h[side] = None
+                expected.append(("s", f"t{tx}", at, h["row"][2], side, *h["row"][3:], delta))
+    c = spark.createDataFrame(changes, "contract_set_id string, transaction_hash string, log_index long, delegator string, from_delegate string, to_delegate string")
+    v = spark.createDataFrame(votes, "contract_set_id string, transaction_hash string, log_index long, delegate string, delta string")
+    assert sorted(map(tuple, folds.rolling_match(c.repartition(3), v.repartition(2)).collect())) == sorted(expected) and len(expected) > 50
+
+
+def test_threads_of_any_depth_and_cycles(spark):
+    rows = [(k, k - 1 if k else None) for k in range(150)] + [(1000, 1001), (1001, 1002), (1002, 1000), (1003, 1000), (1004, 1004)]
+    found = {r.id: (r.depth, r.root) for r in status.comment_tree(spark.createDataFrame(rows, "id long, parent long"), "id", "parent").collect()}
+    assert found == {k: (k, 0) for k in range(150)} | {k: (0, k) for k in range(1000, 1005)}
+
+
+def test_digest_is_that_of_the_rows(spark):
+    """Counts and sums of the parts of each row's SHA-256, plainly."""
+    import hashlib
+    import json
+
+    rows = [(1, "a", None), (2, None, 0.5), (2, None, 0.5)]
+    content = [hashlib.sha256(json.dumps({k: v for k, v in zip("ikx", r, strict=True) if v is not None}, separators=(",", ":")).encode()).hexdigest() for r in rows]
+    sums = "-".join(str(sum(int(h[8 * k : 8 * k + 8], 16) for h in content)) for k in range(4))
+    assert tuple(status.table_digest(spark.createDataFrame(rows, "i long, k string, x double")).first()) == (3, sums)
+
+
 def test_stream_equals_batch(spark, tmp_path):
     rows = history(7)
     log = spark.createDataFrame(rows, SCHEMA)
