@@ -15,6 +15,7 @@ from __future__ import annotations
 import math
 import re
 from functools import reduce
+from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,8 +36,6 @@ NOTICES = (
 )
 #: Words too common to be posted, unless a phrase needs them.
 COMMON = frozenset("a an and any are as at be by can for if in is it may of on or that the this to was with you not".split())
-#: Read by the SQL in oracles.py only, which looks up so many of a file's rarest licence words.
-LOOKED_UP = 8
 #: Share of a notice's posted words that must align.
 ALIGNED = 0.7
 
@@ -69,7 +68,7 @@ def vocabulary() -> list[str]:
 
 def licence_words(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Per row: id, n_words and hits, the licence words of the whole text with their positions."""
-    every = F.regexp_extract_all(F.lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit(WORD), F.lit(0))
+    every = F.regexp_extract_all(F.translate(F.coalesce(F.col(text_col), F.lit("")), ascii_uppercase, ascii_lowercase), F.lit(WORD), F.lit(0))
     split = docs.select(F.col(id_col).alias("doc_id"), every.alias("every"))
     known = vocabulary()
     any_of = F.arrays_overlap("every", F.array(*map(F.lit, known)))

@@ -83,23 +83,20 @@ def licence_sql() -> str:
     vocabulary = values([(w,) for w in licenses.vocabulary()])
     return rf"""
 WITH w AS (
-  SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS t FROM documents
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS t FROM documents
 ), p AS (SELECT doc_id, t, unnest(range(1, len(t) + 1)) AS i FROM w
 ), base AS (
   SELECT doc_id, i, CASE WHEN t[i] = 'mit' AND t[i + 1] = 'license' THEN 'mit' WHEN t[i] = 'apache' AND t[i + 1] = 'license' THEN 'apache' WHEN t[i] = 'general' AND t[i + 1] = 'public' AND t[i + 2] = 'license' THEN 'gpl' END AS label FROM p
 ), b AS (
   SELECT doc_id, count(*) AS n, min(i) - 1 AS lo, max(i) - 1 AS hi, list(DISTINCT label) AS labels FROM base WHERE label IS NOT NULL GROUP BY doc_id
 ), hit AS (SELECT doc_id, t[i] AS word, i - 1 AS i FROM p WHERE t[i] IN (SELECT * FROM {vocabulary})
-), df AS (SELECT word, count(DISTINCT doc_id) AS n FROM hit GROUP BY word
-), rare AS (
-  SELECT doc_id, word, count(*) OVER (PARTITION BY doc_id) AS n FROM (SELECT DISTINCT doc_id, word, df.n AS f FROM hit JOIN df USING (word)) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY f, word) <= {licenses.LOOKED_UP}
 ), posted(notice, word, tpos) AS {values(posted)}
 , notice(notice, label, size, phrases) AS {values([(k, label, sizes[k], len(ps)) for k, (label, _, ps) in enumerate(licenses.NOTICES)])}
 , votes AS (SELECT doc_id, notice, max(n) AS n FROM (SELECT doc_id, notice, i - tpos, count(*) AS n FROM hit JOIN posted USING (word) GROUP BY ALL) GROUP BY doc_id, notice
 ), verified AS (SELECT doc_id, notice, count(*) AS n FROM ({phrase_hits}) GROUP BY doc_id, notice
 ), found AS (
   SELECT DISTINCT v.doc_id, x.label, v.n / x.size::DOUBLE AS share FROM votes v JOIN notice x USING (notice) JOIN verified f ON f.doc_id = v.doc_id AND f.notice = v.notice AND f.n = x.phrases
-  JOIN rare r ON r.doc_id = v.doc_id AND r.n >= 2 JOIN posted o ON o.notice = v.notice AND o.word = r.word WHERE v.n >= {licenses.ALIGNED} * x.size
+  WHERE v.n >= {licenses.ALIGNED} * x.size
 ), g AS (SELECT doc_id, list(DISTINCT label) AS labels, max(share) AS share FROM found GROUP BY doc_id
 )
 SELECT w.doc_id, len(w.t)::BIGINT AS n_words, coalesce(b.n, 0)::BIGINT AS n_base, b.lo::BIGINT AS first_word, b.hi::BIGINT AS last_word, coalesce(array_to_string(list_sort(b.labels), ','), '') AS base_labels,

@@ -145,6 +145,14 @@ def test_licenses(docs, rows, empty):
     assert scan_licenses(empty).collect() == []
 
 
+def test_only_ascii_letters_are_lowered(spark):
+    """As the contract says: other capitals make another word."""
+    from rollcall.llm.licenses import scan_licenses
+
+    found = scan_licenses(spark.createDataFrame([(1, "MIT LICENSE"), (2, "mİt license"), (3, "MİT LICENSE \u212a")], "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [(r.n_words, r.n_base) for r in found] == [(2, 1), (2, 0), (3, 0)]
+
+
 def test_notices(spark):
     from rollcall.llm.licenses import NOTICES, scan_licenses
 
