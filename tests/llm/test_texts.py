@@ -398,6 +398,21 @@ def test_pipeline(spark, docs, rows):
     assert set(held) == set(copies) and len(copies) < len(rows) - 10
 
 
+def test_pipeline_of_awkward_tables(spark, tmp_path):
+    """Nulls in every column, a column that isn't one of documents, and an empty table."""
+    import corpus_pipeline as c
+
+    r = random.Random(5)
+    clean = [" ".join(f"w{r.randrange(10**6)}" for _ in range(40)) for _ in range(3)]
+    table = [(None, clean[0], None, None, None, "w"), (1, None, None, None, None, None), (2, "", "en", "s", 0, None), (3, clean[1], None, None, None, None), (4, clean[2], "en", "s", 1, "w")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, body string"
+    for name, some, ids in (("some", table, [None, 3, 4]), ("none", [], [])):
+        spark.createDataFrame(some, schema).write.parquet(str(tmp_path / name / "documents.parquet"))
+        found = c.run(spark, str(tmp_path / name)).collect()
+        assert sorted({p.doc_id for p in found}, key=lambda i: i or 0) == ids
+        assert all(p.start == 0 and p.length == p.doc_tokens for p in found)
+
+
 def test_byte_bpe_of_long_runs_and_awkward_texts(spark):
     """Runs that the pattern doesn't split, and random texts of awkward characters, as the tiktoken library encodes them."""
     import base64
