@@ -2,6 +2,11 @@
 
 Every stage takes (spark, docs, sf_dir) and works on all that the stage before it kept; its result is
 written as Parquet and read again. All but the last return the columns of ``documents``.
+
+Nulls and edges: a null or empty text breaks the base rules (it has fewer than 10 words), so the first stage drops it. A null
+source is the host with the empty name in the rules; a null lang passes through. Rows that repeat an id are one document to the
+stages that drop documents: all of them stay if one is kept. A null id stays a null id, and the near and substring stages
+leave its rows as they are. Other columns than those of ``documents`` are left out. An empty table gives an empty result.
 """
 
 from __future__ import annotations
