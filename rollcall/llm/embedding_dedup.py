@@ -29,6 +29,8 @@ TILE = 2048
 PROJECTIONS = 8
 #: For rounding in double precision, so that the bounds stay rigorous.
 SLACK = 1e-9
+#: Into how many groups the tiles of a label are dealt where pairs of them are sought.
+GROUPS = 64
 #: Pairs that are computed again at once.
 AGAIN = 1 << 17
 
@@ -129,10 +131,10 @@ def tile_links(made: DataFrame, threshold: float) -> DataFrame:
     """(cid, n_links, root) for every class with links, once for each pair of tiles that holds some."""
     near = math.sqrt(max(0.0, 2 - 2 * threshold)) + SLACK
     meta = made.select("tile", "label", "dim", "lo", "hi")
-    a = meta.select("label", "dim", F.col("tile").alias("ta"), F.col("lo").alias("lo_a"), F.col("hi").alias("hi_a"))
-    b = meta.select("label", "dim", F.col("tile").alias("tb"), F.col("lo").alias("lo_b"), F.col("hi").alias("hi_b"))
+    a = meta.select("label", "dim", F.pmod(F.xxhash64("tile"), F.lit(GROUPS)).cast("int").alias("dealt"), F.col("tile").alias("ta"), F.col("lo").alias("lo_a"), F.col("hi").alias("hi_a"))
+    b = meta.select("label", "dim", F.explode(F.sequence(F.lit(0), F.lit(GROUPS - 1))).alias("dealt"), F.col("tile").alias("tb"), F.col("lo").alias("lo_b"), F.col("hi").alias("hi_b"))
     meet = F.forall(F.arrays_zip("lo_a", "hi_a", "lo_b", "hi_b"), lambda z: (z["lo_a"] <= z["hi_b"] + near) & (z["lo_b"] <= z["hi_a"] + near))
-    pairs = a.join(b, ["label", "dim"]).where((F.col("ta") <= F.col("tb")) & meet).select("ta", "tb", "dim")
+    pairs = a.join(b, ["label", "dim", "dealt"]).where((F.col("ta") <= F.col("tb")) & meet).select("ta", "tb", "dim")
     side = lambda x: made.select(F.col("tile").alias(f"t{x}"), *(F.col(c).alias(f"{c}_{x}") for c in ("ids", "counts", "vectors")))
     met = pairs.join(side("a"), "ta").join(side("b"), "tb").select("ta", "tb", "dim", "ids_a", "counts_a", "vectors_a", "ids_b", "counts_b", "vectors_b")
     schema = pa.schema([("cid", pa.int64()), ("n_links", pa.int64()), ("root", pa.int64())])
