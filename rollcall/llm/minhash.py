@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rollcall.llm.frames import checkpointed, emitted, rows_of, utf8, written
+from rollcall.llm.frames import checkpointed, emitted, hot_share, joined_to_keys, rows_of, utf8, written
 from rollcall.llm.graph import components
 from rollcall.llm.shingles import mixed, shared, shingle_sets
 
@@ -106,9 +106,15 @@ def estimate(a: str, b: str) -> Column:
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
-    mine = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("body").alias("body_a")), "a").select("a", "b", "body_a")
-    met = mine.join(texts.select(F.col("doc_id").alias("b"), F.col("body").alias("body_b")), "b").select("a", "b", "body_a", "body_b")
+    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union. An id with many pairs as b meets them in several tasks."""
+    share = hot_share(pairs.count())
+    hot = pairs.groupBy("b").agg(F.count("*").alias("n")).where(F.col("n") > share).select("b", F.ceil(F.col("n") / share).cast("int").alias("copies"))
+    copies = F.coalesce("copies", F.lit(1))
+    mine = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("body").alias("body_a")), "a").join(F.broadcast(hot), "b", "left")
+    mine = mine.select("a", "b", F.pmod(F.xxhash64("a"), copies).cast("int").alias("copy"), "body_a")
+    others = texts.select(F.col("doc_id").alias("b"), F.col("body").alias("body_b")).join(F.broadcast(hot), "b", "left")
+    others = others.select("b", F.explode(F.sequence(F.lit(0), copies - 1)).alias("copy"), "body_b")
+    met = mine.join(others, ["b", "copy"]).select("a", "b", "body_a", "body_b")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,20 +136,20 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return met.mapInArrow(compared, "a long, b long")
 
 
-def star_pairs(met: DataFrame) -> DataFrame:
-    """Each class with the most popular other class of its buckets. ``met``: (key, rep, n), n classes in the bucket."""
+def star_pairs(met: DataFrame, total: int) -> DataFrame:
+    """Each class with the most popular other class of its buckets. ``met``: (key, rep, n), n classes in the bucket, ``total`` rows."""
     popular = met.groupBy("rep").agg(F.sum("n").alias("popular"))
     ranked = met.select("key", "rep").join(popular, "rep")
-    pivots = ranked.groupBy("key").agg(F.max(F.struct("popular", (-F.col("rep")).alias("minus"))).alias("pivot"))
-    offered = met.select("key", "rep").join(pivots, "key").where(F.col("rep") != -F.col("pivot.minus"))
+    pivots = ranked.groupBy("key").agg(F.max(F.struct("popular", (-F.col("rep")).alias("minus"))).alias("pivot"), F.count("*").alias("n"))
+    offered = joined_to_keys(met.select("key", "rep"), pivots, "key", "n", total).where(F.col("rep") != -F.col("pivot.minus"))
     best = offered.groupBy("rep").agg(F.max("pivot").alias("pivot"))
     return best.select(F.col("rep").alias("a"), (-F.col("pivot.minus")).alias("b"))
 
 
-def open_clusters(met: DataFrame, reached: DataFrame) -> DataFrame:
+def open_clusters(met: DataFrame, reached: DataFrame, total: int) -> DataFrame:
     """(cluster, rep, c, tiles) of the classes whose cluster, all that shared buckets connect, isn't one component c yet."""
-    least = met.groupBy("key").agg(F.min("rep").alias("least"))
-    clusters = components(met.join(least, "key").select("rep", "least"), "rep", "least")
+    least = met.groupBy("key").agg(F.min("rep").alias("least"), F.count("*").alias("n"))
+    clusters = components(joined_to_keys(met.select("key", "rep"), least, "key", "n", total).select("rep", "least"), "rep", "least")
     placed = clusters.select(F.col("node").alias("rep"), F.col("component").alias("cluster")).join(reached.withColumnRenamed("node", "rep"), "rep", "left")
     placed = placed.select("cluster", "rep", F.coalesce("component", "rep").alias("c"))
     torn = placed.groupBy("cluster").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.ceil(F.count("*") / TILE).cast("int").alias("tiles")).where("lo < hi")
@@ -213,18 +219,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = written(usable.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "text_key")).alias("rep"), F.first("signature").alias("signature"), F.first("bands").alias("bands")).select("d1", "d2", F.col("rep.doc_id").alias("rep"), "rep.text_key", "signature", "bands"))
     in_bands = classes.select("rep", F.explode("bands").alias("key"))
     filled = in_bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    met = written(in_bands.join(filled, "key").select("key", "rep", "n"))
+    met = written(joined_to_keys(in_bands, filled, "key", "n", BANDS * classes.count()).select("key", "rep", "n"))
+    total = met.count()
     taking_part = met.select("rep").distinct().join(classes.select("rep", "text_key"), "rep").select(F.col("rep").alias("doc_id"), "text_key")
     texts = written(keyed_texts(docs, id_col, text_col).join(taking_part, ["doc_id", "text_key"], "left_semi").dropDuplicates(["doc_id", "text_key"]))
     low = percent / 100 - margin
 
     def likely(pairs: DataFrame) -> DataFrame:
-        for x in "ab":
-            pairs = pairs.join(classes.select(F.col("rep").alias(x), F.col("signature").alias(f"s_{x}")), x)
-        return pairs.where(estimate("s_a", "s_b") >= low).select("a", "b")
+        signs = {x: classes.select(F.col("rep").alias(x), F.col("signature").alias(f"s_{x}")) for x in "ab"}
+        pivots = pairs.groupBy("b").agg(F.count("*").alias("n")).join(signs["b"], "b")
+        both = joined_to_keys(pairs.join(signs["a"], "a"), pivots, "b", "n", total)
+        return both.where(estimate("s_a", "s_b") >= low).select("a", "b")
 
-    first = checkpointed(confirmed(likely(star_pairs(met)), texts, percent))
-    second = checkpointed(cluster_links(open_clusters(met, components(first)), classes, texts, percent, low))
+    first = checkpointed(confirmed(checkpointed(likely(checkpointed(star_pairs(met, total)))), texts, percent))
+    second = checkpointed(cluster_links(open_clusters(met, components(first), total), classes, texts, percent, low))
     reached = components(first.union(second))
     of_class = classes.select("d1", "d2", "rep").join(reached, F.col("rep") == F.col("node"), "left").select("d1", "d2", F.coalesce("component", "rep").alias("component"))
     known = usable.select("doc_id", "n_shingles", "d1", "d2").join(of_class, ["d1", "d2"]).select("doc_id", "n_shingles", "component")
