@@ -42,25 +42,6 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
-#: Keys with more than this fraction of all rows are hot; there are fewer than this many of them.
-HOT = 2000
-
-
-def hot_share(total: int) -> int:
-    """From how many rows on a key is hot, among so many rows."""
-    return max(1, total // HOT)
-
-
-def joined_to_keys(rows: DataFrame, keys: DataFrame, key: str, n: str, total: int) -> DataFrame:
-    """``rows`` joined with ``keys``, which has one row for each key; its column ``n`` counts the key's rows, and ``rows`` has ``total`` at most.
-
-    Hot keys are broadcast, about ``HOT`` rows at most by their definition, so that no key's rows meet in one task.
-    """
-    hot = F.broadcast(keys.where(F.col(n) > hot_share(total)))
-    others = rows.join(hot.select(key), key, "left_anti").join(keys.where(F.col(n) <= hot_share(total)), key)
-    return rows.join(hot, key).unionByName(others)
-
-
 def utf8(column: str) -> F.Column:
     """The text as UTF-8 bytes; null counts as empty."""
     return F.encode(F.coalesce(F.col(column), F.lit("")), "UTF-8")

@@ -5,33 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rollcall.llm.frames import checkpointed, joined_to_keys
+from rollcall.llm.frames import checkpointed
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node of an edge between different nodes; the component is its smallest node.
 
     Alternates large-star and small-star steps: all larger neighbours of a node move to its smallest
-    neighbour, then all smaller ones do. Each step is a combinable minimum by node and a join, in which the
-    edges of hubs stay where they are; every step is checkpointed. Rows with a null end and loops are ignored; repeated edges don't matter.
+    neighbour, then all smaller ones do. Each step is a combinable minimum by node and a join; every
+    round is checkpointed. Rows with a null end and loops are ignored; repeated edges don't matter.
     """
     now = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("u") != F.col("v"))).distinct()
     now = checkpointed(now)
-    before, state = None, fingerprint(now)
-    while state != before:
+    before = None
+    while True:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
-        large = joined_to_keys(both.where("v > u"), least, "u", "n", 2 * state[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        large = checkpointed(large)
-        lowest = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        small = joined_to_keys(large, lowest, "u", "n", state[0]).select("u", "v", "m")
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        lowest = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(lowest, "u").select("u", "v", "m")
         now = small.select("u", F.col("m").alias("v")).union(small.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct()
         now = checkpointed(now)
-        before, state = state, fingerprint(now)
+        state = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.hash("u", "v").cast("long"))).first()
+        if state == before:
+            break
+        before = state
     roots = now.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
-
-
-def fingerprint(edges: DataFrame) -> tuple:
-    """The number of edges, and digests of them all."""
-    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.hash("u", "v").cast("long"))).first())
