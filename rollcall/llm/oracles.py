@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rollcall.llm import licenses, line_dedup, quality
+from rollcall.llm import fill_in_middle, licenses, line_dedup, passage_dedup, quality
 from rollcall.llm.licenses import words as licence_words
 
 BLANK = r"[\x20\x09-\x0D]"
@@ -105,4 +105,4 @@ FROM w LEFT JOIN b USING (doc_id) LEFT JOIN g USING (doc_id)
 """
 
 
-ORACLES = {"op3_line_dedup": line_dedup.SQL, "op4_quality_rules": QUALITY, "op6_embedding_near_dedup": EMBEDDINGS, "op7_license_scan": licence_sql(), "op8_minhash_near_dedup": NEAR}
+ORACLES = {"op3_line_dedup": line_dedup.SQL, "op4_quality_rules": QUALITY, "op6_embedding_near_dedup": EMBEDDINGS, "op7_license_scan": licence_sql(), "op8_minhash_near_dedup": NEAR, "op11_passage_dedup": passage_dedup.SQL, "op12_fill_in_middle": fill_in_middle.SQL}
