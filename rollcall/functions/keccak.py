@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_MASK = (1 << 64) - 1
-
 
 def _round_constants() -> list[int]:
     """By the specification's linear feedback shift register."""
@@ -31,36 +30,61 @@ def _offsets() -> dict[tuple[int, int], int]:
     return found
 
 
-_ROUNDS, _TURNS = _round_constants(), _offsets()
 _RATE = 136
-
-
-def _rotated(lane: int, by: int) -> int:
-    return ((lane << by) | (lane >> (64 - by))) & _MASK if by else lane
-
-
-def _permuted(a: dict[tuple[int, int], int]) -> dict[tuple[int, int], int]:
+_ROUNDS = np.array(_round_constants(), np.uint64)
+# lane x, y is row x + 5 * y
+_LEFT = np.array([[_offsets()[x, y]] for y in range(5) for x in range(5)], np.uint64)
+_RIGHT = (np.uint64(64) - _LEFT) & np.uint64(63)
+_FROM = np.array([0] * 25)
+for _x in range(5):
+    for _y in range(5):
+        _FROM[_y + 5 * ((2 * _x + 3 * _y) % 5)] = _x + 5 * _y
+
+
+def _permuted(lanes: np.ndarray) -> np.ndarray:
+    """The permutation of many states at once: 25 rows of lanes, a column for each state."""
+    n = lanes.shape[1]
     for constant in _ROUNDS:
-        columns = [a[x, 0] ^ a[x, 1] ^ a[x, 2] ^ a[x, 3] ^ a[x, 4] for x in range(5)]
-        mixed = [columns[(x - 1) % 5] ^ _rotated(columns[(x + 1) % 5], 1) for x in range(5)]
-        moved = {(y, (2 * x + 3 * y) % 5): _rotated(a[x, y] ^ mixed[x], _TURNS[x, y]) for x in range(5) for y in range(5)}
-        a = {(x, y): moved[x, y] ^ (~moved[(x + 1) % 5, y] & moved[(x + 2) % 5, y] & _MASK) for x in range(5) for y in range(5)}
-        a[0, 0] ^= constant
-    return a
+        columns = np.bitwise_xor.reduce(lanes.reshape(5, 5, n), axis=0)
+        ahead = np.roll(columns, -1, axis=0)
+        mixed = np.roll(columns, 1, axis=0) ^ ((ahead << np.uint64(1)) | (ahead >> np.uint64(63)))
+        lanes = (lanes.reshape(5, 5, n) ^ mixed).reshape(25, n)
+        moved = ((lanes << _LEFT) | (lanes >> _RIGHT))[_FROM].reshape(5, 5, n)
+        lanes = (moved ^ (~np.roll(moved, -1, axis=1) & np.roll(moved, -2, axis=1))).reshape(25, n)
+        lanes[0] ^= constant
+    return lanes
+
+
+def keccak_many(texts: list[bytes], pad: bytes = b"\x01") -> list[bytes]:
+    """Keccak-256 of each text (SHA3-256 pads with another byte); texts of the same number of blocks and longer ones go through the permutation together."""
+    order = sorted(range(len(texts)), key=lambda k: len(texts[k]), reverse=True)
+    blocks = np.array([len(texts[k]) // _RATE + 1 for k in order], np.int64)
+    lanes, found = np.zeros((25, len(texts)), np.uint64), [b""] * len(texts)
+    at, live = 0, len(texts)
+    while live:
+        parts = []
+        for k in range(live):
+            part = texts[order[k]][at * _RATE : (at + 1) * _RATE]
+            if len(part) < _RATE:
+                part = bytearray(part + pad + bytes(_RATE - 1 - len(part)))
+                part[-1] |= 0x80
+            parts.append(part)
+        lanes[:17] ^= np.frombuffer(b"".join(parts), "<u8").reshape(live, 17).T.astype(np.uint64)
+        lanes, at = _permuted(lanes), at + 1
+        rest = int(np.searchsorted(-blocks, -at, "left"))  # those with more than ``at`` blocks stay
+        for k in range(rest, live):
+            found[order[k]] = lanes[:4, k].astype("<u8").tobytes()
+        lanes, live = lanes[:, :rest].copy(), rest
+    return found
 
 
 def keccak256(data: bytes) -> bytes:
-    padded = bytearray(data) + b"\x01" + bytes(-(len(data) + 1) % _RATE)
-    padded[-1] |= 0x80
-    a = {(x, y): 0 for x in range(5) for y in range(5)}
-    for at in range(0, len(padded), _RATE):
-        for k in range(_RATE // 8):
-            a[k % 5, k // 5] ^= int.from_bytes(padded[at + 8 * k : at + 8 * k + 8], "little")
-        a = _permuted(a)
-    return b"".join(a[k, 0].to_bytes(8, "little") for k in range(4))
+    return keccak_many([data])[0]
 
 
 @F.pandas_udf(T.StringType())
 def keccak_hex(values: pd.Series) -> pd.Series:
     """0x-prefixed Keccak-256 of the UTF-8 text; null stays null."""
-    return values.map(lambda x: None if x is None else "0x" + keccak256(x.encode()).hex())
+    known = values.dropna()
+    hashes = pd.Series(["0x" + h.hex() for h in keccak_many([x.encode() for x in known])], known.index, dtype=object)
+    return hashes.reindex(values.index).astype(object).where(values.notna(), None)

@@ -181,12 +181,11 @@ def decoded(routed_logs: DataFrame) -> DataFrame:
     return routed_logs.withColumn("payload", F.when(F.col("event_name").isNotNull(), abi_json("topics", "data")))
 
 
-def has_arrays(signature: str) -> bool:
-    return any(kind.endswith("[]") for _, kind, _ in parameters(signature))
-
-
 def event_struct(signature: str, topics: Column, data: Column) -> Column:
-    """The parameters of an event without arrays by built-in functions: a struct as :func:`payload_type`, null if the log is cut short."""
+    """The parameters of an event by built-in functions: a struct as :func:`payload_type`, null if the log is cut short.
+
+    Offsets of arrays and of their elements are followed by higher-order functions; a list that would end after the data is never opened.
+    """
 
     def value(kind: str, word: Column) -> Column:
         if kind == "address":
@@ -197,10 +196,30 @@ def event_struct(signature: str, topics: Column, data: Column) -> Column:
 
     def small(start: Column) -> Column:
         """A length or an offset in bytes; one that is no such thing is beyond any data."""
-        word = F.substring(data, start, F.lit(64))
+        word = F.substring(data, start.cast("int"), F.lit(64))
         return F.when(F.substring(word, 1, 50) == "0" * 50, F.conv(F.substring(word, 51, 14), 16, 10).cast("long")).otherwise(F.lit(1 << 40))
 
-    fields, fits, head, topic = [], [], 0, 1
+    def fits(end: Column) -> Column:
+        return F.coalesce(end <= F.length(data) + 1, F.lit(False))
+
+    def text(kind: str, start: Column) -> tuple[Column, Column]:
+        """The text or bytes at a place, and whether the data hold them."""
+        size = small(start)
+        raw = F.substring(data, (start + 64).cast("int"), (2 * size).cast("int"))
+        return F.make_valid_utf8(F.unhex(raw).cast("string")) if kind == "string" else F.concat(F.lit("0x"), raw), fits(start + 64 + 2 * size)
+
+    def several(kind: str, start: Column) -> tuple[Column, Column]:
+        """The elements of the array at a place, and whether the data hold them all."""
+        n = small(start)
+        inside = fits(start + 64 + 64 * n)
+        first = F.when(inside & (n > 0), F.sequence(F.lit(0).cast("long"), n - 1)).otherwise(F.array().cast("array<bigint>"))
+        places = F.transform(first, lambda k: start + 64 + 64 * k)
+        if kind not in ("string", "bytes"):
+            return F.transform(places, lambda p: value(kind, F.substring(data, p.cast("int"), F.lit(64))).cast("string")), inside
+        held = F.transform(places, lambda p: start + 64 + 2 * small(p))
+        return F.transform(held, lambda p: text(kind, p)[0]), inside & F.forall(held, lambda p: fits(p + 64) & text(kind, p)[1])
+
+    fields, checks, head, topic = [], [], 0, 1
     nft = F.size(topics) == 4 if signature.startswith("Transfer(") else F.lit(False)
     for name, kind, indexed in parameters(signature):
         if indexed:
@@ -209,12 +228,11 @@ def event_struct(signature: str, topics: Column, data: Column) -> Column:
             continue
         own = 3 + 64 * head
         head += 1
-        if kind in ("string", "bytes"):
+        if kind in ("string", "bytes") or kind.endswith("[]"):
             start = F.lit(3).cast("long") + 2 * small(F.lit(own))
-            size = small(start.cast("int"))
-            raw = F.substring(data, (start + 64).cast("int"), (2 * size).cast("int"))
-            fields.append((F.make_valid_utf8(F.unhex(raw).cast("string")) if kind == "string" else F.concat(F.lit("0x"), raw)).alias(name))
-            fits.append(start + 64 + 2 * size <= F.length(data) + 1)
+            found, whole = several(kind[:-2], start) if kind.endswith("[]") else text(kind, start)
+            fields.append(found.alias(name))
+            checks.append(fits(start + 64) & whole)
         elif signature.startswith("Transfer("):
             fields.append(F.when(nft, value(kind, F.substring(F.get(topics, F.lit(3)), 3, 64))).otherwise(value(kind, F.substring(data, own, 64))).alias(name))
         else:
@@ -222,17 +240,25 @@ def event_struct(signature: str, topics: Column, data: Column) -> Column:
     if signature.startswith("Transfer("):
         fields.append(F.when(nft, "erc721").otherwise("erc20").alias("standard"))
     whole = (F.size(topics) >= topic) & (nft | (F.length(data) >= 2 + 64 * head))
-    for f in fits:
-        whole = whole & f
+    for check in checks:
+        whole = whole & check
     return F.when(whole, F.struct(*fields))
 
 
+def event_column(signature: str) -> str:
+    return "event_" + signature[: signature.index("(")]
+
+
+def typed_events(routed_logs: DataFrame, signatures: tuple[str, ...]) -> DataFrame:
+    """The logs with a struct column for each signature, null but for the log's own event (and there too if it is cut short); one pass over the logs."""
+    name = lambda s: s[: s.index("(")]
+    return routed_logs.withColumns({event_column(s): F.when(F.col("event_name") == name(s), event_struct(s, F.col("topics"), F.col("data"))) for s in signatures})
+
+
 def with_event(routed_logs: DataFrame, signature: str) -> DataFrame:
-    """The logs of one signature that can be read, with the struct ``event``; arrays are read by the Python decoder."""
-    name = signature[: signature.index("(")]
-    rows = routed_logs.where(F.col("event_name") == name)
-    found = F.from_json(abi_json("topics", "data"), payload_type(signature)) if has_arrays(signature) else event_struct(signature, F.col("topics"), F.col("data"))
-    return rows.withColumn("event", found).where("event IS NOT NULL")
+    """The logs of one signature that can be read, with the struct ``event``."""
+    rows = routed_logs.where(F.col("event_name") == signature[: signature.index("(")])
+    return rows.withColumn("event", event_struct(signature, F.col("topics"), F.col("data"))).where("event IS NOT NULL")
 
 
 def events_of(decoded_logs: DataFrame, signature: str) -> DataFrame:

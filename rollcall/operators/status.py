@@ -100,7 +100,7 @@ def power_audit(indexed: DataFrame, chain: DataFrame, key: str, value: str) -> D
 def table_digest(rows: DataFrame) -> DataFrame:
     """Row count and an order-insensitive digest of all columns; a digest of any size is combined from rows' hashes."""
     content = F.sha2(F.to_json(F.struct(*sorted(rows.columns))), 256)
-    part = lambda k: F.conv(F.substring(content, 1 + 8 * k, 8), 16, 10).cast("long")
+    part = lambda k: F.conv(F.substring(content, 1 + 8 * k, 8), 16, 10).cast("decimal(20,0)")  # noqa: E731  sums stay exact for 10^20 rows
     return rows.agg(F.count("*").alias("rows"), F.concat_ws("-", *(F.sum(part(k)).cast("string") for k in range(4))).alias("digest"))
 
 
@@ -131,20 +131,24 @@ def ranked_overall(rows: DataFrame, order: list[Column], name: str = "rank") ->
     return placed.join(F.broadcast(before), "_range").select(*rows.columns, (F.col("_nth") + F.col("_before") + 1).alias(name))
 
 
-def comment_tree(comments: DataFrame, ident: str, parent: str) -> DataFrame:
+def comment_tree(comments: DataFrame, ident: str, parent: str, order: list[str] | None = None) -> DataFrame:
     """Depth and root of every comment; comments without a known parent are roots, and so are those on cycles and below them.
 
-    By pointer doubling: each round every comment learns of an ancestor twice as far away, so that a thread of any length takes
-    the logarithm of its length in rounds. Each round is checkpointed. Once only comments that no root reaches go on, as
+    Of rows that repeat an id the first in ``order`` (columns; by default the least parent) counts; null ids are left out. By pointer doubling: each round every comment learns of an ancestor twice as
+    far away, so that a thread of any length takes the logarithm of its length in rounds. Each round is checkpointed. A comment that has learned of its root
+    leaves the joins, and those right below a root know it from the start, so that no round meets under a root. Once only comments that no root reaches go on, as
     many rounds as there are comments' bits have passed.
     """
     from rollcall.operators.filters import missing
 
-    nodes = comments.select(F.col(ident).alias("id"), F.col(parent).alias("parent"))
-    roots = missing(nodes, nodes.select(F.col("id").alias("known")), {"parent": "known"}).select("id")
-    up = nodes.join(roots.withColumn("is_root", F.lit(True)), "id", "left")
-    # steps to the ancestor ``at``; a root stays where it is
-    now = _kept(up.select("id", F.when(F.col("is_root"), F.col("id")).otherwise(F.col("parent")).alias("at"), F.when(F.col("is_root"), 0).otherwise(1).cast("long").alias("steps"), F.coalesce("is_root", F.lit(False)).alias("done")))
+    first = F.struct(*order) if order else F.struct(F.col(parent).isNotNull(), F.col(parent))
+    nodes = comments.where(F.col(ident).isNotNull()).groupBy(F.col(ident).alias("id")).agg(F.min_by(F.struct(F.col(parent).alias("parent")), first)["parent"].alias("parent"))
+    nodes = _kept(nodes)
+    roots = _kept(missing(nodes, nodes.select(F.col("id").alias("known")), {"parent": "known"}).select("id"))
+    below = missing(nodes, roots.select(F.col("id").alias("known")), {"id": "known"}).join(roots.select(F.col("id").alias("parent"), F.lit(True).alias("done")), "parent", "left")
+    # steps to the ancestor ``at``; those that are done stand at their root
+    now = roots.select("id", F.col("id").alias("at"), F.lit(0).cast("long").alias("steps"), F.lit(True).alias("done"))
+    now = _kept(now.unionByName(below.select("id", F.col("parent").alias("at"), F.lit(1).cast("long").alias("steps"), F.coalesce("done", F.lit(False)).alias("done"))))
     rounds = max(1, now.count()).bit_length() + 1
     for _ in range(rounds):
         if now.where("NOT done").isEmpty():
@@ -154,6 +158,36 @@ def comment_tree(comments: DataFrame, ident: str, parent: str) -> DataFrame:
     return now.select("id", F.when(F.col("done"), F.col("steps")).otherwise(F.lit(0)).cast("int").alias("depth"), F.when(F.col("done"), F.col("at")).otherwise(F.col("id")).alias("root"))
 
 
+def comment_threads(comments: DataFrame, ident: str, parent: str, order: list[str]) -> DataFrame:
+    """Comments in thread order: id, depth, root, parent (null for roots), place (from 1 on, over all).
+
+    Threads come in the order of their roots, answers right after what they answer, and in ``order`` (columns that tell ids apart) among each other. The
+    place inside a thread is that in an Euler tour: every comment is entered and left once, each of these steps names the next one, and pointer doubling counts
+    the entries up to the end of the tour. Steps have one step before and after them each, so that threads and answers to one comment may be of any number.
+    """
+    first = _kept(comments.where(F.col(ident).isNotNull()).groupBy(F.col(ident).alias("id")).agg(F.min(F.struct(*order)).alias("order"), F.min_by(F.struct(F.col(parent).alias("parent")), F.struct(*order))["parent"].alias("parent")))
+    tree = comment_tree(comments, ident, parent, order)
+    nodes = first.join(tree, "id").withColumn("parent", F.when(F.col("root") == F.col("id"), F.lit(None)).otherwise(F.col("parent")))
+    nodes = _kept(ranked_overall(nodes, [F.col("parent").asc_nulls_first(), F.col("order").asc(), F.col("id").asc()], "n"))
+    children = nodes.where("parent IS NOT NULL")
+    eldest = children.groupBy("parent").agg(F.min("n").alias("child")).withColumnRenamed("parent", "id")
+    younger = children.select((F.col("n") - 1).alias("n"), F.col("parent").alias("_parent"), F.lit(True).alias("more"))
+    numbered = nodes.select(F.col("id").alias("parent"), F.col("n").alias("up"))
+    placed = nodes.join(eldest, "id", "left").join(younger, "n", "left").join(numbered, "parent", "left")
+    sibling = F.coalesce(F.col("more"), F.lit(False)) & F.coalesce(F.col("_parent") == F.col("parent"), F.lit(False))
+    # step 2n enters comment n, step 2n + 1 leaves it
+    enter = F.struct((2 * F.col("n")).alias("step"), F.coalesce(2 * F.col("child"), 2 * F.col("n") + 1).alias("next"), F.lit(1).cast("long").alias("left"))
+    leave = F.struct((2 * F.col("n") + 1).alias("step"), F.when(sibling, 2 * F.col("n") + 2).otherwise(2 * F.col("up") + 1).alias("next"), F.lit(0).cast("long").alias("left"))
+    tour = _kept(placed.select(F.explode(F.array(enter, leave)).alias("s")).select("s.*"))
+    while not tour.where("next IS NOT NULL").isEmpty():
+        ahead = tour.select(F.col("step").alias("next"), F.col("next").alias("_next"), F.col("left").alias("_left"))
+        tour = _kept(tour.where("next IS NULL").unionByName(tour.where("next IS NOT NULL").join(ahead, "next").select("step", F.col("_next").alias("next"), (F.col("left") + F.col("_left")).alias("left"))))
+    counted = nodes.join(tour.where("step % 2 = 0").select((F.col("step") / 2).cast("long").alias("n"), "left"), "n")
+    sizes = counted.where("parent IS NULL").select("root", F.col("left").alias("size"), F.col("order").alias("root_order"))
+    inside = counted.join(sizes, "root").select("id", "depth", "root", "parent", "root_order", (F.col("size") - F.col("left")).alias("inside"))
+    return ranked_overall(inside, [F.col("root_order").asc(), F.col("root").asc(), F.col("inside").asc()], "place").select("id", "depth", "root", "parent", "place")
+
+
 def _kept(rows: DataFrame) -> DataFrame:
     """Rows computed once, in the folder that all executors share."""
     spark = rows.sparkSession

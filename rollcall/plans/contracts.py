@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from rollcall.functions import descriptions, scalars, u256
 from rollcall.functions.keccak import keccak_hex
 from rollcall.operators import decode, folds, overlay, proposals, status, timelock
+from rollcall.operators.intervals import interval_join
 from rollcall.plans import analogues as a
 from rollcall.plans.registry import query
 from rollcall.sources import logs, sinks
@@ -68,15 +69,14 @@ def emitted_logs(spark, d, role):
 
 
 def events_text(spark, d, role):
-    """All events of a role's logs with their parameters as one text."""
-    routed, found = emitted_logs(spark, d, role), []
+    """All events of a role's logs with their parameters as one text, in one scan of the log."""
+    rows = decode.typed_events(emitted_logs(spark, d, role), decode.EVENTS[role])
+    text = F.lit(None).cast("string")
     for s in decode.EVENTS[role]:
-        shown = [F.array_join(F.col(f"event.{n}"), ",") if k.endswith("[]") else F.col(f"event.{n}").cast("string") for n, k, _ in decode.parameters(s)]
-        found.append(decode.with_event(routed, s).select("pos", "event_name", F.concat_ws("|", *shown).alias("fields")))
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    return out
+        event = decode.event_column(s)
+        shown = [F.array_join(F.col(f"{event}.{n}"), ",") if k.endswith("[]") else F.col(f"{event}.{n}").cast("string") for n, k, _ in decode.parameters(s)]
+        text = F.when(F.col(event).isNotNull(), F.concat_ws("|", *shown)).otherwise(text)
+    return rows.select("pos", "event_name", text.alias("fields")).where("fields IS NOT NULL")
 
 
 def events_sql(role):
@@ -150,8 +150,8 @@ def dec_unsupported(spark, d):
 @query("SELECT kind AS finality, pos AS block_number, pos // 2000 * 2000 AS from_block FROM logged WHERE kind = 'view' AND pos // 2000 % 2 = 0")
 def src_provisional_scan(spark, d):
     rows = a.logged(spark, d).select(F.col("kind").alias("finality"), F.col("pos").alias("block_number"))
-    last = rows.agg(F.max("block_number")).first()[0] or 0  # one number; a range is asked for each 4000 blocks
-    ranges = spark.range(0, last + 1, 4000).select(F.col("id").alias("from_block"), (F.col("id") + 1999).alias("to_block"))
+    starts = rows.agg(F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.max("block_number"), F.lit(0)), F.lit(4000).cast("long"))).alias("from_block"))
+    ranges = starts.select("from_block", (F.col("from_block") + 1999).alias("to_block"))
     return logs.provisional_scan(rows, ranges, "view").select("finality", "block_number", "from_block")
 
 
@@ -443,12 +443,21 @@ def flt_scope_implicit(spark, d):
 
 @query("SELECT l.pos, min(s.segment) AS segment FROM logged l JOIN (SELECT range AS segment, range * 1000 AS first, range * 1000 + 1199 AS last FROM range(0, (SELECT max(pos) // 1000 + 1 FROM logged))) s ON l.pos BETWEEN s.first AND s.last GROUP BY l.pos")
 def jn_range_segment(spark, d):
-    """Segments overlap and reach to the greatest position; each position takes the first that holds it. Both sides meet by bucket, not by a range join."""
-    last = a.logged(spark, d).agg(F.max("pos")).first()[0]  # one number
-    s = spark.range(0 if last is None else last // 1000 + 1).select(F.col("id").alias("segment"), (F.col("id") * 1000).alias("first"), (F.col("id") * 1000 + 1199).alias("last"))
-    s = s.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("first") / 1000), F.floor(F.col("last") / 1000))))
-    rows = a.logged(spark, d).select("pos", F.floor(F.col("pos") / 1000).alias("bucket"))
-    return rows.join(s, "bucket").where("pos BETWEEN first AND last").groupBy("pos").agg(F.min("segment").alias("segment"))
+    """Segments overlap and reach to the greatest position; each position takes the first that holds it."""
+    rows = a.logged(spark, d).select("pos")
+    s = rows.agg(F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.max("pos") / 1000))).alias("segment")).select("segment", (F.col("segment") * 1000).alias("first"), (F.col("segment") * 1000 + 1199).alias("last"))
+    return interval_join(rows, "pos", s).groupBy("pos").agg(F.min("segment").alias("segment"))
+
+
+@query("""SELECT segment, count(l.pos) AS n, min(l.pos) AS lowest, max(l.pos) AS highest FROM (SELECT pos AS segment, pos * 7 % 1000 + pos AS first, pos * 7 % 1000 + pos + (CASE pos % 4 WHEN 0 THEN 2 WHEN 1 THEN 40 WHEN 2 THEN 900 ELSE 3000 END) - 1 AS last FROM logged WHERE pos % 50 < 4) s
+  JOIN logged l ON l.pos BETWEEN s.first AND s.last GROUP BY segment""")
+def jn_interval_overlap(spark, d):
+    """What segments hold that begin anywhere, overlap each other and are from two to 3000 blocks long."""
+    rows = a.logged(spark, d).select("pos")
+    length = F.element_at(F.array(*map(F.lit, (2, 40, 900, 3000))), (F.col("pos") % 4 + 1).cast("int"))
+    first = F.col("pos") * 7 % 1000 + F.col("pos")
+    s = rows.where("pos % 50 < 4").select(F.col("pos").alias("segment"), first.alias("first"), (first + length - 1).alias("last"))
+    return interval_join(rows, "pos", s).groupBy("segment").agg(F.count("*").alias("n"), F.min("pos").alias("lowest"), F.max("pos").alias("highest"))
 
 
 @query("SELECT c.account, c.power, t.total FROM contributor c, (SELECT CAST(sum(power) AS BIGINT) AS total FROM contributor) t")
@@ -514,12 +523,18 @@ def web_comment_tree(spark, d):
     return status.comment_tree(nodes, "id", "parent").select("id", "depth", "root")
 
 
-@query("""SELECT pos, CASE WHEN kind = 'error' AND value >= 20 THEN 'exhausted' WHEN kind = 'error' THEN 'pending' WHEN kind = 'view' AND at_ms % 1000 < 500 THEN 'pending' WHEN kind = 'view' THEN 'running' ELSE 'done' END AS status,
-  CASE WHEN kind = 'error' AND value < 20 THEN at_ms + least(1000 * power(2, least(value, 10)), 60000)::BIGINT WHEN kind = 'view' AND at_ms % 1000 < 500 THEN at_ms END AS next_run_at FROM logged""")
-def str_timers(spark, d):
-    """Failed tasks wait twice as long each time, up to a minute; a lock older than half a second is given up; what is done has no next run."""
-    rows = a.logged(spark, d).select("pos", F.col("value").alias("attempts"), F.when(F.col("kind") == "error", "failed").when(F.col("kind") == "view", "running").otherwise("done").alias("status"), "at_ms", (F.col("at_ms") - F.col("at_ms") % 1000 + 500).alias("now_ms"))
-    return state.rescheduled(rows.withColumn("locked_at", F.col("at_ms") - 1000 * F.when(F.col("at_ms") % 1000 < 500, 1).otherwise(0)), F.col("now_ms"), max_attempts=20, lease_ms=500).select("pos", "status", "next_run_at")
+@query("""SELECT * FROM (WITH RECURSIVE n AS (SELECT id, parent FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY size, parent NULLS FIRST) AS k FROM (
+  SELECT CAST(conv_id AS BIGINT) * 1000 + turn AS id, CASE WHEN turn > 0 THEN CAST(conv_id AS BIGINT) * 1000 + (turn - 1) // 2 END AS parent, length(coalesce(text, '')) AS size FROM conversations)) WHERE k = 1
+), o AS (SELECT n.id, n.parent, m.size FROM n JOIN (SELECT CAST(conv_id AS BIGINT) * 1000 + turn AS id, min(length(coalesce(text, ''))) AS size FROM conversations GROUP BY 1) m USING (id)
+), t AS (
+  SELECT id, 0 AS depth, id AS root, NULL::BIGINT AS parent, [lpad(CAST(size AS VARCHAR), 12, '0') || lpad(CAST(id AS VARCHAR), 19, '0')] AS path FROM o WHERE parent IS NULL OR parent NOT IN (SELECT id FROM o)
+  UNION ALL SELECT o.id, t.depth + 1, t.root, o.parent, list_append(t.path, lpad(CAST(o.size AS VARCHAR), 12, '0') || lpad(CAST(o.id AS VARCHAR), 19, '0')) FROM o JOIN t ON o.parent = t.id
+) SELECT id, depth, root, parent, row_number() OVER (ORDER BY path) AS place FROM t)""", views=False)
+def web_comment_threads(spark, d):
+    """Turns answer one of the turns before, two at most the same; shorter texts come first."""
+    turns = a.table(spark, d, "conversations").select(F.col("conv_id").cast("long").alias("c"), F.col("turn").cast("long").alias("t"), F.length(F.coalesce("text", F.lit(""))).alias("at"))
+    rows = turns.select((F.col("c") * 1000 + F.col("t")).alias("id"), F.when(F.col("t") > 0, F.col("c") * 1000 + F.floor((F.col("t") - 1) / 2)).alias("parent"), "at")
+    return status.comment_threads(rows, "id", "parent", ["at", "id"])
 
 
 @query("""SELECT delegator, list_reduce(list_prepend(1000::BIGINT, list(CASE WHEN value >= 30 THEN -1 ELSE 1 END::BIGINT ORDER BY pos)), lambda s, x: CASE WHEN x < 0 THEN greatest(100, s // 2) ELSE s END) AS size FROM logged GROUP BY delegator""")

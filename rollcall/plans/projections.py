@@ -6,14 +6,34 @@ from pyspark.sql import functions as F
 
 from rollcall.functions import descriptions, scalars, u256
 from rollcall.operators import decode, folds
+from rollcall.operators.intervals import interval_join
 from rollcall.plans import analogues as a
 from rollcall.plans.registry import query
 from rollcall.sources import logs, sinks
+from rollcall.sources.block_log import block_log
+from rollcall.sources.folders import new_folder
 
 
-@query("SELECT CAST(r AS BIGINT) AS from_block, CAST(least(r + 6999, 59999) AS BIGINT) AS to_block FROM (SELECT unnest(range(0, 60000, 7000)) AS r)", views=False)
+def block_events(spark, d, **options):
+    """The event log as a source of block ranges, from a copy in the shared folder."""
+    at = new_folder(spark, "log")
+    a.logged(spark, d).select("pos", "delegator", "kind", "value").repartitionByRange(8, "pos").write.parquet(at)
+    return block_log(spark, at, "pos", **options)
+
+
+@query("SELECT lo + (pos - lo) // 700 * 700 AS from_block, least(lo + (pos - lo) // 700 * 700 + 699, hi) AS to_block, count(*) AS rows FROM logged, (SELECT min(pos) AS lo, max(pos) AS hi FROM logged) GROUP BY ALL")
 def src_range_plan(spark, d):
-    return logs.range_plan(spark, 0, 59_999, 7_000)
+    """The log read by ranges of 700 blocks: what each range has."""
+    rows = block_events(spark, d, width=700)
+    ranges = logs.split_ranges(rows.agg(F.min("pos").alias("from_block"), F.max("pos").alias("to_block")).where("to_block IS NOT NULL"), 700)
+    return interval_join(rows, "pos", ranges.select("chunk_from", "chunk_to"), "chunk_from", "chunk_to").groupBy(F.col("chunk_from").alias("from_block"), F.col("chunk_to").alias("to_block")).agg(F.count("*").alias("rows"))
+
+
+@query("SELECT pos, delegator, kind FROM logged WHERE delegator IN (8, 46) AND kind IN ('click', 'view') AND pos BETWEEN 100 AND 9000")
+def src_block_scan(spark, d):
+    """As src_log_scan, through the source of block ranges, which takes all of the filter."""
+    rows = block_events(spark, d, width=1000)
+    return rows.where(F.col("delegator").isin(8, 46) & F.col("kind").isin("click", "view") & (F.col("pos") >= 100) & (F.col("pos") <= 9000)).select("pos", "delegator", "kind")
 
 
 @query("SELECT pos, delegator, kind FROM logged WHERE delegator IN (8, 46) AND kind IN ('click', 'view') AND pos BETWEEN 100 AND 9000")

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rollcall.operators.intervals import interval_join
+
 #: A log as it is delivered; timestamps are seconds.
 RAW_LOG = T.StructType(
     [
@@ -70,9 +72,8 @@ def heads(logs: DataFrame, finality: str = "finality", block: str = "block_numbe
 
 
 def provisional_scan(logs: DataFrame, ranges: DataFrame, finality: str, block: str = "block_number") -> DataFrame:
-    """Logs of one finality within the asked ranges (from_block, to_block: few rows that don't overlap), each with the range that it fills."""
-    asked = F.broadcast(ranges.select("from_block", "to_block"))
-    return logs.where(F.col("finality") == finality).join(asked, F.col(block).between(F.col("from_block"), F.col("to_block")))
+    """Logs of one finality within the asked ranges (from_block, to_block), each with the range that it fills; one in several ranges comes for each."""
+    return interval_join(logs.where(F.col("finality") == finality), block, ranges.select("from_block", "to_block"), "from_block", "to_block")
 
 
 def coverage_segments(scanned: DataFrame, ranges: DataFrame, block: str = "block_number") -> DataFrame:

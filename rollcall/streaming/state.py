@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import math
+import operator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rollcall.streaming.rules import ERROR_CHARS, MOST_DOUBLINGS, RETRYABLE
+
 
 def advanced(checkpoints: DataFrame, commits: DataFrame, keys: list[str]) -> DataFrame:
     """Checkpoints that only ever move forward; a commit clears the error."""
@@ -82,12 +86,32 @@ class ChunkSizer:
         return "stable_full_hit" if hit else "stable_fast_chunk" if fast else "stable_sparse_range"
 
 
-def claimed(tasks: DataFrame, queue: str, n: int, due: str = "next_run_at", updated: str = "updated_at", ident: str = "id", queues: int = 3) -> DataFrame:
-    """At most n due tasks, first a fair share of each queue and then whatever is due next."""
-    share = math.ceil(n / queues)
-    place = F.row_number().over(Window.partitionBy(queue).orderBy(due, updated, ident))
-    ranked = tasks.withColumn("_place", place).where(F.col("_place") <= n)
-    return ranked.orderBy((F.col("_place") > share), F.col(due).asc_nulls_last(), F.col(updated).asc_nulls_last(), ident).limit(n).drop("_place")
+QUEUES = ("processing", "failed", "pending")
+
+
+def claimed(tasks: DataFrame, now: Column, n: int, lease_ms: int, max_attempts: int = 3, owner: str = "worker", ident: str = "id") -> DataFrame:
+    """The tasks that a worker takes at once, at most n, as they are then.
+
+    ``tasks``: status, attempts, next_run_at, locked_at, locked_by, updated_at and an id. Due ones are taken from stale locks, then from failed tasks, then from
+    pending ones: of each a third of n (rounded up) at most, as long as n lasts; what is left of n is filled from the queues in the same order.
+    Only the first n of each queue are ranked; a row of three counts says how many each gives.
+    """
+    stale, left = F.col("locked_at") <= now - lease_ms, F.col("attempts") < max_attempts
+    queue = F.when(F.col("status") == "pending", 2).when((F.col("status") == "failed") & left, 1).when((F.col("status") == "processing") & stale & left, 0)
+    due = tasks.withColumn("_queue", queue).where(F.col("_queue").isNotNull() & (F.col("next_run_at") <= now))
+    order = [F.col(c).asc_nulls_last() for c in ("next_run_at", "updated_at", ident)]
+    ranked = due.withColumn("_place", F.row_number().over(Window.partitionBy("_queue").orderBy(*order))).where(F.col("_place") <= n)
+    counts = ranked.agg(*(F.count_if(F.col("_queue") == k).cast("int").alias(f"_has{k}") for k in range(len(QUEUES))))
+    rest, gives = F.lit(n), []
+    for k in range(len(QUEUES)):
+        gives.append(F.least(F.lit(math.ceil(n / len(QUEUES))), F.col(f"_has{k}"), rest))
+        rest = rest - gives[k]
+    for k in range(len(QUEUES)):
+        more = F.least(F.col(f"_has{k}") - gives[k], rest)
+        gives[k], rest = gives[k] + more, rest - more
+    shares = counts.select(F.array(*gives).alias("_gives"))
+    taken = ranked.crossJoin(F.broadcast(shares)).where(F.col("_place") <= F.get("_gives", F.col("_queue")))
+    return taken.select(*tasks.columns).withColumns({"status": F.lit("processing"), "attempts": F.col("attempts") + 1, "locked_at": now, "locked_by": F.lit(owner), "updated_at": now})
 
 
 def debounced(events: DataFrame, key: str, at: str, delay: Column | int) -> DataFrame:
@@ -95,27 +119,44 @@ def debounced(events: DataFrame, key: str, at: str, delay: Column | int) -> Data
     return events.groupBy(key).agg(F.min(at).alias("first_at"), F.max(at).alias("last_at"), F.count("*").alias("n_events")).withColumn("next_run_at", F.col("last_at") + delay)
 
 
-#: Errors after which a task is always tried again.
-RETRYABLE = "(?i)block not found|header not found|timeout|rate limit"
+def retryable(error: Column) -> Column:
+    """Whether an error is one after which a task is always tried again."""
+    text = F.lower(F.coalesce(error, F.lit("")))
+    return reduce(operator.or_, (reduce(operator.and_, (text.contains(part) for part in parts)) for parts in RETRYABLE))
 
 
-def failed(tasks: DataFrame, max_attempts: int, backoff: Column) -> DataFrame:
-    """What becomes of failed tasks: pending again after a pause, or exhausted unless the error always is retryable."""
-    done = (F.col("attempts") >= max_attempts) & ~F.coalesce(F.col("error").rlike(RETRYABLE), F.lit(False))
-    return tasks.withColumns({"status": F.when(done, "exhausted").otherwise("pending"), "next_run_at": F.when(done, F.col("next_run_at")).otherwise(F.col("next_run_at") + backoff)})
+def pause(attempts: Column, base_ms: int) -> Column:
+    """How long a task waits after so many attempts."""
+    doublings = F.least(F.greatest(attempts - 1, F.lit(0)), F.lit(MOST_DOUBLINGS)).cast("int")
+    return F.lit(base_ms).cast("long") * F.element_at(F.array(*(F.lit(1 << k) for k in range(MOST_DOUBLINGS + 1))), doublings + 1)
 
 
-def rescheduled(tasks: DataFrame, now: Column, max_attempts: int, lease_ms: int, base_ms: int = 1000, most_ms: int = 60_000) -> DataFrame:
-    """Tasks after a look at the clock. ``tasks``: attempts, status, at_ms, locked_at.
+def failed(tasks: DataFrame, error: Column, now: Column, base_ms: int, max_attempts: int = 3) -> DataFrame:
+    """What becomes of tasks whose worker reports an error: failed and due again after a pause, or exhausted unless the error always is retryable.
 
-    A failed task waits ``base_ms``, twice as long after each attempt and ``most_ms`` at most, or is exhausted; a running one whose lock
-    is older than its lease is pending again at once; others have no next run.
+    ``tasks``: status, attempts, next_run_at, locked_at, locked_by, processed_at, error, updated_at. Only tasks in process change.
     """
-    wait = F.least(F.lit(base_ms) * F.pow(F.lit(2), F.least(F.col("attempts"), F.lit(10))), F.lit(most_ms)).cast("long")
-    failed_now, stale = F.col("status") == "failed", (F.col("status") == "running") & (now - F.col("locked_at") > lease_ms)
-    spent = failed_now & (F.col("attempts") >= max_attempts)
-    status = F.when(spent, "exhausted").when(failed_now | stale, "pending").otherwise(F.col("status"))
-    return tasks.withColumns({"next_run_at": F.when(spent, F.lit(None)).when(failed_now, F.col("at_ms") + wait).when(stale, F.col("at_ms")), "status": status})
+    held, again, spent = F.col("status") == "processing", retryable(error), F.col("attempts") >= max_attempts
+    changes = {
+        "status": F.when(again | ~spent, "failed").otherwise("exhausted"), "attempts": F.when(again & spent, max(max_attempts - 1, 0)).otherwise(F.col("attempts")), "next_run_at": now + pause(F.col("attempts"), base_ms),
+        "locked_at": F.lit(None), "locked_by": F.lit(None), "processed_at": F.lit(None), "error": F.substring(F.coalesce(error, F.lit("")), 1, ERROR_CHARS), "updated_at": now,
+    }
+    return tasks.withColumns({c: F.when(held, x).otherwise(F.col(c)) for c, x in changes.items()})
+
+
+def swept(tasks: DataFrame, now: Column, lease_ms: int, base_ms: int, max_attempts: int = 3) -> DataFrame:
+    """What becomes of tasks that are out of attempts when a worker looks: exhausted ones and stale locks with a retryable error get their last
+    attempt back after a pause, other stale locks and failed tasks are exhausted. All such tasks at once, without a limit."""
+    again, spent = retryable(F.col("error")), F.col("attempts") >= max_attempts
+    stale = (F.col("status") == "processing") & F.coalesce(F.col("locked_at") <= now - lease_ms, F.lit(False))
+    back = again & ((F.col("status") == "exhausted") | stale & spent)
+    over = ~again & spent & ((F.col("status") == "failed") | stale)
+    change = lambda yes, no, column: F.when(back, yes).when(over, no).otherwise(F.col(column))
+    none = F.lit(None)
+    return tasks.withColumns({
+        "status": change(F.lit("failed"), F.lit("exhausted"), "status"), "attempts": change(F.lit(max(max_attempts - 1, 0)), F.col("attempts"), "attempts"), "next_run_at": change(now + pause(F.lit(max_attempts), base_ms), F.col("next_run_at"), "next_run_at"),
+        "locked_at": change(none, none, "locked_at"), "locked_by": change(none, none, "locked_by"), "processed_at": change(none, F.coalesce(F.col("processed_at"), now), "processed_at"), "updated_at": change(now, now, "updated_at"),
+    })
 
 
 def chunk_sizes(chunks: DataFrame, key: str, pos: str, size: int) -> DataFrame:
