@@ -181,8 +181,8 @@ def decoded(routed_logs: DataFrame) -> DataFrame:
     return routed_logs.withColumn("payload", F.when(F.col("event_name").isNotNull(), abi_json("topics", "data")))
 
 
-def event_struct(signature: str, topics: Column, data: Column) -> Column:
-    """The parameters of an event by built-in functions: a struct as :func:`payload_type`, null if the log is cut short.
+def event_fields(signature: str, topics: Column, data: Column) -> tuple[dict[str, Column], Column]:
+    """The parameters of an event by built-in functions, and whether the log holds them all.
 
     Offsets of arrays and of their elements are followed by higher-order functions; a list that would end after the data is never opened.
     """
@@ -219,11 +219,12 @@ def event_struct(signature: str, topics: Column, data: Column) -> Column:
         held = F.transform(places, lambda p: start + 64 + 2 * small(p))
         return F.transform(held, lambda p: text(kind, p)[0]), inside & F.forall(held, lambda p: fits(p + 64) & text(kind, p)[1])
 
-    fields, checks, head, topic = [], [], 0, 1
+    fields: dict[str, Column] = {}
+    checks, head, topic = [], 0, 1
     nft = F.size(topics) == 4 if signature.startswith("Transfer(") else F.lit(False)
     for name, kind, indexed in parameters(signature):
         if indexed:
-            fields.append(value(kind, F.substring(F.get(topics, F.lit(topic)), 3, 64)).alias(name))
+            fields[name] = value(kind, F.substring(F.get(topics, F.lit(topic)), 3, 64))
             topic += 1
             continue
         own = 3 + 64 * head
@@ -231,34 +232,38 @@ def event_struct(signature: str, topics: Column, data: Column) -> Column:
         if kind in ("string", "bytes") or kind.endswith("[]"):
             start = F.lit(3).cast("long") + 2 * small(F.lit(own))
             found, whole = several(kind[:-2], start) if kind.endswith("[]") else text(kind, start)
-            fields.append(found.alias(name))
+            fields[name] = found
             checks.append(fits(start + 64) & whole)
         elif signature.startswith("Transfer("):
-            fields.append(F.when(nft, value(kind, F.substring(F.get(topics, F.lit(3)), 3, 64))).otherwise(value(kind, F.substring(data, own, 64))).alias(name))
+            fields[name] = F.when(nft, value(kind, F.substring(F.get(topics, F.lit(3)), 3, 64))).otherwise(value(kind, F.substring(data, own, 64)))
         else:
-            fields.append(value(kind, F.substring(data, own, 64)).alias(name))
+            fields[name] = value(kind, F.substring(data, own, 64))
     if signature.startswith("Transfer("):
-        fields.append(F.when(nft, "erc721").otherwise("erc20").alias("standard"))
+        fields["standard"] = F.when(nft, "erc721").otherwise("erc20")
     whole = (F.size(topics) >= topic) & (nft | (F.length(data) >= 2 + 64 * head))
     for check in checks:
         whole = whole & check
-    return F.when(whole, F.struct(*fields))
-
-
-def event_column(signature: str) -> str:
-    return "event_" + signature[: signature.index("(")]
+    return fields, whole
 
 
 def typed_events(routed_logs: DataFrame, signatures: tuple[str, ...]) -> DataFrame:
-    """The logs with a struct column for each signature, null but for the log's own event (and there too if it is cut short); one pass over the logs."""
-    name = lambda s: s[: s.index("(")]
-    return routed_logs.withColumns({event_column(s): F.when(F.col("event_name") == name(s), event_struct(s, F.col("topics"), F.col("data"))) for s in signatures})
+    """The logs of some events that can be read, with one struct ``event`` of the parameters of all of them; those that a log's event doesn't have are null.
+
+    One pass over the logs: a case for each event makes an array of one struct or none, which is exploded, so that nothing of it is computed
+    again where the struct's fields are used or filtered.
+    """
+    kinds = {f.name: f.dataType for s in signatures for f in payload_type(s).fields}
+    found = F.lit(None)
+    for s in signatures:
+        fields, whole = event_fields(s, F.col("topics"), F.col("data"))
+        struct = F.struct(*(fields.get(n, F.lit(None)).cast(kind).alias(n) for n, kind in kinds.items()))
+        found = F.when(F.col("event_name") == s[: s.index("(")], F.when(whole, F.array(struct))).otherwise(found)
+    return routed_logs.select("*", F.explode(found).alias("event"))
 
 
 def with_event(routed_logs: DataFrame, signature: str) -> DataFrame:
     """The logs of one signature that can be read, with the struct ``event``."""
-    rows = routed_logs.where(F.col("event_name") == signature[: signature.index("(")])
-    return rows.withColumn("event", event_struct(signature, F.col("topics"), F.col("data"))).where("event IS NOT NULL")
+    return typed_events(routed_logs, (signature,))
 
 
 def events_of(decoded_logs: DataFrame, signature: str) -> DataFrame:

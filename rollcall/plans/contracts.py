@@ -73,10 +73,9 @@ def events_text(spark, d, role):
     rows = decode.typed_events(emitted_logs(spark, d, role), decode.EVENTS[role])
     text = F.lit(None).cast("string")
     for s in decode.EVENTS[role]:
-        event = decode.event_column(s)
-        shown = [F.array_join(F.col(f"{event}.{n}"), ",") if k.endswith("[]") else F.col(f"{event}.{n}").cast("string") for n, k, _ in decode.parameters(s)]
-        text = F.when(F.col(event).isNotNull(), F.concat_ws("|", *shown)).otherwise(text)
-    return rows.select("pos", "event_name", text.alias("fields")).where("fields IS NOT NULL")
+        shown = [F.array_join(F.col(f"event.{n}"), ",") if k.endswith("[]") else F.col(f"event.{n}").cast("string") for n, k, _ in decode.parameters(s)]
+        text = F.when(F.col("event_name") == s[: s.index("(")], F.concat_ws("|", *shown)).otherwise(text)
+    return rows.select("pos", "event_name", text.alias("fields"))
 
 
 def events_sql(role):
