@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -73,9 +73,38 @@ def plain_text(values: pd.Series) -> pd.Series:
     return values.map(lambda x: None if x is None else "\n".join(map(cleaned_line, _LINK.sub(r"\1", _TAG.sub("", x)).splitlines())))
 
 
+#: The characters that Unicode calls white space.
+WHITE = "\t\n\v\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def trimmed(text: Column) -> Column:
+    return F.btrim(text, F.lit(WHITE))
+
+
+def taken_out(description: Column, name: str) -> tuple[Column, Column]:
+    """(what is left, content) of the first <name>...</name>, both trimmed; the description as it is and null if there is none."""
+    opening, closing = f"<{name}>", f"</{name}>"
+    start = F.position(F.lit(opening), description)
+    begin = start + len(opening)
+    end = F.when(start > 0, F.position(F.lit(closing), description, begin)).otherwise(0)
+    content = F.when(end > 0, trimmed(F.substring(description, begin, end - begin)))
+    left = trimmed(F.concat(F.substring(description, F.lit(1), start - 1), F.substring(description, end + len(closing), F.char_length(description))))
+    return F.when(end > 0, left).otherwise(description), content
+
+
+def with_tags(rows: DataFrame, description: str) -> DataFrame:
+    """Adds body (without the first discussion and signature tag, trimmed), discussion (null if there is none) and signature (the JSON array in its
+    tag; empty if there is none or it isn't one)."""
+    left, discussion = taken_out(F.col(description), "discussion")
+    rows = rows.withColumns({"discussion": discussion, "_left": left})
+    left, signature = taken_out(F.col("_left"), "signature")
+    signature = F.coalesce(F.from_json(signature, "array<string>"), F.array().cast("array<string>"))
+    return rows.withColumns({"body": trimmed(left), "signature": signature}).drop("_left")
+
+
 def tag(description: Column, name: str) -> Column:
     """What stands in <name>...</name>, trimmed; null if there is no such tag."""
-    return F.nullif(F.trim(F.regexp_extract(description, rf"(?s)<{name}>(.*?)</{name}>", 1)), F.lit(""))
+    return taken_out(description, name)[1]
 
 
 def signatures(description: Column) -> Column:

@@ -193,6 +193,20 @@ def parameter_changes(events: DataFrame) -> DataFrame:
     return events.withColumn("parameter", name).where("parameter IS NOT NULL").select("id", "event_name", "parameter", "old_value", "new_value")
 
 
+def token_rows(events: DataFrame, ident: str = "id") -> dict[str, DataFrame]:
+    """The raw rows of a token's three events, and the rolling row that each delegation begins. ``events``: id, event_name and the struct ``event``
+    of ``decode.typed_events``."""
+    of = lambda name: events.where(F.col("event_name") == name)
+    changed = of("DelegateChanged").select(ident, "event.delegator", "event.from_delegate", "event.to_delegate")
+    none = F.lit(None).cast("string")
+    return {
+        "delegate_changed": changed,
+        "delegate_votes_changed": of("DelegateVotesChanged").select(ident, "event.delegate", "event.previous_votes", "event.new_votes"),
+        "token_transfer": of("Transfer").select(ident, "event.from", "event.to", "event.value", "event.standard"),
+        "delegate_rolling": changed.withColumns(dict.fromkeys(("from_previous_votes", "from_new_votes", "to_previous_votes", "to_new_votes"), none)),
+    }
+
+
 def transfer_deltas(transfers: DataFrame, zero: str = ZERO_ADDRESS) -> DataFrame:
     """Two rows of the delegation log for each transfer: the sender's loss and the receiver's gain; one ERC-721 token counts as 1.
 

@@ -52,6 +52,27 @@ def finalized(overlay: DataFrame, height: int, anchor: str = "block_number") ->
     return overlay.withColumn("status", F.when(done, "finalized").otherwise(F.col("status")))
 
 
+def final_segments(segments: DataFrame, heights: DataFrame, scope: list[str], source: str | None = None) -> DataFrame:
+    """The segments that the durable rows of their scope have overtaken: available ones whose range and anchor lie at or below its height.
+
+    ``segments``: id, scope, source, status, range_start, range_end, anchor (may be null: the range's end); ``heights``: scope, height. Null scopes are equal.
+    A range that begins below 0 or ends before it begins is never final.
+    """
+    known = heights.select(*(F.col(c).alias(f"_{c}") for c in scope), F.col("height").alias("_height"))
+    rows = segments.where(F.col("status") == "available") if source is None else segments.where((F.col("status") == "available") & (F.col("source") == source))
+    found = rows.join(known, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in scope])
+    whole = (F.col("range_start") >= 0) & (F.col("range_end") >= F.col("range_start")) & (F.col("_height") >= 0)
+    return found.where(whole & (F.greatest("range_end", F.coalesce("anchor", "range_end")) <= F.col("_height"))).select(*segments.columns)
+
+
+def marked_final(rows: DataFrame, final: DataFrame, scope: list[str], segment: str = "segment_id") -> DataFrame:
+    """Segments (by their ``id``) or overlays (by the segment that they come from), those of final segments marked as final if they are available."""
+    done = final.select(*(F.col(c).alias(f"_{c}") for c in scope), F.col("id").alias("_segment")).distinct().withColumn("_final", F.lit(True))
+    joined = rows.join(done, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in scope] + [F.col(segment) == F.col("_segment")], "left")
+    status = F.when(F.col("_final") & (F.col("status") == "available"), "finalized").otherwise(F.col("status"))
+    return joined.select(*(status.alias(c) if c == "status" else F.col(c) for c in rows.columns))
+
+
 def rolled_back(overlay: DataFrame, scope: Column, reason: str) -> DataFrame:
     """Available rows of a scope become invalid, with a reason."""
     hit = (F.col("status") == "available") & scope

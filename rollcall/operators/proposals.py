@@ -91,7 +91,8 @@ def enriched(proposals: DataFrame, reads: DataFrame) -> DataFrame:
     """Proposals with what their contracts report. ``reads``: chain_id, contract, method, arg, read_index, value.
 
     The last answer counts. Of a governor: clockMode and countingMode for all its proposals, state, snapshot, deadline and
-    quorum (by id, or else by the snapshot) for one; the block times replace estimates.
+    quorum (by id, or else by the snapshot) for one; decimals of a governor's token for all its proposals, where these have the columns ``token`` and
+    ``decimals``; the block times replace estimates.
     """
     last = reads.where("value IS NOT NULL").groupBy("chain_id", F.lower("contract").alias("contract"), "method", "arg").agg(F.max_by("value", "read_index").alias("value"))
     of = lambda method, name: last.where(F.col("method") == method).select(F.col("chain_id").alias("_chain"), F.col("contract").alias("_contract"), F.col("arg").alias("_arg"), F.col("value").alias(name))
@@ -103,6 +104,11 @@ def enriched(proposals: DataFrame, reads: DataFrame) -> DataFrame:
 
     rows = joined(rows, "clockMode", "_clock", here)
     rows = joined(rows, "countingMode", "_counting", here)
+    if {"token", "decimals"} <= set(proposals.columns):
+        rows = joined(rows, "decimals", "_decimals", (F.col("chain_id") == F.col("_chain")) & (F.lower("token") == F.col("_contract")))
+        decimals = {"decimals": F.coalesce("_decimals", "decimals")}
+    else:
+        decimals = {}
     for method in ("state", "snapshot", "deadline", "quorum"):
         rows = joined(rows, method, f"_{method}", here & (F.col("proposal_id") == F.col("_arg")))
     rows = joined(rows, "quorum", "_quorum_at", here & (F.col("proposal_snapshot") == F.col("_arg")))
@@ -115,5 +121,44 @@ def enriched(proposals: DataFrame, reads: DataFrame) -> DataFrame:
     new = {
         "clock_mode": F.col("_mode"), "block_interval": F.col("_interval"), "counting_mode": F.coalesce("_counting", "counting_mode"), "current_state": F.coalesce(scalars.proposal_state(F.col("_state")), "current_state"),
         "proposal_snapshot": F.coalesce("_snapshot", "proposal_snapshot"), "proposal_deadline": F.coalesce("_deadline", "proposal_deadline"), "quorum": F.coalesce("_quorum", "_quorum_at", "quorum"),
-    } | {f"{b}_timestamp": c for b, c in times.items()}
+    } | {f"{b}_timestamp": c for b, c in times.items()} | decimals
     return rows.select(*(new[c].alias(c) if c in new else F.col(c) for c in proposals.columns))
+
+
+def bounds_to_fill(proposals: DataFrame, block_times: DataFrame, height: Column) -> DataFrame:
+    """Proposals with start_time and end_time, the times of the blocks at their bounds, if they are asked for and known.
+
+    Asked are proposals of the clock ``blocknumber`` with a bound at or below ``height`` that isn't resolved. ``block_times``: chain_id, block, time_ms,
+    one row for each block; ``proposals``: id, chain_id, clock_mode, and of vote_start and vote_end the bound, its _timestamp and whether it is _resolved.
+    """
+    rows, due = proposals, F.lit(False)
+    for b, name in zip(GREATEST, ("start_time", "end_time"), strict=True):
+        times = block_times.select(F.col("chain_id").alias("_chain"), F.col("block").alias("_block"), F.col("time_ms").alias(name))
+        rows = rows.join(times, (F.col("chain_id") == F.col("_chain")) & (F.col(b) == F.col("_block")), "left").drop("_chain", "_block")
+        due = due | ((F.col(b) <= height) & ~F.col(f"{b}_resolved"))
+    due = (F.col("clock_mode") == "blocknumber") & due
+    return rows.withColumns({name: F.when(due, F.col(name)) for name in ("start_time", "end_time")})
+
+
+def backfilled_times(proposals: DataFrame, block_times: DataFrame, height: Column) -> DataFrame:
+    """Proposals with those times in place of their estimates, as resolved, and ``changed``."""
+    new, changed = {}, F.lit(False)
+    for b, name in zip(GREATEST, ("start_time", "end_time"), strict=True):
+        known = F.col(name).isNotNull()
+        new |= {f"{b}_timestamp": F.coalesce(name, f"{b}_timestamp"), f"{b}_resolved": F.col(f"{b}_resolved") | known}
+        changed = changed | (known & (~F.col(f"{b}_resolved") | ~F.col(name).eqNullSafe(F.col(f"{b}_timestamp"))))
+    rows = bounds_to_fill(proposals, block_times, height)
+    return rows.select(*(new[c].alias(c) if c in new else F.col(c) for c in proposals.columns), changed.alias("changed"))
+
+
+def backfilled_epochs(epochs: DataFrame, times: DataFrame) -> DataFrame:
+    """State epochs with the times of their proposal's bounds where they begin or end at one. ``epochs``: proposal_id, start_timepoint, end_timepoint
+    and their _timestamp; ``times``: id, vote_start, vote_end, and start_time and end_time, which are null if they aren't told."""
+    told = times.select(F.col("id").alias("_id"), F.col("vote_start").alias("_start"), F.col("vote_end").alias("_end"), F.col("start_time").alias("_start_time"), F.col("end_time").alias("_end_time"))
+    rows = epochs.join(told, F.col("proposal_id") == F.col("_id"), "left")
+
+    def moved(point: str) -> Column:
+        at = F.col(f"{point}_timepoint")
+        return F.when(F.col("_start_time").isNotNull() & (at == F.col("_start")), F.col("_start_time")).when(F.col("_end_time").isNotNull() & (at == F.col("_end")), F.col("_end_time")).otherwise(F.col(f"{point}_timestamp"))
+
+    return rows.select(*(moved(c.removesuffix("_timestamp")).alias(c) if c.endswith("_timestamp") else F.col(c) for c in epochs.columns))

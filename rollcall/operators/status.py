@@ -131,6 +131,71 @@ def ranked_overall(rows: DataFrame, order: list[Column], name: str = "rank") ->
     return placed.join(F.broadcast(before), "_range").select(*rows.columns, (F.col("_nth") + F.col("_before") + 1).alias(name))
 
 
+#: Fixed value: how long a proposal may be missing while its contract has it, in milliseconds.
+INDEXING_PROBLEM_MS = 30 * 60 * 1000
+#: Fixed value: what errors hold if a contract doesn't know the proposal.
+NO_SUCH_PROPOSAL = "(?i)GovernorNonexistentProposal|nonexistent proposal"
+
+
+def missing_state(exists: Column, pending: Column, error: Column, observed: Column, now: Column) -> Column:
+    """What to say of a proposal that isn't indexed: indexing or, after half an hour, problem if its contract has it; not-found if the contract
+    says that it hasn't; checking as long as that isn't known."""
+    waited = F.when(F.coalesce(observed, F.lit(0)) != 0, now - observed).otherwise(F.lit(0))
+    known = F.when(waited >= INDEXING_PROBLEM_MS, "problem").otherwise("indexing")
+    gone = F.coalesce(error.rlike(NO_SUCH_PROPOSAL), F.lit(False)) & ~F.coalesce(pending, F.lit(False))
+    return F.when(F.coalesce(exists, F.lit(False)), known).when(gone, "not-found").otherwise("checking")
+
+
+#: What contracts must answer and emit, and how many topics a transfer has besides its name, by token standard.
+GOVERNOR_METHODS = ("hashProposal", "proposalDeadline", "proposalSnapshot", "proposalVotes", "quorum", "state", "votingDelay", "votingPeriod")
+GOVERNOR_EVENTS = ("ProposalCreated", "ProposalExecuted", "VoteCast")
+TOKEN_METHODS = {"ERC20": ("balanceOf", "delegates", "name", "symbol", "totalSupply"), "ERC721": ("balanceOf", "delegates", "name", "ownerOf", "symbol")}
+TOKEN_EVENTS = ("DelegateChanged", "DelegateVotesChanged", "Transfer")
+TRANSFER_TOPICS = {"ERC20": 2, "ERC721": 3}
+VOTE_READS = {"current": ("getVotes", "getCurrentVotes"), "historical": ("getPastVotes", "getPriorVotes")}
+#: Governor methods that may be missing, and what is done then.
+OPTIONAL_METHODS = {"CLOCK_MODE": "defaulting to block clock", "COUNTING_MODE": "inferring vote bucket semantics", "timelock": "indexing without timelock projection"}
+
+
+def compatibility(daos: DataFrame, probes: DataFrame) -> DataFrame:
+    """Whether contracts can be indexed: code, support (supported, degraded, unsupported), errors, warnings, current and historical (the vote reads).
+
+    ``daos``: code, governor, token, standard, transfer_topics (texts may be null); ``probes``: code, owner (governor or token), kind (method or event), name,
+    state (of methods ok, reverts or other; of events null). Only probes of the names that matter are kept, some thirty a code.
+    """
+    wanted = {("governor", "method", n) for n in (*GOVERNOR_METHODS, *OPTIONAL_METHODS)} | {("token", "method", n) for ns in (*TOKEN_METHODS.values(), *VOTE_READS.values()) for n in ns}
+    wanted |= {("governor", "event", n) for n in GOVERNOR_EVENTS} | {("token", "event", n) for n in TOKEN_EVENTS}
+    names = sorted(f"{o}.{k}.{n}" for o, k, n in wanted)
+    name = F.concat_ws(".", "owner", "kind", "name")
+    # a method's best answer counts
+    rank = F.when(F.col("kind") == "event", 2).when(F.col("state") == "ok", 2).when(F.col("state") == "reverts", 1).otherwise(0)
+    found = probes.where(name.isin(names)).groupBy("code").agg(*(F.max(F.when(name == n, rank)).alias(n.replace(".", "_")) for n in names))
+    rows = daos.join(found, "code", "left")
+    state = lambda o, k, n: F.coalesce(F.col(f"{o}_{k}_{n}"), F.lit(0))
+
+    def method(owner: str, n: str) -> Column:
+        s = state(owner, "method", n)
+        return F.when(s == 1, f"{owner}.{n} reverts").when(s == 0, f"{owner}.{n} missing")
+
+    event = lambda owner, n: F.when(state(owner, "event", n) == 0, f"{owner}.{n} event missing")
+    reads = {k: F.when(state("token", "method", a) == 2, a).when(state("token", "method", b) == 2, b) for k, (a, b) in VOTE_READS.items()}
+    blank = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
+    errors = [F.when(blank("code"), "dao.code missing"), F.when(blank("governor"), "dao.governor missing"), F.when(blank("token"), "dao.token.contract missing")]
+    errors.append(F.when(~F.coalesce(F.col("standard").isin(*TOKEN_METHODS), F.lit(False)), F.concat(F.lit("dao.token.standard "), F.coalesce("standard", F.lit("(missing)")), F.lit(" unsupported"))))
+    errors += [method("governor", n) for n in GOVERNOR_METHODS] + [event("governor", n) for n in GOVERNOR_EVENTS]
+    for standard, methods in TOKEN_METHODS.items():
+        here = F.col("standard") == standard
+        errors += [F.when(here, method("token", n)) for n in methods]
+        topics = F.coalesce(F.col("transfer_topics").cast("string"), F.lit("unknown"))
+        errors.append(F.when(here & ~F.col("transfer_topics").eqNullSafe(F.lit(TRANSFER_TOPICS[standard])), F.concat(F.lit(f"dao.token.standard declares {standard} but Transfer has "), topics, F.lit(" indexed arguments"))))
+    errors += [event("token", n) for n in TOKEN_EVENTS] + [F.when(reads[k].isNull(), f"token.{a}/{b} missing") for k, (a, b) in VOTE_READS.items()]
+    warnings = [F.when(reads[k] == b, f"token.{a} missing; using {b} fallback") for k, (a, b) in VOTE_READS.items()]
+    warnings += [F.when(state("governor", "method", n) != 2, f"governor.{n} missing; {then}") for n, then in OPTIONAL_METHODS.items()]
+    listed = rows.select("code", F.array_compact(F.array(*errors)).alias("errors"), F.array_compact(F.array(*warnings)).alias("warnings"), *(c.alias(k) for k, c in reads.items()))
+    support = F.when(F.size("errors") > 0, "unsupported").when(F.size("warnings") > 0, "degraded").otherwise("supported")
+    return listed.select("code", support.alias("support"), "errors", "warnings", *reads)
+
+
 def comment_tree(comments: DataFrame, ident: str, parent: str, order: list[str] | None = None) -> DataFrame:
     """Depth and root of every comment; comments without a known parent are roots, and so are those on cycles and below them.
 

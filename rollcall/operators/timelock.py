@@ -65,11 +65,28 @@ def control_calls(links: DataFrame) -> DataFrame:
     )
 
 
+#: Fixed value: the type of operations that a governor's own control stands for.
+CONTROL_TYPE = "GovernorTimelockControl"
+
+
 def control_operations(links: DataFrame) -> DataFrame:
-    """The operations of those calls: an executed one is done, the counts are sums over its actions."""
+    """The operations of those calls: an executed one is done, the counts are sums over its actions.
+
+    ``links`` may also have queue_block, execution_block and execution_timestamp; what comes from the queueing and the execution is that of
+    the last action.
+    """
     calls = control_calls(links)
     done = F.count("executed_tx")
-    return calls.groupBy(F.col("operation_ref").alias("id"), "operation_id", "proposal_id").agg(
+    grouped = calls.groupBy(F.col("operation_ref").alias("id"), "operation_id", "proposal_id").agg(
         F.when(done > 0, "Done").otherwise("Queued").alias("state"), F.count("*").alias("call_count"), F.nullif(done, F.lit(0)).alias("executed_call_count"),
         F.max_by("delay_seconds", "action_index").alias("delay_seconds"), F.max_by("queue_eta", "action_index").alias("ready_at"), F.max("executed_tx").alias("executed_tx"),
     )
+    if not {"queue_block", "execution_block", "execution_timestamp"} <= set(links.columns):
+        return grouped
+    of = lambda c, when=None: F.max_by(c, "action_index" if when is None else F.when(when, F.col("action_index")))
+    executed = F.col("execution_tx").isNotNull()
+    bounds = links.groupBy("contract_set_id", operation_id(F.col("proposal_id")).alias("operation_id")).agg(
+        of("queue_block").alias("queued_block_number"), of("queue_timestamp").alias("queued_block_timestamp"), of("queue_tx").alias("queued_transaction_hash"),
+        of("execution_block", executed).alias("executed_block_number"), of("execution_timestamp", executed).alias("executed_block_timestamp"), of("execution_tx", executed).alias("executed_transaction_hash"),
+    ).withColumn("id", F.concat_ws(":", F.lit("timelock-operation"), "contract_set_id", "operation_id")).drop("operation_id", "contract_set_id")
+    return grouped.join(bounds, "id").withColumn("timelock_type", F.lit(CONTROL_TYPE))

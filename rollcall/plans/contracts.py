@@ -213,13 +213,27 @@ def fn_keccak(spark, d):
     return a.table(spark, d, "documents").select("doc_id", keccak_hex("text").alias("hash"))
 
 
-@query("SELECT doc_id, trim(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS discussion, CAST(doc_id AS VARCHAR) AS signature FROM documents WHERE NOT contains(coalesce(text, ''), '<') AND NOT regexp_matches(coalesce(text, ''), '^[^\\x20\\x09-\\x0D]?[\\x00-\\x1F\\x7F-\\xA0]|[\\x1C-\\x1F\\x85\\xA0]')")
+WHITE_SQL = "'" + descriptions.WHITE + "'"
+TAGGED_SQL = """(SELECT doc_id, '# T' || chr(10) || '<discussion>' || coalesce(text, '') || '</discussion>' || chr(10) || '<signature>["' || doc_id || '"]</signature> <discussion>' || doc_id % 7 || '</discussion>' AS t FROM documents)"""
+
+
+def taken_out_sql(source, name, left, content):
+    opening, closing = f"<{name}>", f"</{name}>"
+    after = f"substr({left}, strpos({left}, '{opening}') + {len(opening)})"
+    hit = f"strpos({left}, '{opening}') > 0 AND strpos({after}, '{closing}') > 0"
+    cut = f"substr({left}, 1, strpos({left}, '{opening}') - 1) || substr({after}, strpos({after}, '{closing}') + {len(closing)})"
+    return f"(SELECT * REPLACE (CASE WHEN {hit} THEN trim({cut}, {WHITE_SQL}) ELSE {left} END AS {left}), CASE WHEN {hit} THEN trim(substr({after}, 1, strpos({after}, '{closing}') - 1), {WHITE_SQL}) END AS {content} FROM {source})"
+
+
+@query(
+    f"SELECT doc_id, trim(t, {WHITE_SQL}) AS body, discussion, CASE WHEN s = '[\"' || doc_id || '\"]' THEN CAST(doc_id AS VARCHAR) END AS signature FROM " + taken_out_sql(taken_out_sql(TAGGED_SQL, "discussion", "t", "discussion"), "signature", "t", "s"), views=False
+)
 def fn_body_tags(spark, d):
-    """The texts of all documents that hold no tag of their own, within tags."""
-    rows = a.table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(~F.contains("text", F.lit("<")) & ~F.col("text").rlike("^[^\\x20\\x09-\\x0D]?[\\x00-\\x1F\\x7F-\\xA0]|[\\x1C-\\x1F\\x85\\xA0]"))
-    tagged = F.concat(F.lit("# T\n<discussion>"), "text", F.lit('</discussion>\n<signature>["'), F.col("doc_id").cast("string"), F.lit('"]</signature>'))
-    rows = rows.withColumn("tagged", tagged)
-    return rows.select("doc_id", descriptions.tag(F.col("tagged"), "discussion").alias("discussion"), F.get(F.from_json(descriptions.tag(F.col("tagged"), "signature"), "array<string>"), 0).alias("signature"))
+    """The texts of all documents within tags, and what is left when the tags are taken out; of a second tag of a name nothing is taken."""
+    ident = F.col("doc_id").cast("string")
+    tagged = F.concat(F.lit("# T\n<discussion>"), F.coalesce("text", F.lit("")), F.lit('</discussion>\n<signature>["'), ident, F.lit('"]</signature> <discussion>'), (F.col("doc_id") % 7).cast("string"), F.lit("</discussion>"))
+    rows = descriptions.with_tags(a.table(spark, d, "documents").select("doc_id", tagged.alias("tagged")), "tagged")
+    return rows.select("doc_id", "body", "discussion", F.get("signature", F.lit(0)).alias("signature"))
 
 
 @query("""SELECT account, CASE WHEN abs(power) >= 1000 THEN CASE WHEN power < 0 THEN '-' ELSE '' END || regexp_replace(regexp_replace(CAST((abs(power) + 5) // 10 // 100 AS VARCHAR) || '.' || lpad(CAST((abs(power) + 5) // 10 % 100 AS VARCHAR), 2, '0'), '0+$', ''), '\\.$', '') || 'K' ELSE CAST(power AS VARCHAR) END AS shown FROM contributor""")
@@ -299,12 +313,12 @@ def fld_proposal_relink(spark, d):
     return proposals.relinked_children(children, proposals.relinked(stored, incoming, ["proposal_id", "chain_id", "governor"]))
 
 
-@query(f"""SELECT proposal_id, CASE chain_id WHEN 0 THEN 'timestamp' ELSE clock_mode END AS clock_mode, CASE chain_id WHEN 0 THEN NULL ELSE block_interval END AS block_interval, CASE WHEN chain_id = 1 THEN 'support=bravo' END AS counting_mode,
+@query(f"""SELECT proposal_id, CASE chain_id WHEN 0 THEN 'timestamp' ELSE clock_mode END AS clock_mode, CASE chain_id WHEN 0 THEN NULL ELSE block_interval END AS block_interval, CASE WHEN chain_id = 1 THEN 'support=bravo' END AS counting_mode, CASE WHEN chain_id = 2 THEN '18' ELSE '0' END AS decimals,
   CASE WHEN state = 'F' THEN 'Executed' ELSE 'Pending' END AS current_state, CASE WHEN state = 'O' THEN '77' WHEN state = 'F' THEN CAST(proposal_id + 1 AS VARCHAR) ELSE '0' END AS quorum,
   CASE WHEN vote_start % 5 = 0 THEN 5000 + vote_start WHEN chain_id = 0 THEN vote_start * 1000 ELSE vote_start_timestamp END AS vote_start_timestamp FROM ({CREATED}) c JOIN (SELECT proposal_id, chain_id, state FROM proposal) p USING (proposal_id)""")
 def fld_chain_enrich(spark, d):
     p = a.proposals(spark, d)
-    rows = proposals.created(created_events(spark, d)).withColumns({"governor": F.concat(F.lit("0xG"), F.col("chain_id").cast("string")), "counting_mode": F.lit(None).cast("string"), "proposal_snapshot": F.concat(F.lit("s"), F.col("proposal_id").cast("string"))})
+    rows = proposals.created(created_events(spark, d)).withColumns({"governor": F.concat(F.lit("0xG"), F.col("chain_id").cast("string")), "counting_mode": F.lit(None).cast("string"), "proposal_snapshot": F.concat(F.lit("s"), F.col("proposal_id").cast("string")), "token": F.concat(F.lit("0xT"), F.col("chain_id").cast("string"))})
     rows = rows.withColumn("proposal_id", F.col("proposal_id").cast("string"))
     read = lambda rows, method, arg, value, at=0: rows.select("chain_id", F.concat(F.lit("0xg"), F.col("chain_id").cast("string")).alias("contract"), F.lit(method).alias("method"), arg.cast("string").alias("arg"), F.lit(at).alias("read_index"), value.cast("string").alias("value"))
     of_chain = p.select("chain_id").distinct()
@@ -314,11 +328,11 @@ def fld_chain_enrich(spark, d):
         read(p.where("state = 'F'"), "state", F.col("proposal_id"), F.lit(7)), read(p.where("state = 'F'"), "quorum", F.col("proposal_id"), F.col("proposal_id") + 1),
         read(p.where("state <> 'P'"), "quorum", F.concat(F.lit("s"), F.col("proposal_id").cast("string")), F.lit(77)), read(e, "blockTimestamp", F.col("vote_start"), F.col("vote_start") + 5000),
     ]
-    every = reads[0]
-    for r in reads[1:]:
+    every = read(of_chain.where("chain_id = 2"), "decimals", F.lit(""), F.lit(18)).withColumn("contract", F.lit("0xt2"))
+    for r in reads:
         every = every.unionByName(r)
     found = proposals.enriched(rows, every)
-    return found.select(F.col("proposal_id").cast("long").alias("proposal_id"), "clock_mode", "block_interval", "counting_mode", "current_state", "quorum", "vote_start_timestamp")
+    return found.select(F.col("proposal_id").cast("long").alias("proposal_id"), "clock_mode", "block_interval", "counting_mode", "decimals", "current_state", "quorum", "vote_start_timestamp")
 
 
 @query("SELECT pos, CASE pos % 6 WHEN 0 THEN 'voting_delay' WHEN 1 THEN 'voting_period' WHEN 2 THEN 'proposal_threshold' WHEN 3 THEN 'quorum_numerator' WHEN 4 THEN 'late_quorum_extension' ELSE 'timelock' END AS parameter, CAST(lag(value) OVER (PARTITION BY pos % 6 ORDER BY pos) AS VARCHAR) AS old_value, CAST(value AS VARCHAR) AS new_value FROM logged WHERE kind IN ('click', 'view')")
@@ -356,16 +370,12 @@ def fld_transfer_delta(spark, d):
     return edges.join(moved, "delegator", "left_semi").select(F.col("delegator").alias("account"), F.col("power").cast("long").alias("power"))
 
 
-@query("SELECT pos, 'delegate-changed' AS entity, kind AS detail FROM logged WHERE kind IN ('signup', 'purchase') UNION ALL SELECT pos, 'delegate-rolling', kind FROM logged WHERE kind IN ('signup', 'purchase') UNION ALL SELECT pos, 'delegate-votes-changed', CAST(value - 3 AS VARCHAR) FROM logged WHERE kind = 'error' UNION ALL SELECT pos, 'transfer', CASE kind WHEN 'view' THEN 'erc20' ELSE 'erc721' END FROM logged WHERE kind IN ('view', 'click')")
+@query(f"""SELECT * FROM (WITH e AS ({events_sql("token")}) SELECT pos, CASE event_name WHEN 'DelegateChanged' THEN 'delegate_changed' WHEN 'DelegateVotesChanged' THEN 'delegate_votes_changed' ELSE 'token_transfer' END AS entity,
+  fields || CASE WHEN event_name = 'Transfer' THEN '|erc20' ELSE '' END AS fields FROM e UNION ALL SELECT pos, 'delegate_rolling', fields || '|-|-|-|-' FROM e WHERE event_name = 'DelegateChanged')""")
 def prj_token_rows(spark, d):
-    """The raw rows of the token's three events, and a rolling row for each delegation."""
-    rows = a.logged(spark, d)
-    changed = rows.where("kind IN ('signup', 'purchase')").select("pos", F.col("kind").alias("detail"))
-    votes = rows.where("kind = 'error'").withColumns({"previous_votes": F.lit("3"), "new_votes": F.col("value").cast("string")})
-    delta = votes.select("pos", u256.subtracted(F.col("new_votes"), F.col("previous_votes")).alias("detail"))
-    moved = transfers(spark, d).select("pos", F.col("standard").alias("detail"))
-    tables = {"delegate-changed": changed, "delegate-rolling": changed, "delegate-votes-changed": delta, "transfer": moved}
-    found = [t.select("pos", F.lit(name).alias("entity"), "detail") for name, t in tables.items()]
+    """The raw rows of the token's three events with all their columns, and a rolling row for each delegation."""
+    tables = folds.token_rows(decode.typed_events(emitted_logs(spark, d, "token"), decode.EVENTS["token"]), "pos")
+    found = [rows.select("pos", F.lit(name).alias("entity"), F.concat_ws("|", *(F.coalesce(F.col(f"`{c}`"), F.lit("-")) for c in rows.columns if c != "pos")).alias("fields")) for name, rows in tables.items()]
     return found[0].unionByName(found[1]).unionByName(found[2]).unionByName(found[3])
 
 
@@ -402,12 +412,15 @@ def prj_op_hint(spark, d):
 
 
 @query("""SELECT '0x' || lpad(lower(to_hex(proposal_id)), 64, '0') AS operation_id, CASE WHEN any_value(done) THEN 'Done' ELSE 'Queued' END AS state, count(*) AS call_count, CASE WHEN any_value(done) THEN count(*) END AS executed_call_count,
-  any_value(CASE WHEN quorum >= queued THEN CAST(quorum - queued AS VARCHAR) END) AS delay_seconds, CAST(any_value(quorum) AS VARCHAR) AS ready_at FROM (SELECT v.proposal_id, p.quorum, p.created // 10000000 AS queued, p.state = 'F' AS done FROM vote v JOIN proposal p USING (proposal_id)) GROUP BY proposal_id""")
+  any_value(CASE WHEN quorum >= queued THEN CAST(quorum - queued AS VARCHAR) END) AS delay_seconds, CAST(any_value(quorum) AS VARCHAR) AS ready_at, 'GovernorTimelockControl' AS timelock_type,
+  CAST(proposal_id + 1 AS VARCHAR) AS queued_block_number, CAST(any_value(queued) AS VARCHAR) AS queued_block_timestamp, CASE WHEN any_value(done) THEN CAST(proposal_id + 9 AS VARCHAR) END AS executed_block_number,
+  CASE WHEN any_value(done) THEN CAST(any_value(queued) + 5 AS VARCHAR) END AS executed_block_timestamp, CASE WHEN any_value(done) THEN '0xx' END AS executed_transaction_hash FROM (SELECT v.proposal_id, p.quorum, p.created // 10000000 AS queued, p.state = 'F' AS done FROM vote v JOIN proposal p USING (proposal_id)) GROUP BY proposal_id""")
 def prj_governor_control(spark, d):
-    p = a.proposals(spark, d).select("proposal_id", F.floor(F.col("created") / 10_000_000).cast("string").alias("queue_timestamp"), F.col("quorum").cast("string").alias("queue_eta"), F.when(F.col("state") == "F", "0xx").alias("execution_tx"))
+    p = a.proposals(spark, d).select("proposal_id", F.floor(F.col("created") / 10_000_000).cast("string").alias("queue_timestamp"), F.col("quorum").cast("string").alias("queue_eta"), F.when(F.col("state") == "F", "0xx").alias("execution_tx"),
+        (F.col("proposal_id") + 1).cast("string").alias("queue_block"), F.when(F.col("state") == "F", (F.col("proposal_id") + 9).cast("string")).alias("execution_block"), F.when(F.col("state") == "F", (F.floor(F.col("created") / 10_000_000) + 5).cast("string")).alias("execution_timestamp"))
     acts = a.votes(spark, d).select("proposal_id", F.col("log_index").alias("action_index"), F.col("voter").cast("string").alias("target"), F.col("weight").cast("string").alias("value"))
     links = acts.join(p, "proposal_id").withColumns({"contract_set_id": F.lit("s"), "calldata": F.lit("0x"), "queue_tx": F.lit("0xq"), "proposal_id": F.col("proposal_id").cast("string")})
-    return timelock.control_operations(links).select("operation_id", "state", "call_count", "executed_call_count", "delay_seconds", "ready_at")
+    return timelock.control_operations(links).select("operation_id", "state", "call_count", "executed_call_count", "delay_seconds", "ready_at", "timelock_type", "queued_block_number", "queued_block_timestamp", "executed_block_number", "executed_block_timestamp", "executed_transaction_hash")
 
 
 @query("SELECT kind, pos, count(*) OVER (PARTITION BY kind ORDER BY pos) AS n FROM logged")
@@ -507,6 +520,44 @@ def bkf_timestamps(spark, d):
     return rows.select("proposal_id", F.coalesce(F.when(F.col("chain_id") != 2, F.col("created")), "first_ms").alias("created"))
 
 
+BOUNDS = f"""b AS (SELECT c.proposal_id AS id, p.chain_id, c.clock_mode, c.vote_start, c.vote_end, c.vote_start_timestamp, c.vote_end_timestamp, c.proposal_id % 3 = 0 AS sr, c.proposal_id % 4 = 0 AS er FROM ({CREATED}) c JOIN proposal p USING (proposal_id)
+), t AS (SELECT DISTINCT chain_id, vote_start AS block, vote_start * 12000 + 7 AS time_ms FROM b WHERE vote_start % 2 = 0
+), h AS (SELECT max(id) // 2 AS height FROM b
+), u AS (SELECT b.*, s.time_ms AS st, e.time_ms AS et, clock_mode = 'blocknumber' AND ((vote_start <= height AND NOT sr) OR (vote_end <= height AND NOT er)) AS due FROM b CROSS JOIN h LEFT JOIN t s ON s.chain_id = b.chain_id AND s.block = b.vote_start LEFT JOIN t e ON e.chain_id = b.chain_id AND e.block = b.vote_end)"""
+
+
+def bounded_proposals(spark, d):
+    """Proposals with their bounds, whether those are resolved and the height, and the times of some blocks."""
+    rows = proposals.created(created_events(spark, d)).select(
+        F.col("proposal_id").alias("id"), "chain_id", "clock_mode", "vote_start", "vote_end", "vote_start_timestamp", "vote_end_timestamp", (F.col("proposal_id") % 3 == 0).alias("vote_start_resolved"), (F.col("proposal_id") % 4 == 0).alias("vote_end_resolved"),
+    )
+    times = rows.where("vote_start % 2 = 0").select("chain_id", F.col("vote_start").alias("block"), (F.col("vote_start") * 12000 + 7).alias("time_ms")).distinct()
+    height = rows.agg(F.floor(F.max("id") / 2).alias("height"))  # one row
+    return rows.crossJoin(F.broadcast(height)), times
+
+
+@query(f"""SELECT * FROM (WITH {BOUNDS} SELECT id, CASE WHEN due THEN coalesce(st, vote_start_timestamp) ELSE vote_start_timestamp END AS vote_start_timestamp, CASE WHEN due THEN coalesce(et, vote_end_timestamp) ELSE vote_end_timestamp END AS vote_end_timestamp,
+  sr OR due AND st IS NOT NULL AS vote_start_resolved, er OR due AND et IS NOT NULL AS vote_end_resolved, due AND (st IS NOT NULL AND (NOT sr OR st <> vote_start_timestamp) OR et IS NOT NULL AND (NOT er OR et <> vote_end_timestamp)) AS changed FROM u)""")
+def bkf_block_times(spark, d):
+    """Times of blocks take the place of estimates, where a bound that isn't resolved lies below the height."""
+    rows, times = bounded_proposals(spark, d)
+    found = proposals.backfilled_times(rows, times, F.col("height"))
+    return found.select("id", "vote_start_timestamp", "vote_end_timestamp", "vote_start_resolved", "vote_end_resolved", "changed")
+
+
+@query(f"""SELECT * FROM (WITH {BOUNDS}, e AS (SELECT id, vote_start AS first, vote_end AS last, due, st, et, vote_start, vote_end FROM u UNION ALL SELECT id, vote_end, NULL, due, st, et, vote_start, vote_end FROM u UNION ALL SELECT id, id, vote_start, due, st, et, vote_start, vote_end FROM u)
+SELECT id AS proposal_id, first AS start_timepoint, CASE WHEN due AND st IS NOT NULL AND first = vote_start THEN st WHEN due AND et IS NOT NULL AND first = vote_end THEN et ELSE -1 END AS start_timestamp,
+  CASE WHEN due AND st IS NOT NULL AND last = vote_start THEN st WHEN due AND et IS NOT NULL AND last = vote_end THEN et END AS end_timestamp FROM e)""")
+def bkf_epoch_times(spark, d):
+    """State epochs that begin or end at a bound follow its time."""
+    rows, times = bounded_proposals(spark, d)
+    found = proposals.bounds_to_fill(rows, times, F.col("height"))
+    none = F.lit(None).cast("long")
+    epoch = lambda first, last: F.struct(first.alias("start_timepoint"), last.alias("end_timepoint"), F.lit(-1).cast("long").alias("start_timestamp"), none.alias("end_timestamp"))
+    epochs = rows.select(F.col("id").alias("proposal_id"), F.explode(F.array(epoch(F.col("vote_start"), F.col("vote_end")), epoch(F.col("vote_end"), none), epoch(F.col("id"), F.col("vote_start")))).alias("e")).select("proposal_id", "e.*")
+    return proposals.backfilled_epochs(epochs, found).select("proposal_id", "start_timepoint", "start_timestamp", "end_timestamp")
+
+
 @query("SELECT delegator, pos, CAST(value AS VARCHAR) AS power, CAST(coalesce(lag(value) OVER (PARTITION BY delegator ORDER BY pos), 0) AS VARCHAR) AS previous, CAST(value - coalesce(lag(value) OVER (PARTITION BY delegator ORDER BY pos), 0) AS VARCHAR) AS delta FROM logged")
 def bkf_checkpoints(spark, d):
     rows = a.logged(spark, d).select("delegator", "pos", F.col("value").cast("string").alias("power"))

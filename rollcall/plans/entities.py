@@ -416,11 +416,18 @@ def ovl_contributors(spark, d):
     return resolved_contributors(spark, d)
 
 
-@query("""SELECT c.account, coalesce(l.power, c.power) AS power, c.segment FROM contributor c LEFT JOIN (SELECT * FROM live WHERE scope < 12) l USING (account)
-  UNION ALL SELECT account, power, segment FROM live l WHERE scope >= 12 AND NOT EXISTS (SELECT 1 FROM contributor c WHERE c.account = l.account)""")
+@query("""SELECT p.proposal_id, p.state, coalesce(v.n, 0) AS n_votes, coalesce(v.weight, 0) AS weight FROM (
+    SELECT proposal_id, CASE WHEN proposal_id % 5 = 0 THEN 'L' ELSE state END AS state FROM proposal UNION ALL SELECT proposal_id + 10000000000, 'T' FROM proposal WHERE proposal_id % 11 = 0
+  ) p LEFT JOIN (SELECT proposal_id, count(*) AS n, CAST(sum(weight) AS BIGINT) AS weight FROM (SELECT * FROM durable UNION ALL SELECT * FROM overlay_only) GROUP BY proposal_id) v USING (proposal_id)""")
 def ovl_proposals(spark, d):
-    o = a.live_contributors(spark, d).withColumn("source", F.when(F.col("scope") < 12, F.lit(overlay.LIVE)).otherwise("tail"))
-    return overlay.resolved(a.contributors(spark, d), o, ["account"], ["power"]).select("account", "power", "segment")
+    """Live overlays patch proposals, others add those without a durable twin; the metrics count the votes of both."""
+    durable = a.proposals(spark, d).select("proposal_id", "state")
+    tagged = lambda rows, state, source: rows.withColumns({"state": F.lit(state), "source": F.lit(source), "status": F.lit("available")})
+    new = durable.where("proposal_id % 11 = 0").withColumn("proposal_id", F.col("proposal_id") + 10_000_000_000)
+    over = tagged(durable.where("proposal_id % 5 = 0"), "L", overlay.LIVE).unionByName(tagged(new, "T", "tail")).unionByName(tagged(durable.where("proposal_id % 13 = 0"), "T", "tail"))
+    shown = overlay.resolved(durable, over, ["proposal_id"], ["state"])
+    cast = all_votes(spark, d).groupBy("proposal_id").agg(F.count("*").alias("n_votes"), F.sum("weight").alias("weight"))
+    return shown.join(cast, "proposal_id", "left").na.fill(0, ["n_votes", "weight"])
 
 
 @query("SELECT proposal_id, log_index, voter FROM durable WHERE with_params UNION ALL SELECT proposal_id, log_index, voter FROM overlay_only WHERE with_params")
@@ -449,9 +456,22 @@ def ovl_metrics(spark, d):
     return resolved_contributors(spark, d).groupBy("scope").agg(F.count("*").alias("n"), F.sum("power").alias("power"))
 
 
-@query("SELECT account, CASE WHEN account <= 700 THEN 'finalized' ELSE 'available' END AS status FROM live")
+@query("""SELECT * FROM (WITH r AS (SELECT pos, kind, delegator % 25 AS scope, CAST(delegator % 25 AS VARCHAR) || ':' || CAST(pos // 500 AS VARCHAR) AS segment_id, pos // 500 % 7 = 0 AS bad FROM logged
+), s AS (SELECT segment_id, scope, bad, max(pos) AS range_end, max(CASE WHEN kind = 'view' THEN pos + 30 END) AS anchor FROM r GROUP BY ALL
+), h AS (SELECT scope, max(pos) - 300 AS height FROM r WHERE kind = 'signup' GROUP BY scope
+), f AS (SELECT segment_id FROM s JOIN h USING (scope) WHERE NOT bad AND height >= 0 AND range_end <= height AND coalesce(anchor, range_end) <= height)
+SELECT 'segment' AS entity, segment_id AS id, CASE WHEN bad THEN 'invalid' WHEN segment_id IN (SELECT * FROM f) THEN 'finalized' ELSE 'available' END AS status FROM s
+UNION ALL SELECT 'overlay', CAST(pos AS VARCHAR), CASE WHEN kind = 'error' THEN 'invalid' WHEN segment_id IN (SELECT * FROM f) THEN 'finalized' ELSE 'available' END FROM r)""")
 def ovl_finalize(spark, d):
-    return overlay.finalized(a.live_contributors(spark, d), 700, "account").select("account", "status")
+    """Segments of the log by scope, final once the scope's durable height has passed them, and the overlay rows that follow their segments."""
+    rows = a.logged(spark, d).select("pos", "kind", (F.col("delegator") % 25).alias("scope"), F.concat_ws(":", (F.col("delegator") % 25).cast("string"), F.floor(F.col("pos") / 500).cast("string")).alias("segment_id"))
+    status = F.when(F.floor(F.col("range_start") / 500) % 7 == 0, "invalid").otherwise("available")
+    segments = rows.groupBy(F.col("segment_id").alias("id"), "scope").agg(F.min("pos").alias("range_start"), F.max("pos").alias("range_end"), F.max(F.when(F.col("kind") == "view", F.col("pos") + 30)).alias("anchor")).withColumns({"status": status, "source": F.lit("tail")})
+    heights = rows.where("kind = 'signup'").groupBy("scope").agg((F.max("pos") - 300).alias("height"))
+    final = overlay.final_segments(segments, heights, ["scope"])
+    overlays = rows.select(F.col("pos").cast("string").alias("id"), "scope", "segment_id", F.when(F.col("kind") == "error", "invalid").otherwise("available").alias("status"))
+    told = lambda marked, name: marked.select(F.lit(name).alias("entity"), "id", "status")
+    return told(overlay.marked_final(segments, final, ["scope"], "id"), "segment").unionByName(told(overlay.marked_final(overlays, final, ["scope"]), "overlay"))
 
 
 @query("SELECT account, CASE WHEN scope = 4 THEN 'invalid' ELSE 'available' END AS status, CASE WHEN scope = 4 THEN 'reorg' END AS reason FROM live")

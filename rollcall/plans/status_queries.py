@@ -68,10 +68,61 @@ def agg_table_digest(spark, d):
     return status.table_digest(a.proposals(spark, d))
 
 
-@query("SELECT proposer, CASE WHEN count(*) FILTER (WHERE state = 'P') > 0 THEN 'full' WHEN count(*) FILTER (WHERE state = 'O') > 1 THEN 'partial' ELSE 'none' END AS support FROM proposal GROUP BY proposer")
+PROBES = sorted({("governor", "method", n) for n in (*status.GOVERNOR_METHODS, *status.OPTIONAL_METHODS)} | {("token", "method", n) for ns in (*status.TOKEN_METHODS.values(), *status.VOTE_READS.values()) for n in ns}
+                | {("governor", "event", n) for n in status.GOVERNOR_EVENTS} | {("token", "event", n) for n in status.TOKEN_EVENTS})
+
+
+def compat_sql():
+    """Every name that is asked of a contract as a row with what is said if it fails, in order."""
+    said, k = [], 0
+
+    def add(condition, text, serious=True):
+        nonlocal k
+        k += 1
+        said.append(f"SELECT code, {k} AS k, {str(serious).lower()} AS serious, {text} AS said FROM asked WHERE {condition}")
+
+    names = [f"{o}_{kind}_{n}" for o, kind, n in PROBES]
+    answer = lambda o, kind, n: f"coalesce({o}_{kind}_{n}, 'missing')"
+    for column, text in (("code", "dao.code missing"), ("governor", "dao.governor missing"), ("token", "dao.token.contract missing")):
+        add(f"coalesce({column}, '') = ''", f"'{text}'")
+    add("coalesce(standard, '') NOT IN ('ERC20', 'ERC721')", "'dao.token.standard ' || coalesce(standard, '(missing)') || ' unsupported'")
+    for n in status.GOVERNOR_METHODS:
+        add(f"{answer('governor', 'method', n)} <> 'ok'", f"'governor.{n} ' || {answer('governor', 'method', n)}")
+    for n in status.GOVERNOR_EVENTS:
+        add(f"{answer('governor', 'event', n)} <> 'ok'", f"'governor.{n} event missing'")
+    for standard, methods in status.TOKEN_METHODS.items():
+        for n in methods:
+            add(f"standard = '{standard}' AND {answer('token', 'method', n)} <> 'ok'", f"'token.{n} ' || {answer('token', 'method', n)}")
+        add(f"standard = '{standard}' AND transfer_topics IS DISTINCT FROM {status.TRANSFER_TOPICS[standard]}", f"'dao.token.standard declares {standard} but Transfer has ' || coalesce(CAST(transfer_topics AS VARCHAR), 'unknown') || ' indexed arguments'")
+    for n in status.TOKEN_EVENTS:
+        add(f"{answer('token', 'event', n)} <> 'ok'", f"'token.{n} event missing'")
+    for x, y in status.VOTE_READS.values():
+        add(f"{answer('token', 'method', x)} <> 'ok' AND {answer('token', 'method', y)} <> 'ok'", f"'token.{x}/{y} missing'")
+    for x, y in status.VOTE_READS.values():
+        add(f"{answer('token', 'method', x)} <> 'ok' AND {answer('token', 'method', y)} = 'ok'", f"'token.{x} missing; using {y} fallback'", False)
+    for n, then in status.OPTIONAL_METHODS.items():
+        add(f"{answer('governor', 'method', n)} <> 'ok'", f"'governor.{n} missing; {then}'", False)
+    rows = ", ".join(f"('{o}', '{kind}', '{n}', {i})" for i, (o, kind, n) in enumerate(PROBES))
+    answers = ", ".join(f"max(CASE WHEN owner = '{o}' AND kind = '{kind}' AND name = '{n}' THEN CASE WHEN kind = 'event' OR state = 'ok' THEN 'ok' ELSE 'reverts' END END) AS {c}" for (o, kind, n), c in zip(PROBES, names, strict=True))
+    return f"""WITH dao AS (SELECT 'd' || CAST(c_custkey AS VARCHAR) AS code, c_custkey AS c, CASE WHEN c_custkey % 10 <> 0 THEN '0xg' END AS governor, '0xt' AS token, CASE c_custkey % 3 WHEN 0 THEN 'ERC20' WHEN 1 THEN 'ERC721' END AS standard,
+  CASE WHEN c_custkey % 8 <> 7 THEN CAST(2 + c_custkey % 3 AS INTEGER) END AS transfer_topics FROM customer
+), probe AS (SELECT code, owner, kind, name, CASE WHEN (c * 7 + i) % 97 = 0 THEN 'reverts' ELSE 'ok' END AS state FROM dao, (VALUES {rows}) n(owner, kind, name, i) WHERE c % 4 <> 3 AND (c * 5 + i) % 101 > 1
+), asked AS (SELECT * FROM dao LEFT JOIN (SELECT code, {answers} FROM probe GROUP BY code) USING (code)
+), said AS ({" UNION ALL ".join(said)})
+SELECT code, CASE WHEN bool_or(serious) THEN 'unsupported' WHEN count(k) > 0 THEN 'degraded' ELSE 'supported' END AS support, coalesce(string_agg(said, '; ' ORDER BY k) FILTER (WHERE serious), '') AS errors,
+  coalesce(string_agg(said, '; ' ORDER BY k) FILTER (WHERE NOT serious), '') AS warnings FROM dao LEFT JOIN said USING (code) GROUP BY code"""
+
+
+@query(compat_sql(), views=False)
 def aud_compat(spark, d):
-    support = F.when(F.count_if(F.col("state") == "P") > 0, "full").when(F.count_if(F.col("state") == "O") > 1, "partial").otherwise("none")
-    return a.proposals(spark, d).groupBy("proposer").agg(support.alias("support"))
+    """Contracts of all customers, most of which answer most of what is asked."""
+    c = F.col("c_custkey").cast("long")
+    daos = a.table(spark, d, "customer").select(F.concat(F.lit("d"), c.cast("string")).alias("code"), c.alias("c"), F.when(c % 10 != 0, "0xg").alias("governor"), F.lit("0xt").alias("token"), F.when(c % 3 == 0, "ERC20").when(c % 3 == 1, "ERC721").alias("standard"), F.when(c % 8 != 7, (2 + c % 3).cast("int")).alias("transfer_topics"))
+    names = F.explode(F.array(*(F.struct(*(F.lit(x).alias(n) for x, n in zip((*p, i), ("owner", "kind", "name", "i"), strict=True))) for i, p in enumerate(PROBES)))).alias("n")
+    probes = daos.where("c % 4 <> 3").select("code", "c", names).select("code", "c", "n.*").where("(c * 5 + i) % 101 > 1")
+    probes = probes.withColumn("state", F.when(F.col("kind") == "event", None).when((F.col("c") * 7 + F.col("i")) % 97 == 0, "reverts").otherwise("ok"))
+    found = status.compatibility(daos, probes)
+    return found.select("code", "support", F.array_join("errors", "; ").alias("errors"), F.array_join("warnings", "; ").alias("warnings"))
 
 
 @query("""SELECT proposal_id, current_votes, quorum % 60 <> 0 AND current_votes >= quorum % 60 AS reached FROM (SELECT p.proposal_id, p.quorum, CASE WHEN p.chain_id = 0 THEN coalesce(f, 0) WHEN p.chain_id = 1 THEN coalesce(f, 0) + coalesce(g, 0) ELSE coalesce(f, 0) + coalesce(ab, 0) END AS current_votes
@@ -111,10 +162,12 @@ def web_treasury(spark, d):
     return status.treasury(p, "balance", "price", "change").select("part", F.round(F.col("share") * 1_000_000).cast("long").alias("millionths"))
 
 
-@query("SELECT pos, CASE WHEN kind <> 'error' THEN 'found' WHEN value < 30 THEN 'indexing' WHEN value < 60 THEN 'problem' ELSE 'not-found' END AS state FROM logged")
+@query("""SELECT pos, CASE WHEN kind = 'view' THEN CASE WHEN value > 0 AND value * 100000 >= 1800000 THEN 'problem' ELSE 'indexing' END WHEN kind = 'click' THEN 'checking' WHEN kind = 'error' AND value % 3 < 2 THEN 'not-found' ELSE 'checking' END AS state FROM logged""")
 def web_missing_state(spark, d):
-    state = F.when(F.col("kind") != "error", "found").when(F.col("value") < 30, "indexing").when(F.col("value") < 60, "problem").otherwise("not-found")
-    return a.logged(spark, d).select("pos", state.alias("state"))
+    """Of each row: whether the contract has the proposal (view), is still asked (click), or said that it has none (error, two of three texts)."""
+    error = F.when(F.col("kind") == "error", F.element_at(F.array(*map(F.lit, ("execution reverted: governornonexistentproposal()", "Nonexistent Proposal", "timeout"))), (F.col("value") % 3 + 1).cast("int")))
+    observed = F.when(F.col("value") > 0, F.col("at_ms") - F.col("value") * 100_000)
+    return a.logged(spark, d).select("pos", status.missing_state(F.col("kind") == "view", F.col("kind") == "click", error, observed, F.col("at_ms")).alias("state"))
 
 
 @query()
