@@ -9,6 +9,7 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 
@@ -42,6 +43,12 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
+def integer_ids(df: DataFrame, column: str) -> None:
+    """An error that says so if the ids of a table aren't integers, before anything runs."""
+    if not isinstance(df.schema[column].dataType, T.IntegralType):
+        raise TypeError(f"ids must be integers, {column} is {df.schema[column].dataType.simpleString()}")
+
+
 def utf8(column: str) -> F.Column:
     """The text as UTF-8 bytes; null counts as empty."""
     return F.encode(F.coalesce(F.col(column), F.lit("")), "UTF-8")

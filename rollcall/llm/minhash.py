@@ -6,9 +6,10 @@ estimated from bit counts, corrected for chance collisions. Whatever may reach t
 confirmed on the full sets.
 
 No group of documents becomes rows of pairs. Equal sets are one class. In a first round each class meets the most
-popular member of its buckets. Then only clusters are left whose members buckets connect but links don't yet; their members
-meet in tiles, inside tasks, which return the links that connect them. A pair at the threshold shares no bucket with a
-probability of about 7e-9.
+popular member of its buckets. Then only buckets are left whose members links don't connect yet. Their members' signatures alone meet in tiles, inside tasks, which
+return a forest of the likely pairs; what likely pairs connect is a cluster, however many chance buckets join it to others. Only the members of clusters meet again with their
+texts, in tiles, inside tasks that return the links which connect them. In either step members of the group's largest component meet the others, not each other. A pair at
+the threshold shares no bucket with a probability of about 7e-9.
 
 Nulls and edges: a document without words or text is empty and links with nothing; one with a null id
 too, and its component is null; rows that repeat an id are judged by their own texts, where the id is one node of the
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rollcall.llm.frames import checkpointed, emitted, rows_of, utf8, written
+from rollcall.llm.frames import checkpointed, emitted, integer_ids, rows_of, utf8, written
 from rollcall.llm.graph import components
 from rollcall.llm.shingles import mixed, shared, shingle_sets
 
@@ -32,8 +33,8 @@ BANDS, ROWS = 32, 5
 MINIMA = BANDS * ROWS
 BITS = 2
 LONGS = MINIMA * BITS // 64
-#: Classes in a tile of a cluster.
-TILE = 256
+#: Classes in a tile of a cluster, and of a bucket, whose members come without texts.
+TILE, SIGNATURE_TILE = 256, 2048
 #: By how much the estimate of a pair at the threshold may fall short: six standard deviations.
 MARGIN = 0.2
 _RANDOM = np.random.default_rng(20)
@@ -140,63 +141,107 @@ def star_pairs(met: DataFrame) -> DataFrame:
     return best.select(F.col("rep").alias("a"), (-F.col("pivot.minus")).alias("b"))
 
 
-def open_clusters(met: DataFrame, reached: DataFrame) -> DataFrame:
-    """(cluster, rep, c, tiles) of the classes whose cluster, all that shared buckets connect, isn't one component c yet."""
-    least = met.groupBy("key").agg(F.min("rep").alias("least"))
-    clusters = components(met.join(least, "key").select("rep", "least"), "rep", "least")
-    placed = clusters.select(F.col("node").alias("rep"), F.col("component").alias("cluster")).join(reached.withColumnRenamed("node", "rep"), "rep", "left")
-    placed = placed.select("cluster", "rep", F.coalesce("component", "rep").alias("c"))
-    torn = placed.groupBy("cluster").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.ceil(F.count("*") / TILE).cast("int").alias("tiles")).where("lo < hi")
-    return placed.join(torn.select("cluster", "tiles"), "cluster")
+def dealt_tiles(members: DataFrame, group: str, tile: int) -> DataFrame:
+    """Members of groups with several components ``c``, a row for each pair (lo, hi) of tiles of their group that they meet in.
+
+    The members of a group's largest component have tiles of their own, which meet those of the others but not each other, so that a member
+    is copied once for each tile of others.
+    """
+    sizes = members.groupBy(group, "c").agg(F.count("*").alias("n"))
+    most = sizes.groupBy(group).agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("n_all")).where("n_main < n_all")
+    tiles = most.select(group, "main", F.ceil((F.col("n_all") - F.col("n_main")) / tile).cast("int").alias("others"), F.ceil(F.col("n_main") / tile).cast("int").alias("mains"))
+    rows = members.join(tiles, group)
+    is_main, place = F.col("c") == F.col("main"), F.xxhash64(F.col("rep"), F.lit(7))
+    own = F.when(is_main, F.col("others") + F.pmod(place, F.col("mains"))).otherwise(F.pmod(place, F.col("others"))).cast("int")
+    meets = F.sequence(F.lit(0), F.when(is_main, F.col("others")).otherwise(F.col("others") + F.col("mains")) - 1)
+    rows = rows.withColumn("tile", own).withColumn("other", F.explode(meets))
+    return rows.withColumns({"lo": F.least("tile", "other"), "hi": F.greatest("tile", "other")}).drop("main", "others", "mains", "other")
+
+
+def likely_pairs(packs: np.ndarray, c: np.ndarray, tiles: np.ndarray, lo: int, hi: int, low: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(i, js, how many minima differ) for each member i of the tile ``lo`` and those of ``hi`` in other components whose estimate reaches ``low``."""
+    most = int((1 - low) * (1 - 2.0**-BITS) * MINIMA)  # minima that may differ
+    others = np.flatnonzero(tiles == hi)
+    for i in np.flatnonzero(tiles == lo).tolist():
+        rest = others[(c[others] != c[i]) & ((lo != hi) | (others > i))]
+        x = packs[rest] ^ packs[i]
+        differ = np.bitwise_count((x | (x >> np.uint64(1))) & np.uint64(0x5555555555555555)).sum(axis=1, dtype=np.int64)
+        near = differ <= most
+        yield i, rest[near], differ[near]
+
+
+class Forest:
+    """Which of some nodes are connected."""
+
+    def __init__(self, n: int):
+        self.parent = list(range(n))
+
+    def root(self, x: int) -> int:
+        parent = self.parent
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    def joined(self, x: int, y: int) -> bool:
+        """Connects two nodes; false if they were connected."""
+        x, y = self.root(x), self.root(y)
+        self.parent[max(x, y)] = min(x, y)
+        return x != y
+
+
+def likely_clusters(met: DataFrame, reached: DataFrame, classes: DataFrame, low: float) -> DataFrame:
+    """(cluster, rep, c) of the classes that likely pairs of different components c connect, by their signatures alone.
+
+    Each open bucket's members meet in tiles; a task returns a forest of its likely pairs, a pair for each member at most.
+    """
+    component = reached.withColumnRenamed("node", "rep")
+    placed = met.select("key", "rep").join(component, "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("c"))
+    opened = placed.join(placed.groupBy("key").agg(F.min("c").alias("least"), F.max("c").alias("greatest")).where("least < greatest"), "key").select("key", "rep", "c")
+    dealt = dealt_tiles(opened.join(classes.select("rep", "signature"), "rep"), "key", SIGNATURE_TILE)
+
+    def forest(rows: pa.Table) -> pa.Table:
+        rows = rows.take(pa.array(np.argsort(rows.column("rep").to_numpy())))
+        reps, tiles, c = (rows.column(n).to_numpy() for n in ("rep", "tile", "c"))
+        packs = np.array(rows.column("signature").to_pylist(), np.int64).view(np.uint64).reshape(-1, LONGS)
+        known, pairs = Forest(len(reps)), []
+        for i, js, _ in likely_pairs(packs, c, tiles, rows.column("lo")[0].as_py(), rows.column("hi")[0].as_py(), low):
+            pairs += [(i, j) for j in js.tolist() if known.joined(i, j)]
+        return pa.table({x: pa.array(reps[[p[k] for p in pairs]] if pairs else [], pa.int64()) for k, x in enumerate("ab")})
+
+    edges = dealt.select("key", "lo", "hi", "tile", "rep", "c", "signature").groupBy("key", "lo", "hi").applyInArrow(forest, "a long, b long")
+    clusters = components(edges)
+    return clusters.select(F.col("node").alias("rep"), F.col("component").alias("cluster")).join(component, "rep", "left").select("cluster", "rep", F.coalesce("component", "rep").alias("c"))
 
 
 def cluster_links(opened: DataFrame, classes: DataFrame, texts: DataFrame, percent: int, low: float) -> DataFrame:
-    """Links (a, b) that connect whatever belongs together in the open clusters.
+    """Links (a, b) that connect whatever belongs together in the clusters.
 
     A cluster's members are dealt to tiles, and each pair of tiles meets in one task. That compares the packed signatures,
     and confirms likely pairs on the full sets, best estimates first, unless they are connected already.
     """
-    full = opened.join(classes.select("rep", "text_key", "signature"), "rep").join(texts.withColumnRenamed("doc_id", "rep"), ["rep", "text_key"])
-    tile = F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
-    dealt = full.withColumn("tile", tile).withColumn("other", other)
-    dealt = dealt.select("cluster", F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi"), "tile", "rep", "c", "signature", "body")
+    dealt = dealt_tiles(opened, "cluster", TILE).join(classes.select("rep", "text_key", "signature"), "rep").join(texts.withColumnRenamed("doc_id", "rep"), ["rep", "text_key"])
+    dealt = dealt.select("cluster", "lo", "hi", "tile", "rep", "c", "signature", "body")
 
     def linked(rows: pa.Table) -> pa.Table:
-        order = np.argsort(rows.column("rep").to_numpy())
-        rows = rows.take(pa.array(order))
+        rows = rows.take(pa.array(np.argsort(rows.column("rep").to_numpy())))
         reps, tiles = rows.column("rep").to_pylist(), rows.column("tile").to_numpy()
-        lo, hi = rows.column("lo")[0].as_py(), rows.column("hi")[0].as_py()
         packs = np.array(rows.column("signature").to_pylist(), np.int64).view(np.uint64).reshape(-1, LONGS)
         names, c = np.unique(rows.column("c").to_numpy(), return_inverse=True)
-        parent = list(range(len(names)))
-        bodies, sets = rows.column("body"), {}
-
-        def root(x: int) -> int:
-            while parent[x] != x:
-                parent[x] = x = parent[parent[x]]
-            return x
+        known, bodies, sets = Forest(len(names)), rows.column("body"), {}
 
         def of(k: int) -> np.ndarray:
             if k not in sets:
                 sets[k] = shingle_sets([bodies[k].as_py()])[0]
             return sets[k]
 
-        most = int((1 - low) * (1 - 2.0**-BITS) * MINIMA)  # minima that may differ
-        near = []
-        for i in np.flatnonzero(tiles == lo).tolist():
-            x = packs ^ packs[i]
-            differ = np.bitwise_count((x | (x >> np.uint64(1))) & np.uint64(0x5555555555555555)).sum(axis=1, dtype=np.int64)
-            js = np.flatnonzero((tiles == hi) & (differ <= most) & (c != c[i]) & ((lo != hi) | (np.arange(len(reps)) > i)))
-            near += [(d, i, j) for d, j in zip(differ[js].tolist(), js.tolist(), strict=True)]
+        near = [(d, i, j) for i, js, differ in likely_pairs(packs, c, tiles, rows.column("lo")[0].as_py(), rows.column("hi")[0].as_py(), low) for d, j in zip(differ.tolist(), js.tolist(), strict=True)]
         found = []
         for _, i, j in sorted(near):
-            ci, cj = root(c[i]), root(c[j])
-            if ci != cj:
+            if known.root(c[i]) != known.root(c[j]):
                 a, b = of(i), of(j)
                 n = shared(a, b)
                 if 100 * n >= percent * (len(a) + len(b) - n):
-                    parent[max(ci, cj)] = min(ci, cj)
+                    known.joined(c[i], c[j])
                     found.append((reps[i], reps[j]))
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
@@ -206,8 +251,9 @@ def cluster_links(opened: DataFrame, classes: DataFrame, texts: DataFrame, perce
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, margin: float = MARGIN) -> DataFrame:
     """Per row: id, n_shingles, component_id (the smallest id that links reach) and kept (whether it is that one).
 
-    Two documents are linked if their sets share ``percent`` of their union or more. Ids are integers.
+    Two documents are linked if their sets share ``percent`` of their union or more. Ids are integers; others are an error.
     """
+    integer_ids(docs, id_col)
     signed = written(signatures(docs, id_col, text_col))
     usable = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = written(usable.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "text_key")).alias("rep"), F.first("signature").alias("signature"), F.first("bands").alias("bands")).select("d1", "d2", F.col("rep.doc_id").alias("rep"), "rep.text_key", "signature", "bands"))
@@ -224,7 +270,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return pairs.where(estimate("s_a", "s_b") >= low).select("a", "b")
 
     first = checkpointed(confirmed(likely(star_pairs(met)), texts, percent))
-    second = checkpointed(cluster_links(open_clusters(met, components(first)), classes, texts, percent, low))
+    second = checkpointed(cluster_links(likely_clusters(met, components(first), classes, low), classes, texts, percent, low))
     reached = components(first.union(second))
     of_class = classes.select("d1", "d2", "rep").join(reached, F.col("rep") == F.col("node"), "left").select("d1", "d2", F.coalesce("component", "rep").alias("component"))
     known = usable.select("doc_id", "n_shingles", "d1", "d2").join(of_class, ["d1", "d2"]).select("doc_id", "n_shingles", "component")

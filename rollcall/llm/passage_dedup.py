@@ -28,9 +28,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from rollcall.llm.frames import table
+from rollcall.llm.frames import integer_ids, table
 
 WIDTH = 13
 PERIOD, COVER = 7, (0, 1, 3)
@@ -205,8 +204,7 @@ def parts(total: int) -> int:
 def removed_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, carry: tuple[str, ...] = ()) -> DataFrame:
     """Per row: doc_id, n_words, spans (the (begin, end) stretches of words that go), kept (the other words, one space apart), and extra, the
     columns to carry along as JSON."""
-    if not isinstance(docs.schema[id_col].dataType, T.IntegralType):
-        raise TypeError(f"ids must be integers, {id_col} is {docs.schema[id_col].dataType.simpleString()}")
+    integer_ids(docs, id_col)
     if width < PERIOD:
         raise ValueError(f"a window has {PERIOD} words at least")
     extra = F.to_json(F.struct(*carry)) if carry else F.lit("")

@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rollcall.llm.frames import integer_ids
+
 LENGTH = 50
 QGRAM = 24
 #: Bytes of text in a chunk, and in a hash bucket's share of the corpus; but there are at least LEAST_PARTS of either.
@@ -288,7 +290,8 @@ def answered(rows: pa.Table) -> pa.Table:
 def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), whole_characters: bool = False) -> DataFrame:
     """Per row: doc_id, kept (the text's remaining bytes, null for a null text), n_bytes, spans (the (begin, end) byte
     stretches that go), and extra, the columns to carry along as JSON. With ``whole_characters`` a character
-    that loses a byte isn't kept in part. Ids are integers."""
+    that loses a byte isn't kept in part. Ids are integers; others are an error."""
+    integer_ids(docs, id_col)
     extra = F.to_json(F.struct(*carry)) if carry else F.lit("")
     body = F.encode(F.col(text_col), "UTF-8")
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0

@@ -208,10 +208,34 @@ def test_near_duplicates_in_a_large_loose_group(spark, monkeypatch):
         texts.append(" ".join(words))
     component, _ = brute.near_components(list(enumerate(texts)), 85)
     monkeypatch.setattr(m, "TILE", 16)
+    monkeypatch.setattr(m, "SIGNATURE_TILE", 8)
     found = m.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), percent=85).collect()
     assert {x.doc_id: x.component_id for x in found} == component and 1 < len(set(component.values())) < 90
 
 
+def test_tiles_meet_but_for_the_largest_component(spark):
+    """Every pair of members of different components meets in one pair of tiles at least."""
+    from rollcall.llm.minhash import dealt_tiles
+
+    r = random.Random(2)
+    members = [(g, k + 100 * g, c) for g, n in enumerate((1, 5, 40)) for k in range(n) for c in [r.choice([7, 7, 7, 7, k])]] + [(9, 900 + k, 3) for k in range(6)]
+    found = defaultdict(list)
+    for x in dealt_tiles(spark.createDataFrame(members, "g int, rep long, c long"), "g", 4).collect():
+        found[x.g, x.lo, x.hi].append((x.rep, x.tile))
+    met = {(a, b) for (_, lo, hi), xs in found.items() for a, ta in xs for b, tb in xs if a != b and {ta, tb} == {lo, hi}}
+    groups = {g: {c for h, _, c in members if h == g} for g in {m[0] for m in members}}
+    assert {k[0] for k in found} == {g for g, cs in groups.items() if len(cs) > 1}
+    assert all((a, b) in met for g, a, ca in members for h, b, cb in members if g == h and ca != cb)
+
+
+@pytest.mark.parametrize("name", ["near_duplicates", "removed_spans"])
+def test_text_ids_are_an_error_at_once(spark, name):
+    from rollcall.llm import minhash, substring_dedup
+
+    with pytest.raises(TypeError, match="integers"):
+        getattr(minhash if name == "near_duplicates" else substring_dedup, name)(spark.createDataFrame([("x1", "a")], "doc_id string, text string"))
+
+
 def test_packing(docs, rows, empty):
     import numpy as np
     import public_tokenizers
