@@ -2,8 +2,9 @@
 
 Each paragraph passes points for its length and its commas to its ancestors, halved from level to level (whole to an
 article or main element) and discounted by the share of its text that is in links. The container with most points is kept, with
-those of its siblings that don't read like menus. Left out are elements that are no text by their tag or role, and those whose whole
-class name or id says so, unless they hold an article, the main element or half of the page's points. The text comes out by blocks.
+those of its siblings that don't read like menus. Left out are elements that are no text by their tag or role. Words of class names and ids only
+discount, by their share of the name's words that tell anything; an element whose name is mostly such words goes if its discounted points don't outweigh
+all that is not under suspicion, and reader comments go beside any other text, however long they are. The text comes out by blocks.
 
 Nulls and edges: a null or empty html, or one without main text, gives an empty text; malformed, cut off
 and deeply nested markup is read as far as it goes; repeated rows and null ids are kept row by row.
@@ -40,49 +41,70 @@ CLOSES = {
 }
 BOILERPLATE_TAGS = frozenset("head script style title textarea xmp iframe noembed noframes noscript template svg canvas object nav header footer aside button select menu dialog".split())
 BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-#: Words that make a class name or id one of boilerplate, if all its other words are of the second list.
+#: Words by which class names and ids speak of boilerplate.
 BOILERPLATE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertisements advertising banner banners sponsor sponsored sponsors promo promos promotion cookie cookies consent gdpr notice notices "
     "sidebar sidebars aside comment comments commentlist disqus reply replies respond menu menus nav navbar navigation breadcrumb breadcrumbs footer header masthead topbar toolbar share sharing "
-    "social related recommended widget widgets popup modal overlay newsletter subscribe subscription signup login pagination pager paywall skip hidden".split()
+    "social related recommended widget widgets popup modal overlay newsletter subscribe subscription signup login pagination pager paywall skip hidden adsbygoogle adsense".split()
 )
+COMMENT_WORDS = frozenset("comment comments commentlist disqus reply replies respond".split())
+#: Words that tell where a thing stands or how it is shown, not what it is, and words after which a name tells of something else's absence or presence.
+
 PLACE_WORDS = frozenset(
     "site page post posts entry article articles story stories global top bottom left right primary secondary upper lower inner outer area list section box bar block container wrapper wrap content "
-    "item items link links form button buttons icons unit slot text body title thread reader user info module region column col main js mobile desktop sticky fixed google you may like also more by for".split()
+    "item items link links form button buttons icons unit slot text body title thread reader user info module region column col main mobile desktop sticky fixed google you may like also more for".split()
 )
+NEIGHBOUR_WORDS = frozenset("with without has no not".split())
 ARTICLE_WORDS = frozenset("comment comments reply replies ad ads advert sponsored related promo".split())
 CONTENT = frozenset("article main".split())
 PAGE = frozenset("#root html body".split())
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 WORDS = re.compile(r"[a-z]+")
-#: What a suspect element's points count for its ancestors.
-DISCOUNT = 0.25
+#: What the points of an element that is named as boilerplate throughout count for its ancestors, and the suspicion from which on an element may go.
+DISCOUNT, MOSTLY = 0.25, 0.6
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "boiler", "suspect", "points", "held", "score", "n_text", "n_link")
+    __slots__ = ("tag", "parent", "children", "boiler", "suspicion", "comments", "points", "held", "score", "n_text", "n_link")
 
-    def __init__(self, tag: str, parent: Node | None, boiler: bool = False, suspect: bool = False):
-        self.tag, self.parent, self.boiler, self.suspect, self.children = tag, parent, boiler, suspect, []
+    def __init__(self, tag: str, parent: Node | None, boiler: bool = False, suspicion: float = 0.0, comments: bool = False):
+        self.tag, self.parent, self.boiler, self.suspicion, self.comments, self.children = tag, parent, boiler, suspicion, comments, []
         self.points, self.held, self.score, self.n_text, self.n_link = 0.0, 0.0, 0.0, 0, 0
 
 
-def judged(tag: str, attributes: str) -> tuple[bool, bool]:
-    """Whether an element is boilerplate by its tag, role or hiding, and whether its class names, id or tag make it suspect."""
+def share_of(name: str, known: frozenset[str]) -> float:
+    """The share of a class name's words that are known, of those that tell what a thing is."""
+    words = WORDS.findall(name)
+    if NEIGHBOUR_WORDS.intersection(words):
+        return 0.0
+    telling = [w for w in words if w in known or len(w) > 2 and w not in PLACE_WORDS]
+    return sum(w in known for w in telling) / len(telling) if telling else 0.0
+
+
+def judged(tag: str, attributes: str) -> tuple[bool, float, bool]:
+    """Whether an element is boilerplate by its tag, role or hiding; how far its class names, id or tag make it suspect, from 0 to 1; and whether it is named as comments."""
     if tag in BOILERPLATE_TAGS:
-        return True, False
-    suspect = tag == "form"
+        return True, 0.0, False
+    suspicion = float(tag == "form")
     if not attributes.strip() or tag in PAGE or tag == "main":
-        return False, suspect
+        return False, suspicion, False
     found = {k.lower(): v.strip("\"'").lower() for k, v in ATTRIBUTE.findall(attributes)}
     if "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", ""):
-        return True, False
+        return True, 0.0, False
     roles = BOILERPLATE_ROLES.intersection(found.get("role", "").split())
     known = ARTICLE_WORDS if tag == "article" else BOILERPLATE_WORDS
+    comments = False
     for name in (found.get("class", "") + " " + found.get("id", "")).split():
-        words = set(WORDS.findall(name))
-        suspect = suspect or bool(words & known) and words <= known | PLACE_WORDS
-    return bool(roles - {"form"}), suspect or "form" in roles
+        suspicion = max(suspicion, share_of(name, known))
+        comments = comments or share_of(name, COMMENT_WORDS) >= MOSTLY
+    return bool(roles - {"form"}), max(suspicion, float("form" in roles)), comments
+
+
+def in_content(node: Node | None) -> bool:
+    """Whether a node stands in an article or the main element."""
+    while node is not None and node.tag not in CONTENT:
+        node = node.parent
+    return node is not None
 
 
 def parsed(page: str) -> Node:
@@ -131,8 +153,12 @@ def parsed(page: str) -> Node:
         if tag in VOID:
             here.children.append(Node(tag, here))
             continue
-        boiler, suspect = judged(tag, found[3])
-        node = Node(tag, here, here.boiler or boiler, suspect)
+        boiler, suspicion, comments = judged(tag, found[3])
+        if tag == "header" and in_content(here):
+            boiler = False  # of an article's own header its headings stay
+        if here.tag == "header" and tag not in HEADING and tag != "hgroup":
+            boiler = True
+        node = Node(tag, here, here.boiler or boiler, suspicion, comments)
         here.children.append(node)
         if tag in RAW_TEXT:
             end = RAW_END[tag].search(page, at)
@@ -182,16 +208,32 @@ def density(node: Node) -> float:
 
 
 def settle(nodes: list[Node]) -> None:
-    """Suspect elements become boilerplate, with all that is in them, unless they hold an article that is not suspect itself, main or half of the page's points."""
-    holds = set()
+    """Elements that are named as boilerplate become it, with all that is in them, unless they hold the article or the main element, or their
+    discounted points outweigh those of all that is not under suspicion; elements named as comments, if there is any other text and they don't hold the main element."""
+    holds, holds_main = set(), set()
     for node in reversed(nodes):
         node.held += node.points
-        if node.parent is not None:
-            node.parent.held += node.held
-            if node.tag in CONTENT and not node.suspect or node in holds:
-                holds.add(node.parent)
+        up = node.parent
+        if up is not None:
+            up.held += node.held
+            if node.tag in CONTENT and node.suspicion < MOSTLY or node in holds:
+                holds.add(up)
+            if node.tag == "main" or node in holds_main:
+                holds_main.add(up)
+
+    def accused(node: Node) -> bool:
+        return node.suspicion >= MOSTLY and node not in (holds_main if node.comments else holds)
+
+    under, rest = set(), nodes[0].held
     for node in nodes:  # parents first
-        node.boiler = node.parent is not None and node.parent.boiler or node.suspect and node not in holds and 2 * node.held < nodes[0].held
+        if node.parent in under:
+            under.add(node)
+        elif accused(node):
+            under.add(node)
+            rest -= node.held
+    for node in nodes:
+        goes = accused(node) and (rest > 1e-9 if node.comments else DISCOUNT * node.held <= rest)
+        node.boiler = node.parent is not None and node.parent.boiler or goes
 
 
 def main_nodes(root: Node) -> list[Node]:
@@ -207,8 +249,8 @@ def main_nodes(root: Node) -> list[Node]:
     for node in nodes:
         up, points, whole = node.parent if node.tag in PARAGRAPH else node, node.points, node.points
         while up is not None and whole > 0:
-            if up.suspect:
-                points, whole = points * DISCOUNT, whole * DISCOUNT
+            left = 1 - (1 - DISCOUNT) * up.suspicion
+            points, whole = points * left, whole * left
             up.score += whole if up.tag in CONTENT else points
             up, points = up.parent, points / 2
     if not nodes:

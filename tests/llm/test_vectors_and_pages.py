@@ -100,110 +100,46 @@ def test_containers_by_score(body, expected):
     assert found.removeprefix("İ" * 200 + "\n").split("\n") == expected
 
 
-class PlainTree:
-    """The scoring written plainly, over the standard library's parser, for well-formed pages."""
-
-    def __init__(self, text):
-        from html.parser import HTMLParser
-
-        from rollcall.llm import extraction as e
-
-        self.e = e
-        self.root = here = {"tag": "#root", "up": None, "kids": [], "boiler": False, "suspect": False}
-
-        class Parser(HTMLParser):
-            def handle_starttag(self, tag, attrs):
-                nonlocal here
-                boiler, suspect = e.judged(tag, " ".join(f'{k}="{v}"' for k, v in attrs))
-                node = {"tag": tag, "up": here, "kids": [], "boiler": boiler or here["boiler"], "suspect": suspect}
-                here["kids"].append(node)
-                here = node
-
-            def handle_endtag(self, tag):
-                nonlocal here
-                here = here["up"]
-
-            def handle_data(self, data):
-                here["kids"].append(data)
-
-        Parser().feed(text)
-
-    def nodes(self, node=None):
-        node = node or self.root
-        if not node["boiler"]:
-            yield node
-            for k in node["kids"]:
-                if isinstance(k, dict):
-                    yield from self.nodes(k)
-
-    def letters(self, node, linked=False):
-        """(all, in links)"""
-        linked = linked or node["tag"] == "a"
-        found = [0, 0]
-        for k in node["kids"]:
-            n = self.letters(k, linked) if isinstance(k, dict) and not k["boiler"] else (0, 0) if isinstance(k, dict) else (len("".join(k.split())), len("".join(k.split())) * linked)
-            found = [found[0] + n[0], found[1] + n[1]]
-        return found
-
-    def density(self, node):
-        n, links = self.letters(node, any(u["tag"] == "a" for u in self.above(node)))
-        return links / n if n else 0
-
-    def above(self, node):
-        while node["up"]:
-            node = node["up"]
-            yield node
-
-    def own(self, node):
-        return " ".join(k if isinstance(k, str) else self.own(k) for k in node["kids"] if isinstance(k, str) or k["tag"] in self.e.INLINE and not k["boiler"])
-
-    def points(self, node):
-        e = self.e
-        if not (node["tag"] in e.PARAGRAPH or node["tag"] not in e.INLINE and any(isinstance(k, str) and k.strip() for k in node["kids"])):
-            return 0
-        text = " ".join(self.own(node).split())
-        return (1 + text.count(",") + min(len(text) / 100, 3)) * (1 - self.density(node)) if text else 0
-
-    def main(self):
-        e = self.e
-        points = {id(n): self.points(n) for n in self.nodes()}
-        held = lambda n: sum(points[id(x)] for x in self.nodes(n))
-        total = held(self.root)
-        out = [n for n in self.nodes() if n["suspect"] and not any(x["tag"] in e.CONTENT and not x["suspect"] for x in self.nodes(n) if x is not n) and 2 * held(n) < total]
-        for n in out:
-            for x in list(self.nodes(n)):
-                x["boiler"] = True
-        nodes = list(self.nodes())
-        score = {id(n): 0.0 for n in nodes}
-        for n in nodes:
-            p = points[id(n)]
-            chain = [*([] if n["tag"] in e.PARAGRAPH else [n]), *self.above(n)]
-            for level, up in enumerate(chain):
-                worth = p * e.DISCOUNT ** sum(u["suspect"] for u in chain[: level + 1])
-                score[id(up)] += worth if up["tag"] in e.CONTENT else worth / 2**level
-        return nodes, score
-
-
-def test_scores_as_a_plain_version(spark):
-    """Scores of random well-formed pages, and what is left out."""
-    from rollcall.llm import extraction as e
-
-    r = random.Random(9)
-
-    def made(depth):
-        kids = []
-        for _ in range(r.randrange(1, 4)):
-            kind = r.choice(["p", "p", "p", "div", "div", "section", "article", "ul", "nav", "form", "aside", "text"])
-            name = r.choice(["", "", "", ' class="content"', ' class="sidebar"', ' id="comments"', ' class="post has-comments"', ' class="main-nav"'])
-            words = " ".join(r.choice(["one", "two,", "three", "<a href='/x'>link</a>", "<b>bold</b>"]) for _ in range(r.randrange(1, 40)))
-            kids.append(words if kind == "text" else f"<p>{words}</p>" if kind == "p" or depth == 0 else f"<{kind}{name}>{made(depth - 1)}</{kind}>")
-        return "".join(kids)
-
-    for _ in range(150):
-        text = f"<html><body>{made(4)}</body></html>"
-        plain_nodes, scores = PlainTree(text).main()
-        root = e.parsed(text)
-        e.main_nodes(root)
-        nodes = [n for n in e.walked(root) if not n.boiler]
-        assert [n.tag for n in nodes] == [n["tag"] for n in plain_nodes]
-        assert [n.score for n in nodes] == pytest.approx([scores[id(n)] for n in plain_nodes], abs=1e-6)
+POST = ["Short post."]
+TALK = ["I think, and I say it, that this is wrong, all of it, from the first word on.", "No, it is right, as anyone can see, who reads it twice.", "You, again, of all people, with the same old thing, and the same words.", "Well, well, well, said the fourth, and went on, and on, and on."]
+TALKED = "".join(f"<p>{t}</p>" for t in TALK)
+
+
+@pytest.mark.parametrize(
+    ("body", "expected"),
+    [
+        ("<h1>T</h1><p>Short post.</p><div class='comments'>" + TALKED + "</div>", ["T", *POST]),
+        ("<h1>T</h1><p>Short post.</p><section id=user-comments-section-v3>" + "".join(f"<article class='c'><p>{t}</p></article>" for t in TALK) + "</section>", ["T", *POST]),
+        ("<div class='cookie-consent-v2'><p>We use cookies, as you know.</p></div><div class=post><p>{0}</p></div>", [LONG]),
+        ("<div class='l-sidebar'><p>About us, and you, and more.</p></div><div><p>{0}</p><p>{1}</p></div>", [LONG, "Second, short."]),
+        ("<article><p>{0}</p><div class='js-ad-slot-x'>Buy it, now, and here.</div><ins class='adsbygoogle'>Or there, tomorrow.</ins><p>{1}</p></article>", [LONG, "Second, short."]),
+        ("<article><header><h1>TITLE</h1><p>by someone, on a day</p></header><p>{0}</p></article>", ["TITLE", LONG]),
+        ("<header><h1>Site</h1></header><article><p>{0}</p></article>", [LONG]),
+        ("<div class='widget'><p>{0}</p><p>{0}</p><p>{1}</p></div><footer>c</footer>", [LONG, LONG, "Second, short."]),  # nothing else is on the page
+        ("<div class='comments'><p>{0}</p></div>", [LONG]),
+        ("<main class='no-sidebar'><div class='sidebar-layout-grid'><p>{0}</p><p>{1}</p></div></main>", [LONG, "Second, short."]),
+    ],
+)
+def test_names_only_discount(body, expected):
+    assert main_text(page(body.format(LONG, "Second, short."))).split("\n") == expected
+
+
+def test_pages_of_known_parts():
+    """Random pages put together from an article and other parts, under class names put together by chance: the text is the article's blocks."""
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randrange(2, 9)))
+    say = lambda n: " ".join(word() + r.choice(["", "", "", ","]) for _ in range(n)) + "."
+    around = lambda core: "-".join(x for x in (r.choice(["", "l", "js", "site", "page", "main"]), core, r.choice(["", "v2", "box", "wrapper", "section", "3"])) if x)
+    for _ in range(300):
+        blocks = [say(r.randrange(8, 60)) for _ in range(r.randrange(2, 7))]
+        title = say(4)
+        tag, name = r.choice([("article", ""), ("div", "post"), ("div", "entry-content"), ("section", "story has-sidebar"), ("main", "")])
+        head = r.choice([f"<h1>{title}</h1>", f"<header><h1>{title}</h1><span>{say(3)}</span></header>"]) if tag in ("article", "main") else f"<h1>{title}</h1>"
+        inside = [f"<p>{b}</p>" for b in blocks]
+        for _ in range(r.randrange(3)):
+            inside.insert(r.randrange(len(inside) + 1), r.choice([f"<div class='{around('ad')}'>{say(5)}</div>", f"<aside><p>{say(20)}</p></aside>", f"<script>{say(9)}</script>", f"<form><p>{say(4)}</p><input></form>"]))
+        core = f"<{tag} class='{name}'>{head}{''.join(inside)}</{tag}>"
+        before = [f"<nav><ul>{''.join(f'<li><a href=/>{word()}</a></li>' for _ in range(5))}</ul></nav>", f"<div class='{around('cookie-notice')}'><p>{say(12)}</p></div>", f"<header><p>{say(9)}</p></header>"]
+        after = [f"<div class='{around('sidebar')}'><p>{say(25)}</p></div>", f"<div id='{around('comments')}'>{''.join(f'<div><p>{say(30)}</p></div>' for _ in range(r.randrange(1, 9)))}</div>", f"<footer>{say(6)}</footer>", f"<div class='{around('newsletter')}'>{say(7)}</div>"]
+        body = "".join(r.sample(before, r.randrange(4)) + [core] + r.sample(after, r.randrange(5)))
+        assert main_text(page(body)).split("\n") == [title, *blocks], body
