@@ -95,9 +95,11 @@ def projections(dim: int) -> np.ndarray:
 def tiles(classes: DataFrame, tile: int) -> DataFrame:
     """The classes, ordered by label, length and a projection, in tiles of at most ``tile`` vectors; a row for each tile."""
     n = classes.count()
-    size = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    along = F.aggregate(F.transform("embedding", lambda x, k: x.cast("double") * F.cos(0.7 * (k + 1) * (k + 1))), F.lit(0.0), lambda s, x: s + x) / size
-    placed = classes.select("cid", "n", F.col("label").cast("string").alias("label"), "embedding", F.size("embedding").alias("dim"), along.alias("along"))
+    # by the greatest component first, so that no square of a tiny or huge one is lost
+    scaled = classes.withColumn("top", F.array_max(F.transform("embedding", lambda x: F.abs(x.cast("double")))))
+    size = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + (x.cast("double") / F.col("top")) * (x.cast("double") / F.col("top"))))
+    along = F.aggregate(F.transform("embedding", lambda x, k: x.cast("double") / F.col("top") * F.cos(0.7 * (k + 1) * (k + 1))), F.lit(0.0), lambda s, x: s + x) / size
+    placed = scaled.select("cid", "n", F.col("label").cast("string").alias("label"), "embedding", F.size("embedding").alias("dim"), along.alias("along"))
     placed = placed.repartitionByRange(max(1, math.ceil(n / tile)), "label", "dim", "along", "cid").sortWithinPartitions("label", "dim", "along", "cid")
     schema = pa.schema([("tile", pa.int64()), ("label", pa.string()), ("dim", pa.int32()), ("lo", pa.list_(pa.float64())), ("hi", pa.list_(pa.float64())), ("ids", pa.binary()), ("counts", pa.binary()), ("vectors", pa.binary())])
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from rollcall.llm import fill_in_middle, licenses, line_dedup, passage_dedup, quality
-from rollcall.llm.licenses import words as licence_words
 
 BLANK = r"[\x20\x09-\x0D]"
 
@@ -73,13 +72,10 @@ SELECT id AS doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, id = co
 
 def licence_sql() -> str:
     """The index, as rows of literals, joined to all words of all documents."""
-    posted = [(k, w, i) for k, (_, text, keys) in enumerate(licenses.NOTICES) for w, i in licenses.postings(text, keys)]
-    sizes = {k: sum(p[0] == k for p in posted) for k in range(len(licenses.NOTICES))}
+    posted = [(k, w, i, key) for k, (_, text, keys) in enumerate(licenses.notices()) for w, i, key in licenses.postings(text, keys)]
+    sizes = {k: [p for p in posted if p[0] == k] for k in range(len(licenses.notices()))}
     values = lambda rows: "(VALUES " + ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else str(x) for x in r) + ")" for r in rows) + ")"
-    keys = [(k, n, p) for k, (_, _, ps) in enumerate(licenses.NOTICES) for n, p in enumerate(ps)]
-    phrase_hits = " UNION ALL ".join(
-        f"SELECT DISTINCT doc_id, {k} AS notice, {n} AS phrase FROM p WHERE " + " AND ".join(f"t[i + {j}] = '{w}'" for j, w in enumerate(licence_words(text))) for k, n, text in keys
-    )
+    told = values([(k, label, len(sizes[k]), licenses.aligned_from(len(sizes[k])), sum(p[3] for p in sizes[k])) for k, (label, _, _) in enumerate(licenses.notices())])
     vocabulary = values([(w,) for w in licenses.vocabulary()])
     return rf"""
 WITH w AS (
@@ -90,13 +86,11 @@ WITH w AS (
 ), b AS (
   SELECT doc_id, count(*) AS n, min(i) - 1 AS lo, max(i) - 1 AS hi, list(DISTINCT label) AS labels FROM base WHERE label IS NOT NULL GROUP BY doc_id
 ), hit AS (SELECT doc_id, t[i] AS word, i - 1 AS i FROM p WHERE t[i] IN (SELECT * FROM {vocabulary})
-), posted(notice, word, tpos) AS {values(posted)}
-, notice(notice, label, size, phrases) AS {values([(k, label, sizes[k], len(ps)) for k, (label, _, ps) in enumerate(licenses.NOTICES)])}
-, votes AS (SELECT doc_id, notice, max(n) AS n FROM (SELECT doc_id, notice, i - tpos, count(*) AS n FROM hit JOIN posted USING (word) GROUP BY ALL) GROUP BY doc_id, notice
-), verified AS (SELECT doc_id, notice, count(*) AS n FROM ({phrase_hits}) GROUP BY doc_id, notice
-), found AS (
-  SELECT DISTINCT v.doc_id, x.label, v.n / x.size::DOUBLE AS share FROM votes v JOIN notice x USING (notice) JOIN verified f ON f.doc_id = v.doc_id AND f.notice = v.notice AND f.n = x.phrases
-  WHERE v.n >= {licenses.ALIGNED} * x.size
+), posted(notice, word, tpos, key) AS {values(posted)}
+, notice(notice, label, size, need, n_keys) AS {told}
+, found AS (
+  SELECT doc_id, label, n / size::DOUBLE AS share FROM (SELECT doc_id, notice, i - tpos AS start, count(*) AS n, count(*) FILTER (WHERE key) AS keys FROM hit JOIN posted USING (word) GROUP BY ALL) JOIN notice USING (notice)
+  WHERE n >= need AND keys = n_keys
 ), g AS (SELECT doc_id, list(DISTINCT label) AS labels, max(share) AS share FROM found GROUP BY doc_id
 )
 SELECT w.doc_id, len(w.t)::BIGINT AS n_words, coalesce(b.n, 0)::BIGINT AS n_base, b.lo::BIGINT AS first_word, b.hi::BIGINT AS last_word, coalesce(array_to_string(list_sort(b.labels), ','), '') AS base_labels,

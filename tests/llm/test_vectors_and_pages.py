@@ -40,6 +40,12 @@ def test_links_and_components(spark, tile):
     assert embedding_duplicates(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
+def test_tiny_and_huge_components(spark):
+    rows = [(1, "a", [5e-324, 0.0, 0.0]), (2, "a", [1e-200, 1e-202, 0.0]), (3, "a", [1e300, 1e299, 0.0]), (4, "a", [0.0, 0.0, 3.0]), (5, "a", [0.0, 0.0, 0.0])]
+    found = {x.vec_id: (x.n_links, x.component_id) for x in embedding_duplicates(spark.createDataFrame(rows, "vec_id long, label string, embedding array<double>")).collect()}
+    assert found == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (0, 4), 5: (0, 5)}
+
+
 def test_bounds_never_lose_a_pair():
     r = np.random.default_rng(2)
     a = r.normal(size=(200, 24))

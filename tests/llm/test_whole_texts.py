@@ -6,35 +6,52 @@ import pytest
 
 
 def notices_of(text):
-    """label: aligned share, of every notice, by trying each at every place."""
-    from rollcall.llm.licenses import ALIGNED, NOTICES, postings, words
+    """label: greatest aligned share, of every notice, by trying each at every place; its key phrases stand word by word where they would be."""
+    from rollcall.llm.licenses import ALIGNED, COMMON, notices, words
 
     held, found = words(text), {}
-    for label, notice, keys in NOTICES:
-        posted = postings(notice, keys)
-        best = max((sum(0 <= s + i < len(held) and held[s + i] == w for w, i in posted) for s in range(-len(posted) * 4, len(held))), default=0)
-        keyed = all(any(held[k : k + len(words(p))] == words(p) for k in range(len(held))) for p in keys)
-        if keyed and best >= math.ceil(ALIGNED * len(posted)):
-            found[label] = best / len(posted)
+    for label, notice, keys in notices():
+        told = words(notice)
+        keyed = {k + d for p in map(words, keys) for k in [next(k for k in range(len(told)) if told[k : k + len(p)] == p)] for d in range(len(p))}
+        posted = [k for k, w in enumerate(told) if k in keyed or w not in COMMON]
+        for s in range(-len(told), len(held)):
+            stands = {k for k in posted if 0 <= s + k < len(held) and held[s + k] == told[k]}
+            if keyed <= stands and len(stands) >= math.ceil(ALIGNED * len(posted)):
+                found[label] = max(found.get(label, 0), len(stands) / len(posted))
     return found
 
 
 def test_every_notice_of_a_file_is_tried(spark):
     from rollcall.llm.licenses import NOTICES, scan_licenses
 
-    text = {label: t for label, t, _ in NOTICES}
-    rows = ["\n".join(text.values()), f"{text['mit']}. {text['mpl']}", f"{text['isc']} {text['bsd']} {text['mit']}", text["mit"].replace("obtaining", "getting").replace("dealing", "trading"), text["mit"][:60], " ".join(sorted(text["mit"].split()))]
+    text = {label: t for label, t, _ in reversed(NOTICES)}
+    rows = ["\n".join(t for _, t, _ in NOTICES), f"{text['mit']}. {text['mpl']}", f"{text['isc']} {text['bsd']} {text['mit']}", text["mit"].replace("obtaining", "getting").replace("dealing", "trading"), text["mit"][:60], " ".join(sorted(text["mit"].split()))]
     rows += [text["mit"]] * 20  # the words of MPL are the rare ones
-    base = {1: "apache,gpl"}
+    rows += ["software without restriction " + text["mit"].replace("without restriction", "with limits"), text["mit"] + " " + text["mit"]]  # a key phrase elsewhere
     expected = []
     for i, t in enumerate(rows, 1):
         found = notices_of(t)
-        labels = set(found) | set(base[1].split(",") if i == 1 else [])
-        expected.append((i, ",".join(sorted(labels)), 1.0 if i == 1 else max(found.values(), default=0.0)))
+        base = {w: label for w, label in (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl")) if w in t.lower()}
+        expected.append((i, ",".join(sorted(set(found) | set(base.values()))), 1.0 if base else max(found.values(), default=0.0)))
     out = scan_licenses(spark.createDataFrame(list(enumerate(rows, 1)), "doc_id long, text string")).orderBy("doc_id").collect()
     assert [(r.doc_id, r.labels) for r in out] == [e[:2] for e in expected]
     assert [r.score for r in out] == pytest.approx([e[2] for e in expected])
-    assert out[0].labels == "apache,bsd,gpl,isc,mit,mpl" and out[1].labels == "mit,mpl"
+    assert len(out[0].labels.split(",")) > 30 and out[1].labels == "mit,mpl" and out[-2].labels == "" and len([s for s in out[-1].spans if s.label == "mit"]) == 2
+
+
+def test_each_licence_by_its_passage_and_its_identifier(spark):
+    """Every notice alone, amid other words; torn apart it is none."""
+    from rollcall.llm.licenses import notices, scan_licenses
+
+    every = notices()
+    assert len({label for label, _, _ in every}) >= 30
+    rows = [(k, f"x1 x2\n{t.upper()}\nx3") for k, (_, t, _) in enumerate(every)] + [(1000 + k, " y ".join(reversed(t.split()))) for k, (_, t, _) in enumerate(every)]
+    rows += [(2000, "// SPDX-License-Identifier: BSD-3-Clause"), (2001, "SPDX-License-Identifier: BSD-4"), (2002, "BSD-3-Clause"), (2003, "Distributed under the Boost Software License, Version 1.0. (See accompanying file)")]
+    found = {r.doc_id: set(r.labels.split(",")) for r in scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(label in found[k] for k, (label, _, _) in enumerate(every))
+    base = {"mit", "apache", "gpl"}
+    assert all(found[1000 + k] <= base | {""} for k in range(len(every)))
+    assert found[2000] == {"bsd"} and found[2001] == found[2002] == {""} and found[2003] == {"boost"}
 
 
 def test_copies_of_short_lines_go(spark, tmp_path):
