@@ -5,7 +5,7 @@ spherical k-means; a text takes the language of the centroid with the highest co
 farther from its centroid than almost all training texts is marked as rejected.
 
 The model is fitted on a bounded sample: the ``PER_LANGUAGE`` labelled training rows of each language that come
-first by a hash of their id and then of their text. Each language is clustered in a task of its own. Prediction reads every whole text.
+first by a hash of their id and their text. Each language is clustered in a task of its own. Prediction reads every whole text.
 
 Nulls and edges: a text that is null or has no letter gets ``und`` and score 0; so does every text if no
 row can be learned from; rows without a language are not learned from; repeated rows get equal answers and are learned once; a null id is held for
@@ -26,6 +26,8 @@ from rollcall.llm.frames import arrow_type, emitted, rows_of, written
 
 #: Training rows of one language, at most.
 PER_LANGUAGE = 400
+#: Parts of a language where its rows meet its level.
+LEVEL_PARTS = 64
 CENTROIDS = 4
 BITS = 12
 #: Share of the training texts that lie beyond the distance at which a text is rejected.
@@ -106,13 +108,24 @@ def held_out(id_col: str) -> F.Column:
 
 
 def training_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int) -> DataFrame:
-    """(lang, text) of at most ``per_language`` rows of each language; rows that repeat an id and a text count once. No text of a held-out row is read."""
+    """(lang, text) of at most ``per_language`` rows of each language; rows that repeat an id and a text count once. No text of a held-out row is read.
+
+    A row's level is the length in bits of its hash, so that each level down holds half as many rows. Counts by level tell up to which one
+    a language has enough rows; only those rows, about twice as many as are taken, are ranked. Languages are dealt to parts where rows meet their level.
+    """
     text = F.col(text_col)
     usable = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & text.isNotNull())
-    usable = usable.select(F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col).cast("string")).alias("place"), F.xxhash64(F.col(id_col).cast("string"), text).alias("key"), text.alias("text"))
-    first = Window.partitionBy("lang").orderBy("place", "key")
-    keys = usable.select("lang", "place", "key").withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= per_language).select("lang", "key").distinct()
-    return usable.join(written(keys), ["lang", "key"], "left_semi").groupBy("lang", "key").agg(F.first("text").alias("text"))
+    usable = usable.select(F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col).cast("string"), text).alias("key"), text.alias("text"))
+    level = F.length(F.bin(F.col("key").bitwiseXOR(F.lit(-(1 << 63)))))  # the least hash counts from 0 on
+    keys = written(usable.select("lang", "key").distinct().withColumn("level", level))
+    up_to = Window.partitionBy("lang").orderBy("level")
+    filled = keys.groupBy("lang", "level").agg(F.count("*").alias("n")).withColumn("before", F.sum("n").over(up_to) - F.col("n"))
+    parts = F.explode(F.sequence(F.lit(0), F.lit(LEVEL_PARTS - 1))).alias("part")
+    limits = filled.where(F.col("before") < per_language).groupBy("lang").agg(F.max("level").alias("most")).select("lang", "most", parts)
+    few = keys.withColumn("part", F.pmod("key", F.lit(LEVEL_PARTS)).cast("int")).join(limits, ["lang", "part"]).where("level <= most")
+    first = Window.partitionBy("lang").orderBy("key")
+    chosen = few.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= per_language).select("lang", "key").distinct()
+    return usable.join(written(chosen), ["lang", "key"], "left_semi").groupBy("lang", "key").agg(F.first("text").alias("text"))
 
 
 def language_model(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> Model:
