@@ -2,28 +2,41 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rollcall.llm.frames import checkpointed
 
 
+def with_least(edges: DataFrame, parts: int) -> DataFrame:
+    """``edges`` (u, v) with m, the least v of each u.
+
+    A node's edges are dealt to ``parts`` parts by v. Each part has a row of its own with its least v, and these rows alone meet
+    by node, so that no task has more than a part of a hub's edges, or more rows of it than there are parts.
+    """
+    dealt = edges.withColumn("part", F.pmod(F.xxhash64("v"), F.lit(parts)))
+    leasts = dealt.groupBy("u", "part").agg(F.min("v").alias("m"))
+    least = leasts.groupBy("u").agg(F.min("m").alias("m"))
+    return dealt.join(leasts.select("u", "part").join(least, "u"), ["u", "part"]).select("u", "v", "m")
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node of an edge between different nodes; the component is its smallest node.
 
     Alternates large-star and small-star steps: all larger neighbours of a node move to its smallest
-    neighbour, then all smaller ones do. Each step is a combinable minimum by node and a join; every
+    neighbour, then all smaller ones do. Each step is a combinable minimum by node and part and a join; every
     round is checkpointed. Rows with a null end and loops are ignored; repeated edges don't matter.
     """
     now = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("u") != F.col("v"))).distinct()
     now = checkpointed(now)
+    parts = max(1, math.isqrt(now.count()))
     before = None
     while True:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        lowest = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(lowest, "u").select("u", "v", "m")
+        large = with_least(both, parts).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).where("u != v").distinct()
+        small = with_least(large, parts)
         now = small.select("u", F.col("m").alias("v")).union(small.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct()
         now = checkpointed(now)
         state = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.hash("u", "v").cast("long"))).first()
