@@ -8,9 +8,9 @@ are dealt into chunks. 1. Each chunk sends the hashes of its minimizers, packed
 bucket tells the chunks which of them occur in other documents too. 3. Each chunk sends the runs of strings
 around those, equal ones once, with their smallest document, to the bucket of the minimizer; strings around a
 minimizer that occurs very often go each to a bucket of its own hash instead. 4. Each bucket sorts the suffixes of its runs
-by bucket-pointer refinement: first q-gram buckets, then again and again by the bucket pointers of a later offset, so that
-each round reuses the last one's updates, down to the full length; equal strings share a bucket, whose smallest
-document answers. An answer is a bit for each string. 5. Each chunk cuts its documents.
+by bucket-pointer refinement: first buckets of 8 bytes, then bucket after bucket by the bucket pointers of a later offset, which
+reuse at once what other buckets have been refined to, down to the full length; equal strings stand together, and their smallest document
+answers. An answer is a bit for each string. 5. Each chunk cuts its documents.
 The texts are shuffled once, by chunk; only hashes, runs and bits travel otherwise.
 
 Nulls and edges: a null text is empty and stays null; a document with a null id neither loses bytes nor
@@ -32,6 +32,8 @@ from rollcall.llm.frames import integer_ids
 
 LENGTH = 50
 QGRAM = 24
+#: Bytes that a bucket's places agree in at first, and into how many blocks the buckets of a round are dealt.
+Q, BLOCKS = 8, 8
 #: Bytes of text in a chunk, and in a hash bucket's share of the corpus; but there are at least LEAST_PARTS of either.
 CHUNK_BYTES, BUCKET_BYTES, LEAST_PARTS = 4 << 20, 12 << 20, 64
 #: Occurrences from which on a minimizer's strings are dealt by their own hash.
@@ -101,35 +103,58 @@ def runs(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-def bucket_pointers(blob: np.ndarray, ends: np.ndarray, length: int = LENGTH, q: int = 8) -> np.ndarray:
-    """For each place of ``blob`` a pointer to its bucket among all suffixes, sorted by their first ``length`` bytes.
+def bucket_pointers(blob: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+    """The places of ``blob`` in the order of their suffixes, and the pointer of each place to its bucket in that order.
 
-    ``ends`` is where the piece of each place ends; pointers of places with less than ``length`` bytes left mean nothing.
+    Buckets begin as those of the first 8 bytes. A bucket whose places agree in d bytes is sorted by the pointers of the places d further on,
+    and what still falls together agrees in as many bytes more as that later bucket does. Buckets are refined in blocks, from the greatest pointer
+    on; a block sees at once what the blocks before it have refined. Places that are alone in their bucket, or agree in ``length`` bytes, drop out.
+    The blob's end counts as zero bytes without end.
     """
     n = len(blob)
-    room = ends - np.arange(n)
-    grams = np.zeros(n, np.uint64)
-    for k in range(q):
-        grams <<= np.uint64(8)
-        grams[: n - k] |= blob[k:]
-    _, back, counts = np.unique(grams, return_inverse=True, return_counts=True)
-    pointers = (np.cumsum(counts) - counts)[back]
-    depth = q
-    while depth < length:
-        step = min(depth, length - depth)
-        refined = np.flatnonzero(room >= depth + step)
-        key_now, key_later = pointers[refined], pointers[refined + step]
-        order = np.lexsort((key_later, key_now))
-        now, later = key_now[order], key_later[order]
-        new_bucket = np.append(True, now[1:] != now[:-1])
-        new_part = new_bucket | np.append(True, later[1:] != later[:-1])
-        at = np.arange(len(order))
-        bucket_start = np.maximum.accumulate(np.where(new_bucket, at, 0))
-        part_start = np.maximum.accumulate(np.where(new_part, at, 0))
-        pointers = pointers.copy()
-        pointers[refined[order]] = now + part_start - bucket_start
-        depth += step
-    return pointers
+    gram = np.concatenate([blob, np.zeros(Q, np.uint8)]).astype(np.uint64)
+    have = 1
+    while have < Q:
+        gram = np.concatenate([gram[: len(gram) - have] << np.uint64(8 * have) | gram[have:], np.zeros(have, np.uint64)])
+        have *= 2
+    order = np.argsort(gram[:n], kind="stable")
+    new = np.append(True, np.diff(gram[order]) != 0)
+    begin = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+    pointers, depths = np.full(n + length + 1, -1), np.full(n, Q)  # a pointer for each place, a depth for each bucket
+    pointers[order] = begin
+    size = np.zeros(n, np.int64)  # of the bucket that begins here
+    np.add.at(size, begin, 1)
+    while True:
+        open_ = np.flatnonzero((size > 1) & (depths < length))
+        if not len(open_):
+            return order, pointers[:n]
+        ends = np.cumsum(size[open_])
+        for block in reversed(np.split(open_, np.searchsorted(ends, np.arange(1, BLOCKS) * ends[-1] / BLOCKS))):
+            if not len(block):
+                continue
+            sizes = size[block]
+            first = np.cumsum(sizes) - sizes
+            slots = np.repeat(block - first, sizes) + np.arange(sizes.sum())
+            places, bucket = order[slots], np.repeat(np.arange(len(block)), sizes)
+            later = pointers[np.minimum(places + np.repeat(depths[block], sizes), n)]
+            sorted_ = np.argsort(bucket * (n + 1) + later + 1, kind="stable")
+            places, later = places[sorted_], later[sorted_]
+            new = np.append(True, (later[1:] != later[:-1]) | (bucket[1:] != bucket[:-1]))
+            at = np.flatnonzero(new)
+            order[slots], heads = places, slots[at]
+            deeper = np.where(later[at] < 0, length, np.minimum(depths[block][bucket[at]] + depths[later[at]], length))
+            size[heads] = np.diff(np.append(at, len(slots)))
+            depths[heads] = deeper
+            pointers[places] = np.repeat(heads, size[heads])
+
+
+def agreeing(blob: np.ndarray, places: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """Whether each of these places and the one before it begin the same ``length`` bytes (false for the first)."""
+    same = np.append(False, np.ones(max(0, len(places) - 1), bool))
+    for k in range(length):
+        at = np.flatnonzero(same)
+        same[at] = blob[places[at] + k] == blob[places[at - 1] + k]
+    return same
 
 
 def smallest_documents(pieces: list[bytes], docs: np.ndarray) -> list[np.ndarray]:
@@ -138,12 +163,14 @@ def smallest_documents(pieces: list[bytes], docs: np.ndarray) -> list[np.ndarray
     blob = np.frombuffer(b"".join(pieces), np.uint8)
     stops = np.cumsum(sizes)
     piece = np.repeat(np.arange(len(pieces)), sizes)
-    pointers = bucket_pointers(blob, stops[piece])
-    whole = np.flatnonzero(stops[piece] - np.arange(len(blob)) >= LENGTH)
-    _, back = np.unique(pointers[whole], return_inverse=True)
-    least = np.full(back.max() + 1, np.iinfo(np.int64).max)
-    np.minimum.at(least, back, docs[piece[whole]])
-    answers = least[back]
+    order, _ = bucket_pointers(blob)
+    order = order[stops[piece[order]] - order >= LENGTH]  # in the order of suffixes, equal strings stand together
+    string = np.cumsum(~agreeing(blob, order)) - 1
+    least = np.full(string[-1] + 1, np.iinfo(np.int64).max)
+    np.minimum.at(least, string, docs[piece[order]])
+    answers = np.zeros(len(blob), np.int64)
+    answers[order] = least[string]
+    answers = answers[stops[piece] - np.arange(len(blob)) >= LENGTH]
     cuts = np.cumsum(sizes - LENGTH + 1)[:-1]
     return np.split(answers, cuts)
 
