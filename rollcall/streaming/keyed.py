@@ -3,16 +3,17 @@
 An :class:`OrderedFold` applies the rows of each key in the order of their event time, in whatever order they come: rows above the watermark
 wait in the state, those at or below it are folded in for good, and what is told of a key is the fold with its waiting rows on top. A row that is read
 again counts once: while its first reading waits it is known, and afterwards it is late. Late rows are dropped by Spark; ``jobs.corrected``
-takes those in. Each batch reads the state of its own keys only; a timer folds what waits once the watermark has passed.
+takes those in. Each batch reads the state of its own keys only. A key's state is one value, which is read and written once for a key and batch, as each
+call from Python costs more than many rows; rows that wait are folded for good when the key next has rows, and a timer rings only for what happens without any.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from typing import Any
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -53,9 +54,7 @@ class OrderedFold(StatefulProcessor):
         self.names = [c.split()[0] for c in self.events.split(", ")]
         self.fields = [c.split()[0] for c in self.held.split(", ")]
         self.columns = [c.split()[0] for c in self.told.split(", ")]
-        self.casts = [int if c.endswith(" long") else lambda v: v for c in self.events.split(", ")]  # a column with nulls comes as floats
-        self.folded = handle.getValueState("folded", self.held)
-        self.waiting = handle.getListState("waiting", self.events)
+        self.kept = handle.getValueState("kept", f"{self.held}, waiting string")
 
     def taken(self, state: State, rows: list[State], until: int | None = None) -> State:
         """The state after rows in order, and after all that happens without a row up to the time of each, or up to ``until``."""
@@ -70,31 +69,27 @@ class OrderedFold(StatefulProcessor):
         while (at := self.wake(state)) is not None and at <= now:
             self.woken(state)
 
-    def moved(self, key: object, new: list[State], watermark: int) -> pd.DataFrame:
-        state = dict(zip(self.fields, self.folded.get(), strict=True)) if self.folded.exists() else self.start()
-        known = {r["pos"]: r for r in (dict(zip(self.names, row, strict=True)) for row in self.waiting.get())} if self.waiting.exists() else {}
+    def moved(self, key: object, new: list[State], watermark: int) -> Row:
+        kept = self.kept.get()
+        state = dict(zip(self.fields, kept, strict=False)) if kept else self.start()
+        known = {r["pos"]: r for r in (dict(zip(self.names, row, strict=True)) for row in json.loads(kept[-1]))} if kept and kept[-1] else {}
         for row in new:
             known.setdefault(row["pos"], row)
         rows = sorted(known.values(), key=lambda r: (r["at_ms"], r["pos"]))
         final, rest = [r for r in rows if r["at_ms"] <= watermark], [r for r in rows if r["at_ms"] > watermark]
         state = self.taken(state, final, watermark)
-        self.folded.update(tuple(state[f] for f in self.fields))
-        if rest:
-            self.waiting.put([tuple(r[n] for n in self.names) for r in rest])
-            self.handle.registerTimer(rest[-1]["at_ms"] + 1)
-        elif known:
-            self.waiting.clear()
+        self.kept.update((*(state[f] for f in self.fields), json.dumps([[r[n] for n in self.names] for r in rest]) if rest else None))
+        state = self.taken(dict(state), rest)
         if (at := self.wake(state)) is not None:
             self.handle.registerTimer(at + 1)
-        told = self.tell(key, self.taken(dict(state), rest))
-        return pd.DataFrame([[told[c] for c in self.columns]], columns=self.columns, dtype=object)
+        told = self.tell(key, state)
+        return Row(**{c: told[c] for c in self.columns})
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        parts = (part[self.names].astype(object).itertuples(index=False) for part in rows)
-        new = [dict(zip(self.names, (None if v is None or v is pd.NA or v != v else cast(v) for v, cast in zip(r, self.casts, strict=True)), strict=True)) for part in parts for r in part]
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        new = [dict(zip(self.names, row[1:], strict=False)) for row in rows]
         yield self.moved(key[0], new, timerValues.getCurrentWatermarkInMs() - 1)
 
-    def handleExpiredTimer(self, key: tuple, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key: tuple, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
         yield self.moved(key[0], [], timerValues.getCurrentWatermarkInMs() - 1)
 
     def close(self) -> None:
@@ -174,4 +169,4 @@ def folded(stream: DataFrame, fold: OrderedFold, delay: str) -> DataFrame:
     later, as what is at the epoch is late from the start."""
     columns = [c.split()[0] for c in fold.events.split(", ")]
     rows = stream.select(fold.key, *columns, F.timestamp_millis(F.col("at_ms") + 1).alias("event_time")).withWatermark("event_time", delay)
-    return rows.groupBy(fold.key).transformWithStateInPandas(fold, fold.told, "Update", "EventTime")
+    return rows.groupBy(fold.key).transformWithState(fold, fold.told, "Update", "EventTime")

@@ -274,3 +274,34 @@ def test_batch_and_stream_folds_agree(spark):
     rows = history(9, 200)
     batch = folds.mappings(folds.delegation_fold(spark.createDataFrame(rows, SCHEMA), zero="zero")).collect()
     assert {r.delegator: (r.delegate, r.power) for r in batch} == sequential(rows)
+
+
+class CountedState:
+    """A key's state as a handle gives it, with a note of each call."""
+
+    def __init__(self):
+        self.value, self.calls = None, []
+
+    def getValueState(self, name, schema):
+        return self
+
+    def get(self):
+        self.calls.append("get")
+        return self.value
+
+    def update(self, value):
+        self.calls.append("update")
+        self.value = value
+
+    def registerTimer(self, at):
+        self.calls.append(at)
+
+
+def test_a_key_costs_one_reading_and_one_writing_of_its_state():
+    fold, handle = RefreshTasks(Rules(debounce_ms=1, lease_ms=100, retry_ms=1, max_attempts=1)), CountedState()
+    fold.init(handle)
+    row = lambda pos, kind: {"pos": pos, "at_ms": 10 * pos, "kind": kind, "block": pos, "error": None}
+    told = fold.moved(1, [row(2, "run"), row(1, "seen"), row(3, "seen")], 10)
+    assert (told.status, told.locked_at, told.again) == ("processing", 20, True) and handle.calls == ["get", "update", 121]  # rows wait, the one timer is that of the lease
+    told = fold.moved(1, [row(3, "seen"), row(4, "ok")], 35)  # one row comes again
+    assert (told.status, told.last_block) == ("pending", 3) and handle.calls[3:] == ["get", "update"]
