@@ -24,7 +24,7 @@ def block_events(spark, d, **options):
 @query("SELECT lo + (pos - lo) // 700 * 700 AS from_block, least(lo + (pos - lo) // 700 * 700 + 699, hi) AS to_block, count(*) AS rows FROM logged, (SELECT min(pos) AS lo, max(pos) AS hi FROM logged) GROUP BY ALL")
 def src_range_plan(spark, d):
     """The log read by ranges of 700 blocks: what each range has."""
-    rows = block_events(spark, d, width=700)
+    rows = block_events(spark, d, width=700, rows=200_000)
     ranges = logs.split_ranges(rows.agg(F.min("pos").alias("from_block"), F.max("pos").alias("to_block")).where("to_block IS NOT NULL"), 700)
     return interval_join(rows, "pos", ranges.select("chunk_from", "chunk_to"), "chunk_from", "chunk_to").groupBy(F.col("chunk_from").alias("from_block"), F.col("chunk_to").alias("to_block")).agg(F.count("*").alias("rows"))
 

@@ -1,7 +1,7 @@
 """A Parquet log as a data source of block ranges, in batch and as a stream.
 
-Batch: one partition for each range of ``width`` blocks that some file has rows of; comparisons of the height and equalities that Spark pushes
-narrow the ranges and are applied while reading. Stream: the offset is a height, a batch reads at most ``batch`` blocks above the last one.
+Batch: one partition for each range of ``width`` blocks that some file has rows of, or with ``rows`` for as many neighbouring ranges as have some so many rows by the
+files' statistics; comparisons of the height and equalities that Spark pushes narrow the ranges and are applied while reading. Stream: the offset is a height, a batch reads at most ``batch`` blocks above the last one.
 Files and row groups whose statistics lie outside a range aren't read.
 
 ``path`` is a folder or URI that Arrow opens on the driver and on executors; logs in stores that only Spark reads are first written to a shared folder.
@@ -40,11 +40,12 @@ class Options:
     first: int | None
     last: int | None
     checkpoint: str | None
+    rows: int | None = None
 
     @classmethod
     def of(cls, given: dict[str, str]) -> Options:
         number = lambda k, default=None: int(given[k]) if k in given else default
-        options = cls(given["path"], given.get("height", "block_number"), number("width", 1000), number("batch", 10_000), number("from"), number("to"), given.get("checkpoint"))
+        options = cls(given["path"], given.get("height", "block_number"), number("width", 1000), number("batch", 10_000), number("from"), number("to"), given.get("checkpoint"), number("rows"))
         if options.width < 1 or options.batch < 1:
             raise ValueError("width and batch are at least 1")
         if options.first is not None and options.last is not None and options.first > options.last:
@@ -57,6 +58,10 @@ class Options:
 
     def spans(self) -> list[tuple[str, int, int]]:
         """(file, lowest height, highest height) from the statistics of every file with rows, within the asked range."""
+        return [s[:3] for s in self.counted_spans()]
+
+    def counted_spans(self) -> list[tuple[str, int, int, float]]:
+        """As ``spans``, with the rows that a file has for each height on average."""
         found = []
         for part in self.opened().get_fragments():
             column = part.physical_schema.get_field_index(self.height)
@@ -64,7 +69,8 @@ class Options:
             if held:
                 low, high = min(s.min for s in held), max(s.max for s in held)
                 if (self.first is None or high >= self.first) and (self.last is None or low <= self.last):
-                    found.append((part.path, low if self.first is None else max(low, self.first), high if self.last is None else min(high, self.last)))
+                    rows = part.metadata.num_rows / (high - low + 1)
+                    found.append((part.path, low if self.first is None else max(low, self.first), high if self.last is None else min(high, self.last), rows))
         return found
 
 
@@ -87,15 +93,31 @@ def reached(checkpoint: str) -> int | None:
 
 def planned(spans: list[tuple[str, int, int]], first: int, last: int, width: int) -> list[Blocks]:
     """Ranges of ``width`` blocks from first to last, without those that no file has rows of."""
-    ranges = []
-    inside = sorted((max(low, first), min(high, last), f) for f, low, high in spans if low <= last and high >= first)
+    ranges, inside = [], sorted((max(low, first), min(high, last), f) for f, low, high in spans if low <= last and high >= first)
     starts = sorted({first + k * width for low, high, _ in inside for k in range((low - first) // width, (high - first) // width + 1)})
+    at, here = 0, []
     for start in starts:
         end = min(start + width - 1, last)
-        ranges.append(Blocks(start, end, tuple(f for low, high, f in inside if low <= end and high >= start)))
+        while at < len(inside) and inside[at][0] <= end:
+            here.append(inside[at])
+            at += 1
+        here = [x for x in here if x[1] >= start]
+        ranges.append(Blocks(start, end, tuple(f for _, _, f in here)))
     return ranges
 
 
+def widened(spans: list[tuple[str, int, int, float]], width: int, rows: int) -> int:
+    """The multiple of ``width`` blocks that has some ``rows`` rows where the files have most for each height; ``width`` itself if that has more.
+
+    A task costs more than what a short range has; ranges aren't cut, so that each lies in one partition."""
+    steps = sorted(x for _, low, high, n in spans for x in ((low, n), (high + 1, -n)))
+    most, now = 0.0, 0.0
+    for _, n in steps:
+        now += n
+        most = max(most, now)
+    return width * max(1, int(rows / most / width)) if most > 0 else width
+
+
 def read_blocks(options: Options, schema: StructType, part: Blocks, also: list[ds.Expression]) -> Iterator[pa.RecordBatch]:
     wanted = (ds.field(options.height) >= part.first) & (ds.field(options.height) <= part.last)
     for e in also:
@@ -132,10 +154,12 @@ class BlockReader(DataSourceReader):
                 yield f
 
     def partitions(self) -> list[Blocks]:
-        spans = self.options.spans()
-        if not spans:
+        counted = self.options.counted_spans()
+        if not counted:
             return [Blocks(0, -1, ())]
-        return planned(spans, min(s[1] for s in spans), max(s[2] for s in spans), self.options.width) or [Blocks(0, -1, ())]
+        spans, width = [s[:3] for s in counted], self.options.width
+        width = widened(counted, width, self.options.rows) if self.options.rows else width
+        return planned(spans, min(s[1] for s in spans), max(s[2] for s in spans), width) or [Blocks(0, -1, ())]
 
     def read(self, part: Blocks) -> Iterator[pa.RecordBatch]:
         if part.files:
@@ -176,7 +200,7 @@ class BlockStream(DataSourceStreamReader):
 
 
 class BlockLog(DataSource):
-    """Options: path, height (the column of the height), width (blocks of a partition), batch (blocks of a micro-batch), from, to, and for streams checkpoint (the query's)."""
+    """Options: path, height (the column of the height), width (blocks of a range), rows (of a partition of several ranges), batch (blocks of a micro-batch), from, to, and for streams checkpoint (the query's)."""
 
     @classmethod
     def name(cls) -> str:
@@ -200,7 +224,7 @@ def _with_options(reader, path: str, height: str, options: dict):
 
 
 def block_log(spark: SparkSession, path: str, height: str = "block_number", **options: int) -> DataFrame:
-    """The log as a table; ``width``, ``from_`` and ``to`` as in :class:`BlockLog`."""
+    """The log as a table; ``width``, ``rows``, ``from_`` and ``to`` as in :class:`BlockLog`."""
     spark.dataSource.register(BlockLog)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     return _with_options(spark.read, path, height, options).load()

@@ -305,3 +305,11 @@ def test_a_key_costs_one_reading_and_one_writing_of_its_state():
     assert (told.status, told.locked_at, told.again) == ("processing", 20, True) and handle.calls == ["get", "update", 121]  # rows wait, the one timer is that of the lease
     told = fold.moved(1, [row(3, "seen"), row(4, "ok")], 35)  # one row comes again
     assert (told.status, told.last_block) == ("pending", 3) and handle.calls[3:] == ["get", "update"]
+
+
+def test_short_ranges_share_a_partition(spark, tmp_path):
+    rows = [(k, k % 3) for k in range(1000)]
+    spark.createDataFrame(rows, "pos long, d long").repartitionByRange(3, "pos").write.parquet(str(tmp_path / "log"))
+    log = block_log(spark, str(tmp_path / "log"), "pos", width=7, rows=300)
+    assert log.rdd.getNumPartitions() == 4 and sorted(map(tuple, log.collect())) == rows  # of 294 blocks each, where one for each range is 143
+    assert source.widened([("a", 0, 99, 2.0), ("b", 50, 149, 1.0)], 10, 100) == 30 and source.widened([("a", 0, 9, 50.0)], 10, 100) == 10
