@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -57,20 +58,34 @@ def body_of(description: str) -> str:
     return rest.strip() if newline and title_of(first.strip()) == title_of(text) else text
 
 
-@F.pandas_udf(T.StringType())
-def title(values: pd.Series) -> pd.Series:
-    return values.map(lambda x: None if x is None else title_of(x.strip()))
+#: Texts that a task has as Python strings at once; only memory depends on it.
+AT_ONCE = 256
 
 
-@F.pandas_udf(T.StringType())
-def body(values: pd.Series) -> pd.Series:
-    return values.map(lambda x: None if x is None else body_of(x))
+def mapped(text_of: Callable[[str], str], values: pa.Array) -> pa.Array:
+    """What becomes of each text, nulls apart. Batches of whole texts may be large: few of them are Python strings at once, the others stay Arrow's."""
 
+    def parts() -> Iterator[pa.Array]:
+        for at in range(0, len(values), AT_ONCE):
+            yield pa.array([None if x is None else text_of(x) for x in values.slice(at, AT_ONCE).to_pylist()], pa.string())
 
-@F.pandas_udf(T.StringType())
-def plain_text(values: pd.Series) -> pd.Series:
+    return pa.concat_arrays([pa.array([], pa.string()), *parts()])
+
+
+@F.arrow_udf(T.StringType())
+def title(values: pa.Array) -> pa.Array:
+    return mapped(lambda x: title_of(x.strip()), values)
+
+
+@F.arrow_udf(T.StringType())
+def body(values: pa.Array) -> pa.Array:
+    return mapped(body_of, values)
+
+
+@F.arrow_udf(T.StringType())
+def plain_text(values: pa.Array) -> pa.Array:
     """Without tags, link targets and line markers."""
-    return values.map(lambda x: None if x is None else "\n".join(map(cleaned_line, _LINK.sub(r"\1", _TAG.sub("", x)).splitlines())))
+    return mapped(lambda x: "\n".join(map(cleaned_line, _LINK.sub(r"\1", _TAG.sub("", x)).splitlines())), values)
 
 
 #: The characters that Unicode calls white space.

@@ -147,3 +147,19 @@ def test_append_is_idempotent(spark, tmp_path):
     for _ in range(2):
         sinks.append_parquet(rows, str(tmp_path / "t"), ["k", "s"])
     assert spark.read.parquet(str(tmp_path / "t")).count() == 2
+
+
+def test_few_texts_are_strings_at_once():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    texts = pa.array([None, *(f"# Title {k}\n" + "x" * 10_000 for k in range(3000))])
+    tracemalloc.start()
+    try:
+        bodies = descriptions.body.func(texts)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(bodies) == 3001 and bodies[0].as_py() is None and set(bodies[1:].to_pylist()) == {"x" * 10_000}
+    assert peak < 15e6  # of 30 MB of texts
