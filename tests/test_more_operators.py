@@ -64,7 +64,7 @@ def test_control_operations_tell_their_blocks(spark):
 
 def test_actions_that_agree_are_counted_before_texts_are_sorted(spark):
     shape = "contract_set_id string, proposal_id string, action_index long, target string, value string, calldata string, queue_tx string, queue_timestamp string, queue_eta string, execution_tx string, queue_block string, execution_block string, execution_timestamp string"
-    rows = [("s", "1", k, "t", "0", "0x", "q", "5", "9", "x", "2", "3", "4") for k in range(40)] + [("s", "0x" + "0" * 63 + "1", 40, "t", "0", "0x", "r", "6", "9", None, "7", None, None)]
+    rows = [("s", "1", k, "t", "0", "0x", "q", "5", "9", "x", "2", "3", "4") for k in range(40)] + [("s", "01", 40, "t", "0", "0x", "r", "6", "9", None, "7", None, None)]
     found = timelock.control_operations(spark.createDataFrame(rows, shape))
     assert {(r.proposal_id, r.call_count, r.executed_call_count, r.state, r.queued_block_number, r.executed_block_number) for r in found.collect()} == {("1", 40, 40, "Done", "7", "3"), (rows[-1][1], 1, None, "Queued", "7", "3")}
     plan = found._jdf.queryExecution().optimizedPlan().toString()
