@@ -24,7 +24,7 @@ def arriving(spark, rows, height):
     log = spark.read.schema(rows.schema).parquet(at)
     n, top = log.agg(F.count("*"), F.max(height)).first()
     batch = max(1, -(-((top or 0) + 1) // BATCHES))
-    parts = min(int(spark.conf.get("spark.sql.shuffle.partitions")), max(4, n // 20_000))
+    parts = min(int(spark.conf.get("spark.sql.shuffle.partitions")), max(12, n // 200_000))  # each task of each batch tells the driver its figures
     checkpoint = new_folder(spark, "state")
     return block_stream(spark, at, height, batch=batch, width=max(1, batch // 4), checkpoint=checkpoint), batch, parts, checkpoint
 
