@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rollcall.llm.frames import checkpointed
+from rollcall.llm.frames import few, written
 
 #: Edges that a task connects at once; only speed and memory depend on it.
 CHUNK = 500_000
@@ -65,16 +65,16 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Tasks make stars of the edges that they have, then of all edges of the nodes dealt to them; a star whose centre belongs to another one is
     hung on the smallest centre that it has there. That is repeated until no node has two centres and no centre another one. Each task sends
     a row for a node at most, so that a hub's edges come together only as one row from each task. Rows with a null end and loops are
-    ignored; repeated edges don't matter.
+    ignored; repeated edges don't matter. What a round leaves is written in few files, however many partitions shuffles have.
     """
     found = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u IS NOT NULL AND v IS NOT NULL AND u != v")
     now = found.mapInArrow(stars, "u long, v long")
     while True:
-        now = checkpointed(now.repartition("u").sortWithinPartitions("u").mapInArrow(stars, "u long, v long"))
+        now = written(few(now.repartition("u").sortWithinPartitions("u").mapInArrow(stars, "u long, v long"), 1))
         centres = now.select(F.col("v").alias("node")).distinct().withColumns({"n": F.lit(0), "least": F.lit(None).cast("long"), "centre": F.lit(True)})
         nodes = now.select(F.col("u").alias("node"), F.lit(1).alias("n"), F.col("v").alias("least"), F.lit(False).alias("centre")).union(centres)
         roles = nodes.groupBy("node").agg(F.sum("n").alias("n"), F.min("least").alias("least"), F.max("centre").alias("centre"))
-        unsettled = checkpointed(roles.where("n > 1 OR n = 1 AND centre"))
+        unsettled = written(few(roles.where("n > 1 OR n = 1 AND centre"), 1))
         if unsettled.isEmpty():
             break
         hung = unsettled.where("centre").select("node", "least")

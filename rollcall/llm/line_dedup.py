@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rollcall.llm.frames import written
+from rollcall.llm.frames import few, written
 
 #: Least code points of lines whose variants go.
 MIN_CHARS = 20
@@ -100,7 +100,7 @@ def short_pieces(parts: DataFrame) -> DataFrame:
     """The pieces of lines that agree in all else, taken apart until they are short. ``parts``: row, pos, longer, key, piece."""
     found = None
     while True:
-        parts = written(alike_but_one(parts))  # few are left
+        parts = written(few(alike_but_one(parts)))  # few are left
         is_short = F.char_length("piece") <= PIECE_CHARS
         short = parts.where(is_short)
         found = short if found is None else found.unionByName(short)
@@ -120,7 +120,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     hashed = compared.select(*ROW, "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), *(k.alias(f"k{i}") for i, k in enumerate(keys)))
     place = F.struct(*ROW, "pos")
     firsts = hashed.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("times"), *(F.first(f"k{i}").alias(f"k{i}") for i in range(4)))
-    distinct = written(firsts.select(*(F.when(F.col("times") > 1, F.col(h)).alias(h) for h in ("h1", "h2")), "first.*", "k0", "k1", "k2", "k3"))
+    distinct = written(few(firsts.select(*(F.when(F.col("times") > 1, F.col(h)).alias(h) for h in ("h1", "h2")), "first.*", "k0", "k1", "k2", "k3")))
 
     repeated = distinct.where("h1 IS NOT NULL").select("h1", "h2", place.alias("first"))
     again = hashed.select(*ROW, "pos", "h1", "h2").join(repeated, ["h1", "h2"]).where(F.col("first") < place).select(*ROW, "pos")
@@ -144,7 +144,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     same = F.min(F.when(F.col("kind") != 2, place)).over(under)
     longest = F.min(F.when(F.col("kind") == 2, place)).over(under)
     pairs = emitted.select(place.alias("a"), F.when(F.col("kind") == 1, longest).otherwise(same).alias("b")).where(F.col("b") < F.col("a")).distinct()
-    near = verified(written(pairs), texts)
+    near = verified(written(few(pairs)), texts)
 
     gone = again.union(near).groupBy(*ROW).agg(F.collect_set("pos").alias("gone"))
     carried = {c: f"carried_{k}" for k, c in enumerate(carry)}

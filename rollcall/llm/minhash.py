@@ -25,9 +25,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rollcall.llm.frames import checkpointed, emitted, integer_ids, rows_of, utf8, written
+from rollcall.llm.frames import checkpointed, emitted, few, integer_ids, rows_of, utf8, written
 from rollcall.llm.graph import components
-from rollcall.llm.shingles import mixed, shared, shingle_sets
+from rollcall.llm.shingles import forget, mixed, shared, shingle_sets
 
 BANDS, ROWS = 32, 5
 MINIMA = BANDS * ROWS
@@ -82,6 +82,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                             yield doc_id, text_key, len(s), *digest, packed(least), band_keys(least)
                         else:
                             yield doc_id, text_key, 0, 0, 0, None, None
+            forget()  # the worker's memory is for other tasks now
 
         return emitted(rows(), schema, 2048)
 
@@ -125,6 +126,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
                         n = shared(own, theirs)
                         if 100 * n >= percent * (len(own) + len(theirs) - n):
                             yield ids_a[k], ids_b[k]
+            forget()
 
         return emitted(rows(), schema)
 
@@ -209,7 +211,7 @@ def likely_clusters(met: DataFrame, reached: DataFrame, classes: DataFrame, low:
         return pa.table({x: pa.array(reps[[p[k] for p in pairs]] if pairs else [], pa.int64()) for k, x in enumerate("ab")})
 
     edges = dealt.select("key", "lo", "hi", "tile", "rep", "c", "signature").groupBy("key", "lo", "hi").applyInArrow(forest, "a long, b long")
-    clusters = components(edges)
+    clusters = components(written(few(edges)))  # else a task has two Python workers, and an executor keeps them all
     return clusters.select(F.col("node").alias("rep"), F.col("component").alias("cluster")).join(component, "rep", "left").select("cluster", "rep", F.coalesce("component", "rep").alias("c"))
 
 
@@ -256,12 +258,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     integer_ids(docs, id_col)
     signed = written(signatures(docs, id_col, text_col))
     usable = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = written(usable.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "text_key")).alias("rep"), F.first("signature").alias("signature"), F.first("bands").alias("bands")).select("d1", "d2", F.col("rep.doc_id").alias("rep"), "rep.text_key", "signature", "bands"))
+    classes = written(few(usable.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "text_key")).alias("rep"), F.first("signature").alias("signature"), F.first("bands").alias("bands")).select("d1", "d2", F.col("rep.doc_id").alias("rep"), "rep.text_key", "signature", "bands")))
     in_bands = classes.select("rep", F.explode("bands").alias("key"))
     filled = in_bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    met = written(in_bands.join(filled, "key").select("key", "rep", "n"))
+    met = written(few(in_bands.join(filled, "key").select("key", "rep", "n")))
     taking_part = met.select("rep").distinct().join(classes.select("rep", "text_key"), "rep").select(F.col("rep").alias("doc_id"), "text_key")
-    texts = written(keyed_texts(docs, id_col, text_col).join(taking_part, ["doc_id", "text_key"], "left_semi").dropDuplicates(["doc_id", "text_key"]))
+    texts = written(few(keyed_texts(docs, id_col, text_col).join(taking_part, ["doc_id", "text_key"], "left_semi").dropDuplicates(["doc_id", "text_key"])))
     low = percent / 100 - margin
 
     def likely(pairs: DataFrame) -> DataFrame:
@@ -269,8 +271,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             pairs = pairs.join(classes.select(F.col("rep").alias(x), F.col("signature").alias(f"s_{x}")), x)
         return pairs.where(estimate("s_a", "s_b") >= low).select("a", "b")
 
-    first = checkpointed(confirmed(likely(star_pairs(met)), texts, percent))
-    second = checkpointed(cluster_links(likely_clusters(met, components(first), classes, low), classes, texts, percent, low))
+    first = checkpointed(few(confirmed(likely(star_pairs(met)), texts, percent)))
+    second = checkpointed(few(cluster_links(likely_clusters(met, components(first), classes, low), classes, texts, percent, low)))
     reached = components(first.union(second))
     of_class = classes.select("d1", "d2", "rep").join(reached, F.col("rep") == F.col("node"), "left").select("d1", "d2", F.coalesce("component", "rep").alias("component"))
     known = usable.select("doc_id", "n_shingles", "d1", "d2").join(of_class, ["d1", "d2"]).select("doc_id", "n_shingles", "component")

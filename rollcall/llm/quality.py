@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rollcall.llm.frames import checkpointed, emitted, rows_of, utf8
+from rollcall.llm.frames import checkpointed, emitted, few, rows_of, utf8
 
 SYMBOLS = b"#*$%&|<>"
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
@@ -101,7 +101,7 @@ def host_rates(judged_docs: DataFrame, rules: tuple[str, ...] = RULES) -> DataFr
     The prior's mean is the failure rate of all documents; its strength follows by moments from how
     much more the hosts' rates vary than documents drawn with that rate would make them vary.
     """
-    counts = checkpointed(judged_docs.groupBy("host").agg(F.count("*").alias("n_docs"), *(F.count_if(f"fail_{r}").alias(f"failed_{r}") for r in rules)))
+    counts = checkpointed(few(judged_docs.groupBy("host").agg(F.count("*").alias("n_docs"), *(F.count_if(f"fail_{r}").alias(f"failed_{r}") for r in rules))))
     n = F.col("n_docs")
     overall = counts.agg(F.coalesce(F.avg(1 / n), F.lit(1.0)).alias("inverse_n"), *(F.coalesce(F.sum(f"failed_{r}") / F.sum(n), F.lit(0.0)).alias(r) for r in rules)).first()
     apart = counts.agg(*(F.coalesce(F.avg(F.pow(F.col(f"failed_{r}") / n - overall[r], F.lit(2))), F.lit(0.0)).alias(r) for r in rules)).first()

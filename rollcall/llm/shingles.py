@@ -8,7 +8,7 @@ import xxhash
 WORDS = 5
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 #: Words whose hashes a Python worker remembers at most; only speed depends on it.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 
 
 class _Hashes(dict):
@@ -22,6 +22,11 @@ class _Hashes(dict):
 _HASHES = _Hashes()
 
 
+def forget() -> None:
+    """Frees the words that this Python worker remembers."""
+    _HASHES.clear()
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     """A bijection of 64 bits that spreads every bit over all."""
     h = h ^ (h >> np.uint64(32))
@@ -34,7 +39,7 @@ def mixed(h: np.ndarray) -> np.ndarray:
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """The hashes of all words of the texts, A-Z lower-cased, and where each text's words begin and end."""
     if len(_HASHES) > REMEMBERED:
-        _HASHES.clear()
+        forget()
     hash_of = _HASHES.__getitem__
     found = [np.fromiter(map(hash_of, words), np.uint64, len(words)) for words in (t.lower().split() for t in texts)]  # bytes split at ASCII white space
     return np.concatenate([np.zeros(0, np.uint64), *found]), np.cumsum([0, *map(len, found)])
